@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .divergence import op2_distribution_divergence
+from .quality import op4_boosted_tree_quality
 from .simhash import op7_simhash_trie_join
 
 QUERIES = {
+    "op2_distribution_divergence": op2_distribution_divergence,
+    "op4_boosted_tree_quality": op4_boosted_tree_quality,
     "op7_simhash_trie_join": op7_simhash_trie_join,
 }
 
