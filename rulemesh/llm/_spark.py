@@ -15,16 +15,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share.
 
-    The folder comes from ``spark.checkpoint.dir``; only where neither that
-    setting nor a folder set by the caller exists (tests on one machine) is a
-    temporary one used.
+    It comes from ``spark.checkpoint.dir``; only where neither that setting nor
+    a folder set by the caller exists (tests on one machine) is a temporary one
+    used.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rulemesh-")
         )
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

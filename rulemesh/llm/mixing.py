@@ -189,6 +189,23 @@ def taken(mixed: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(words, same, "left").select(*rows.columns, F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def whole_documents(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` as often as the mix takes them, none cut: each of 0 to ``most`` times.
+
+    A document is there as often as half or more of it is taken, so a source
+    misses its target by half a document a pass at most. Rows that share an id
+    are counted together and all are there equally often. Columns stay as they
+    are; a document without words isn't in any mix.
+    """
+    id_col = settings.get("id_col", "doc_id")
+    counted = taken(*mix(docs, **settings)).where("size > 0").groupBy("id")
+    times = counted.agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0")
+    times = times.withColumnRenamed("id", "_id")
+    rows = docs.join(times, docs[id_col].eqNullSafe(times["_id"]))
+    copies = F.sequence(F.lit(1), F.col("_times"))
+    return rows.withColumn("_copy", F.explode(copies)).select(*[docs[c] for c in docs.columns])
+
+
 def op10_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = taken(*mix(read_table(spark, sf_dir, "documents")))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .divergence import op2_distribution_divergence
 from .mixing import OP10_SQL, op10_low_discrepancy_mix
 from .packing import op9_best_fit_packing
+from .pii import op6_keyed_surrogates
 from .quality import op4_boosted_tree_quality
 from .sharding import op8_prefix_sum_shards
 from .simhash import op7_simhash_trie_join
@@ -12,6 +13,7 @@ from .simhash import op7_simhash_trie_join
 QUERIES = {
     "op2_distribution_divergence": op2_distribution_divergence,
     "op4_boosted_tree_quality": op4_boosted_tree_quality,
+    "op6_keyed_surrogates": op6_keyed_surrogates,
     "op7_simhash_trie_join": op7_simhash_trie_join,
     "op8_prefix_sum_shards": op8_prefix_sum_shards,
     "op9_best_fit_packing": op9_best_fit_packing,

@@ -1,0 +1,118 @@
+import re
+
+import pytest
+
+from rulemesh.llm import pii as P
+
+TEXTS = [
+    "call +1 (152) 555-8590 or 152-555-8590, card 4379362835490466 now",
+    "mail Onlyhe.15@mail5.example.com. or onlyhe.15@MAIL5.example.com; other.16@mail5.example.com",
+    "ip 188.54.39.104 of. 1.2.3.4.5 300.1.1.1 and 10.0.0.1",
+    'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"### 1EB9C654E721B4F812088970E66A6345CEE33DD6',
+    "Mrs. Mary Poe met Mr John Poe and Mrs Poe; Господин Иван Петров, Κυρία Μαρία Παπά",
+    "SSN 123-45-6789, (152) 555-8590, 4379 3628 3549 0466, 4379362835490467",
+    "DE89 3704 0044 0532 0130 00 iban",
+    "",
+    None,
+    "plain The text 12 34 2020-01-01 3.14159265358979323846 A.B. @ x@y 1234567 v1.2.3",
+    "a.b@c.de " * 300 + "é" * 5000,
+    "+1 (152) 555-8590",
+]
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    docs = spark.createDataFrame(
+        [(i, 7, t) for i, t in enumerate(TEXTS)] + [(None, None, TEXTS[0])], "doc_id long, n_entities int, text string"
+    )
+    rows = P.pseudonymise(docs, "k", count_col="found").collect()
+    assert rows[0].__fields__ == ["doc_id", "n_entities", "text", "found"]
+    return {r.doc_id: r for r in rows}
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        v = int(d) * (1 + k % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def test_nothing_real_is_left(made):
+    real = r"555-8590|4379|onlyhe|mail5|188\.54|10\.0\.0\.1|1eb9c654|1EB9C654|Mary|Poe|John|Иван|Петров|Μαρία|Παπά|123-45|3704"
+    for i, text in enumerate(TEXTS):
+        if text and i not in (10,):
+            assert not re.search(real, made[i].text), made[i].text
+
+
+def test_clean_texts_stay(made):
+    for i in (7, 8, 9):
+        assert made[i].text == TEXTS[i] and made[i].found == 0
+    assert "1.2.3.4.5 300.1.1.1" in made[2].text
+    assert made[10].text.endswith("é" * 5000) and made[10].found == 300
+
+
+def test_formats_and_coreference(made):
+    a = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3}-\d{4}) or (\d{3})-(\d{3}-\d{4}), card (\d{16}) now", made[0].text)
+    assert a and a[1] == a[3] and a[2] == a[4] and luhn(a[5])
+    assert made[11].text == f"+1 ({a[1]}) {a[2]}" and made[None].text == made[0].text
+    b = re.fullmatch(r"SSN \d{3}-\d{2}-\d{4}, \((\d{3})\) (\d{3}-\d{4}), (\d{4} \d{4} \d{4} \d{4}), (\d{16})", made[5].text)
+    assert b and (b[1], b[2]) == (a[1], a[2]) and b[3].replace(" ", "") == a[5] and not luhn(b[4])
+    c = re.fullmatch(r"mail (\w+@[\w.]+\.com)\. or (\w+@[\w.]+\.com); (\w+@[\w.]+\.com)", made[1].text)
+    assert c and c[1] == c[2] != c[3] and c[1].split("@")[1] == c[3].split("@")[1]
+    d = re.fullmatch(r'token = "([0-9a-f]{40})"### ([0-9A-F]{40})', made[3].text)
+    assert d and d[1].upper() == d[2]
+    e = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr (\w+) (\w+) and Mrs (\w+); Господин ([А-я]+) ([А-я]+), Κυρία ([Α-ω]+) ([Α-ω]+)", made[4].text)
+    assert e and e[2] == e[4] == e[5] and e[1].endswith("a") and e[3].endswith("on") and e[6].endswith("ан") and e[8].endswith("α")
+    assert re.fullmatch(r"[A-Z]{2}\d{2} \d{4} \d{4} \d{4} \d{4} \d{2} iban", made[6].text)
+
+
+def test_permutations_keep_numbers_apart(spark):
+    docs = spark.createDataFrame([(f"x +1 (152) 555-{n:04d} y",) for n in range(3000)], "text string")
+    got = {r.text for r in P.pseudonymise(docs, "k", variant=dict.fromkeys(P.KINDS, 0)).collect()}
+    assert len(got) == 3000
+    small = spark.range(100).selectExpr("lpad(cast(id as string), 2, '0') d")
+    made = {r[0] for r in small.select(P.Surrogates("k", dict.fromkeys(P.KINDS, 0))._digits("number", small.d)).collect()}
+    assert made == {f"{n:02d}" for n in range(100)}
+
+
+def test_collisions_are_found_and_resolved(spark, monkeypatch):
+    # names of one syllable collide at once; each variant has one more
+    plain = P.Surrogates.token
+
+    def short(self, kind, script, gender, m):
+        self.variant = self.variant | {kind: self.variant[kind] - 3}
+        out = plain(self, kind, script, gender, m)
+        self.variant = self.variant | {kind: self.variant[kind] + 3}
+        return out
+
+    monkeypatch.setattr(P.Surrogates, "token", short)
+    names = ["Abel", "Baker", "Cole", "Dunn", "Ellis", "Ford", "Gray", "Hunt", "Irwin", "Jones", "Kent", "Lowe"] * 3
+    docs = spark.createDataFrame([(f"Mr {n}{s}",) for s in ("", "son", "man") for n in names], "text string")
+    variant = P.choose_variants(docs, "k")
+    assert variant["family"] > 0
+    assert len({r.text for r in P.pseudonymise(docs, "k", variant=variant).distinct().collect()}) == 36
+
+
+def test_another_key_gives_other_surrogates_and_reruns_agree(spark):
+    docs = spark.createDataFrame([(TEXTS[1],)], "text string")
+    one, again, other = (P.pseudonymise(docs, k).first().text for k in ("k", "k", "l"))
+    assert one == again != other
+
+
+def test_empty_table_and_query(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert P.pseudonymise(docs.limit(0)).count() == 0
+    rows = P.op6_keyed_surrogates(spark, sf_dir).collect()
+    before = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == len(before)
+    for r in rows:
+        if not re.search(r"[@\d]{1}", before[r.doc_id]):
+            assert r.text == before[r.doc_id]
+        for number in re.findall(r"(?<!\d)\d{16}(?!\d)|\S+@\S+\w", before[r.doc_id]):
+            assert number not in r.text
+
+
+def test_plan_is_native(spark, sf_dir):
+    plan = P.op6_keyed_surrogates(spark, sf_dir)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
