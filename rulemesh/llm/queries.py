@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .divergence import op2_distribution_divergence
+from .licences import op3_suffix_automaton_licences
 from .mixing import OP10_SQL, op10_low_discrepancy_mix
 from .packing import op9_best_fit_packing
 from .pii import op6_keyed_surrogates
@@ -12,6 +13,7 @@ from .simhash import op7_simhash_trie_join
 
 QUERIES = {
     "op2_distribution_divergence": op2_distribution_divergence,
+    "op3_suffix_automaton_licences": op3_suffix_automaton_licences,
     "op4_boosted_tree_quality": op4_boosted_tree_quality,
     "op6_keyed_surrogates": op6_keyed_surrogates,
     "op7_simhash_trie_join": op7_simhash_trie_join,
