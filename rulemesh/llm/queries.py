@@ -6,6 +6,7 @@ from .divergence import op2_distribution_divergence
 from .licences import op3_suffix_automaton_licences
 from .mixing import OP10_SQL, op10_low_discrepancy_mix
 from .packing import op9_best_fit_packing
+from .parsing import op5_locally_consistent_parsing
 from .pii import op6_keyed_surrogates
 from .quality import op4_boosted_tree_quality
 from .sharding import op8_prefix_sum_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_distribution_divergence": op2_distribution_divergence,
     "op3_suffix_automaton_licences": op3_suffix_automaton_licences,
     "op4_boosted_tree_quality": op4_boosted_tree_quality,
+    "op5_locally_consistent_parsing": op5_locally_consistent_parsing,
     "op6_keyed_surrogates": op6_keyed_surrogates,
     "op7_simhash_trie_join": op7_simhash_trie_join,
     "op8_prefix_sum_shards": op8_prefix_sum_shards,
