@@ -11,8 +11,10 @@ from .pii import op6_keyed_surrogates
 from .quality import op4_boosted_tree_quality
 from .sharding import op8_prefix_sum_shards
 from .simhash import op7_simhash_trie_join
+from .urls import op1_path_template_tree
 
 QUERIES = {
+    "op1_path_template_tree": op1_path_template_tree,
     "op2_distribution_divergence": op2_distribution_divergence,
     "op3_suffix_automaton_licences": op3_suffix_automaton_licences,
     "op4_boosted_tree_quality": op4_boosted_tree_quality,
