@@ -14,7 +14,7 @@ def read_log(spark: SparkSession, path: str, like: DataFrame, files_per_trigger:
 def window_counts(events: DataFrame, width: str = "1 hour", late: str | None = None, time: str = "ts", kind: str = "event_type") -> DataFrame:
     """Events of each kind in each window; ``late`` is how much later than the latest an event of a stream may come."""
     if late is not None:
-        events = events.withWatermark(time, late)
+        events = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     rows = events.groupBy(F.window(time, width).alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return rows.select(F.col("w.start").alias("window_start"), kind, "n", "total")
 
@@ -45,7 +45,8 @@ def keep_latest(stream: DataFrame, keys: list[str], order: str, path: str, check
 
 def new_content(stream: DataFrame, columns: list[str], time: str = "ts", late: str = "1 day") -> DataFrame:
     """Rows whose content hasn't been seen within ``late``."""
-    hashed = stream.withColumn("content_hash", F.substring(F.sha1(F.to_json(F.struct(*columns))), 1, 16))
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    hashed = timed.withColumn("content_hash", F.substring(F.sha1(F.to_json(F.struct(*columns))), 1, 16))
     return hashed.withWatermark(time, late).dropDuplicatesWithinWatermark(["content_hash"])
 
 
