@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one step of a kernel takes, unless one text is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BYTES = np.arange(256, dtype=np.uint8)
 SPACE = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])

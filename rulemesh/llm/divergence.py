@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import read_table
+from ._spark import map_arrow, read_table
 from ._text import slices, text_column
 from .stats import CLASSES, TextStats
 
@@ -148,7 +148,7 @@ def references(
 ) -> dict[str, Reference]:
     """References of the languages of ``docs`` (columns text and lang); ALL is always there."""
     chosen = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    first = chosen.mapInArrow(_frequent(word_share), _COUNTS).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    first = map_arrow(chosen, _frequent(word_share), _COUNTS).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     # languages with language_share of all words, and words that can still be common: both bounded by the shares
     sizes = first.where("kind = 'total'").select("lang", F.col("n").alias("total"))
     whole = sizes.where(F.col("lang") == ALL).agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
@@ -164,7 +164,7 @@ def references(
         lang: pa.array(sorted(bytes(r["word"]) for r in rows if r["lang"] == lang and r["kind"] == "word"), pa.large_binary())
         for lang in kept
     }
-    second = chosen.mapInArrow(_counted(words), _COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
+    second = map_arrow(chosen, _counted(words), _COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
     out = {}
     for lang, size in kept.items():
         classes = {bytes(r["word"]).decode(): r["n"] for r in rows if r["lang"] == lang and r["kind"] == "class"}
@@ -210,7 +210,7 @@ def judge(docs: DataFrame, refs: dict[str, Reference], id_col: str = "doc_id") -
         F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
     schema = ", ".join([f"id {kind}", *(f"{n} {k}" for n, k in zip(names[1:], kinds))])
-    return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_arrow(chosen, run, schema).withColumnRenamed("id", id_col)
 
 
 def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

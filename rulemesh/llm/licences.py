@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import read_table
+from ._spark import map_arrow, read_table
 from ._text import LOWER, runs, slices, text_column, utf8
 from .stats import _encoded
 
@@ -296,7 +296,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id"
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join([f"id {kind}", *(f"{c} {k}" for c, k in kinds.items())])
-    return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_arrow(chosen, run, schema).withColumnRenamed("id", id_col)
 
 
 def op3_suffix_automaton_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Each source's documents stand in a keyed random order and are cut into blocks
 of equal word counts, the order starting anew when it is used up. A source's
 target gives the number of its blocks. The schedule has one slot for each
 block of the mix: slot j gets the point (j * a mod N) / N, where a / N is the
-golden ratio as nearly as a number prime to N allows, and the point falls into
+golden ratio as nearly as numbers prime to N allow that spread well (their
+continued fractions have small terms, as the golden ratio's), and the point falls into
 one source's part of the cumulated weights. As the points of all N slots are
 distinct, each source gets exactly its blocks, evenly spread. The k-th slot of
 a source takes its k-th block.
@@ -34,14 +35,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def largest_quotient(a: int, n: int) -> int:
+    """The largest term of the continued fraction of a / n; points of a step a spread the better the smaller it is."""
+    out = 0
+    while n:
+        out, a, n = max(out, a // n), n, a % n
+    return out
+
+
 def golden_step(n: int) -> int:
-    """The number nearest to n / phi that is prime to n."""
+    """A number prime to n close to n / phi; of the nearest ones that whose multiples spread best."""
     near = round(n * 0.6180339887498949)
-    for d in range(n + 1):
-        for a in (near + d, near - d):
-            if 0 < a <= n and gcd(a, n) == 1:
-                return a
-    return 1
+    tried = [a for d in range(100) for a in {near + d, near - d} if 0 < a <= n and gcd(a, n) == 1]
+    return min(tried, key=lambda a: (largest_quotient(a, n), abs(a - near), a))
 
 
 def _running(rows: DataFrame, value: str, group: str, bucket: str, order: list[str]) -> DataFrame:

@@ -22,15 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, read_table
+from ._spark import cut, map_arrow, read_table
 from ._text import slices, text_column
 from .stats import TextStats
 
 CAPACITY = 2048
 #: Ends each document.
 END = 0
+#: Bytes of text taken at once: more of them share their words.
+SLICE = 2 << 20
 #: Words whose ids a Python worker keeps, twice at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 class WordIds:
@@ -225,7 +227,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
         part, words = TaskContext.get().partitionId(), opened(path)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=SLICE):
                 ids, offs = token_ids(text_column(rows), words)
                 size = np.diff(offs)
                 number = -(-size // capacity)
@@ -246,7 +248,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return map_arrow(chosen, run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def _occurrence(values: np.ndarray) -> np.ndarray:
@@ -285,7 +287,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_arrow(ranked, run, schema).withColumnRenamed("id", id_col)
 
 
 def tokenizer_path() -> str:

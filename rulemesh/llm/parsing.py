@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import partitions, read_table
+from ._spark import map_arrow, partitions, read_table
 from ._text import slices, text_column
 
 FIRST_LEVEL = 3
@@ -185,7 +185,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, n_chars long, fingerprint string").withColumnRenamed("id", id_col)
+    return map_arrow(chosen, run, f"id {kind}, n_chars long, fingerprint string").withColumnRenamed("id", id_col)
 
 
 # --------------------------------------------------------- texts and their next
@@ -277,7 +277,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[kind]
     schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def op5_locally_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import read_table
+from ._spark import map_arrow, read_table
 from ._text import slices, text_column
 from .gbdt import Forest, fit
 from .stats import FEATURES, features
@@ -48,7 +48,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     )
     # the sample has at most sample_rows rows of two numbers
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y")
-    found = rows.mapInArrow(_statistics, ", ".join(f"{c} double" for c in ("y", *FEATURES))).toPandas()
+    found = map_arrow(rows, _statistics, ", ".join(f"{c} double" for c in ("y", *FEATURES))).toPandas()
     # rows arrive in no fixed order; sums of floats depend on it
     found = found.sort_values(list(found.columns), ignore_index=True)
     return fit(found[list(FEATURES)].to_numpy(), found["y"].to_numpy())
@@ -65,7 +65,7 @@ def score(docs: DataFrame, model: Forest, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return map_arrow(chosen, run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: Forest, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -78,7 +78,7 @@ def keep_good(docs: DataFrame, model: Forest, least: float = 0.5, text_col: str
                 if good.any():
                     yield part.filter(pa.array(np.asarray(good)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op4_boosted_tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, partitions, read_table
+from ._spark import cut, map_arrow, partitions, read_table
 from ._text import LOWER, slices, spaced, text_column, utf8, xxh64
 
 SHINGLE = 4
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, fingerprint long").withColumnRenamed("id", id_col)
+    return map_arrow(chosen, run, f"id {kind}, fingerprint long").withColumnRenamed("id", id_col)
 
 
 # ------------------------------------------------------------------- trie join
@@ -288,7 +288,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
             F.explode(F.when(F.col("chunks").isNull(), F.array("key")).otherwise(pair)).alias("key"), "fingerprint"
         )
     dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key", "fingerprint")
-    return dealt.mapInArrow(_linker(budget), "a long, b long")
+    return map_arrow(dealt, _linker(budget), "a long, b long")
 
 
 # ------------------------------------------------------------ joining the links
