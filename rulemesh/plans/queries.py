@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import cascade as K
+from ..operators import catalogue as T
 from ..operators import consistency as L
 from ..operators import dedupe as D
 from ..operators import evaluation as V
@@ -1098,3 +1099,142 @@ def segment_cube(spark, sf):
     """Engine breadth: a cube."""
     joined = t(spark, sf, "customer").join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.cube("r_name", "c_mktsegment").agg(F.count("*").alias("n"))
+
+
+# --------------------------------------------------- catalogue and its renderings
+
+
+@query("""SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1""")
+def catalogue_first(spark, sf):
+    return T.first_per_id(t(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")[0]
+
+
+@query(cte("rules", "tokens") + """, k AS (SELECT id, x.tid, x.pos FROM rules r, LATERAL (SELECT unnest(token_ids) AS tid, generate_subscripts(token_ids, 1) AS pos) x WHERE tid IN (SELECT id FROM tokens)),
+s AS (SELECT id, array_to_string(list(tid ORDER BY pos), ',') AS token_ids FROM k GROUP BY id)
+SELECT r.id, s.token_ids FROM rules r LEFT JOIN s ON r.id = s.id""")
+def catalogue_refs(spark, sf):
+    rules = derive(spark, sf, "rules").select("id", "token_ids")
+    return T.known_refs(rules, "id", "token_ids", derive(spark, sf, "tokens"), "id")[0].withColumn("token_ids", F.array_join("token_ids", ","))
+
+
+@query(cte("rules", "tokens") + "SELECT id, tid AS ref FROM (SELECT id, unnest(token_ids) AS tid FROM rules) WHERE tid NOT IN (SELECT id FROM tokens)")
+def catalogue_dangling(spark, sf):
+    return T.known_refs(derive(spark, sf, "rules").select("id", "token_ids"), "id", "token_ids", derive(spark, sf, "tokens"), "id")[1]
+
+
+@query(cte("tokens") + "SELECT id, CASE WHEN ref IN (SELECT id FROM tokens) THEN ref END AS ref FROM tokens")
+def catalogue_cleared(spark, sf):
+    tokens = derive(spark, sf, "tokens").select("id", "ref")
+    return T.known_ref(tokens, "ref", tokens.select(F.col("id").alias("known_id")), "known_id")
+
+
+def raw_rules(spark, sf):
+    rules = derive(spark, sf, "rules")
+    return rules.select(
+        "id", F.when(F.col("n") % 5 == 0, F.concat(F.lit("other."), "rule_class")).otherwise(F.concat(F.lit(" "), F.upper("rule_class"))).alias("rule_class"),
+        F.when(F.col("n") % 4 == 0, "must").when(F.col("n") % 4 == 1, "?").otherwise(F.col("hardness")).alias("hardness"),
+        F.when(F.col("n") % 13 == 0, " ").otherwise(F.col("rule_text")).alias("rule_text"), F.to_json(F.struct("token_ids")).alias("effect"),
+    )
+
+
+_RAW = cte("rules") + """, k AS (SELECT id, CASE WHEN rule_class IN ('small', 'large', 'promo') OR n % 5 = 0 THEN rule_class END AS c, rule_class, n, CASE WHEN n % 4 = 0 THEN 'hard_constraint' WHEN n % 4 = 1 THEN 'soft_guidance' ELSE hardness END AS h, token_ids FROM rules WHERE n % 13 <> 0)"""
+
+
+@query(_RAW + "SELECT id, c AS rule_class, h AS hardness, array_to_string(list_distinct(token_ids), ',') AS token_ids FROM k".replace("list_distinct(token_ids)", "CASE WHEN token_ids[1] = token_ids[2] THEN token_ids[1:1] ELSE token_ids END"))
+def rule_validation(spark, sf):
+    rules, _ = T.validated_rules(raw_rules(spark, sf), ["small", "large", "promo"], {"must": "hard_constraint"})
+    return rules.select("id", "rule_class", "hardness", F.array_join("token_ids", ",").alias("token_ids"))
+
+
+@query(_RAW + "SELECT id, 'rule_class' AS field, ' ' || upper(rule_class) AS raw FROM k WHERE c IS NULL UNION ALL SELECT id, 'hardness', '?' FROM k WHERE n % 4 = 1")
+def rule_warnings(spark, sf):
+    return T.validated_rules(raw_rules(spark, sf), ["small", "large", "promo"], {"must": "hard_constraint"})[1]
+
+
+@query(cte("rules") + "SELECT id FROM rules WHERE list_contains(section_types, 'sec_2') AND group_id = 'grp_4'")
+def template_filter(spark, sf):
+    return T.templates(derive(spark, sf, "rules").withColumnRenamed("section_types", "fills_section_types"), "sec_2", "grp_4").select("id")
+
+
+@query("SELECT event_id FROM events WHERE upper(event_type) = 'CLICK'")
+def library_filter(spark, sf):
+    return T.library(t(spark, sf, "events").withColumnRenamed("event_type", "type"), "Click").select("event_id")
+
+
+@query("""SELECT id, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags FROM (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS keyword FROM part) JOIN (VALUES ('red', 'warm'), ('hot', 'warm'), ('bolt', 'metal'), ('gear', 'metal')) w(keyword, tag) USING (keyword) GROUP BY id""")
+def inherited_tags(spark, sf):
+    words = spark.createDataFrame([("red", "warm"), ("hot", "warm"), ("bolt", "metal"), ("gear", "metal")], "keyword string, tag string")
+    found = T.inherited_tags(t(spark, sf, "part").withColumnRenamed("p_partkey", "id"), words, "p_name")
+    return found.withColumn("tags", F.array_join("tags", ","))
+
+
+@query("""SELECT o_custkey, coalesce(array_to_string(list_sort(list_distinct(list(o_orderpriority) FILTER (o_orderstatus <> 'F' AND o_orderpriority NOT IN (SELECT o_orderpriority FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderstatus = 'F')))), ','), '') AS units FROM orders o GROUP BY 1""")
+def dissent_units(spark, sf):
+    rows = t(spark, sf, "orders").withColumn("u", F.array("o_orderpriority"))
+    return T.dissent(rows, "o_custkey", "o_orderstatus", "u", "F").withColumn("units", F.array_join("units", ","))
+
+
+@query("SELECT o_orderkey, 'f_' || lpad((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey))::VARCHAR, greatest(4, length((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey))::VARCHAR))::INT, '0') AS finding_id FROM orders")
+def sequential_ids(spark, sf):
+    return T.numbered(t(spark, sf, "orders"), "f", "o_orderstatus", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "finding_id")
+
+
+@query("SELECT bool_and(c_acctbal > -2000) AND (SELECT count(*) FROM orders WHERE o_totalprice < 1000) = 0 AS accepted, count(*) FILTER (NOT c_acctbal > -2000) AS failed, (SELECT count(*) FROM orders WHERE o_totalprice < 1000) AS open FROM customer")
+def acceptance_gate(spark, sf):
+    return T.acceptance(t(spark, sf, "customer").select((F.col("c_acctbal") > -2000).alias("passed")), t(spark, sf, "orders").where("o_totalprice < 1000"))
+
+
+@query("""WITH w AS (SELECT o_orderstatus, count(*)::DOUBLE AS n, count(DISTINCT o_custkey)::DOUBLE AS customers, count(*) FILTER (o_orderpriority = '1-URGENT')::DOUBLE AS urgent FROM orders GROUP BY 1)
+SELECT o_orderstatus, metric, value FROM (UNPIVOT w ON n, customers, urgent INTO NAME metric VALUE value)""")
+def metric_snapshot(spark, sf):
+    measures = {"n": F.count("*"), "customers": F.countDistinct("o_custkey"), "urgent": F.count_if(F.col("o_orderpriority") == "1-URGENT")}
+    return T.metrics(t(spark, sf, "orders"), "o_orderstatus", measures)
+
+
+@query("""SELECT conv_id, string_agg('[' || conv_id || '.' || turn || '] (' || role || ') ' || CASE WHEN role = 'user' THEN 'TARGET' ELSE 'context' END || ' ' || left(replace(text, chr(10), ' '), 30), chr(10) ORDER BY turn) AS rendered FROM conversations GROUP BY 1""")
+def batch_rendering(spark, sf):
+    rows = t(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("kind"), F.concat_ws(".", "conv_id", "turn").alias("unit_id"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 30).alias("text"))
+    return T.render_units(rows, "conv_id", "turn", F.col("kind") == "user")
+
+
+@query(cte("rules") + """
+SELECT id, id || ' | sections=' || CASE WHEN section_types IS NULL THEN 'ALL' ELSE array_to_string(section_types, ',') END || ' | hardness=' || hardness || coalesce(' | gov_severity=' || severity, '') || CASE WHEN applies_kind IS NOT NULL THEN ' | conditional' ELSE '' END
+ || ' :: ' || left(coalesce(summary, rule_text), 110) AS line FROM rules""")
+def coverage_lines(spark, sf):
+    return derive(spark, sf, "rules").select("id", T.coverage_line().alias("line"))
+
+
+@query("SELECT doc_id, floor((sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) - 1) / 120000)::BIGINT AS chunk FROM documents")
+def catalogue_chunks(spark, sf):
+    return T.chunks(t(spark, sf, "documents"), "source", "doc_id", "text").select("doc_id", "chunk")
+
+
+@query(cte("rules") + "SELECT id, left(rule_text, 200) AS evidence, CASE WHEN n % 2 = 0 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM rules WHERE n % 3 = 0")
+def specialist_reports(spark, sf):
+    rules = derive(spark, sf, "rules")
+    rows = rules.select(F.when(F.col("n") % 3 == 0, F.col("id")).otherwise(F.concat(F.lit("x"), "id")).alias("id"), F.col("rule_text").alias("evidence"), F.when(F.col("n") % 2 == 0, F.lit(0.9)).alias("confidence"))
+    return T.reports(rows, rules)[0]
+
+
+@query(cte("rules") + """SELECT id, 'a' AS shard FROM rules WHERE list_has_any(list_concat(coalesce(tags, []), [rule_class]), ['small', 'red']) UNION ALL SELECT id, 'b' FROM rules WHERE list_has_any(list_concat(coalesce(tags, []), [rule_class]), ['promo'])""")
+def class_shards(spark, sf):
+    return T.shard(derive(spark, sf, "rules"), {"a": ["small", "red"], "b": ["promo"]})
+
+
+@query("""SELECT event_id, '{"k":' || (props->>'$.k') || '}' AS found FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 2 = 1""")
+def loose_json(spark, sf):
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Sure, here:\n```json\n"), "props", F.lit("\n``` done"))).otherwise("none {at all")
+    return t(spark, sf, "events").select("event_id", T.loose_json_udf(text).alias("found"))
+
+
+@query("""SELECT o_orderkey, 'Section ' || o_orderkey || chr(10) || 'Headline: ' || o_orderstatus || chr(10) || 'Copy: ' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'Fact: x' ELSE '' END AS text FROM orders""")
+def blueprint_render(spark, sf):
+    fact = F.when(F.col("o_orderkey") % 2 == 0, F.lit("x"))
+    return t(spark, sf, "orders").select("o_orderkey", T.render_section(F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority"), fact).alias("text"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AND o_orderstatus IN ('F', 'O') THEN 'rejected' ELSE 'open' END AS resolution FROM orders""")
+def mechanical_screen(spark, sf):
+    kind = F.when(F.col("o_orderstatus") == "F", "fabrication").when(F.col("o_orderstatus") == "O", "distortion").otherwise("other")
+    findings = t(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("target"), kind.alias("kind"), F.lit("open").alias("resolution"))
+    return T.screened(findings, t(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("entity_id"))).select("o_orderkey", "resolution")

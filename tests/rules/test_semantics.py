@@ -294,3 +294,21 @@ def test_tree_round_trip(spark):
 def test_similar_pairs_have_no_self_or_mirrored_pairs(spark):
     rows = spark.createDataFrame([("b", i, w) for i, w in enumerate([["x", "y"], ["y", "x", "x"], ["z"], []])], "blk string, id int, w array<string>")
     assert [tuple(r) for r in D.similar_pairs(rows, "blk", "id", "w", 0.4).collect()] == [(0, 1, 1.0)]
+
+
+def test_loose_json_is_found_in_prose():
+    from rulemesh.operators.catalogue import loose_json
+
+    assert loose_json('Sure:\n```json\n{"b": 1, "a": [2]}\n```') == '{"a":[2],"b":1}'
+    assert loose_json('x {not json} then {"a": "}"} end') == '{"a":"}"}'
+    assert loose_json("nothing") is None and loose_json(None) is None
+
+
+def test_unknown_references_leave_null_and_are_reported(spark):
+    from rulemesh.operators import catalogue as T
+
+    rows = spark.createDataFrame([("r1", ["a", "x", "b", "a"]), ("r2", ["x"]), ("r3", None), ("r4", [])], "id string, refs array<string>")
+    targets = spark.createDataFrame([("a",), ("b",)], "key string")
+    clean, dangling = T.known_refs(rows, "id", "refs", targets, "key")
+    assert {r.id: r.refs for r in clean.collect()} == {"r1": ["a", "b", "a"], "r2": None, "r3": None, "r4": None}
+    assert sorted(map(tuple, dangling.collect())) == [("r1", "x"), ("r2", "x")]
