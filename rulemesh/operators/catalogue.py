@@ -158,7 +158,7 @@ def loose_json(text: str | None) -> str | None:
     return None
 
 
-loose_json_udf = F.udf(loose_json, T.StringType())
+loose_json_udf = F.udf(lambda text: loose_json(text), T.StringType())
 
 
 def render_section(order: Column, headline: Column, outline: Column, fact: Column) -> Column:

@@ -1,7 +1,5 @@
 """Labels, quote alignment, provenance, votes over runs, patches and the coverage ledger."""
 
-from __future__ import annotations
-
 import re
 import unicodedata
 from difflib import SequenceMatcher
