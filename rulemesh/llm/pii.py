@@ -88,12 +88,18 @@ class Surrogates:
 
     def _feistel(self, kind: str, left: Column, right: Column, low: Column, high: Column) -> Column:
         """The pair (left mod low, right mod high) permuted."""
+        def added(side: Column, other: Column, n: int, size: Column) -> Column:
+            return F.pmod(side + F.pmod(self._number(kind, str(n), other.cast("string")), size), size)
+
+        def left_round(n: int):
+            return lambda p: F.struct(added(p["l"], p["r"], n, low).alias("l"), p["r"].alias("r"))
+
+        def right_round(n: int):
+            return lambda p: F.struct(p["l"].alias("l"), added(p["r"], p["l"], n, high).alias("r"))
+
         pair = F.struct(left.alias("l"), right.alias("r"))
         for n in range(ROUNDS):
-            if n % 2:
-                pair = _let(pair, lambda p, n=n: F.struct(p["l"].alias("l"), F.pmod(p["r"] + F.pmod(self._number(kind, str(n), p["l"].cast("string")), high), high).alias("r")))
-            else:
-                pair = _let(pair, lambda p, n=n: F.struct(F.pmod(p["l"] + F.pmod(self._number(kind, str(n), p["r"].cast("string")), low), low).alias("l"), p["r"].alias("r")))
+            pair = _let(pair, right_round(n) if n % 2 else left_round(n))
         return pair
 
     def _digits(self, kind: str, digits: Column) -> Column:
