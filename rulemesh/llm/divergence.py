@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import map_arrow, read_table
+from ._spark import cut, map_arrow, read_table
 from ._text import slices, text_column
 from .stats import CLASSES, TextStats
 
@@ -149,6 +149,7 @@ def references(
     """References of the languages of ``docs`` (columns text and lang); ALL is always there."""
     chosen = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     first = map_arrow(chosen, _frequent(word_share), _COUNTS).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    first = cut(first)  # three questions are asked of it
     # languages with language_share of all words, and words that can still be common: both bounded by the shares
     sizes = first.where("kind = 'total'").select("lang", F.col("n").alias("total"))
     whole = sizes.where(F.col("lang") == ALL).agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
