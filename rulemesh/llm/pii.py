@@ -10,7 +10,9 @@ their own kind:
 * IPv4 addresses go through a permutation of the 32-bit addresses;
 * mail addresses get a keyed local part and, by domain, a keyed domain with the
   old top level;
-* hexadecimal secrets get keyed digits of the same length and case;
+* secrets (long hexadecimal strings, what follows a word like ``password=``, and
+  access keys by their known beginnings) get keyed characters of the same length
+  and classes; labels and beginnings stay;
 * names after a title, or with a well-known given name, get syllable names of
   the same script (Latin, Greek, Cyrillic), given names with the same gender's
   endings; each token has one surrogate, so "Mrs Mary Poe" and "Mrs Poe" agree.
@@ -50,7 +52,13 @@ SCRIPTS = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}\p{Ll}++"
+# What secrets are introduced by, and how access keys begin.
+_LABEL = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\s?[=:]\s?[\"']?"
+_BEGINNING = r"(?:AKIA|ASIA|gh[pousr]_|sk-)"
+SECRET_HEAD = rf"^(?:{_LABEL}|{_BEGINNING})"
 _PATTERNS = (
+    rf"{_LABEL}(?=[A-Za-z+/_\-]*\d)[A-Za-z0-9+/_\-]{{8,}}+",
+    rf"{_BEGINNING}[A-Za-z0-9]{{16,}}+",
     r"(?<![\p{M}._%+\-])[\p{L}\p{M}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
     r"(?<!\+)\+1 ?\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     r"(?<!\+)\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
@@ -164,9 +172,19 @@ class Surrogates:
         pair = self._feistel("address", number[0] * 256 + number[1], number[2] * 256 + number[3], size, size)
         return _let(pair, lambda p: F.concat_ws(".", *[F.floor(x).cast("long").cast("string") for x in (p["l"] / 256, p["l"] % 256, p["r"] / 256, p["r"] % 256)]))
 
-    def secret(self, m: Column) -> Column:
-        new = F.substr(self._hex("secret", F.lower(m)), F.lit(1), F.length(m))
-        return F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
+    def secret(self, value: Column) -> Column:
+        """As many characters of the same classes; hexadecimal stays hexadecimal."""
+        stream = F.concat(*[self._hex("secret", str(n), value) for n in range(4)])
+        digit, lower, upper = (F.lit(x) for x in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+        def one(k: Column) -> Column:
+            c = F.substr(value, k, F.lit(1))
+            drawn = F.conv(F.substr(stream, F.pmod(k - 1, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            pick = lambda letters, n: F.substr(letters, F.pmod(drawn, F.lit(n)) + 1, F.lit(1))
+            return F.when(c.rlike(r"\d"), pick(digit, 10)).when(c.rlike("[a-z]"), pick(lower, 26)).when(c.rlike("[A-Z]"), pick(upper, 26)).otherwise(c)
+
+        mixed = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+        return F.when(value.rlike(r"^[0-9a-f]+$"), F.substr(F.repeat(stream, F.ceil(F.length(value) / 256).cast("int")), F.lit(1), F.length(value))).otherwise(mixed)
 
     def token(self, kind: str, script: str, gender: int, m: Column) -> Column:
         """A name token; ``gender``: 0 male, 1 female, 2 other."""
@@ -192,6 +210,12 @@ class Surrogates:
                 out = F.when(test, value) if out is None else out.when(test, value)
         return out
 
+    @staticmethod
+    def _secret_value(m: Column) -> Column:
+        """A secret without its label; hexadecimal in lower case."""
+        value = F.regexp_replace(m, SECRET_HEAD, "")
+        return F.when(value.rlike("^[0-9a-fA-F]+$"), F.lower(value)).otherwise(value)
+
     def parts(self, m: Column) -> Column:
         """The entity's parts that have surrogates: an array of (kind, real, fake, group).
 
@@ -215,12 +239,13 @@ class Surrogates:
             .otherwise(2)
         )
         names = F.when(titled, F.slice(word, 2, 2)).otherwise(word)
+        value = self._secret_value(m)
         given, family = F.get(names, F.lit(0)), F.element_at(names, -1)
         long_family = row("family", family, self.name("family", gender, family))
         return (
-            F.when(m.contains("@"), F.array(row("mail", lower, self.mail(lower)), row("domain", domain, self.domain(domain))))
+            F.when(m.rlike(rf"{SECRET_HEAD}|^[0-9a-fA-F]{{32,64}}$"), F.array(row("secret", value, self.secret(value), F.length(value).cast("string"))))
+            .when(m.contains("@"), F.array(row("mail", lower, self.mail(lower)), row("domain", domain, self.domain(domain))))
             .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), F.array(row("address", m, self.address(m))))
-            .when(m.rlike(r"^[0-9a-fA-F]{32,64}$"), F.array(row("secret", lower, self.secret(m), F.length(m).cast("string"))))
             .when(
                 m.rlike(r"^(?:[+(]|\d{3}[\-. ]\d{3}[\-. ]\d{4}$)"),
                 F.array(row("phone", national, self._digits("phone", national), F.length(national).cast("string"))),
@@ -241,9 +266,11 @@ class Surrogates:
             rest = F.substr(m, F.length(code) + 1, F.length(m))
             title = F.regexp_extract(m, rf"^(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.?\s", 0)
             gap = F.regexp_extract(m, r"(\s)\S+$", 1)
+            secret = F.regexp_replace(m, SECRET_HEAD, "")
             return (
                 F.when(kind == "mail", F.concat(fake[0], F.lit("@"), fake[1]))
-                .when(kind.isin("address", "secret"), fake[0])
+                .when(kind == "address", fake[0])
+                .when(kind == "secret", F.concat(F.regexp_extract(m, SECRET_HEAD, 0), F.when(secret.rlike("^[0-9]*[A-F][0-9A-F]*$"), F.upper(fake[0])).otherwise(fake[0])))
                 .when(kind == "phone", F.concat(code, self._refilled(rest, fake[0])))
                 .when(kind.isin("number", "card"), self._refilled(m, fake[0]))
                 .when(kind == "given", F.concat(title, fake[0], gap, fake[1]))
