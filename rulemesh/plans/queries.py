@@ -434,12 +434,14 @@ def remapped_labels(spark, sf):
     return D.remap(t(spark, sf, "labels"), "doc_id", merged, "doc_id")
 
 
-@query("""WITH d AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(substr(text, 1, 300)), '[a-z0-9#]+')) AS w FROM documents)
+@query("""WITH w AS (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '[a-z0-9#]+') AS w FROM documents),
+d AS (SELECT doc_id, source || '|' || lang || '|' || w[1] AS block, list_distinct(w) AS w FROM w)
 SELECT a.doc_id, b.doc_id AS other, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 9) AS jaccard
-FROM d a JOIN d b ON a.source = b.source AND a.doc_id < b.doc_id WHERE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.4""")
+FROM d a JOIN d b ON a.block = b.block AND a.doc_id < b.doc_id WHERE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.4""")
 def rule_dedupe_jaccard(spark, sf):
-    words = t(spark, sf, "documents").select("doc_id", "source", S.words(F.substring("text", 1, 300)).alias("w"))
-    return D.similar_pairs(words, "source", "doc_id", "w", 0.4).withColumn("jaccard", F.round("jaccard", 9))
+    words = t(spark, sf, "documents").select("doc_id", "source", "lang", S.words(F.col("text")).alias("w"))
+    blocked = words.select("doc_id", "w", F.concat("source", F.lit("|"), "lang", F.lit("|"), F.get("w", F.lit(0))).alias("block"))
+    return D.similar_pairs(blocked, "block", "doc_id", "w", 0.4).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query("""SELECT least(l_suppkey, l_linenumber) AS lo, greatest(l_suppkey, l_linenumber) AS hi, min(l_orderkey) AS o FROM lineitem GROUP BY ALL""")
@@ -460,12 +462,12 @@ def set_partition(spark, sf):
     return D.symmetric_parts(items.where("l_returnflag = 'R'"), items.where("l_returnflag = 'A'"), "k")
 
 
-@query("""WITH g AS (SELECT l_partkey AS g, count(DISTINCT l_linenumber) AS runs, bool_or(l_returnflag = 'R') AS v FROM lineitem WHERE l_orderkey % 400 = 0 GROUP BY 1),
-u AS (SELECT DISTINCT l_partkey AS g, l_suppkey AS unit FROM lineitem WHERE l_orderkey % 400 = 0)
+@query("""WITH g AS (SELECT l_orderkey AS g, count(DISTINCT l_returnflag) AS runs, bool_or(l_returnflag = 'R') AS v FROM lineitem GROUP BY 1),
+u AS (SELECT DISTINCT l_orderkey AS g, l_partkey || '-' || l_suppkey AS unit FROM lineitem)
 SELECT DISTINCT u.g FROM u JOIN g USING (g) WHERE runs < 2 AND v AND unit NOT IN (SELECT unit FROM u JOIN g USING (g) WHERE runs >= 2)""")
 def ensemble_singletons(spark, sf):
-    rows = t(spark, sf, "lineitem").where("l_orderkey % 400 = 0").select(F.col("l_partkey").alias("group"), "l_linenumber", "l_returnflag", F.col("l_suppkey").alias("unit"))
-    groups = rows.groupBy("group").agg(F.countDistinct("l_linenumber").alias("runs"), F.bool_or(F.col("l_returnflag") == "R").alias("verified"))
+    rows = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("group"), "l_returnflag", F.concat_ws("-", "l_partkey", "l_suppkey").alias("unit"))
+    groups = rows.groupBy("group").agg(F.countDistinct("l_returnflag").alias("runs"), F.bool_or(F.col("l_returnflag") == "R").alias("verified"))
     return D.admitted_singletons(groups, rows.select("group", "unit").distinct()).withColumnRenamed("group", "g")
 
 
@@ -644,9 +646,9 @@ def grep_lines(spark, sf):
     return found.withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query(cte("rules") + "SELECT id, substr(coalesce(nullif(summary, ''), rule_text), 1, 20) AS text FROM rules")
+@query(cte("rules") + "SELECT id, substr(coalesce(nullif(summary, ''), rule_text), 1, 6000) AS text FROM rules")
 def embed_text(spark, sf):
-    return derive(spark, sf, "rules").select("id", I.embed_text(F.col("summary"), F.lit(None).cast("string"), F.col("rule_text"), "intent", 20).alias("text"))
+    return derive(spark, sf, "rules").select("id", I.embed_text(F.col("summary"), F.lit(None).cast("string"), F.col("rule_text"), "intent").alias("text"))
 
 
 @query(cte("verdicts") + "SELECT rule_id, array_to_string(list_sort(list(DISTINCT run)), ',') AS found_by, max(ord) AS best, count(DISTINCT run) AS n FROM verdicts GROUP BY rule_id")
@@ -881,10 +883,10 @@ def intra_token(spark, sf):
     return L.variant_conflicts(rows)
 
 
-@query("""WITH v AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey % 5 END AS p, c_nationkey AS tr, c_mktsegment AS f FROM customer WHERE c_custkey % 5 = 0)
+@query("""WITH v AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey % 5 END AS p, c_custkey % 300 AS tr, c_mktsegment AS f FROM customer)
 SELECT a.p, a.tr, a.id AS a_id, b.id AS b_id FROM v a JOIN v b ON a.p IS NOT DISTINCT FROM b.p AND a.tr IS NOT DISTINCT FROM b.tr AND a.id < b.id AND a.f <> b.f""")
 def verbatim_clash(spark, sf):
-    rows = t(spark, sf, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey") % 5).alias("p"), F.col("c_nationkey").alias("tr"), F.col("c_mktsegment").alias("f"))
+    rows = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey") % 5).alias("p"), (F.col("c_custkey") % 300).alias("tr"), F.col("c_mktsegment").alias("f"))
     return L.verbatim_clashes(rows, "id", "p", "tr", "f")
 
 
@@ -951,19 +953,19 @@ def label_merge(spark, sf):
 
 
 @query("""WITH c AS (SELECT l_orderkey, count(*) AS claims, count(*) FILTER (l_returnflag = 'R') AS rules FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1)
-SELECT o_orderkey AS unit_id, CASE WHEN o_orderstatus = 'F' AND o_custkey % 7 = 0 THEN 'excluded' WHEN coalesce(claims, 0) = 0 THEN 'unclaimed' WHEN rules > 1 AND o_orderpriority = '1-URGENT' THEN 'over_claimed' ELSE 'covered' END AS status
+SELECT o_orderkey AS unit_id, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 400000 THEN 'excluded' WHEN coalesce(claims, 0) = 0 THEN 'unclaimed' WHEN rules > 1 AND o_orderpriority = '1-URGENT' THEN 'over_claimed' ELSE 'covered' END AS status
 FROM orders LEFT JOIN c ON o_orderkey = l_orderkey""")
 def coverage_ledger(spark, sf):
     orders = t(spark, sf, "orders")
     labelled = orders.select(F.col("o_orderkey").alias("unit_id"), F.lit(True).alias("required"), F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("normative"))).otherwise(F.array().cast("array<string>")).alias("labels"))
     claimed = t(spark, sf, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("unit_id"), F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("entity_id"), F.when(F.col("l_returnflag") == "R", "rule").otherwise("token").alias("kind"))
-    excluded = orders.where("o_orderstatus = 'F' AND o_custkey % 7 = 0").select(F.col("o_orderkey").alias("unit_id"))
+    excluded = orders.where("o_orderstatus = 'F' AND o_totalprice > 400000").select(F.col("o_orderkey").alias("unit_id"))
     return M.ledger(labelled, claimed, excluded).select("unit_id", "status")
 
 
-@query("""SELECT l_partkey AS grp, count(DISTINCT l_linenumber) AS runs, 2 * count(DISTINCT l_linenumber) > 7 AS consensus FROM lineitem WHERE l_suppkey % 10 = 0 GROUP BY 1""")
+@query("""SELECT l_partkey AS grp, count(DISTINCT l_linenumber) AS runs, 2 * count(DISTINCT l_linenumber) > 7 AS consensus FROM lineitem GROUP BY 1""")
 def ensemble_consensus(spark, sf):
-    rows = t(spark, sf, "lineitem").where("l_suppkey % 10 = 0").withColumnRenamed("l_partkey", "grp")
+    rows = t(spark, sf, "lineitem").withColumnRenamed("l_partkey", "grp")
     return M.consensus(rows, "grp", "l_linenumber", 7)
 
 
@@ -975,7 +977,7 @@ def field_votes(spark, sf):
     return M.field_votes(rows, "g", "run", ["p", "y"], "F").withColumn("agreement", F.round("agreement", 9))
 
 
-_PATCH = """p AS (SELECT o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 20 < 7),
+_PATCH = """p AS (SELECT o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS k, o_totalprice AS v FROM orders),
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM p) WHERE r = 1)"""
 
 
@@ -983,7 +985,7 @@ def patch_rows(spark, sf):
     state = t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     kind = F.col("o_orderkey") % 3
     key = F.when((kind == 0) & (F.col("o_orderkey") % 2 == 0), F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey"))
-    patches = t(spark, sf, "orders").where("o_orderkey % 20 < 7").select(F.col("o_orderkey").alias("seq"), F.when(kind == 0, "add").when(kind == 1, "update").otherwise("delete").alias("op"), key.alias("k"), F.col("o_totalprice").alias("v"))
+    patches = t(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.when(kind == 0, "add").when(kind == 1, "update").otherwise("delete").alias("op"), key.alias("k"), F.col("o_totalprice").alias("v"))
     return M.apply_patches(state, patches, "k", ["v"])
 
 
@@ -998,21 +1000,21 @@ def patch_rejects(spark, sf):
     return patch_rows(spark, sf)[1]
 
 
-@query("""WITH w AS (SELECT DISTINCT o_custkey AS k FROM orders), a AS (SELECT c_custkey + 3 AS k FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_custkey < 50)
+@query("""WITH w AS (SELECT DISTINCT o_custkey AS k FROM orders), a AS (SELECT c_custkey + 3 AS k FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
 SELECT k, 'missing' AS problem FROM w WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT DISTINCT k, 'extra' FROM a WHERE k NOT IN (SELECT k FROM w) UNION ALL SELECT k, 'duplicate' FROM a GROUP BY k HAVING count(*) > 1""")
 def contract_breaches(spark, sf):
     customers = t(spark, sf, "customer")
-    answers = customers.select((F.col("c_custkey") + 3).alias("k")).unionAll(customers.where("c_custkey < 50").select("c_custkey"))
+    answers = customers.select((F.col("c_custkey") + 3).alias("k")).unionAll(customers.where("c_mktsegment = 'BUILDING'").select("c_custkey"))
     return M.contract_breaches(answers, t(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct(), "k")
 
 
 _TRIAGE = """c AS (SELECT DISTINCT event_type AS queue, 'u' || user_id AS key FROM events WHERE value > 40), h AS (SELECT event_type AS queue, 'u' || user_id AS key, CASE WHEN event_id % 2 = 0 THEN 'done' ELSE 'waived' END AS status,
- row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id % 50 = 0)"""
+ row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS r FROM events WHERE value < 2)"""
 
 
 def triage_rows(spark, sf):
     events = t(spark, sf, "events").select(F.col("event_type").alias("queue"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), "event_id", "value")
-    history = events.where("event_id % 50 = 0").select("queue", "key", F.when(F.col("event_id") % 2 == 0, "done").otherwise("waived").alias("status"), F.col("event_id").alias("position"))
+    history = events.where("value < 2").select("queue", "key", F.when(F.col("event_id") % 2 == 0, "done").otherwise("waived").alias("status"), F.col("event_id").alias("position"))
     return M.triage(events.where("value > 40").select("queue", "key").distinct(), history)
 
 
@@ -1029,8 +1031,8 @@ def triage_new(spark, sf):
 @query()
 def greedy_clusters(spark, sf):
     """Order-dependent clustering of small groups; tests check it."""
-    rows = t(spark, sf, "lineitem").where("l_orderkey % 100 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.collect_set(F.col("l_suppkey") % 4).alias("units"))
-    return M.greedy_clusters(rows, "l_orderkey", "l_linenumber", "units")
+    rows = t(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.collect_set(F.col("l_partkey") % 20).alias("units"))
+    return M.greedy_clusters(rows, "l_suppkey", "l_linenumber", "units")
 
 
 # ------------------------------------------------------------------- tokens (N)
@@ -1191,9 +1193,9 @@ def metric_snapshot(spark, sf):
     return T.metrics(t(spark, sf, "orders"), "o_orderstatus", measures)
 
 
-@query("""SELECT conv_id, string_agg('[' || conv_id || '.' || turn || '] (' || role || ') ' || CASE WHEN role = 'user' THEN 'TARGET' ELSE 'context' END || ' ' || left(replace(text, chr(10), ' '), 30), chr(10) ORDER BY turn) AS rendered FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, string_agg('[' || conv_id || '.' || turn || '] (' || role || ') ' || CASE WHEN role = 'user' THEN 'TARGET' ELSE 'context' END || ' ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn) AS rendered FROM conversations GROUP BY 1""")
 def batch_rendering(spark, sf):
-    rows = t(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("kind"), F.concat_ws(".", "conv_id", "turn").alias("unit_id"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 30).alias("text"))
+    rows = t(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("kind"), F.concat_ws(".", "conv_id", "turn").alias("unit_id"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
     return T.render_units(rows, "conv_id", "turn", F.col("kind") == "user")
 
 
