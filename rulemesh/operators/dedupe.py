@@ -36,7 +36,10 @@ def similar_pairs(rows: DataFrame, block: str, key: str, items: str, least: floa
 
     Pairs come from shared items, never from all of a block.
     """
-    items_ = rows.select(block, key, F.explode(F.array_distinct(items)).alias("_item"), F.size(F.array_distinct(items)).alias("_n"))
+    # sizes are taken before the explosion, else once for every item
+    sets = rows.select(block, key, F.array_distinct(items).alias("_d"))
+    sized = sets.select(block, key, F.size("_d").alias("_n"), "_d")
+    items_ = sized.select(block, key, "_n", F.explode("_d").alias("_item"))
     other = items_.select(block, F.col(key).alias("other"), "_item", F.col("_n").alias("_m"))
     shared = items_.join(other, [block, "_item"]).where(F.col(key) < F.col("other"))
     counted = shared.groupBy(block, key, "other").agg(F.count("*").alias("_s"), F.first("_n").alias("_n"), F.first("_m").alias("_m"))
