@@ -6,12 +6,13 @@ root of the divergence in bits, 0 to 1). A document is rejected if a distance
 exceeds its limit, but only where the text is long enough for a histogram to
 mean something; shorter texts pass.
 
-References are exact sums over all documents. A language with less than
-``LANGUAGE_SHARE`` of all words, or none, is compared with the sum over all
-languages, so there are at most 1 / LANGUAGE_SHARE + 1 references. A word is
-common if it makes ``WORD_SHARE`` of its language's words. Finding these words
+References are exact sums over all documents of a language that has
+``LANGUAGE_WORDS`` words or more, whatever share of the corpus that is. Texts
+of other languages, or of none, have nothing to be compared with: their
+distances are null and they pass. A word is common if it makes ``WORD_SHARE``
+of its language's words. Finding these words
 takes two passes and no shuffle of the vocabulary: a word that is common in
-all the corpus makes half that share of so many slices that its counts there
+all the language makes half that share of so many slices that its counts there
 add up to half its share of the whole, and at most 2 / WORD_SHARE words can do
 so; the second pass counts just those.
 """
@@ -31,14 +32,15 @@ from ._spark import cut, map_arrow, read_table
 from ._text import slices, text_column
 from .stats import CLASSES, TextStats
 
-LANGUAGE_SHARE = 0.01
 WORD_SHARE = 0.0005
+#: From here on a common word occurs at least twice.
+LANGUAGE_WORDS = 4000
 #: Distances beyond which a text is rejected, and the characters and words from which they count.
 CLASS_LIMIT, CLASS_CHARS = 0.3, 200
 WORD_LIMIT, WORD_WORDS = 0.65, 50
 #: Base rules: fewer words, or more per cent of words in repeated windows.
 LEAST_WORDS, REPEAT_PERCENT = 20, 30
-#: The reference of all languages together; a language of this name would join it.
+#: Stands for all texts without a language; it has no reference.
 ALL = ""
 
 
@@ -101,9 +103,8 @@ def _rows(lang: str, kind: str, words: list[bytes], counts: np.ndarray) -> pa.Re
 
 
 def _by_language(s: TextStats, langs: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Language, its texts, and its count of each distinct word of the slice; all languages first."""
+    """Language, its texts, and its count of each distinct word of the slice."""
     size = len(s.words.dictionary)
-    yield ALL, np.arange(s.n), np.bincount(s.ids, minlength=size)
     for lang in sorted(set(langs) - {ALL}):
         rows = langs == lang
         yield lang, np.flatnonzero(rows), np.bincount(s.ids[rows[s.owner]], minlength=size)
@@ -144,23 +145,20 @@ def _counted(words: dict[str, pa.Array]):
 
 
 def references(
-    docs: DataFrame, language_share: float = LANGUAGE_SHARE, word_share: float = WORD_SHARE
+    docs: DataFrame, language_words: int = LANGUAGE_WORDS, word_share: float = WORD_SHARE
 ) -> dict[str, Reference]:
-    """References of the languages of ``docs`` (columns text and lang); ALL is always there."""
+    """References of the languages of ``docs`` (columns text and lang) that have ``language_words`` words."""
     chosen = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     first = map_arrow(chosen, _frequent(word_share), _COUNTS).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
-    first = cut(first)  # three questions are asked of it
-    # languages with language_share of all words, and words that can still be common: both bounded by the shares
+    first = cut(first)  # two questions are asked of it
     sizes = first.where("kind = 'total'").select("lang", F.col("n").alias("total"))
-    whole = sizes.where(F.col("lang") == ALL).agg(F.coalesce(F.max("total"), F.lit(0))).first()[0]
-    sizes = sizes.where((F.col("lang") == ALL) | (F.col("total") >= max(1.0, language_share * whole)))
+    sizes = sizes.where(F.col("total") >= max(1, language_words))
     kept = {r["lang"]: r["total"] for r in sizes.collect()}
     if not kept:
-        return {ALL: Reference(np.zeros(len(CLASSES)), pa.array([], pa.large_binary()), np.zeros(1))}
-    bound = F.create_map(*[F.lit(x) for pair in kept.items() for x in pair])
-    least = F.element_at(bound, F.col("lang")) * (word_share / 2)
-    found = first.where(F.col("lang").isin(*kept) & ((F.col("kind") == "class") | ((F.col("kind") == "word") & (F.col("n") >= least))))
-    rows = found.collect()
+        return {}
+    # words that can still be common: at most 2 / word_share a language
+    able = (F.col("kind") == "class") | ((F.col("kind") == "word") & (F.col("n") >= F.col("total") * (word_share / 2)))
+    rows = first.join(sizes, "lang").where(able).collect()
     words = {
         lang: pa.array(sorted(bytes(r["word"]) for r in rows if r["lang"] == lang and r["kind"] == "word"), pa.large_binary())
         for lang in kept
@@ -181,7 +179,8 @@ def judge(docs: DataFrame, refs: dict[str, Reference], id_col: str = "doc_id") -
     """Counts, distances and verdict of each row of ``docs`` (columns ``id_col``, text, lang).
 
     Null texts are empty; they have too few words. Null ids stay null. Repeated
-    rows stay repeated; other columns are not read.
+    rows stay repeated; other columns are not read. Texts whose language isn't
+    in ``refs`` have null distances, which reject nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +188,8 @@ def judge(docs: DataFrame, refs: dict[str, Reference], id_col: str = "doc_id") -
             for part in slices(batch):
                 s = TextStats(text_column(part))
                 langs = _languages(part)
-                langs = np.array([x if x in refs else ALL for x in langs], object)
-                by_class, by_word = np.zeros(s.n), np.zeros(s.n)
-                for lang in sorted(set(langs)):
+                by_class, by_word = np.full(s.n, np.nan), np.full(s.n, np.nan)
+                for lang in sorted(set(langs) & set(refs)):
                     rows = np.flatnonzero(langs == lang)
                     by_class[rows], by_word[rows] = refs[lang].distances(s, rows)
                 repeated = s.n_repeat_words
@@ -200,8 +198,8 @@ def judge(docs: DataFrame, refs: dict[str, Reference], id_col: str = "doc_id") -
                     (s.n_words >= WORD_WORDS) & (by_word > WORD_LIMIT)
                 )
                 columns = [s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, repeated, failed, ~failed & ~far]
-                columns += [by_class, by_word]
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns)], names=names)
+                columns = [*map(pa.array, columns), *(pa.array(x, from_pandas=True) for x in (by_class, by_word))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     kinds = ["long"] * 5 + ["boolean"] * 2 + ["double"] * 2

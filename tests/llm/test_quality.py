@@ -101,6 +101,22 @@ def test_symbol_junk_is_rejected_and_prose_kept(spark):
     assert kept == set(range(60))
 
 
+def test_a_rare_language_has_its_own_reference(spark):
+    rng = np.random.default_rng(1)
+    latin = [f"w{c}{d}" for c in "abcdefghij" for d in "klmnop"]
+    cyrillic = [f"ш{c}{d}" for c in "абвгдежзик" for d in "лмнопр"]
+    prose = [(i, " ".join(rng.choice(latin, 20_000)), "en") for i in range(50)]
+    rare = [(100 + i, " ".join(rng.choice(cyrillic, 150)), "ru") for i in range(30)]
+    junk = [(200 + i, " ".join(w + "###$$$&&&" for w in rng.choice(cyrillic, 150)), "ru") for i in range(2)]
+    alone = [(300, " ".join(rng.choice(cyrillic, 150)), "bg"), (301, " ".join(rng.choice(cyrillic, 150)), None)]
+    docs = spark.createDataFrame(prose + rare + junk + alone, "doc_id long, text string, lang string")
+    refs = D.references(docs)
+    assert set(refs) == {"en", "ru"}  # ru makes 0.5 % of all words
+    rows = {r.doc_id: r for r in D.judge(docs, refs).collect()}
+    assert {i for i, r in rows.items() if not r.kept} == {200, 201}
+    assert all(rows[i].class_distance is None and rows[i].word_distance is None for i in (300, 301))
+
+
 def test_trees_learn_and_walk_like_single_rows():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 5))
