@@ -900,12 +900,14 @@ def precedence_proposals(spark, sf):
 
 @query()
 def layout_cores(spark, sf):
-    """Contradictory layout rules by a search over small layouts."""
-    rows = [("r0", 0), ("r1", 1), ("r2", 2)]
-    rules = [(f"ctx{n % 3}", i, kind, a, b, k) for n in range(6) for i, kind, a, b, k in (
-        ("one", "at_least", "hero", None, 1 + n % 3), ("two", "at_most", "hero", None, n % 2), ("three", "requires", "hero", "footer", None), ("four", "before", "footer", "hero", None), ("five", "before", "hero", "footer", None),
-    ) if rows[n % 3][1] == n % 3 and n < 3]
-    return L.layout_cores(spark.createDataFrame(rules, "context string, id string, kind string, a string, b string, n int"))
+    """Contradictory layout rules of orders: each line is a rule, on sections of its order."""
+    number = lambda c: (F.col(c) % 5).cast("int")
+    kinds = F.array(*[F.lit(k) for k in ("at_least", "at_most", "before", "requires", "forbids")])
+    rules = t(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("context"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("id"), F.element_at(kinds, (F.col("l_quantity") % 5).cast("int") + 1).alias("kind"),
+        F.concat(F.lit("s"), number("l_partkey")).alias("a"), F.concat(F.lit("s"), number("l_suppkey")).alias("b"), (F.col("l_quantity") % 8).cast("int").alias("n"),
+    )
+    return L.layout_cores(rules)
 
 
 # --------------------------------------------------------------- extraction (M)

@@ -1,5 +1,6 @@
 """Cases that are easy to get wrong: null against empty, ties, empty tables, order, reruns."""
 
+import itertools
 import json
 import random
 import unicodedata
@@ -211,6 +212,29 @@ def test_cores_are_minimal():
     assert L.smallest_contradiction({"x": [0, 1, 2], "y": [0, 1]}, {k: constraints[k] for k in "acd"}) is None
 
 
+def test_layouts_have_twelve_slots_and_equal_all_layouts(spark):
+    rng = random.Random(5)
+    names = ["a", "b", "c"]
+    layouts = [p for k in range(5) for p in itertools.product(names, repeat=k)]
+    keeps = {
+        "at_least": lambda p, a, b, n: p.count(a) >= n,
+        "at_most": lambda p, a, b, n: p.count(a) <= n,
+        "before": lambda p, a, b, n: a not in p or b not in p or p.index(a) < p.index(b),
+        "requires": lambda p, a, b, n: a not in p or b in p,
+        "forbids": lambda p, a, b, n: a not in p or b not in p,
+    }
+    seen = set()
+    for _ in range(2000):
+        rules = [(rng.choice(list(keeps)), rng.choice(names), rng.choice(names), rng.randint(-1, 5)) for _ in range(rng.randint(1, 8))]
+        want = any(all(keeps[k](p, a, b, n) for k, a, b, n in rules) for p in layouts)
+        assert L.layout_fits(rules, 4) == want
+        seen.add(want)
+    assert seen == {True, False}
+    rows = [("five", "1", "at_least", "a", None, 5), ("twelve", "1", "at_least", "a", None, 12), ("thirteen", "1", "at_least", "a", None, 12), ("thirteen", "2", "at_least", "b", None, 1), ("shared", "1", "at_least", "a", None, 1), ("shared", "1", "at_most", "a", None, 0)]
+    rules = spark.createDataFrame(rows, "context string, id string, kind string, a string, b string, n int")
+    assert {r.context: r.core for r in L.layout_cores(rules).collect()} == {"five": None, "twelve": None, "thirteen": "1,2", "shared": "1"}
+
+
 TEXT = "# Colour\n\nUse e.g. #FFF. It must (see Fig. 2. Then) be so! \"One. Two\" J. R. Smith agreed.\n1. item\n   more\n\n\n| a | b |\n```\nx = 1\n\n```\n## Sub\nLast 1.5 line"
 
 
