@@ -1,9 +1,9 @@
 """Labels, quote alignment, provenance, votes over runs, patches and the coverage ledger."""
 
-import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,8 +92,10 @@ def folded(text: str) -> tuple[str, list[int]]:
 def align(quote: str, text: str, least: float = RATIO) -> tuple[int, int, str, float] | None:
     """(start, end, match, ratio) of a quote in a text: exact, else normalized, else the best similar window.
 
-    Windows are 0.8 to 1.2 times the quote's length and begin at words; of equal
-    ones the first and then the shortest counts.
+    Windows are 0.8 to 1.2 times the quote's length and begin at any character;
+    of equal ones the first and then the shortest counts. A window's ratio is at
+    most that of the characters it shares with the quote; windows are tried from
+    the highest bound down, and those whose bound can't win are left out.
     """
     at = text.find(quote)
     if not quote:
@@ -102,23 +104,55 @@ def align(quote: str, text: str, least: float = RATIO) -> tuple[int, int, str, f
         return at, at + len(quote), "exact", 1.0
     q, _ = folded(quote.strip())
     t, source = folded(text)
-    ends = [*source[1:], len(text)]
+    if not q or not t:
+        return None
+    # a sign that folds to several characters ends where the next sign begins
+    ends, after = [0] * len(t), len(text)
+    for k in range(len(t) - 1, -1, -1):
+        if k + 1 < len(t) and source[k + 1] > source[k]:
+            after = source[k + 1]
+        ends[k] = after
     at = t.find(q)
-    if at >= 0 and q:
+    if at >= 0:
         return source[at], ends[at + len(q) - 1], "normalized", 1.0
+    begin, stop, bound = _windows(q, t, least)
     best = None
     matcher = SequenceMatcher(autojunk=False)
     matcher.set_seq2(q)
-    stops = [m.end() for m in re.finditer(r"\S+", t)]
-    for begin in (m.start() for m in re.finditer(r"\S+", t)):
-        for stop in stops:
-            if begin + 0.8 * len(q) <= stop <= begin + 1.2 * len(q):
-                matcher.set_seq1(t[begin:stop])
-                if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least:
-                    ratio = matcher.ratio()
-                    if ratio >= least and (best is None or ratio > best[3]):
-                        best = source[begin], ends[stop - 1], "fuzzy", ratio
-    return best
+    k = 0
+    while k < len(begin):
+        b, e = int(begin[k]), int(stop[k])
+        matcher.set_seq1(t[b:e])
+        ratio = matcher.ratio()
+        k += 1
+        if ratio >= least and (best is None or (-ratio, b, e) < best):
+            best = -ratio, b, e
+            left = (bound[k:] > ratio) | ((bound[k:] == ratio) & ((begin[k:] < b) | ((begin[k:] == b) & (stop[k:] < e))))
+            begin, stop, bound = begin[k:][left], stop[k:][left], bound[k:][left]
+            k = 0
+    if best is None:
+        return None
+    return source[best[1]], ends[best[2] - 1], "fuzzy", -best[0]
+
+
+def _windows(q: str, t: str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, stop and bound of the windows of ``t`` whose bound is ``least`` or more, the highest first."""
+    signs, wanted = np.unique(np.array([ord(c) for c in q], np.int32), return_counts=True)
+    there = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
+    seen = np.zeros((len(signs), len(t) + 1), np.int32)
+    np.cumsum(there[None, :] == signs[:, None], axis=1, out=seen[:, 1:])
+    low = max(1, int(0.8 * len(q)))
+    found = []
+    for width in range(low, min(max(low, int(1.2 * len(q))), len(t)) + 1):
+        shared = np.minimum(seen[:, width:] - seen[:, :-width], wanted[:, None]).sum(0)
+        bound = 2.0 * shared / (len(q) + width)
+        begin = np.flatnonzero(bound >= least)
+        found.append((begin, begin + width, bound[begin]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    begin, stop, bound = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((stop, begin, -bound))
+    return begin[order], stop[order], bound[order]
 
 
 ALIGNED = T.StructType(

@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import unicodedata
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -268,6 +269,34 @@ def test_alignment_prefers_exact_then_normalized_then_fuzzy():
     assert M.align("nothing of the kind here", text) is None and M.align("", text) is None
 
 
+def plain_fuzzy(quote, text, least=0.92):
+    found = []
+    for width in range(max(1, int(0.8 * len(quote))), max(1, int(0.8 * len(quote)), int(1.2 * len(quote))) + 1):
+        for at in range(len(text) - width + 1):
+            ratio = SequenceMatcher(None, text[at : at + width], quote, autojunk=False).ratio()
+            if ratio >= least:
+                found.append((-ratio, at, at + width))
+    return min(found, default=None)
+
+
+def test_fuzzy_windows_begin_and_end_anywhere():
+    rng = random.Random(4)
+    for signs in ("ab", "abcdefgh ij", "天地玄黄宇宙洪荒日月盈昃"):
+        for _ in range(60):
+            text = "".join(rng.choices(signs, k=rng.randint(1, 60))).strip() or "a"
+            text = " ".join(text.split())
+            at, width = rng.randrange(len(text)), rng.randint(1, 30)
+            quote = " ".join((text[at : at + width // 2] + "x" + text[at + width // 2 : at + width]).split())
+            got, want = M.align(quote, text), plain_fuzzy(quote, text)
+            if quote in text:
+                assert got[2] == "exact"
+            else:
+                assert (got and (-got[3], got[0], got[1])) == want
+    start, end, match, _ = M.align("玄黄宇宙洪荒日月盈昃辰宿列张寒", "天地玄黄宇宙洪荒日月盈昃辰宿列張寒来暑往秋收冬藏")
+    assert (start, end, match) == (2, 17, "fuzzy")
+    assert M.align("straßex hier entlang laufen", "Die Straße hier entlang laufen")[1] == 30
+
+
 def test_aligned_columns(spark):
     rows = spark.createDataFrame([("b c", "a b c"), ("zzz", "a b c"), (None, "x"), ("x", None)], "q string, t string")
     got = [tuple(r.a) for r in rows.select(M.aligned("q", "t").alias("a")).collect()]
