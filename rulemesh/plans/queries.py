@@ -935,8 +935,12 @@ def quote_align_exact(spark, sf):
 @query()
 def fuzzy_align(spark, sf):
     """Quotes with a slip against the lines they come from."""
-    lines = U.paragraphs(t(spark, sf, "benchmark"), "item_id", "text").where("length(text) BETWEEN 30 AND 300")
-    quote = F.concat(F.substring("text", 1, 10), F.lit("x"), F.substring("text", 11, 18))
+    lines = U.paragraphs(t(spark, sf, "documents").withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", "text")
+    lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_ref", "ordinal")  # a few rows are long
+    # 28 characters from any place of the line
+    places = F.greatest(F.length("text") - 27, F.lit(1))
+    at = (F.pmod(F.xxhash64("doc_ref", "ordinal"), places) + 1).cast("int")
+    quote = F.concat(F.substr("text", at, F.lit(10)), F.lit("x"), F.substr("text", at + 10, F.lit(18)))
     return lines.withColumn("a", M.aligned(quote, F.col("text"))).select("doc_ref", "ordinal", "a.start", "a.match", F.round("a.ratio", 3).alias("ratio"))
 
 

@@ -25,6 +25,7 @@ from rulemesh.operators import retrieval as I
 from rulemesh.operators import segments as U
 from rulemesh.operators import tokens as N
 from rulemesh.operators import windows as E
+from rulemesh.plans import queries as R
 
 RULE = "id string, rule_class string, tags array<string>, section_types array<string>, content_sub_type_ids array<string>, audience string, hardness string, gov_type string, severity string, applies_kind string, content_types array<string>"
 
@@ -297,6 +298,18 @@ def test_fuzzy_windows_begin_and_end_anywhere():
     assert M.align("straßex hier entlang laufen", "Die Straße hier entlang laufen")[1] == 30
 
 
+def test_fuzzy_align_takes_every_line(spark, tmp_path):
+    rng = random.Random(6)
+    texts = ["short", "", "\n".join(["".join(rng.choices("abcdefghijkl ", k=n)).strip() or "a" for n in (3, 25, 120, 700)])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r.doc_ref, r.ordinal): r for r in R.QUERIES["fuzzy_align"](spark, str(tmp_path)).collect()}
+    assert set(rows) == {(str(i), k) for i, x in enumerate(texts) for k in range(len(x.split("\n")))}
+    for (doc, k), r in rows.items():
+        if len(texts[int(doc)].split("\n")[k]) >= 28:
+            assert r.match == "fuzzy" and r.ratio >= 0.982
+    assert rows["2", 3].start > 0
+
+
 def test_aligned_columns(spark):
     rows = spark.createDataFrame([("b c", "a b c"), ("zzz", "a b c"), (None, "x"), ("x", None)], "q string, t string")
     got = [tuple(r.a) for r in rows.select(M.aligned("q", "t").alias("a")).collect()]
