@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -258,6 +259,32 @@ def test_kinds_and_headings_of_units():
     ]
 
 
+@pytest.mark.parametrize(
+    "text, parts",
+    [
+        ("One. Two! Three? four. Five", ["One. ", "Two! ", "Three? four. ", "Five"]),
+        ("See Dr. Who etc. And no. 5. Then", ["See Dr. Who etc. And no. 5. Then"]),
+        ("J. K. Rowling wrote. A. Smith read.", ["J. K. ", "Rowling wrote. ", "A. ", "Smith read."]),
+        ('He said "No. Way. Out" now. So', ['He said "No. Way. Out" now. ', "So"]),
+        ("(A. B (C. D) E. F) G. Hi", ["(A. B (C. D) E. F) G. ", "Hi"]),
+        ("Use ``a. B`` or `c. D`. Done", ["Use ``a. B`` or `c. D`. ", "Done"]),
+        ("It's 3.5 m. The dog's 'own. Bed' is. Ok", ["It's 3.5 m. ", "The dog's 'own. Bed' is. ", "Ok"]),
+        ("A\\ \"x\\\" y. Z\". Next", ["A\\ \"x\\\" y. Z\". ", "Next"]),
+        ("End...   “Quoted” one", ["End...   ", "“Quoted” one"]),
+        ("", []),
+    ],
+)
+def test_sentences(text, parts):
+    assert [text[a:b] for a, b in U.sentences(text)] == parts
+
+
+def test_sentences_of_a_long_text_take_linear_time():
+    text = "The cat sat. On the (mat. Yes) it did! \"No. way\" he's ok, see Fig. 3. " * 15_000
+    began = time.perf_counter()
+    assert "".join(text[a:b] for a, b in U.sentences(text)) == text
+    assert time.perf_counter() - began < 5
+
+
 def test_alignment_prefers_exact_then_normalized_then_fuzzy():
     text = "Say “Hello  World” to all; café closed on Mondays and Tuesdays."
     assert M.align("to all", text) == (text.index("to all"), text.index("to all") + 6, "exact", 1.0)
