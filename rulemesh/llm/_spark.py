@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -21,18 +22,40 @@ def partitions(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which driver and executors share.
 
-    It comes from ``spark.checkpoint.dir``; only where neither that setting nor
-    a folder set by the caller exists (tests on one machine) is a temporary one
-    used.
+    It comes from ``spark.checkpoint.dir`` or was set by the caller. Where
+    neither is there, a session on one machine (tests) gets a temporary folder,
+    and any other raises: executors of a cluster don't share such folders.
+    Spark removes checkpoints that nothing refers to any more where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rulemesh-")
-        )
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="rulemesh-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of ``docs`` needs to clash with it."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there."""
     shared_folder(df.sparkSession)

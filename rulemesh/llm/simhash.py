@@ -14,9 +14,18 @@ component. Each task reports a spanning forest instead of all pairs, and the
 forests are joined by alternating stars over tables, none of which the driver
 collects.
 
-A key with more than ``hot`` fingerprints is dealt out anew: its fingerprints
-are put into chunks, and every pair of chunks is a task of its own, so no pair
-is lost and no task grows with the group.
+A key with more than ``hot`` fingerprints is dealt out anew by further bits,
+under which all its links meet again; what then still is too many is put into
+chunks, and every pair of chunks is a task of its own, so no pair is lost and
+no task grows with the group.
+
+``keep_one`` looks for texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. Such fingerprints differ in about 15 % of their
+bits, so 64 bits can't tell them from others and no block of bits is surely
+equal. It therefore takes 512 bits, of which ``WIDE_BUDGET`` may differ, and
+deals them out by the lowest of several hashes of the shingles (bands), under
+one of which similar texts almost surely meet; the join under a key is the same
+walk over tries.
 """
 
 from __future__ import annotations
@@ -26,10 +35,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, map_arrow, partitions, read_table
+from ._spark import cut, fresh, map_arrow, partitions, read_table
 from ._text import LOWER, slices, spaced, text_column, utf8, xxh64
 
 SHINGLE = 4
@@ -43,6 +52,12 @@ FRONTIER = 1 << 18
 #: Rows of complete keys that are joined in one go.
 CHUNK = 1 << 18
 
+#: Of ``keep_one``: words of a shingle, 64-bit words of a fingerprint, and bits that may differ. Jaccard 0.8
+#: makes 77.5 of 512 bits differ on average, 0.7 makes it 98.3, each give or take 8 or 9.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_BUDGET = 5, 8, 84
+#: Keys of a text, and lowest hashes in each: sets of similarity s share a key with the chance 1 - (1 - s^3)^8, 0.997 at 0.8.
+BANDS, BAND_ROWS = 8, 3
+
 _BLOCKS = (11, 11, 11, 11, 10, 10)
 _SPREAD = np.array([[(i >> k) & 1 for k in range(8)] for i in range(256)], np.uint8).view("<u8").ravel()
 
@@ -75,8 +90,8 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def simhash(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """Fingerprints of large strings without nulls."""
+def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each text's shingles, repeats included, and where each text's begin (n + 1 values)."""
     raw, offs = utf8(texts)
     data, starts, ends, first = spaced(LOWER[raw], offs)
     words = np.diff(first)
@@ -87,7 +102,47 @@ def simhash(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     owner = np.repeat(np.arange(len(words)), shingles)
     begin = first[:-1][owner] + (np.arange(bound[-1]) - bound[:-1][owner])
     last = begin + np.minimum(shingle, words[owner]) - 1
-    return majority(xxh64(data, starts[begin], ends[last]), bound)
+    return xxh64(data, starts[begin], ends[last]), bound
+
+
+def simhash(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """Fingerprints of large strings without nulls."""
+    return majority(*shingle_hashes(texts, shingle))
+
+
+def _stream(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of many independent hashes of hashes."""
+    x = x + np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_simhash(
+    texts: pa.Array, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, bands: int = BANDS, rows: int = BAND_ROWS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints (texts by 64-bit words) and keys (texts by bands) of the texts' sets of shingles."""
+    hashes, bound = shingle_hashes(texts, shingle)
+    n = len(texts)
+    owner = np.repeat(np.arange(n), np.diff(bound))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)  # a repeated shingle counts once
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[new], owner[new]
+    bound = np.searchsorted(owner, np.arange(n + 1))
+    prints = np.stack([majority(_stream(hashes, k), bound) for k in range(words)], 1)
+    full = np.flatnonzero(np.diff(bound))
+    keys = np.zeros((n, bands), np.uint64)
+    for band in range(bands):
+        key = np.full(n, band, np.uint64)
+        for row in range(rows):
+            low = np.zeros(n, np.uint64)
+            if len(full):
+                low[full] = np.minimum.reduceat(_stream(hashes, words + band * rows + row), bound[:-1][full])
+            key = _stream(key ^ low, row)
+        keys[:, band] = key
+    return prints, keys
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -131,7 +186,8 @@ class Trie:
     """Tries of several groups as one sorted array; ``group`` ascends, ``bits`` ascends in a group, pairs are distinct."""
 
     def __init__(self, group: np.ndarray, bits: np.ndarray, budget: int):
-        self.bits, self.budget = bits, budget
+        # texts by 64-bit words, the first word on top
+        self.bits, self.budget = bits.reshape(len(bits), -1), budget
         self.n = len(bits)
         cuts = np.flatnonzero(np.diff(group)) + 1
         self.lo = np.concatenate([[0], cuts]).astype(np.int64)
@@ -139,7 +195,7 @@ class Trie:
         self.label = np.arange(self.n)
 
     def _apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.bits[i] ^ self.bits[j])
+        return np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int32)
 
     def _near_first(self) -> None:
         """Links that cost one pass: sorted neighbours, and members within half the budget of a group's majority."""
@@ -149,9 +205,10 @@ class Trie:
         self.label = components(self.n, i, i + 1, self.label)
         for g in np.flatnonzero(self.hi - self.lo >= 64):
             lo, hi = self.lo[g], self.hi[g]
-            own = np.ascontiguousarray(self.bits[lo:hi])
-            centre = majority(own, np.array([0, hi - lo]))[0]
-            close = lo + np.flatnonzero(np.bitwise_count(own ^ centre) <= self.budget // 2)
+            own = self.bits[lo:hi]
+            centre = [majority(np.ascontiguousarray(word), np.array([0, hi - lo]))[0] for word in own.T]
+            apart = np.bitwise_count(own ^ np.array(centre, np.uint64)).sum(1, dtype=np.int32)
+            close = lo + np.flatnonzero(apart <= self.budget // 2)
             if len(close) > 1:
                 self.label = components(self.n, close[1:], np.full(len(close) - 1, close[0]), self.label)
 
@@ -161,7 +218,7 @@ class Trie:
             self._near_first()
             size = self.hi - self.lo
             lo, hi = self.lo[size > 1], self.hi[size > 1]
-            self._walk((lo, hi, lo, hi, np.zeros(len(lo), np.int8)), 63)
+            self._walk((lo, hi, lo, hi, np.zeros(len(lo), np.int16)), 0)
         return self.label
 
     def _settled(self, f: tuple) -> np.ndarray:
@@ -170,7 +227,7 @@ class Trie:
         alo, ahi, blo, bhi, _ = f
         return (change[ahi - 1] == change[alo]) & (change[bhi - 1] == change[blo]) & (self.label[alo] == self.label[blo])
 
-    def _walk(self, f: tuple, bit: int) -> None:
+    def _walk(self, f: tuple, level: int) -> None:
         while len(f[0]):
             open_ = ~self._settled(f)
             f = tuple(x[open_] for x in f)
@@ -183,18 +240,19 @@ class Trie:
                 f = tuple(x[~leaf] for x in f)
             if len(f[0]) > FRONTIER:
                 half = len(f[0]) // 2
-                self._walk(tuple(x[:half] for x in f), bit)
+                self._walk(tuple(x[:half] for x in f), level)
                 f = tuple(x[half:] for x in f)
                 continue
-            if bit < 0 or not len(f[0]):
+            if level == 64 * self.bits.shape[1] or not len(f[0]):
                 return
-            f = self._down(f, bit)
-            bit -= 1
+            f = self._down(f, level)
+            level += 1
 
-    def _down(self, f: tuple, bit: int) -> tuple:
+    def _down(self, f: tuple, level: int) -> tuple:
         alo, ahi, blo, bhi, err = f
         ones = np.zeros(self.n + 1, np.int64)
-        np.cumsum((self.bits >> np.uint64(bit)) & np.uint64(1), out=ones[1:])
+        word, bit = divmod(level, 64)
+        np.cumsum((self.bits[:, word] >> np.uint64(63 - bit)) & np.uint64(1), out=ones[1:])
         amid, bmid = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
         same = alo == blo
         kids = [
@@ -208,15 +266,30 @@ class Trie:
         return tuple(x[alive] for x in (alo, ahi, blo, bhi, err))
 
 
-def _forest(group: np.ndarray, value: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and the one that stands for their component in the group; only linked ones."""
-    bits = value.view(np.uint64) ^ np.uint64(1 << 63)  # signed order is then unsigned order
-    label = Trie(group, bits, budget).join()
-    linked = np.flatnonzero(label != np.arange(len(label)))
-    return value[linked], value[label[linked]]
+_TOP = np.uint64(1 << 63)
+
+
+def _decoded(column: pa.Array) -> np.ndarray:
+    """Fingerprints (longs, or binaries of one length) as rows of words whose order is Spark's order of the column."""
+    if not pa.types.is_binary(column.type):
+        return (column.to_numpy().view(np.uint64) ^ _TOP)[:, None]
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, ">u8", (offs[-1] - offs[0]) // 8, offs[0]).reshape(len(column), -1).astype(np.uint64)
+
+
+def _encoded(bits: np.ndarray, binary: bool) -> pa.Array:
+    if not binary:
+        return pa.array((bits[:, 0] ^ _TOP).view(np.int64))
+    width = 8 * bits.shape[1]
+    offsets = np.arange(len(bits) + 1, dtype=np.int32) * np.int32(width)
+    data = np.ascontiguousarray(bits, ">u8")
+    return pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
 
+def _linker(budget: int, binary: bool):
+    """A spanning forest of each key's links: linked fingerprints and the one that stands for their component."""
 
-def _linker(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, held = [], [], 0
 
@@ -230,13 +303,16 @@ def _linker(budget: int):
             alone[1:] &= key[1:] != key[:-1]
             alone[:-1] &= key[1:] != key[:-1]
             if not alone.all():
-                a, b = _forest(key[~alone], value[~alone], budget)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                key, value = key[~alone], value[~alone]
+                label = Trie(key, value, budget).join()
+                linked = np.flatnonzero(label != np.arange(len(label)))
+                columns = [_encoded(value[linked], binary), _encoded(value[label[linked]], binary)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
                 keys.append(batch.column(0).to_numpy())
-                values.append(batch.column(1).to_numpy())
+                values.append(_decoded(batch.column(1)))
                 held += batch.num_rows
                 if held >= CHUNK:
                     yield from take(False)
@@ -246,37 +322,56 @@ def _linker(budget: int):
     return run
 
 
-def _keyed(distinct: DataFrame) -> DataFrame:
-    """Each fingerprint under each pair of blocks: the pair's number above the bits of both."""
-    places, at = [], 0
-    for width in _BLOCKS:
-        places.append((at, width))
-        at += width
+def _bits(place: tuple[int, int]):
+    return F.shiftrightunsigned("fingerprint", place[0]).bitwiseAND(F.lit((1 << place[1]) - 1))
+
 
-    def block(place: tuple[int, int]):
-        return F.shiftrightunsigned("fingerprint", place[0]).bitwiseAND(F.lit((1 << place[1]) - 1))
+def _places() -> list[tuple[int, int]]:
+    """Lowest bit and width of each block."""
+    at = [sum(_BLOCKS[:n]) for n in range(len(_BLOCKS))]
+    return list(zip(at, _BLOCKS))
 
+
+def _keyed(distinct: DataFrame) -> DataFrame:
+    """Each fingerprint under each pair of blocks: the pair's number above the bits of both."""
     keys = [
-        F.lit(n << 40).cast("long") + F.shiftleft(block(p), 11) + block(q)
-        for n, (p, q) in enumerate(combinations(places, 2))
+        F.lit(n << 40).cast("long") + F.shiftleft(_bits(p), 11) + _bits(q)
+        for n, (p, q) in enumerate(combinations(_places(), 2))
     ]
     return distinct.select(F.explode(F.array(*keys)).alias("key"), "fingerprint")
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
-    """Rows (a, b) that join all fingerprints within ``budget`` of each other into components.
+def _rekeyed(hot: DataFrame) -> DataFrame:
+    """Rows of hot keys under seven further keys each.
 
-    ``distinct`` has each fingerprint once and is read more than once.
+    Of the eight halves of the four blocks that a key leaves open, two linked
+    fingerprints agree on four or more, hence on two of one of three groups.
     """
-    if not 0 <= budget <= 4:
-        raise ValueError("two of six blocks agree only up to a budget of four bits")
-    spark = distinct.sparkSession
-    keyed = _keyed(distinct)
+    out = None
+    for n, pair in enumerate(combinations(_places(), 2)):
+        halves = [h for at, width in _places() if (at, width) not in pair for h in ((at, width // 2), (at + width // 2, width - width // 2))]
+        groups = (halves[:3], halves[3:6], halves[6:])
+        keys = F.array(*[F.xxhash64("key", F.lit(p[0]), F.lit(q[0]), _bits(p), _bits(q)) for g in groups for p, q in combinations(g, 2)])
+        mine = F.shiftright("key", 40) == n
+        out = F.when(mine, keys) if out is None else out.when(mine, keys)
+    return hot.select(F.explode(out).alias("key"), "fingerprint")
+
+
+def _large(keyed: DataFrame, hot: int) -> tuple[DataFrame | None, int]:
+    """Keys of more than ``hot`` fingerprints with their number of chunks, if there are any; broadcast if they are few."""
     large = keyed.groupBy("key").count().where(F.col("count") > hot)
-    n_large = large.limit(HOT_BROADCAST + 1).count()
+    n = large.limit(HOT_BROADCAST + 1).count()
+    if not n:
+        return None, 0
+    large = large.select("key", F.ceil(F.col("count") / (hot // 2)).cast("int").alias("chunks"))
+    return F.broadcast(large) if n <= HOT_BROADCAST else large, n
+
+
+def join_keys(keyed: DataFrame, budget: int, hot: int = HOT) -> DataFrame:
+    """Rows (a, b) that join the fingerprints under each key of ``keyed`` (key, fingerprint) that are within ``budget``."""
+    spark = keyed.sparkSession
+    large, n_large = _large(keyed, hot)
     if n_large:
-        large = large.select("key", F.ceil(F.col("count") / (hot // 2)).cast("int").alias("chunks"))
-        large = F.broadcast(large) if n_large <= HOT_BROADCAST else large
         keyed = keyed.join(large, "key", "left")
         # chunk pairs: a fingerprint of chunk c goes to every pair that has c
         own = F.pmod(F.xxhash64("fingerprint"), F.col("chunks"))
@@ -288,7 +383,24 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
             F.explode(F.when(F.col("chunks").isNull(), F.array("key")).otherwise(pair)).alias("key"), "fingerprint"
         )
     dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key", "fingerprint")
-    return map_arrow(dealt, _linker(budget), "a long, b long")
+    kind = keyed.schema["fingerprint"].dataType.simpleString()
+    return map_arrow(dealt, _linker(budget, kind == "binary"), f"a {kind}, b {kind}")
+
+
+def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+    """Rows (a, b) that join all fingerprints within ``budget`` of each other into components.
+
+    ``distinct`` has each fingerprint, a long, once and is read more than once.
+    """
+    if not 0 <= budget <= 4:
+        raise ValueError("two of six blocks agree only up to a budget of four bits")
+    keyed = _keyed(distinct)
+    large, n_large = _large(keyed, hot)
+    if n_large:
+        cold = keyed.join(large, "key", "left_anti")
+        again = keyed.join(large.select("key"), "key", "left_semi")
+        keyed = cold.unionByName(cut(_rekeyed(again)))
+    return join_keys(keyed, budget, hot)
 
 
 # ------------------------------------------------------------ joining the links
@@ -347,15 +459,65 @@ def near_duplicates(
     return own.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id.
+def wide_fingerprints(rows: DataFrame, text_col: str, **settings) -> DataFrame:
+    """``rows`` with fingerprint (binary) and keys (array of longs) in place of ``text_col``, which comes last."""
 
-    Rows with a null id stay only if their component has no other id; of rows
-    that share the kept id, all stay if their texts share the component.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                prints, keys = wide_simhash(text_column(part, text_col), **settings)
+                offsets = np.arange(len(keys) + 1, dtype=np.int32) * np.int32(keys.shape[1])
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _encoded(prints, True), listed], names=names)
+
+    fields = [f for f in rows.schema if f.name != text_col]
+    names = [*(f.name for f in fields), "fingerprint", "keys"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "fingerprint binary", "keys array<long>"])
+    return map_arrow(rows, run, schema)
+
+
+def similar_components(own: DataFrame, budget: int = WIDE_BUDGET, hot: int = HOT) -> DataFrame:
+    """(fingerprint, root, best) of the distinct fingerprints of ``own`` (fingerprint, keys, best).
+
+    ``root`` names the component, ``best`` is the lowest of the fingerprint's rows.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    distinct = cut(own.groupBy("fingerprint").agg(F.min("keys").alias("keys"), F.min("best").alias("best")))
+    linked = join_keys(distinct.select(F.explode("keys").alias("key"), "fingerprint"), budget, hot)
+    rooted = star_components(linked)
+    return distinct.join(rooted, distinct.fingerprint == rooted.node, "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "best"
+    )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = WIDE_BUDGET, hot: int = HOT) -> DataFrame:
+    """``docs`` with one row of each component of near-duplicates: that of the smallest id, null ids last.
+
+    Texts are near-duplicates if their five-word fingerprints of 512 bits differ
+    in at most ``budget`` bits, which stands for a Jaccard similarity of 0.8 or
+    more, and if they share a key (see the module). Rows that share an id are
+    told apart by their text and other columns; of rows that are equal in all
+    columns one stays. Null and empty texts are alike; a very long text is one
+    step of its worker. Columns stay as they are, whatever their names; an empty
+    table gives an empty one.
+    """
+    names = fresh(docs, "_text_hash", "_more_hash", "_rest_hash", "_place")
+    text, place = F.col(text_col).cast("string"), names[3]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    id_text = F.col(id_col).cast("string")
+    marks = [
+        F.xxhash64(F.lit(1), id_text.isNull(), id_text, text),
+        F.xxhash64(F.lit(2), text, id_text.isNull(), id_text),
+        F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long"),
+    ]
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *[m.alias(n) for m, n in zip(marks, names)])
+    own = cut(wide_fingerprints(docs.select(row.alias("best"), text.alias("text")), "text"))
+    best = similar_components(own, budget, hot).groupBy("root").agg(F.min("best").alias("best"))
+    kept = best.select(*[F.col("best")[n].alias(n) for n in names[:3]])
+    marked = docs.select("*", *[m.alias(n) for m, n in zip(marks, names)]).join(kept, names[:3], "left_semi")
+    # rows that are equal in everything have been sorted together by the join
+    order = Window.partitionBy(*names[:3]).orderBy(*names[:3])
+    one = marked.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from rulemesh.llm import pii, quality
 from rulemesh.llm.stats import features
 
 from .test_layout import WORD, check_packing, plain_targets
-from .test_simhash import plain_components, plain_fingerprint
+from .test_simhash import plain_kept
 
 
 @pytest.fixture(scope="module")
@@ -44,8 +44,7 @@ def test_quality(spark, sf_dir, stages):
 
 def test_near_duplicates(stages):
     before, after = stages["simhash_near_dedup"]
-    rows = plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in before])
-    keep = {i for i, _, c in rows if i == c}
+    keep = plain_kept({r.doc_id: r.text for r in before})
     assert Counter(after) == Counter(r for r in before if r.doc_id in keep)
 
 

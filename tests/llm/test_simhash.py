@@ -134,11 +134,109 @@ def test_nulls_ties_empty_table_and_clashing_columns(spark):
     assert [(i, c) for _, i, c in got] == [(1, 1), (1, 1), (3, 1), (7, 7), (8, 7), (None, 1)]
     kept = S.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 7]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 7]
     empty = docs.limit(0)
     assert S.near_duplicates(empty).count() == 0 and S.keep_one(empty).count() == 0
 
 
+def test_one_row_stays_of_rows_that_share_ids_or_are_equal(spark):
+    x, y = "some words of a text that repeat here", "an altogether other one with its own few words"
+    rows = [(7, x, 1), (7, x, 1), (None, y, 2), (None, y, 2), (5, y, 3), (None, x, 2), (9, "third text stands alone", 4), (None, "fourth one", 5), (None, "fourth one", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int").withColumnRenamed("_kept", "_text_hash")
+    docs = docs.withColumn("_place", docs.doc_id).withColumn("keys", docs.text)
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect())
+    assert got == [(False, 5, y), (False, 7, x), (False, 9, "third text stands alone"), (True, 0, "fourth one")]
+
+
+def plain_stream(x, k):
+    x = (x + (2 * k + 1) * 0x9E3779B97F4A7C15) % 2**64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_shingles(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def plain_wide(text):
+    """Fingerprint as one number, and keys."""
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in plain_shingles(text)]
+    out = 0
+    for k in range(S.WIDE_WORDS):
+        mixed = [plain_stream(h, k) for h in hashes]
+        out = out << 64 | sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed))
+    keys = []
+    for band in range(S.BANDS):
+        key = band
+        for row in range(S.BAND_ROWS):
+            low = min((plain_stream(h, S.WIDE_WORDS + band * S.BAND_ROWS + row) for h in hashes), default=0)
+            key = plain_stream(key ^ low, row)
+        keys.append(key)
+    return out, keys
+
+
+def plain_kept(texts):
+    """texts: id to text; the smallest id of each component, linked where a key is shared and few bits differ."""
+    prints = {i: plain_wide(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            (a, k), (b, m) = prints[i], prints[j]
+            if (a ^ b).bit_count() <= S.WIDE_BUDGET and (a == b or any(x == y for x, y in zip(k, m))):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {find(i) for i in ids}
+
+
+def test_wide_fingerprints_equal_a_plain_version():
+    prints, keys = S.wide_simhash(pa.array([t or "" for t in TEXTS], pa.large_string()))
+    for text, words, k in zip(TEXTS, prints.tolist(), keys.tolist()):
+        want, want_keys = plain_wide(text)
+        assert int("".join(f"{w:016x}" for w in words), 16) == want and k == want_keys
+
+
+def test_keep_one_equals_brute_force_and_similar_texts_meet(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rng = np.random.default_rng(8)
+    for n, i in enumerate(sorted(texts)[:60]):  # near copies: one word in forty, so that most sets have a Jaccard similarity of 0.8
+        words = (texts[i] or "").split(" ")
+        texts[10**6 + n] = " ".join("changed" if rng.random() < 0.02 else w for w in words)
+    more = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = plain_kept(texts)
+    for hot in (S.HOT, 4):
+        assert {r.doc_id for r in S.keep_one(more, hot=hot).collect()} == want
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    alike = [(i, 10**6 + n) for n, i in enumerate(sorted(texts)[:60])]
+    alike = [(i, j) for i, j in alike if len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])]
+    assert sum(j in want for _, j in alike) <= 0.1 * len(alike)
+
+
+def test_rekeyed_fingerprints_meet_again(spark):
+    rng = np.random.default_rng(9)
+    rows, pairs = [], []
+    for _ in range(150):
+        a = int(rng.integers(0, 2**63))
+        b = a ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 5), replace=False))
+        pairs.append((a, b - 2**64 if b >= 2**63 else b))
+        rows += pairs[-1]
+    distinct = spark.createDataFrame([(x,) for x in sorted(set(rows))], "fingerprint long")
+    again = S._rekeyed(S._keyed(distinct)).groupBy("key").agg({"fingerprint": "collect_set"}).collect()
+    met = {frozenset((a, b)) for r in again for a in r[1] for b in r[1] if a != b}
+    assert all(frozenset(p) in met for p in pairs)
+
+
 def test_majority_over_many_hashes():
     rng = np.random.default_rng(5)
     hashes = rng.integers(0, 2**63, 2000, dtype=np.uint64)
