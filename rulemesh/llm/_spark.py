@@ -8,7 +8,8 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +57,50 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_marks(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Three hashes that tell rows of ``docs`` apart unless they are equal in all columns.
+
+    The first two are of id and text together, 128 bits; the third is of all else.
+    """
+    text, name = F.col(text_col).cast("string"), F.col(id_col).cast("string")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    return [
+        F.xxhash64(F.lit(1), name.isNull(), name, text),
+        F.xxhash64(F.lit(2), text, name.isNull(), name),
+        F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long"),
+    ]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def running(rows: DataFrame, order: list[str], values: list[str]) -> DataFrame:
+    """``rows`` with their ``place`` in ``order`` from 0 on, and the sums of ``values`` before them as ``before_`` and the name.
+
+    Rows are dealt out by ranges and sorted; sums of ranges, as many as there
+    are partitions, give what stands before each. Rows that tie stand in any
+    order.
+    """
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    # fixed now: later steps must see the same ranges, whatever is computed anew
+    dealt = cut(dealt.select("*", F.spark_partition_id().alias("_part"), nth.alias("_nth")))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part").agg(F.count("*").alias("_rows"), *[F.sum(v).alias(f"_sum_{v}") for v in values])
+    sums = sums.select(
+        F.col("_part"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_rows", *(f"_sum_{v}" for v in values))]
+    )
+    own = [F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_own_{v}") for v in values]
+    placed = dealt.select("*", *own).join(F.broadcast(sums), "_part")
+    return placed.select(
+        *rows.columns, (F.col("_rows") + F.col("_nth")).alias("place"), *[(F.col(f"_sum_{v}") + F.col(f"_own_{v}")).alias(f"before_{v}") for v in values]
+    )
+
+
 def release() -> None:
     """Give freed memory back; an idle Python worker otherwise keeps its peak."""
     pa.default_memory_pool().release_unused()

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, fresh, map_arrow, partitions, read_table
+from ._spark import cut, fresh, map_arrow, partitions, read_table, row_marks
 from ._text import LOWER, slices, spaced, text_column, utf8, xxh64
 
 SHINGLE = 4
@@ -502,13 +502,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     """
     names = fresh(docs, "_text_hash", "_more_hash", "_rest_hash", "_place")
     text, place = F.col(text_col).cast("string"), names[3]
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
-    id_text = F.col(id_col).cast("string")
-    marks = [
-        F.xxhash64(F.lit(1), id_text.isNull(), id_text, text),
-        F.xxhash64(F.lit(2), text, id_text.isNull(), id_text),
-        F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long"),
-    ]
+    marks = row_marks(docs, id_col, text_col)
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *[m.alias(n) for m, n in zip(marks, names)])
     own = cut(wide_fingerprints(docs.select(row.alias("best"), text.alias("text")), "text"))
     best = similar_components(own, budget, hot).groupBy("root").agg(F.min("best").alias("best"))

@@ -225,6 +225,68 @@ def test_mix_of_odd_rows(spark, odd):
     assert mixed.count() == 0 and M.taken(mixed, rows).count() == 0
 
 
+def test_mix_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = M.op10_low_discrepancy_mix(spark, sf_dir)
+    want = con.sql(M.OP10_SQL)
+    assert found.columns == want.columns
+    assert sorted(map(tuple, found.collect())) == sorted(want.fetchall())
+
+
+def test_slots_say_where_words_stand(spark, odd):
+    mixed, rows = M.mix(odd, block=16)
+    parts, by = mixed.collect(), defaultdict(list)
+    for r in parts:
+        by[r.number, r.start].append(r.slot)
+    for r in M.taken(mixed, rows).collect():
+        slots = by.get((r.number, r.start), []) if r["size"] else []
+        assert (r.n_parts, r.first_slot, r.last_slot) == (len(slots), min(slots, default=None), max(slots, default=None))
+
+
+def test_whole_documents_stand_in_the_order_of_the_schedule(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = M.whole_documents(docs, block=128).collect()
+    size = {r.doc_id: len(WORD.findall(r.text)) for r in found}
+    totals = Counter()
+    for r in found:
+        totals[r.source] += size[r.doc_id]
+    whole, seen, before = sum(totals.values()), Counter(), 0
+    for r in found:
+        seen[r.source] += size[r.doc_id]
+        before += size[r.doc_id]
+        for source, n in totals.items():
+            # at each place each source has its share, give or take a few documents
+            assert abs(seen[source] - before * n / whole) < 3000 + 3 * max(size.values()), (source, before)
+    runs = sum(a.source != b.source for a, b in zip(found, found[1:]))
+    assert runs > 0.5 * len(found)
+
+
+def test_whole_documents_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a b c d", "s", 1)] * 7 + [(1, "a b c e", "s", 2), (None, "x y z", None, 3), (None, "x y z", None, 3), (2, "", "s", 4), (3, None, "t", 5), (4, "w " * 5000, "t", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int").withColumn("_place", M.F.col("_copies"))
+    for copies in (1024, 2):
+        M.COPIES, kept = copies, M.COPIES
+        found = M.whole_documents(docs, block=3)
+        got = Counter(map(tuple, found.collect()))
+        M.COPIES = kept
+        assert found.columns == docs.columns
+        given_ = Counter((*r, r[-1]) for r in rows)
+        assert all(n <= 2 * given_[r] for r, n in got.items()) and not any(r[0] in (2, 3) for r in got)
+        assert got[(1, "a b c d", "s", 1, 1)] == 14 and got[(1, "a b c e", "s", 2, 2)] == 2 and got[(None, "x y z", None, 3, 3)] == 4
+    assert M.whole_documents(docs.limit(0)).count() == 0 and M.whole_documents(docs.where("doc_id = 2")).count() == 0
+
+
+def test_large_schedules_do_not_overflow(spark):
+    big = 4_000_000_000  # blocks: a product of two of them is more than a long holds
+    step = M.golden_step(big)
+    back = pow(step, -1, big)
+    point = spark.range(1).selectExpr(f"cast({big - 7} as decimal(19,0)) as p")
+    assert point.select(M.F.pmod(point.p * M.F.lit(back).cast("decimal(19,0)"), M.F.lit(big).cast("decimal(19,0)")).cast("long")).first()[0] == (big - 7) * back % big
+
+
 def test_slots_are_a_permutation_and_evenly_spread(spark):
     sources = spark.createDataFrame([(0, 9000.0), (1, 3000.0), (2, 0.0), (3, 1000.5)], "number int, target double")
     rows = sorted(M.schedule(sources, 10).collect())
