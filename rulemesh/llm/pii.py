@@ -3,77 +3,120 @@
 Entities found by patterns are replaced in the text by keyed surrogates of
 their own kind:
 
-* numbers (telephones, cards, accounts, social security numbers) keep their
-  separators and country codes; their digits go through a keyed Feistel
-  permutation, so different numbers stay different and one number written in
-  several ways stays one; cards also keep whether their check digit is right;
-* IPv4 addresses go through a permutation of the 32-bit addresses;
+* telephones, cards, bank accounts and social security numbers keep their
+  separators; digits go through a keyed Feistel permutation, so different
+  numbers stay different and one number written in several ways stays one.
+  Telephones keep country code and trunk zero and are known by the digits after
+  them; cards keep the two digits of their issuer, and whether their check digit
+  is right; IBANs keep country and letters and get right check digits;
+* IPv4 addresses go through a permutation of the public addresses, or of the
+  private block or loopback block that they are in;
+* dates of birth go through a permutation of the days of 1900 to 2099;
 * mail addresses get a keyed local part and, by domain, a keyed domain with the
   old top level;
-* secrets (long hexadecimal strings, what follows a word like ``password=``, and
-  access keys by their known beginnings) get keyed characters of the same length
-  and classes; labels and beginnings stay;
-* names after a title, or with a well-known given name, get syllable names of
-  the same script (Latin, Greek, Cyrillic), given names with the same gender's
-  endings; each token has one surrogate, so "Mrs Mary Poe" and "Mrs Poe" agree.
+* secrets (long hexadecimal strings, what follows a word like ``password=``,
+  signed tokens, and access keys by their known beginnings) get keyed characters
+  of the same length and classes; labels and beginnings stay;
+* persons are found by a title, a well-known given name, or a family name that
+  is written first; they have up to three names, with hyphens, apostrophes and
+  particles. Each name has one surrogate of its script (Latin, Greek, Cyrillic),
+  and what else in the text is one of its persons' names, alone, is replaced
+  alike: "Mrs Mary Jane Poe left; Poe returned" keeps no "Poe". Given names have
+  their gender's ending: that of the list of names, else that of their title,
+  else a neutral one; their stem depends on the name alone.
 
 What isn't a permutation could collide, and a permutation could map a value to
 itself. A first pass therefore collects the distinct entities of the corpus,
-counts both, and gives the kinds concerned another variant (names also one more
-syllable) until neither occurs. Only a count for each kind reaches the driver.
-The second pass rewrites each text within its row, without a shuffle.
+counts both, counts hashed surrogates that are some other real value, and gives
+the kinds concerned another variant (names also one more syllable) until none
+occurs. Only a count for each kind reaches the driver. The variants belong to
+the key: who adds documents later passes the ones chosen first, else the same
+entity may get another surrogate. The second pass rewrites each text within its
+row, without a shuffle.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, read_table
+from ._spark import cut, fresh, read_table
 
-#: For tests and examples; production passes its own, or sets spark.rulemesh.surrogateKey.
-KEY = "example key"
+#: The setting that holds the key, and what queries take without it, with a warning.
+KEY_SETTING, EXAMPLE_KEY = "spark.rulemesh.surrogateKey", "example key"
 ROUNDS = 6
 #: Variants that are tried before giving up, which would need an improbable corpus.
 TRIES = 20
 
-# Titles and well-known given names by gender.
+# Titles and well-known given names by gender, and family names that are written first.
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Don|Κύριος|Господин"
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|Κυρία|Госпожа"
 OTHER_TITLES = "Dr|Prof"
-MALE_NAMES = "James|John|Robert|Michael|William|David|Richard|Thomas|Hans|Peter|Klaus|Wolfgang|Jean|Pierre|Michel|Jacques|José|Juan|Carlos|Luis|Иван|Дмитрий|Сергей|Γιώργος|Νίκος"
-FEMALE_NAMES = "Mary|Patricia|Jennifer|Linda|Elizabeth|Susan|Sarah|Karen|Anna|Ursula|Helga|Monika|Marie|Nathalie|Isabelle|Sylvie|María|Carmen|Josefa|Ana|Ольга|Татьяна|Елена|Μαρία|Ελένη"
+MALE_NAMES = (
+    "James|John|Robert|Michael|William|David|Richard|Thomas|Charles|Joseph|Daniel|Matthew|Anthony|Steven|Paul|Andrew|Joshua|Kenneth|Kevin|Brian|George|"
+    "Edward|Ronald|Timothy|Jason|Jeffrey|Ryan|Jacob|Nicholas|Eric|Jonathan|Stephen|Hans|Peter|Klaus|Wolfgang|Jürgen|Stefan|Uwe|Heinz|Jean|Pierre|Michel|"
+    "Jacques|François|Philippe|José|Juan|Carlos|Luis|Miguel|Javier|Mohammed|Ahmed|Иван|Дмитрий|Сергей|Алексей|Владимир|Γιώργος|Νίκος|Δημήτρης"
+)
+FEMALE_NAMES = (
+    "Mary|Patricia|Jennifer|Linda|Elizabeth|Susan|Sarah|Karen|Jane|Jessica|Nancy|Margaret|Lisa|Betty|Sandra|Ashley|Kimberly|Emily|Donna|Michelle|Carol|"
+    "Amanda|Melissa|Deborah|Stephanie|Rebecca|Laura|Cynthia|Anna|Ursula|Helga|Monika|Sabine|Petra|Gisela|Ingrid|Marie|Nathalie|Isabelle|Sylvie|Françoise|"
+    "Camille|María|Carmen|Josefa|Ana|Lucía|Isabel|Fatima|Aisha|Ольга|Татьяна|Елена|Наталья|Мария|Μαρία|Ελένη|Κατερίνα"
+)
+FAMILY_FIRST = "Zhang|Wang|Li|Liu|Chen|Yang|Huang|Zhao|Wu|Zhou|Xu|Sun|Zhu|Nguyen|Tran|Kim|Park|Choi"
 # Consonants, vowels and endings (male, female, other) of surrogate names by script.
 SCRIPTS = {
     "latin": ("bdfgklmnprstvz", "aeiou", ("on", "a", "in")),
     "greek": ("βγδζκλμνπρστφχ", "αεηιο", ("ος", "α", "ι")),
     "cyrillic": ("бвгдзклмнпрстф", "аеиоу", ("ан", "а", "ин")),
 }
-
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}\p{Ll}++"
-# What secrets are introduced by, and how access keys begin.
+# Country calling codes of one and two digits; all others have three.
+CALLING_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+# What introduces a date of birth, what introduces a secret, and how access keys and tokens begin.
+BORN = r"(?i:born(?: on)?|date of birth|dob|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)[:\s]{1,3}"
 _LABEL = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\s?[=:]\s?[\"']?"
-_BEGINNING = r"(?:AKIA|ASIA|gh[pousr]_|sk-)"
+_BEGINNING = r"(?:AKIA|ASIA|gh[pousr]_|sk-|eyJ)"
+
 SECRET_HEAD = rf"^(?:{_LABEL}|{_BEGINNING})"
-_PATTERNS = (
+_TITLE = rf"(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.?\s"
+_NAME = r"(?:\p{Lu}['’])?(?:\p{Lu}[\p{Ll}\p{M}]++){1,2}+(?:-\p{Lu}?[\p{Ll}\p{M}]++|['’]\p{Lu}[\p{Ll}\p{M}]++)*+"
+_FURTHER = rf"\s(?:(?:van|von|der|den|de|del|di|da|la|le|bin|al|el)\s){{0,2}}{_NAME}"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_END = r"(?![\p{L}\p{N}])"
+_PERSONS = (
+    rf"{_TITLE}{_NAME}(?:{_FURTHER}){{0,2}}",
+    rf"(?:{MALE_NAMES}|{FEMALE_NAMES})(?:-{_NAME})?(?:{_FURTHER}){{1,2}}",
+    rf"(?:{FAMILY_FIRST})\s{_NAME}",
+)
+_OTHERS = (
+    rf"{BORN}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}})(?!\d)",
     rf"{_LABEL}(?=[A-Za-z+/_\-]*\d)[A-Za-z0-9+/_\-]{{8,}}+",
+    r"eyJ[A-Za-z0-9_\-]{6,}+\.[A-Za-z0-9_\-]{6,}+(?:\.[A-Za-z0-9_\-]{6,}+)?",
     rf"{_BEGINNING}[A-Za-z0-9]{{16,}}+",
-    r"(?<![\p{M}._%+\-])[\p{L}\p{M}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
+    r"(?<![\p{M}._%+\-])[\p{L}\p{M}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++",
     r"(?<!\+)\+1 ?\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
-    r"(?<!\+)\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
+    r"(?<!\+)(?:\+|00(?=[1-9]))\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
     r"(?<!\+)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
-    r"(?<![.\-])(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{3}-\d{2}-\d{4}|\d{3}[\-. ]\d{3}[\-. ]\d{4})(?![\p{L}\p{N}])",
-    r"[0-9a-f]{32,64}(?![\p{L}\p{N}])",
-    r"[0-9A-F]{32,64}(?![\p{L}\p{N}])",
-    r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    rf"(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.?\s{_NAME}(?:\s{_NAME})?",
-    rf"(?:{MALE_NAMES}|{FEMALE_NAMES})\s{_NAME}",
+    rf"(?<![.\-])(?:\d{{13,19}}|\d{{4}}[ \-]\d{{4}}[ \-]\d{{4}}[ \-]\d{{1,7}}|\d{{3}}-\d{{2}}-\d{{4}}|\d{{3}}[\-. ]\d{{3}}[\-. ]\d{{4}}){_END}",
+    rf"(?<![.\-])0[1-9]\d{{1,3}}[ /\-]\d{{3,4}}[ \-]?\d{{3,5}}{_END}",
+    rf"(?=[a-f]*\d)[0-9a-f]{{32,64}}{_END}",
+    rf"(?=[A-F]*\d)[0-9A-F]{{32,64}}{_END}",
+    rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
 )
-#: No entity begins within a word; testing that once is much cheaper than in each pattern.
-ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(_PATTERNS) + ")"
-KINDS = ("mail", "domain", "phone", "card", "number", "address", "secret", "given", "family")
+#: No entity begins within a word; testing that, and for persons a capital, once is much cheaper than in each pattern.
+PERSON = r"(?=\p{Lu})(?<![\p{L}\p{N}])(?:" + "|".join(_PERSONS) + ")"
+ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join((*_OTHERS, r"(?=\p{Lu})(?:" + "|".join(_PERSONS) + ")")) + ")"
+#: Without any of this a text has no entity but persons.
+TRIGGER = r"[0-9@]|gh[pousr]_|sk-|AKIA|ASIA|eyJ"
+IS_PERSON = rf"^(?:{_TITLE}\p{{Lu}}|(?:{MALE_NAMES}|{FEMALE_NAMES}|{FAMILY_FIRST})(?:-{_NAME})?\s)"
+KINDS = ("mail", "domain", "phone", "card", "number", "iban", "address", "secret", "date", "given", "family")
+#: Kinds whose surrogates are hashes; they aren't some other real value of the corpus either.
+HASHED = ("mail", "domain", "secret", "given", "family")
+#: Days that dates of birth are permuted among, as a product of two numbers, and the first of them.
+DAYS, FIRST_DAY = (17, 4297), "1900-01-01"
+DAY_PATTERNS = ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy")
 
 
 def _let(value: Column, body) -> Column:
@@ -81,10 +124,16 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _long(text: Column) -> Column:
+    return F.coalesce(F.nullif(text, F.lit("")).cast("long"), F.lit(0).cast("long"))
+
+
 class Surrogates:
     """Column expressions from an entity to its surrogate; ``variant`` has a number for each of KINDS."""
 
     def __init__(self, key: str, variant: dict[str, int]):
+        if not key:
+            raise ValueError("surrogates need a key")
         self.key, self.variant = key, variant
 
     def _hex(self, kind: str, *what: Column | str) -> Column:
@@ -111,6 +160,12 @@ class Surrogates:
             pair = _let(pair, right_round(n) if n % 2 else left_round(n))
         return pair
 
+    def _within(self, kind: str, value: Column, low: int, high: int) -> Column:
+        """A number below ``low * high`` permuted among those."""
+        size = [F.lit(n).cast("long") for n in (low, high)]
+        pair = self._feistel(kind, F.floor(value / high).cast("long"), F.pmod(value, size[1]), *size)
+        return _let(pair, lambda p: p["l"] * high + p["r"])
+
     def _digits(self, kind: str, digits: Column) -> Column:
         """As many other digits: a permutation of the strings of a length up to 34."""
         half = F.floor(F.length(digits) / 2).cast("int")
@@ -119,10 +174,7 @@ class Surrogates:
         def power(n: Column) -> Column:
             return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
-        def whole(text: Column) -> Column:
-            return F.coalesce(F.nullif(text, F.lit("")).cast("long"), F.lit(0).cast("long"))
-
-        pair = self._feistel(kind, whole(F.substr(digits, F.lit(1), half)), whole(F.substr(digits, half + 1, rest)), power(half), power(rest))
+        pair = self._feistel(kind, _long(F.substr(digits, F.lit(1), half)), _long(F.substr(digits, half + 1, rest)), power(half), power(rest))
         return _let(pair, lambda p: F.concat(
             F.when(half > 0, F.lpad(p["l"].cast("string"), half, "0")).otherwise(""), F.lpad(p["r"].cast("string"), rest, "0")
         ))
@@ -140,14 +192,15 @@ class Surrogates:
         return _let(F.aggregate(places, F.lit(0), add), lambda s: F.pmod(-s, F.lit(10)))
 
     @staticmethod
-    def _refilled(shape: Column, digits: Column) -> Column:
-        """``shape`` with its digits replaced by ``digits``, one after another."""
+    def _refilled(shape: Column, digits: Column, keep: Column | None = None) -> Column:
+        """``shape`` with its digits after the first ``keep`` replaced by ``digits``, one after another."""
         places = F.sequence(F.lit(1), F.length(shape))
+        keep = F.lit(0) if keep is None else keep
 
         def one(k: Column) -> Column:
             here = F.substr(shape, k, F.lit(1))
-            nth = F.length(F.regexp_replace(F.substr(shape, F.lit(1), k), r"\D", ""))
-            return F.when(here.rlike(r"\d"), F.substr(digits, nth, F.lit(1))).otherwise(here)
+            nth = F.length(F.regexp_replace(F.substr(shape, F.lit(1), k), r"\D", "")) - keep
+            return F.when(here.rlike(r"\d") & (nth > 0), F.substr(digits, nth, F.lit(1))).otherwise(here)
 
         return F.array_join(F.transform(places, one), "")
 
@@ -161,16 +214,51 @@ class Surrogates:
         return F.concat(F.lit("d"), F.substring(self._hex("domain", d), 1, 14), F.lit(".example"), F.when(top != "", F.concat(F.lit("."), top)).otherwise(F.lit(".org")))
 
     def card(self, digits: Column) -> Column:
-        body = F.substr(digits, F.lit(1), (F.length(digits) - 1).cast("int"))
-        last = F.substr(digits, F.length(digits), F.lit(1)).cast("int")
-        return _let(self._digits("card", body), lambda new: F.concat(new, F.pmod(self._luhn(new) + last - self._luhn(body), F.lit(10)).cast("string")))
+        body = F.substr(digits, F.lit(3), (F.length(digits) - 3).cast("int"))
+        last, issuer = F.substring(digits, -1, 1).cast("int"), F.substring(digits, 1, 2)
+        new = F.concat(issuer, self._digits("card", body))
+        return _let(new, lambda n: F.concat(n, F.pmod(self._luhn(n) + last - self._luhn(F.concat(issuer, body)), F.lit(10)).cast("string")))
+
+    def iban(self, compact: Column) -> Column:
+        account = F.substr(compact, F.lit(5), F.length(compact))
+        digits = F.regexp_replace(account, r"\D", "")
+
+        def remainder(rest: Column, k_text: Column) -> Column:
+            value = F.when(k_text.rlike(r"\d"), k_text.cast("int")).otherwise(F.ascii(k_text) - 55)
+            return F.pmod(rest * F.when(value > 9, 100).otherwise(10) + value, F.lit(97))
+
+        def whole(new: Column) -> Column:
+            signs = F.filter(F.split(F.concat(new, F.substring(compact, 1, 2), F.lit("00")), ""), lambda c: c != "")
+            check = 98 - F.aggregate(signs, F.lit(0), remainder)
+            return F.concat(F.substring(compact, 1, 2), F.lpad(check.cast("string"), 2, "0"), new)
+
+        return _let(self._refilled(account, self._digits("iban", digits)), whole)
 
     def address(self, m: Column) -> Column:
-        part = F.split(m, r"\.")
-        number = [F.element_at(part, k).cast("long") for k in (1, 2, 3, 4)]
-        size = F.lit(65536).cast("long")
-        pair = self._feistel("address", number[0] * 256 + number[1], number[2] * 256 + number[3], size, size)
-        return _let(pair, lambda p: F.concat_ws(".", *[F.floor(x).cast("long").cast("string") for x in (p["l"] / 256, p["l"] % 256, p["r"] / 256, p["r"] % 256)]))
+        part = [F.element_at(F.split(m, r"\."), k).cast("long") for k in (1, 2, 3, 4)]
+        number = ((part[0] * 256 + part[1]) * 256 + part[2]) * 256 + part[3]
+        # blocks that stay among themselves: leading bits, how many there are
+        blocks = ((10, 8), (127, 8), (0xAC1, 12), (0xC0A8, 16))
+
+        def inside(n: Column, lead: int, bits: int) -> Column:
+            return F.shiftright(n, 32 - bits) == lead
+
+        def private(n: Column) -> Column:
+            return inside(n, *blocks[0]) | inside(n, *blocks[1]) | inside(n, *blocks[2]) | inside(n, *blocks[3])
+
+        def permuted(n: Column) -> Column:
+            # a public address goes on until it is public again
+            out = self._within("address", n, 65536, 65536)
+            for _ in range(3):
+                out = _let(out, lambda x: F.when(private(x), self._within("address", x, 65536, 65536)).otherwise(x))
+            for lead, bits in blocks:
+                half = 1 << (32 - bits) // 2
+                own = F.lit(lead << 32 - bits).cast("long")
+                out = F.when(inside(n, lead, bits), own + self._within("address", n - own, half, half)).otherwise(out)
+            return out
+
+        dotted = lambda x: F.concat_ws(".", *[F.shiftright(x, s).bitwiseAND(F.lit(255).cast("long")).cast("string") for s in (24, 16, 8, 0)])
+        return _let(_let(number, permuted), dotted)
 
     def secret(self, value: Column) -> Column:
         """As many characters of the same classes; hexadecimal stays hexadecimal."""
@@ -186,29 +274,47 @@ class Surrogates:
         mixed = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
         return F.when(value.rlike(r"^[0-9a-f]+$"), F.substr(F.repeat(stream, F.ceil(F.length(value) / 256).cast("int")), F.lit(1), F.length(value))).otherwise(mixed)
 
-    def token(self, kind: str, script: str, gender: int, m: Column) -> Column:
-        """A name token; ``gender``: 0 male, 1 female, 2 other."""
-        consonants, vowels, endings = SCRIPTS[script]
+    def token(self, kind: str, script: str, m: Column) -> Column:
+        """A name's stem: syllables of its script, without capitals."""
+        consonants, vowels, _ = SCRIPTS[script]
         syllables = 4 + self.variant[kind]
         pairs = F.array(*[F.lit(c + v) for c in consonants for v in vowels])
-        digest = self._hex(kind, script, str(gender), m)
+        digest = self._hex(kind, script, m)
         parts = [
             F.element_at(pairs, (F.conv(F.substring(digest, 1 + 4 * k, 4), 16, 10).cast("int") % (len(consonants) * len(vowels)) + 1).cast("int"))
             for k in range(min(syllables, 15))
         ]
-        ending = endings[gender] if kind == "given" else ""
-        return F.initcap(F.concat(*parts, F.lit(ending)))
+        return F.concat(*parts)
 
-    def name(self, kind: str, gender: Column, m: Column) -> Column:
+    def name(self, kind: Column, m: Column, title: Column) -> Column:
+        """The surrogate of one name, of kind given or family."""
+        known = lambda names: m.rlike(rf"^(?:{names})(?:-|$)")
+        titled = lambda titles: title.rlike(rf"^(?:{titles})\b")
+        gender = (
+            F.when(known(MALE_NAMES), 0).when(known(FEMALE_NAMES), 1).when(titled(MALE_TITLES), 0).when(titled(FEMALE_TITLES), 1).otherwise(2)
+        )
         script = F.when(m.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(m.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-        genders = range(3) if kind == "given" else (2,)
-        out = None
-        for s in SCRIPTS:
-            for g in genders:
-                test = (script == s) & (gender == g) if kind == "given" else script == s
-                value = self.token(kind, s, g, m)
-                out = F.when(test, value) if out is None else out.when(test, value)
-        return out
+        out = F.lit(None).cast("string")
+        for s, (_, _, endings) in SCRIPTS.items():
+            given = F.concat(self.token("given", s, m), F.element_at(F.array(*map(F.lit, endings)), gender + 1))
+            out = F.when(script == s, F.when(kind == "given", given).otherwise(self.token("family", s, m))).otherwise(out)
+        return F.initcap(out)
+
+    def names(self, m: Column) -> Column:
+        """A person's names in order: (text, kind, fake); what stands between them has a null kind and itself as fake."""
+        title = F.regexp_extract(m, f"^{_TITLE}", 0)
+        rest = F.substr(m, F.length(title) + 1, F.length(m))
+        family_first = (title == "") & rest.rlike(rf"^(?:{FAMILY_FIRST})\s")
+
+        def one(pieces: Column):
+            def struct(x: Column, k: Column) -> Column:
+                last = F.when(family_first, k == 0).otherwise(k == F.size(pieces) - 1)
+                kind = F.when(x.rlike(r"^\p{Lu}"), F.when(last, "family").otherwise("given"))
+                return _let(kind, lambda kd: F.struct(x.alias("text"), kd.alias("kind"), F.when(kd.isNull(), x).otherwise(self.name(kd, x, title)).alias("fake")))
+
+            return F.transform(pieces, struct)
+
+        return _let(F.split(rest, r"(?<=\s)|(?=\s)"), one)
 
     @staticmethod
     def _secret_value(m: Column) -> Column:
@@ -216,6 +322,27 @@ class Surrogates:
         value = F.regexp_replace(m, SECRET_HEAD, "")
         return F.when(value.rlike("^[0-9a-fA-F]+$"), F.lower(value)).otherwise(value)
 
+    @staticmethod
+    def _national(m: Column) -> Column:
+        """A telephone's digits after country code and trunk zero."""
+        digits = F.regexp_replace(m, r"\D", "")
+        international = F.regexp_replace(F.regexp_replace(digits, "^00", ""), CALLING_CODE, "")
+        return F.regexp_replace(F.when(m.rlike(r"^(?:\+|00)"), international).otherwise(digits), "^0", "")
+
+    @staticmethod
+    def _born(m: Column) -> tuple[Column, Column, Column]:
+        """A date of birth as days since FIRST_DAY, null if there is no such day, its pattern, and what stands before it."""
+        head = F.regexp_extract(m, f"^{BORN}", 0)
+        text = F.substr(m, F.length(head) + 1, F.length(m))
+        part = F.split(text, r"\D")
+        month_first = text.contains("/") & (F.get(part, F.lit(1)).try_cast("int") > 12)
+        iso, american, slashed, dotted = DAY_PATTERNS
+        pattern = F.when(text.rlike(r"^\d{4}"), iso).when(month_first, american).when(text.contains("/"), slashed).otherwise(dotted)
+        lenient = F.regexp_replace(F.regexp_replace(pattern, "MM", "M"), "dd", "d")
+        day = F.try_to_timestamp(text, lenient).cast("date")
+        days = F.date_diff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
+        return F.when((days >= 0) & (days < DAYS[0] * DAYS[1]), days), pattern, head
+
     def parts(self, m: Column) -> Column:
         """The entity's parts that have surrogates: an array of (kind, real, fake, group).
 
@@ -226,34 +353,28 @@ class Surrogates:
             group = F.lit(group) if isinstance(group, str) else group
             return F.struct(F.lit(kind).alias("kind"), real.alias("real"), fake.alias("fake"), group.alias("group"))
 
-        digits = F.regexp_replace(m, r"\D", "")
-        # a telephone's country code stays: what stands between + and the first separator
-        national = F.regexp_replace(F.regexp_replace(m, r"^\+\d{1,3}(?=\D)", ""), r"\D", "")
-        lower = F.lower(m)
-        domain = F.substring_index(lower, "@", -1)
-        word = F.split(m, r"\s")
-        titled = m.rlike(rf"^(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.?\s")
-        gender = (
-            F.when(m.rlike(rf"^(?:{MALE_TITLES}|{MALE_NAMES})\b"), 0)
-            .when(m.rlike(rf"^(?:{FEMALE_TITLES}|{FEMALE_NAMES})\b"), 1)
-            .otherwise(2)
+        def sized(kind: str, real: Column, fake: Column) -> Column:
+            return F.array(row(kind, real, fake, F.length(real).cast("string")))
+
+        digits, lower = F.regexp_replace(m, r"\D", ""), F.lower(m)
+        domain, value, national = F.substring_index(lower, "@", -1), self._secret_value(m), self._national(m)
+        compact = F.replace(m, F.lit(" "), F.lit(""))
+        day, _, _ = self._born(m)
+        none = F.array().cast("array<struct<kind:string,real:string,fake:string,group:string>>")
+        named = F.transform(
+            F.filter(self.names(m), lambda n: n["kind"].isNotNull()),
+            lambda n: F.struct(n["kind"].alias("kind"), n["text"].alias("real"), n["fake"].alias("fake"), F.lit("").alias("group")),
         )
-        names = F.when(titled, F.slice(word, 2, 2)).otherwise(word)
-        value = self._secret_value(m)
-        given, family = F.get(names, F.lit(0)), F.element_at(names, -1)
-        long_family = row("family", family, self.name("family", gender, family))
         return (
-            F.when(m.rlike(rf"{SECRET_HEAD}|^[0-9a-fA-F]{{32,64}}$"), F.array(row("secret", value, self.secret(value), F.length(value).cast("string"))))
+            F.when(m.rlike(IS_PERSON), named)
+            .when(m.rlike(f"^{BORN}"), F.when(day.isNull(), none).otherwise(F.array(row("date", day.cast("string"), self._within("date", day, *DAYS).cast("string")))))
+            .when(m.rlike(rf"{SECRET_HEAD}|^[0-9a-fA-F]{{32,64}}$"), sized("secret", value, self.secret(value)))
             .when(m.contains("@"), F.array(row("mail", lower, self.mail(lower)), row("domain", domain, self.domain(domain))))
             .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), F.array(row("address", m, self.address(m))))
-            .when(
-                m.rlike(r"^(?:[+(]|\d{3}[\-. ]\d{3}[\-. ]\d{4}$)"),
-                F.array(row("phone", national, self._digits("phone", national), F.length(national).cast("string"))),
-            )
-            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$|^[A-Z]{2}\d{2}"), F.array(row("number", digits, self._digits("number", digits), F.length(digits).cast("string"))))
-            .when(m.rlike(r"^[\d \-]+$"), F.array(row("card", digits, self.card(digits), F.length(digits).cast("string"))))
-            .when(F.size(names) > 1, F.array(row("given", given, self.name("given", gender, given), gender.cast("string")), long_family))
-            .otherwise(F.array(long_family))
+            .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), sized("number", digits, self._digits("number", digits)))
+            .when(m.rlike(r"^(?:[+(]|00[1-9]|0[1-9]\d{1,3}[ /\-]|\d{3}[\-. ]\d{3}[\-. ]\d{4}$)"), sized("phone", national, self._digits("phone", national)))
+            .when(m.rlike(r"^[A-Z]{2}\d{2}"), sized("iban", compact, self.iban(compact)))
+            .otherwise(sized("card", digits, self.card(digits)))
         )
 
     def replaced(self, m: Column) -> Column:
@@ -262,37 +383,51 @@ class Surrogates:
         def written(p: Column) -> Column:
             fake = [F.element_at(p, k)["fake"] for k in (1, -1)]
             kind = F.element_at(p, 1)["kind"]
-            code = F.regexp_extract(m, r"^\+\d{1,3}(?=\D)", 0)
-            rest = F.substr(m, F.length(code) + 1, F.length(m))
-            title = F.regexp_extract(m, rf"^(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.?\s", 0)
-            gap = F.regexp_extract(m, r"(\s)\S+$", 1)
+            digits = F.regexp_replace(fake[0], r"\D", "")
+            kept = F.length(F.regexp_replace(m, r"\D", "")) - F.length(fake[0])
             secret = F.regexp_replace(m, SECRET_HEAD, "")
+            _, pattern, head = self._born(m)
+            new_day = F.date_add(F.lit(FIRST_DAY).cast("date"), fake[0].cast("int"))
+            dated = F.coalesce(*[F.when(pattern == p, F.date_format(new_day, p)) for p in DAY_PATTERNS])
             return (
                 F.when(kind == "mail", F.concat(fake[0], F.lit("@"), fake[1]))
                 .when(kind == "address", fake[0])
+                .when(kind == "date", F.concat(head, dated))
                 .when(kind == "secret", F.concat(F.regexp_extract(m, SECRET_HEAD, 0), F.when(secret.rlike("^[0-9]*[A-F][0-9A-F]*$"), F.upper(fake[0])).otherwise(fake[0])))
-                .when(kind == "phone", F.concat(code, self._refilled(rest, fake[0])))
-                .when(kind.isin("number", "card"), self._refilled(m, fake[0]))
-                .when(kind == "given", F.concat(title, fake[0], gap, fake[1]))
-                .otherwise(F.concat(title, fake[1]))
+                .when(kind == "phone", self._refilled(m, fake[0], kept))
+                .otherwise(self._refilled(m, digits))
             )
 
-        return _let(self.parts(m), written)
+        parts = _let(self.parts(m), lambda p: F.when(F.size(p) == 0, m).otherwise(written(p)))
+        named = F.concat(F.regexp_extract(m, f"^{_TITLE}", 0), F.array_join(F.transform(self.names(m), lambda n: n["fake"]), ""))
+        return F.when(m.rlike(IS_PERSON), named).otherwise(parts)
+
 
+def _found(text: Column) -> Column:
+    """The entities of a text in order; most texts can only have persons, which is seen cheaply."""
+    every, persons = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (ENTITY, PERSON))
+    return F.when(text.rlike(TRIGGER), every).otherwise(persons)
 
-def choose_variants(docs: DataFrame, key: str = KEY, text_col: str = "text") -> dict[str, int]:
+
+def choose_variants(docs: DataFrame, key: str, text_col: str = "text") -> dict[str, int]:
     """The first variant of each kind under which no two entities share a surrogate and none is its own.
 
     Looks at all entities of ``docs``. A frequent entity is counted before it is
-    moved, so it costs no more than a rare one.
+    moved, so it costs no more than a rare one. Of HASHED kinds no surrogate is
+    a real value of the corpus either; permutations of numbers can't avoid that.
     """
-    found = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(ENTITY), F.lit(0))).alias("m"))
-    entities = cut(found.distinct())
+    entities = cut(docs.select(F.explode(_found(F.col(text_col).cast("string"))).alias("m")).distinct())
     variant = dict.fromkeys(KINDS, 0)
     for _ in range(TRIES):
         parts = entities.select(F.explode(Surrogates(key, variant).parts(F.col("m"))).alias("p")).select("p.*").distinct()
-        shared = parts.groupBy("kind", "group", "fake").agg(F.count("*").alias("n"), F.max(F.col("real") == F.col("fake")).alias("own"))
-        bad = shared.where("n > 1 OR own").groupBy("kind").count().collect()
+        parts = cut(parts)
+        # a name may end in one way or another; its stem is what tells it apart
+        shared = parts.groupBy("kind", "group", "fake").agg(F.countDistinct("real").alias("n"), F.max(F.col("real") == F.col("fake")).alias("own"))
+        bad = shared.where("n > 1 OR own").select("kind")
+        hashed = parts.where(F.col("kind").isin(*HASHED))
+        sides = hashed.select("kind", F.col("fake").alias("v"), F.lit(1).alias("side")).union(hashed.select("kind", "real", F.lit(2)))
+        foreign = sides.groupBy("kind", "v").agg(F.countDistinct("side").alias("n")).where("n > 1").select("kind")
+        bad = bad.union(foreign).distinct().collect()
         if not bad:
             return variant
         for r in bad:
@@ -300,29 +435,60 @@ def choose_variants(docs: DataFrame, key: str = KEY, text_col: str = "text") ->
     raise ValueError(f"surrogates still collide after {TRIES} variants: {[r['kind'] for r in bad]}")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", variant: dict[str, int] | None = None, count_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", variant: dict[str, int] | None = None, count_col: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text_col``; all else, order of columns included, as it was.
 
-    ``count_col`` names a further column for the number of entities replaced.
-    A null text stays null (0 entities), an empty one empty. Repeated rows stay
-    repeated. ``variant``: as ``choose_variants`` gives it; by default it is
-    chosen over ``docs``.
+    ``count_col`` names a further column for the number of entities replaced,
+    later mentions of persons included. A null text stays null (0 entities), an
+    empty one empty. Null ids, repeated rows and other columns, whatever their
+    names, stay as they are; an empty table gives an empty one. A very long text
+    is rewritten in its row; no pattern's depth grows with it. ``variant``: as
+    ``choose_variants`` gives it; by default it is chosen over ``docs``.
     """
     made = Surrogates(key, choose_variants(docs, key, text_col) if variant is None else variant)
     text = F.col(text_col).cast("string")
-    found = "_rulemesh_entities"
-    rows = docs.withColumn(found, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
-    between = F.split(text, ENTITY, -1)
-    new = F.transform(F.col(found), made.replaced)
-    joined = _let(between, lambda b: F.array_join(F.transform(b, lambda x, k: F.concat(x, F.coalesce(F.get(new, k), F.lit("")))), ""))
-    rows = rows.withColumn(text_col, F.when(F.size(found) > 0, joined).otherwise(text))
+    (done,) = fresh(docs, "_replaced")
+
+    def rewritten(found: Column) -> Column:
+        """(text, number of entities)"""
+        persons = F.filter(found, lambda m: m.rlike(IS_PERSON))
+        named = F.filter(F.flatten(F.transform(persons, made.names)), lambda n: n["kind"].isNotNull())
+
+        def with_names(names: Column) -> Column:
+            alone = F.array_sort(F.array_distinct(F.transform(names, lambda n: n["text"])), lambda a, b: F.length(b) - F.length(a))
+            mention = F.concat(F.lit(rf"{ENTITY}|(?<![\p{{L}}\p{{N}}])(?:"), F.array_join(alone, "|"), F.lit(f"){_END}"))
+            pattern = F.when(F.size(names) > 0, mention).otherwise(ENTITY)
+            again = F.when(F.size(names) > 0, F.regexp_extract_all(text, mention, F.lit(0))).otherwise(found)
+
+            def one(m: Column) -> Column:
+                mentioned = F.filter(names, lambda n: n["text"] == m)
+                return F.when(F.size(mentioned) > 0, F.get(mentioned, F.lit(0))["fake"]).otherwise(made.replaced(m))
+
+            def joined(new: Column) -> Column:
+                put = F.transform(F.split(text, pattern, -1), lambda x, k: F.concat(x, F.coalesce(F.get(new, k), F.lit(""))))
+                return F.struct(F.array_join(put, "").alias("text"), F.size(new).alias("n"))
+
+            return _let(F.transform(again, one), joined)
+
+        whole = F.struct(text.alias("text"), F.lit(0).alias("n"))
+        return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, _let(named, with_names)).otherwise(whole)
+
+    rows = docs.withColumn(done, _let(_found(text), rewritten))
+    rows = rows.withColumn(text_col, F.col(done)["text"])
     if count_col is not None:
-        rows = rows.withColumn(count_col, F.coalesce(F.array_size(found), F.lit(0)))
-    return rows.drop(found)
+        rows = rows.withColumn(count_col, F.col(done)["n"])
+    return rows.drop(done)
+
+
+def configured_key(spark: SparkSession) -> str:
+    """The session's key; without one an example key, with a warning: who knows it can find out what surrogates stand for."""
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set; surrogates under the example key are not secret", stacklevel=2)
+    return key or EXAMPLE_KEY
 
 
 def op6_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text with surrogates, n_entities) of each document."""
+    """(doc_id, text with surrogates, n_entities) of each document; nulls, repeated rows and long texts as in ``pseudonymise``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    key = spark.conf.get("spark.rulemesh.surrogateKey", KEY)
-    return pseudonymise(docs, key, count_col="n_entities")
+    return pseudonymise(docs, configured_key(spark), count_col="n_entities")
