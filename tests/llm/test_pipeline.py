@@ -54,7 +54,7 @@ def test_surrogates(spark, stages):
     assert len(after) == len(old)
     variant = dict.fromkeys(pii.KINDS, 0)
     rows = spark.createDataFrame([(r.doc_id, r.text) for r in before], "doc_id long, text string")
-    new = {r.doc_id: r.text for r in pii.pseudonymise(rows, variant=variant).collect()}
+    new = {r.doc_id: r.text for r in pii.pseudonymise(rows, pii.EXAMPLE_KEY, variant=variant).collect()}
     for r in after:
         assert r.text == new[r.doc_id] and r.n_chars == len(r.text)
         assert (r.lang, r.source) == (old[r.doc_id].lang, old[r.doc_id].source)
