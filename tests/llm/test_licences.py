@@ -31,22 +31,20 @@ ODD = [
 ]
 
 
-def test_automaton_finds_the_longest_stretches():
+def test_automaton_finds_all_stretches_that_cannot_be_prolonged():
     rng = random.Random(1)
     for _ in range(60):
         texts = [[rng.randrange(4) for _ in range(rng.randrange(1, 14))] for _ in range(3)]
-        automaton = L.Automaton(texts)
         probe = [rng.randrange(4) for _ in range(25)]
-
-        def inside(part):
-            return {(k, e) for k, t in enumerate(texts) for e in range(len(part), len(t) + 1) if t[e - len(part) : e] == part}
-
-        got = list(automaton.matches(probe, 1))
-        longest = [max((l for l in range(e + 1) if inside(probe[e - l : e])), default=0) for e in range(len(probe) + 1)]
-        want = [(e, longest[e]) for e in range(1, len(probe) + 1) if longest[e] and (e == len(probe) or longest[e + 1] != longest[e] + 1)]
-        assert [(e, l) for e, l, _ in got] == want
-        for e, l, s in got:
-            assert automaton.ends[s] == inside(probe[e - l : e])
+        for shortest in (1, 3):
+            want = []
+            for e in range(1, len(probe) + 1):
+                for k, t in enumerate(texts):
+                    for p in range(1, len(t) + 1):
+                        length = next((l for l in range(min(e, p)) if probe[e - l - 1] != t[p - l - 1]), min(e, p))
+                        if length >= shortest and (e == len(probe) or p == len(t) or probe[e] != t[p]):
+                            want.append((e, length, k, p))
+            assert sorted(L.Automaton(texts).matches(probe, shortest)) == sorted(want)
 
 
 def test_counts_of_the_table_and_of_odd_texts(spark, sf_dir):
@@ -67,9 +65,13 @@ def labels(text):
     return found["labels"][0], float(found["score"][0])
 
 
+def template(label, n=0):
+    return [text for x, _, text in L.TEMPLATES if x == label][n]
+
+
 def test_labels_of_the_method():
     assert labels("Prose before. This work is licensed under the GNU General Public License, version 3. After.") == ("gpl-3", 1.0)
-    mit = L.TEMPLATES[1][1]
+    mit = template("mit", 2)
     assert labels("Foo bar " + mit + " baz")[0] == "mit"
     words = mit.split()
     changed = words[:20] + ["ACME", "Inc"] + words[20:50] + ["(sic)"] + words[50:]
@@ -79,9 +81,50 @@ def test_labels_of_the_method():
     assert labels(" ".join(reversed(words)))[0] == ""
 
 
+def test_deciding_words_and_rivals():
+    assert labels("Licensed under the Apache License, Version 1.1") == ("", 0.0)
+    assert labels("We released under the MIT label a record") == ("", 0.0)
+    assert labels("This work is licensed under the GNU General Public License, version 2.")[0] == "gpl-2"
+    assert labels("This work is licensed under the GNU General Public License.")[0] == "gpl"
+    assert labels("This work is licensed under the GNU General Public License, version 4.")[0] == "gpl"
+    assert labels("the GNU General Public License is a text")[0] == ""
+    for name in ("cc-by-nc", "cc-by", "cc-by-sa", "cc-by-nd", "gpl-3", "gpl-2", "lgpl-3", "lgpl-2.1", "agpl-3", "bsd-2", "bsd-3", "mpl-2", "isc", "zlib", "bsl-1", "unlicense", "cc0"):
+        n = sum(x == name for x, _, _ in L.TEMPLATES)
+        for k in range(n):
+            assert labels("Some prose. " + template(name, k) + " More prose.")[0] == name, (name, k)
+    both = "A " + template("isc") + " and then, elsewhere, " + template("mit", 2) + " " + template("mit", 3)
+    assert labels(both)[0] == "isc,mit"
+
+
+def test_spans_are_where_the_templates_stand(spark):
+    text = "one two three " + template("mit") + " x y " + template("unlicense")
+    words = WORD.findall(lowered(text))
+    row = L.scan(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(s.first, s.label, s.share) for s in row[0].spans] == [(3, "mit", 1.0), (10, "unlicense", 1.0)] and row[1].spans == []
+    assert words[row[0].spans[1].first : row[0].spans[1].end] == [w.decode() for w in L.words_of(template("unlicense"))]
+
+
+def brute_cover(text, number):
+    """Longest stretches of the template in the text, one after another: words of it that they have."""
+    words, want = L.words_of(text), L.words_of(L.TEMPLATES[number][2])
+    import difflib
+
+    return sum(m.size for m in difflib.SequenceMatcher(None, words, want, autojunk=False).get_matching_blocks() if m.size >= L.SHORTEST) / len(want)
+
+
+def test_labels_of_the_table_equal_a_plain_scan(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in L.op3_suffix_automaton_licences(spark, sf_dir).collect():
+        spaced = " ".join(WORD.findall(lowered(texts[r.doc_id])))
+        able = {x for n, (x, key, _) in enumerate(L.TEMPLATES) if f" {key} " in f" {spaced} " and brute_cover(texts[r.doc_id], n) >= L.COVER}
+        got = set(filter(None, r.labels.split(",")))
+        assert got <= able | set(filter(None, r.base_labels.split(","))) and bool(able) <= bool(got)
+
+
 def test_chain_covers_no_more_than_the_template():
-    scanner = L.Scanner([("x", "a b c d e f g h")], [], 2, 5, 0.5)
+    scanner = L.Scanner([("x", "a b", "a b c d e f g h")], [], 2, 5, 0.5)
     number = {w: i for i, w in enumerate("abcdefgh")}
-    for text, share in (("abcdefgh", 1), ("abcd-efgh", 1), ("abc---fgh", 6 / 8), ("abcabcabc", 3 / 8), ("efghabcd", 4 / 8), ("abcd--------efgh", 4 / 8), ("abcdcdefgh", 1)):
+    for text, covered in (("abcdefgh", 8), ("abcd-efgh", 8), ("abc---fgh", 6), ("abcabcabc", 3), ("abcd--------efgh", 4), ("abcdcdefgh", 8), ("efghabcd", 4)):
         symbols = np.array([number.get(c, -1) for c in text])
-        assert scanner.spans(symbols)[0][3] == share, text
+        assert scanner.spans(symbols)[0].covered == covered, text
+    assert scanner.spans(np.array([number[c] for c in "cdefgh"])) == []
