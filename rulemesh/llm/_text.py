@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one step of a kernel takes, unless one text is longer.
 SLICE_BYTES = 1 << 20
+#: Texts that one step takes.
+SLICE_ROWS = 4096
 
 _BYTES = np.arange(256, dtype=np.uint8)
 SPACE = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
@@ -27,12 +29,12 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
 
 
 def slices(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of ``batch`` with at most ``limit`` bytes of text, or one row."""
+    """Consecutive parts of ``batch`` with at most ``limit`` bytes of text and SLICE_ROWS rows, or one row."""
     column = batch.column(batch.schema.get_field_index(name))
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at, before = 0, 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        to = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(ends, before + limit, "right"))))
         yield batch.slice(at, to - at)
         at, before = to, int(ends[to - 1])
 

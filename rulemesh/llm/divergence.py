@@ -6,8 +6,9 @@ root of the divergence in bits, 0 to 1). A document is rejected if a distance
 exceeds its limit, but only where the text is long enough for a histogram to
 mean something; shorter texts pass.
 
-References are exact sums over all documents of a language that has
-``LANGUAGE_WORDS`` words or more, whatever share of the corpus that is. Texts
+References are exact sums over all documents that keep the base rules of a
+language that has ``LANGUAGE_WORDS`` words or more, whatever share of the corpus
+that is. Texts
 of other languages, or of none, have nothing to be compared with: their
 distances are null and they pass. A word is common if it makes ``WORD_SHARE``
 of its language's words. Finding these words
@@ -59,6 +60,22 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip((part(p) + part(q)) / 2, 0, 1)), 0.0)
 
 
+def sparse_distance(row: np.ndarray, column: np.ndarray, seen: np.ndarray, n: int, q: np.ndarray) -> np.ndarray:
+    """``distance`` of ``n`` rows of which only the counts above 0 are given, so that many short texts take little room."""
+    total, whole = np.bincount(row, seen, n), q.sum()
+    if whole == 0:
+        return np.zeros(n)
+    p, r = seen / total[row], (q / whole)[column]
+    m = (p + r) / 2
+    # what a row hasn't adds its share of q, so start with all of q and take off what the row has
+    part = p * np.log2(p / m) + np.where(r > 0, r * np.log2(np.where(r > 0, r, 1) / m), 0) - r
+    return np.where(total > 0, np.sqrt(np.clip((1 + np.bincount(row, part, n)) / 2, 0, 1)), 0.0)
+
+
+def base_failed(s: TextStats) -> np.ndarray:
+    return (s.n_words < LEAST_WORDS) | (100 * s.n_repeat_words > REPEAT_PERCENT * s.n_words)
+
+
 @dataclass
 class Reference:
     """Of a language: counts of CLASSES, the common words, and their counts with all other words last."""
@@ -76,9 +93,8 @@ class Reference:
         mine[rows] = True
         number = np.cumsum(mine) - 1
         chosen = mine[s.owner]
-        at = number[s.owner[chosen]] * width + place[chosen]
-        seen = np.bincount(at, minlength=len(rows) * width).reshape(len(rows), width)
-        return distance(s.classes[rows], self.classes), distance(seen, self.counts)
+        at, seen = np.unique(number[s.owner[chosen]] * width + place[chosen], return_counts=True)
+        return distance(s.classes[rows], self.classes), sparse_distance(at // width, at % width, seen, len(rows), self.counts)
 
 
 def _languages(batch: pa.RecordBatch) -> np.ndarray:
@@ -103,10 +119,11 @@ def _rows(lang: str, kind: str, words: list[bytes], counts: np.ndarray) -> pa.Re
 
 
 def _by_language(s: TextStats, langs: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Language, its texts, and its count of each distinct word of the slice."""
+    """Language, its texts that keep the base rules, and their count of each distinct word of the slice."""
     size = len(s.words.dictionary)
-    for lang in sorted(set(langs) - {ALL}):
-        rows = langs == lang
+    good = ~base_failed(s)
+    for lang in sorted(set(langs[good]) - {ALL}):
+        rows = good & (langs == lang)
         yield lang, np.flatnonzero(rows), np.bincount(s.ids[rows[s.owner]], minlength=size)
 
 
@@ -179,8 +196,10 @@ def judge(docs: DataFrame, refs: dict[str, Reference], id_col: str = "doc_id") -
     """Counts, distances and verdict of each row of ``docs`` (columns ``id_col``, text, lang).
 
     Null texts are empty; they have too few words. Null ids stay null. Repeated
-    rows stay repeated; other columns are not read. Texts whose language isn't
-    in ``refs`` have null distances, which reject nothing.
+    rows stay repeated; other columns, whatever their names, are not read; an
+    empty table gives an empty one. A distance at its limit doesn't reject. A
+    very long text is one step of its worker. Texts whose language isn't in
+    ``refs`` have null distances, which reject nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +211,7 @@ def judge(docs: DataFrame, refs: dict[str, Reference], id_col: str = "doc_id") -
                 for lang in sorted(set(langs) & set(refs)):
                     rows = np.flatnonzero(langs == lang)
                     by_class[rows], by_word[rows] = refs[lang].distances(s, rows)
-                repeated = s.n_repeat_words
-                failed = (s.n_words < LEAST_WORDS) | (100 * repeated > REPEAT_PERCENT * s.n_words)
+                repeated, failed = s.n_repeat_words, base_failed(s)
                 far = ((s.n_chars >= CLASS_CHARS) & (by_class > CLASS_LIMIT)) | (
                     (s.n_words >= WORD_WORDS) & (by_word > WORD_LIMIT)
                 )
@@ -213,5 +231,6 @@ def judge(docs: DataFrame, refs: dict[str, Reference], id_col: str = "doc_id") -
 
 
 def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``judge`` for each document; nulls, repeated rows, ties and long texts as there."""
     docs = read_table(spark, sf_dir, "documents")
     return judge(docs, references(docs))

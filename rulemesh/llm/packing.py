@@ -265,7 +265,10 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
     """(``id_col``, piece, start, length, ids_crc32, sequence_id, offset) of each piece.
 
     A null text is empty and has one token, the end. Repeated rows are packed
-    each for itself. Null ids stay null; other columns are not read.
+    each for itself. Null ids stay null; other columns, whatever their names,
+    are not read; an empty table gives an empty one. A very long text is one
+    step of its worker and many pieces. Pieces of one length are equal to the
+    plan; which takes which place goes by task and place in it.
     """
     found = cut(pieces(docs, path, capacity, id_col, text_col))
     counts = found.groupBy("part", "length").agg(F.count("*").alias("n"))
@@ -297,4 +300,5 @@ def tokenizer_path() -> str:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece; nulls, ties, repeated rows and long texts as in ``pack``."""
     return pack(read_table(spark, sf_dir, "documents"), str(tokenizer_path()))

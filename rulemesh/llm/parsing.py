@@ -192,43 +192,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (bucket, tail, id, text) by ranges of numeric ids, for reading each document with the next one.
+    """Rows (bucket, tail, id, text) by ranges of ids of any type that has an order, for reading each document with the next one.
 
     Within a bucket documents ascend by id (null first; equal ids by the text's
     hash), then comes, marked ``tail``, the next bucket's first document, after
-    the last bucket the very first. Texts are moved once. The driver sees a
-    fixed number of bounds for each shuffle partition.
+    the last bucket the very first. Ranges are of ids and hashes, so rows of one
+    much repeated id are dealt out too. Texts are moved once. The driver sees
+    the first id and hash of each range, a fixed number for each shuffle
+    partition.
     """
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    order = ["some", "id", "hash"]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    shares = [k / buckets for k in range(1, buckets)]
-    bounds = rows.agg(F.percentile_approx("id", shares, 10 * buckets)).first()[0] or []
-    bounds = sorted(set(bounds))
-    kind = docs.schema[id_col].dataType
-    bucket = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b < F.col("id"))) if bounds else F.lit(0)
-    rows = rows.select(
-        F.coalesce(bucket, F.lit(0)).alias("bucket"), F.col("id").isNotNull().alias("some"), "id", F.xxhash64("text").alias("hash"), "text"
-    )
-    lowest = rows.groupBy("bucket").agg(F.min(F.struct("some", "id", "hash")).alias("first"))
-    firsts = sorted((r["bucket"], r["first"]) for r in lowest.collect())
+    rows = docs.select(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    place = F.struct(*order)
+    ranges = rows.select(*order).repartitionByRange(4 * partitions(spark), *order).groupBy(F.spark_partition_id().alias("range"))
+    firsts = sorted((r["range"], r["first"]) for r in ranges.agg(F.min(place).alias("first")).collect())
+    firsts = [first for _, first in firsts]
     if not firsts:
-        return rows.select("bucket", F.lit(False).alias("tail"), "id", "text").limit(0)
+        return rows.select(F.lit(0).alias("bucket"), F.lit(False).alias("tail"), "id", "text").limit(0)
+    kind = docs.schema[id_col].dataType
+    as_array = F.array(*[F.struct(F.lit(f["some"]).alias("some"), F.lit(f["id"]).cast(kind).alias("id"), F.lit(f["hash"]).alias("hash")) for f in firsts])
+    bucket = F.size(F.filter(as_array, lambda f: f <= place)) - 1
+    rows = rows.withColumn("bucket", bucket)
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail"))
-    before = {b: firsts[n - 1][0] for n, (b, _) in enumerate(firsts)}
-    as_map = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    hashes = F.create_map(*[F.lit(x) for b, first in firsts for x in (b, first["hash"])])
-    known = [F.lit(x) for b, first in firsts if first["some"] for x in (b, first["id"])]
-    same_id = F.col("id") == F.element_at(F.create_map(*known), F.col("bucket")) if known else F.lit(False)
-    without = [b for b, first in firsts if not first["some"]]
-    if without:  # null comes first, so only the lowest bucket can begin with it
-        same_id = F.when(F.col("bucket") == without[0], F.col("id").isNull()).otherwise(same_id)
-    is_first = same_id & (F.col("hash") == F.element_at(hashes, F.col("bucket")))
-    also = F.struct(F.element_at(as_map, F.col("bucket")).alias("bucket"), F.lit(True).alias("tail"))
+    also = F.struct(F.pmod(F.col("bucket") - 1, F.lit(len(firsts))).alias("bucket"), F.lit(True).alias("tail"))
+    first = F.get(as_array, "bucket")
+    is_first = first["some"].eqNullSafe(F.col("some")) & first["id"].eqNullSafe(F.col("id")) & (first["hash"] == F.col("hash"))
     to = F.explode(F.when(is_first, F.array(own, also)).otherwise(F.array(own))).alias("to")
-    sent = rows.select(to, "some", "id", "hash", "text").select("to.bucket", "to.tail", "some", "id", "hash", "text")
-    dealt = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "tail", "some", "id", "hash")
+    sent = rows.select(to, *order, "text").select("to.bucket", "to.tail", *order, "text")
+    dealt = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "tail", *order)
     return dealt.select("bucket", "tail", "id", "text")
 
 
@@ -236,10 +229,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Fingerprints of each text, its edited text and their likeness, and that to the next text.
 
     The next of the last document is the first; a single document is its own
-    next. Null ids come first. Other columns are not read.
+    next. Ids may be of any type that has an order; null ids come first, rows
+    that share an id stand by their text's hash, repeated rows stay repeated.
+    Null texts are empty; a very long text is one step of its worker. Other
+    columns, whatever their names, are not read; an empty table gives an empty
+    one.
     """
 
-    def pairs(rows: list[tuple]) -> pa.RecordBatch:
+    def pairs(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
         """Results of all rows but the last, which is only a next one."""
         texts = [r[3] for r in rows]
         changed = [edited(t, u) for t, u in zip(texts, texts[1:])]
@@ -258,27 +255,28 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
+            kind = batch.column(2).type
             for part in slices(batch):
                 columns = [part.column(k).to_pylist() for k in (0, 1, 2)]
                 for row in zip(*columns, text_column(part).to_pylist()):
                     if held and held[-1][0] != row[0]:
                         if len(held) > 1:  # the last is the bucket's tail
-                            yield pairs(held)
+                            yield pairs(held, kind)
                         held = []
                     if not (held and held[-1][1]):  # equal first documents are sent on more than once
                         held.append(row)
                 # all but the last row can be done now
                 if len(held) > 1:
-                    yield pairs(held)
+                    yield pairs(held, kind)
                     held = held[-1:]
 
     rows = in_order(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[kind]
     schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return map_arrow(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def op5_locally_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``with_next`` for each document; nulls, repeated rows, ties and long texts as there."""
     return with_next(read_table(spark, sf_dir, "documents"))

@@ -69,7 +69,13 @@ def score(docs: DataFrame, model: Forest, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, model: Forest, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is ``least`` or more, with all their columns, repeated rows included."""
+    """The rows of ``docs`` whose score is ``least`` or more, with all their columns, whatever their names.
+
+    Each row is scored by its own text: null texts as empty ones, null and
+    repeated ids and repeated rows like any others; a score of just ``least``
+    stays. A very long text is one step of its worker. An empty table gives an
+    empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +88,12 @@ def keep_good(docs: DataFrame, model: Forest, least: float = 0.5, text_col: str
 
 
 def op4_boosted_tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null and empty texts, repeated ids and ties all get a row each; without labels every score is 0.5."""
+    """(doc_id, held_out, score, predicted) of each document.
+
+    Null and empty texts, null and repeated ids and ties all get a row each;
+    without labels every score is 0.5; a very long text is one step of its
+    worker. Other columns of the table are not read.
+    """
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs, read_table(spark, sf_dir, "labels"))
     return score(docs, model).select(

@@ -27,7 +27,9 @@ def shard(
     together. A document goes to the shard in which its middle byte falls, so a
     shard misses its target by less than one document on either side; with few
     or large documents some shards stay empty. ``slot`` counts from 0 within a
-    shard. A null text is empty. Other columns are not read.
+    shard. A null text is empty; a very long one may fill several shards' share,
+    which then stay empty. Other columns, whatever their names, are not read; an
+    empty table gives an empty one.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -79,6 +81,7 @@ def shard(
 
 
 def op8_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each document; nulls, ties, repeated rows and long texts as in ``shard``."""
     return shard(read_table(spark, sf_dir, "documents")).select(
         "doc_id",
         "size",

@@ -443,8 +443,8 @@ def near_duplicates(
     ``component_id`` is the smallest id that can be reached over links; rows
     with a null id take part and get their component's smallest id, null if it
     has none. Null and empty texts have fingerprint 0. Repeated rows stay
-    repeated. Other columns of ``docs`` are not read; an empty table gives an
-    empty one.
+    repeated. Other columns of ``docs``, whatever their names, are not read; an
+    empty table gives an empty one. A very long text is one step of its worker.
     """
     own = cut(fingerprints(docs, id_col, text_col, shingle).toDF("id", "fingerprint"))
     distinct = cut(own.groupBy("fingerprint").agg(F.min("id").alias("least")))
@@ -515,5 +515,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
 
 
 def op7_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each document; nulls, ties, repeated rows and long texts as in ``near_duplicates``."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -141,6 +141,25 @@ def test_nulls_ties_and_clashing_columns(spark):
     assert len(by[5]) == len(by[7]) == 2 and len({x.fingerprint for x in by[5]}) == 1
 
 
+@pytest.mark.parametrize("kind", ["string", "smallint", "decimal(12,2)", "date"])
+def test_ids_of_any_order(spark, kind):
+    rows = [(i, random_text(random.Random(i), 30 + 7 * i)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "n int, text string")
+    made = "lpad(cast(n as string), 4, '0')" if kind == "string" else "date_add(date'2020-01-01', n)" if kind == "date" else f"cast(n as {kind})"
+    docs = docs.selectExpr(f"{made} AS doc_id", "text")
+    ids = {r.text: r.doc_id for r in docs.collect()}
+    check(P.with_next(docs).collect(), [(ids[t], t) for _, t in rows])
+    assert dict(P.with_next(docs).dtypes)["doc_id"] == kind
+
+
+def test_one_id_for_all(spark):
+    texts = [random_text(random.Random(i), 40) for i in range(50)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert P.in_order(docs).where("NOT tail").select("bucket").distinct().count() > 4
+    rows = P.with_next(docs).collect()
+    assert len(rows) == 50 and len({r.edited_sha256 for r in rows}) == 50
+
+
 def test_fingerprints_alone(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(99, None)], "doc_id long, text string")
     got = {r.doc_id: (r.n_chars, r.fingerprint) for r in P.fingerprints(docs).collect()}

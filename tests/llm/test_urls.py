@@ -36,7 +36,7 @@ def plain_segments(path):
             s = re.sub(r"^[0-9a-fA-F\-]+", "{x}", s)
         if s:
             out.append(s)
-    return tuple(out[: U.DEPTH] + [U.REST] if len(out) > U.DEPTH else out)
+    return tuple(out)
 
 
 def chi(own, whole):
@@ -52,8 +52,16 @@ def chi(own, whole):
 
 def plain_templates(rows):
     """rows: (host, segments, bad or None); template and purity of each."""
-    at = [""] * len(rows)
+    at, rows_, rows = [""] * len(rows), rows, list(rows)
     for level in range(max((len(s) for _, s, _ in rows), default=0)):
+        if level >= U.SHALLOW:  # where too few labels are left, tails end
+            left = Counter()
+            for k, (host, s, bad) in enumerate(rows):
+                left[host, at[k]] += len(s) > level and bad is not None
+            for k, (host, s, bad) in enumerate(rows):
+                if len(s) > level and left[host, at[k]] < U.LEAST:
+                    rows[k] = host, s[:level], bad
+                    at[k] += "/" + U.REST
         children = defaultdict(lambda: [0] * 6)
         for k, (host, s, bad) in enumerate(rows):
             if len(s) > level:
@@ -75,6 +83,7 @@ def plain_templates(rows):
                     same = f > 1 and chi(c[3:], w[3:]) <= U.SHARES_3 and chi([c[2], c[1] - c[2]], [w[2], w[1] - w[2]]) <= U.SHARES_2
                     name = U.WILD if f > U.FAN and c[0] < U.RARE * w[0] else U.MERGED if same else name
                 at[k] += "/" + name
+    rows = rows_
     total, by_host, by_template = [0, 0], defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
     for (host, _, bad), t in zip(rows, at):
         for x in (total, by_host[host], by_template[host, t]):
@@ -134,6 +143,22 @@ def test_bad_section_is_blocked_and_similar_ones_merge(spark, site):
     assert {r.template for r in found if r.path.startswith("/wiki/")} == {"/wiki/{*}"}
 
 
+def test_sections_far_down_a_path_are_told_apart(spark):
+    pages, bad = [], {}
+    deep = "/".join("abcdefgh")
+    for k in range(200):
+        pages.append((k, f"http://deep.org/{deep}/{'bad' if k % 2 else 'good'}/{'x/' * 40}{k}"))
+        if k % 3:
+            bad[k] = k % 2
+    pages += [(1000 + k, f"http://deep.org/{deep}/other/{k}/tail-{chr(97 + k)}") for k in range(9)]
+    labelled = spark.createDataFrame(list(bad.items()), "id long, bad int")
+    found = U.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labelled).collect()
+    check(found, pages, bad)
+    assert {r.verdict for r in found if "/bad/" in r.path} == {"block"}
+    assert {r.verdict for r in found if "/bad/" not in r.path} == {"allow"}
+    assert {r.template for r in found if "/other/" in r.path} == {f"/{deep}/other/{{**}}"}
+
+
 ODD = [
     (1, None), (2, ""), (3, "no scheme/net/"), (4, "://"), (5, "HTTP://A.NET"), (6, "x://a.net?q"), (7, "x://a.net/#f"),
     (8, "x://B.Example.COM/de/1"), (9, "x://example.com/de"), (10, "x://notexample.com/de/1"), (11, "x://a://b/c"),
