@@ -185,7 +185,8 @@ def mix(
     )
     rows, sources = _placed(cut(sized), weights, share, most)
     rows = cut(rows.select("id", "size", "number", "source_size", "target", "start"))
-    return schedule(sources, block).join(_spans(rows, most, block), ["number", "block"]), rows
+    # the optimiser takes the schedule, made from a row for each source, for a small table
+    return schedule(sources, block).hint("merge").join(_spans(rows, most, block), ["number", "block"]), rows
 
 
 def taken(mixed: DataFrame, rows: DataFrame) -> DataFrame:
@@ -252,7 +253,7 @@ def whole_documents(
     each = each.withColumn("at", F.col("low") + F.col("k") * F.col("unit"))
     middle = F.floor((2 * F.col("at") + F.col("unit") - 1) / (2 * block))
     each = each.select(*marks, "number", "k", "at", middle.alias("block"))
-    slotted = each.join(schedule(sources, block, total), ["number", "block"])
+    slotted = each.join(schedule(sources, block, total).hint("merge"), ["number", "block"])
     listed = slotted.groupBy(*marks, F.floor(F.col("k") / COPIES)).agg(F.collect_list(F.struct("slot", "at", "number")).alias(copies))
     first = Window.partitionBy(*marks).orderBy(*marks)
     one = marked.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
