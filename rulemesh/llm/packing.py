@@ -11,6 +11,7 @@ length and its rank among the pieces of that length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -30,7 +31,9 @@ CAPACITY = 2048
 #: Ends each document.
 END = 0
 #: Bytes of text taken at once: more of them share their words.
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: Words that go through the whole tokenizer at once; what it gives for each is large.
+BATCH = 1024
 #: Words whose ids a Python worker keeps, twice at most.
 CACHE_WORDS = 300_000
 
@@ -45,6 +48,8 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        # a task has one core; threads of its own would each keep their memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -75,8 +80,10 @@ class WordIds:
                 if ids:
                     young[word] = ids
             out.append(ids)
-        for n, found in zip(odd, self.whole.encode_batch_fast([words[n].decode() for n in odd], add_special_tokens=False)):
-            out[n] = young[words[n]] = np.array(found.ids, "<u4").tobytes()
+        for k in range(0, len(odd), BATCH):
+            part = odd[k : k + BATCH]
+            for n, found in zip(part, self.whole.encode_batch_fast([words[n].decode() for n in part], add_special_tokens=False)):
+                out[n] = young[words[n]] = np.array(found.ids, "<u4").tobytes()
         if len(young) > CACHE_WORDS:
             self.young, self.old = {}, young
         return out
