@@ -16,9 +16,11 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +36,8 @@ END = 0
 SLICE = 1 << 20
 #: Words that go through the whole tokenizer at once; what it gives for each is large.
 BATCH = 1024
-#: Words whose ids a Python worker keeps, twice at most.
-CACHE_WORDS = 300_000
+#: Words whose ids a Python worker keeps; about 40 bytes each.
+CACHE_WORDS = 400_000
 
 
 class WordIds:
@@ -54,40 +56,60 @@ class WordIds:
 
         self.whole = Tokenizer.from_file(path)
         self.merges = self.whole.model
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        #: Words seen lately, and where the ids of each begin in ``flat`` (one more value than words).
+        self.words = pa.array([], pa.large_binary())
+        self.flat, self.begin = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        #: Slices that had each word.
+        self.uses = np.zeros(0, np.int32)
 
     def _merged(self, word: bytes) -> list[int]:
         return [t.id for t in self.merges.tokenize(word.decode("ascii"))]
 
-    def of(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word."""
-        young, old, out, odd = self.young, self.old, [], []
+    def _learn(self, words: list[bytes]) -> list[list[int]]:
+        out, odd = [], []
         for n, word in enumerate(words):
-            ids = young.get(word)
-            if ids is None:
-                ids = old.get(word)
-                if ids is None:
-                    stem = word.rstrip(b".,;:!?")
-                    if stem.isalpha():
-                        found = self._merged(stem.lower())
-                        if len(stem) < len(word):
-                            found += self._merged(word[len(stem) :])
-                        ids = np.array(found, "<u4").tobytes()
-                    else:
-                        odd.append(n)
-                        ids = b""
-                if ids:
-                    young[word] = ids
-            out.append(ids)
+            stem = word.rstrip(b".,;:!?")
+            if stem.isalpha():
+                found = self._merged(stem.lower())
+                if len(stem) < len(word):
+                    found += self._merged(word[len(stem) :])
+                out.append(found)
+            else:
+                odd.append(n)
+                out.append([])
         for k in range(0, len(odd), BATCH):
             part = odd[k : k + BATCH]
             for n, found in zip(part, self.whole.encode_batch_fast([words[n].decode() for n in part], add_special_tokens=False)):
-                out[n] = young[words[n]] = np.array(found.ids, "<u4").tobytes()
-        if len(young) > CACHE_WORDS:
-            self.young, self.old = {}, young
+                out[n] = found.ids
         return out
 
+    def _forget(self, left: int) -> None:
+        """Keep the ``left`` words that most slices had, and half their counts."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[:left])
+        sizes = np.diff(self.begin)[kept]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(self.begin[kept] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self.begin = np.concatenate([[0], ends])
+        self.words, self.uses = self.words.take(pa.array(kept)), self.uses[kept] // 2
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each word begin in them and how many they are; ``words`` are distinct."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = words.filter(pa.array(at < 0))
+        if len(new):
+            learnt = self._learn(new.to_pylist())
+            at[at < 0] = np.arange(len(self.words), len(self.words) + len(new))
+            ends = self.begin[-1] + np.cumsum(np.fromiter(map(len, learnt), np.int64, len(learnt)))
+            self.words = pa.concat_arrays([self.words, new])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(learnt), "<u4", int(ends[-1] - self.begin[-1]))])
+            self.begin = np.concatenate([self.begin, ends])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        self.uses[at] += 1
+        found = self.flat, self.begin[at], self.begin[at + 1] - self.begin[at]
+        if len(self.words) > CACHE_WORDS:
+            self._forget(CACHE_WORDS // 2)
+        return found
+
 
 _OPEN: dict[str, WordIds] = {}
 
@@ -101,10 +123,7 @@ def opened(path: str) -> WordIds:
 def token_ids(texts: pa.Array, words: WordIds, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, each with ``end`` last, and the n + 1 offsets."""
     s = TextStats(texts)
-    coded = words.of(s.words.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    flat = np.frombuffer(b"".join(coded), "<u4")
-    begin = np.cumsum(sizes) - sizes
+    flat, begin, sizes = words.of(s.words.dictionary)
     lengths = sizes[s.ids]
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
