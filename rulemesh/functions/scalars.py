@@ -207,6 +207,12 @@ def unix_lines(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
+def vocabulary_line(line: Column) -> tuple[Column, Column]:
+    """(name, description) of a line ``- name: description``; nulls for other lines."""
+    parts = [F.nullif(F.regexp_extract(line, r"^- ([a-z_]+): (.+)$", k), F.lit("")) for k in (1, 2)]
+    return parts[0], parts[1]
+
+
 def stages(span: Column) -> Column:
     """``s2..s5`` as the names between."""
     low, high = (F.regexp_extract(span, r"^s(\d{1,3})(?:\.\.s(\d{1,3}))?$", k) for k in (1, 2))

@@ -75,7 +75,7 @@ def all_failed(rows: DataFrame, group: str, failed: Column) -> DataFrame:
 
 def counts_with_zeros(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of each pair of values, pairs that don't occur included."""
-    grid = rows.select(a).distinct().crossJoin(F.broadcast(rows.select(b).distinct()))
+    grid = rows.select(a).distinct().crossJoin(rows.select(b).distinct())
     counted = rows.groupBy(a, b).agg(F.count("*").alias("n"))
     return grid.join(counted, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,20 +47,65 @@ def merged_labels(kind: Column, locked: Column, proposed: Column, required: Colu
 # ------------------------------------------------------------------- alignment
 
 
-def exact_quotes(quotes: DataFrame, units: DataFrame, quote: str, text: str, on: str | None = None) -> DataFrame:
+#: Characters of quotes that one pass over the units looks for.
+QUOTE_CHARS = 1_000_000
+
+
+def exact_quotes(quotes: DataFrame, units: DataFrame, quote: str, text: str, on: str | None = None, chars: int = QUOTE_CHARS) -> DataFrame:
     """Quotes in the units that have them: first place (from 0) and end.
 
-    With ``on`` only units of the same value are searched (cited ones);
-    without, every unit is, which is for a short list of quotes: it is checked
-    to be one of at most 10,000 rows.
+    With ``on`` only units of the same value are searched (cited ones). Without,
+    every unit is read once for each ``chars`` characters of distinct quotes,
+    all of which an Aho-Corasick automaton finds in one pass; the driver holds
+    so many at once. Null quotes and texts have no places, an empty quote stands
+    at the beginning of each text.
     """
-    if on is None:
-        if quotes.limit(10_001).count() > 10_000:
-            raise ValueError("cite units for a long list of quotes")
-        both = units.crossJoin(F.broadcast(quotes))
-    else:
+    if on is not None:
         both = quotes.join(units, on)
-    return both.withColumn("start", F.expr(f"locate({quote}, {text})") - 1).where("start >= 0").withColumn("end", F.col("start") + F.length(quote))
+        found = both.withColumn("start", F.expr(f"locate({quote}, {text})") - 1).where("start >= 0")
+        return found.withColumn("end", F.col("start") + F.length(quote))
+    distinct = quotes.select(F.col(quote).alias("q")).where("q IS NOT NULL").distinct()
+    size = distinct.agg(F.sum(F.length("q"))).first()[0] or 0
+    passes = -(-size // chars) or 1
+    out = None
+    for n in range(passes):
+        part = distinct if passes == 1 else distinct.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == n)
+        found = _searched(units, text, sorted(r["q"] for r in part.collect()))
+        out = found if out is None else out.unionByName(found)
+    joined = out.join(quotes, out["_quote"] == quotes[quote]).drop("_quote")
+    return joined.withColumn("end", F.col("start") + F.length(quote))
+
+
+def _searched(units: DataFrame, text: str, wanted: list[str]) -> DataFrame:
+    """``units`` with ``_quote`` and ``start`` for each of the ``wanted`` texts that a unit has."""
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for q in wanted:
+            if q:
+                automaton.add_word(q, q)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, names, starts = [], [], []
+            for k, whole in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
+                if whole is None:
+                    continue
+                first = {"": 0} if "" in wanted else {}
+                if len(automaton):
+                    for end, q in automaton.iter(whole):
+                        first.setdefault(q, end - len(q) + 1)
+                rows += [k] * len(first)
+                names += first
+                starts += first.values()
+            if rows:
+                kept = batch.take(pa.array(rows))
+                columns = [*kept.columns, pa.array(names, pa.string()), pa.array(starts, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_quote", "start"])
+
+    kind = T.StructType([*units.schema.fields, T.StructField("_quote", T.StringType()), T.StructField("start", T.IntegerType())])
+    return units.mapInArrow(run, kind)
 
 
 # Typographic signs and what they are compared as.
@@ -275,25 +321,57 @@ def greedy_clusters(rows: DataFrame, identity: str, key: str, units: str, least:
 # --------------------------------------------------------------------- patches
 
 
+def judged_patches(state: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    """``patches`` (seq, op, ``key`` and more) with ``there``, whether their key is there when their turn comes, and ``ok``.
+
+    Patches of a key are applied by ``seq``. Whatever is there, after an add
+    the key is there and after a delete it isn't, so the last of them before a
+    patch, or else the state, tells. Adding what is there, and updating or
+    deleting what isn't, is rejected.
+    """
+    before = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("op").isin("add", "delete"), F.col("op")), ignorenulls=True).over(before)
+    known = patches.join(state.select(key, F.lit(True).alias("_there")), key, "left").withColumn("_last", last)
+    there = F.when(F.col("_last").isNull(), F.col("_there").isNotNull()).otherwise(F.col("_last") == "add")
+    return known.withColumn("there", there).withColumn("ok", (F.col("op") == "add") != there).drop("_last", "_there")
+
+
 def apply_patches(state: DataFrame, patches: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(new state, rejected): adds, updates and deletes by key, the last of each key by ``seq``.
+    """(new state, rejected): adds, updates and deletes by key, one after another by ``seq``.
 
-    ``patches``: seq, op, ``key``, ``columns`` and nothing else is used. Adding a
-    key that exists, or updating or deleting one that doesn't, is rejected. A
-    null in an update leaves the old value.
+    ``patches``: seq, op, ``key``, ``columns`` and nothing else is used; see
+    ``judged_patches``. A null in an update leaves the old value, one in an add
+    is the value.
     """
-    last = Window.partitionBy(key).orderBy(F.desc("seq"))
-    one = patches.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("seq", "op", key, *[F.col(c).alias(f"_{c}") for c in columns])
+    judged = judged_patches(state, patches.select("seq", "op", key, *columns), key)
+    good = judged.where("ok")
+    turn = F.when(F.col("op").isin("add", "delete"), F.col("seq"))
+    # what counts comes after the last add or delete that was made
+    made = good.withColumn("_turn", F.max(turn).over(Window.partitionBy(key)))
+    since = F.col("_turn").isNull() | (F.col("seq") >= F.col("_turn"))
+    ends = F.max_by("op", turn)
+
+    def latest(c: str) -> Column:
+        given = since & F.col(c).isNotNull() & (F.col("op") != "delete")
+        return F.max_by(F.when(given, F.col(c)), F.when(given, F.col("seq"))).alias(f"_{c}")
+
+    one = made.groupBy(key).agg(ends.alias("_ends"), *[latest(c) for c in columns])
     joined = state.select(key, *columns, F.lit(True).alias("_there")).join(one, key, "full")
-    there = F.col("_there").isNotNull()
-    bad = ((F.col("op") == "add") & there) | (F.col("op").isin("update", "delete") & ~there)
-    judged = joined.withColumn("_bad", F.coalesce(bad, F.lit(False)))
-    kept = judged.where((there & ~F.col("op").eqNullSafe("delete")) | (~F.col("_bad") & F.col("op").eqNullSafe("add")))
-    values = [F.when(F.col("_bad"), F.col(c)).otherwise(F.coalesce(f"_{c}", c)).alias(c) for c in columns]
-    rejected = judged.where("_bad").select("seq", key, "op", F.when(F.col("op") == "add", "exists").otherwise("missing").alias("reason"))
+    kept = joined.where(F.coalesce(F.col("_ends") == "add", F.col("_there") & ~F.col("_ends").eqNullSafe("delete"), F.lit(False)))
+    new = F.col("_ends").eqNullSafe("add")
+    values = [F.when(new, F.col(f"_{c}")).otherwise(F.coalesce(f"_{c}", c)).alias(c) for c in columns]
+    rejected = judged.where("NOT ok").select("seq", key, "op", F.when(F.col("op") == "add", "exists").otherwise("missing").alias("reason"))
     return kept.select(key, *values), rejected
 
 
+def audit(before: DataFrame, after: DataFrame, patches: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(``key``, before, after): hashes of each patched row as it was and is, null where it wasn't or isn't."""
+    mark = F.substring(F.sha1(F.to_json(F.struct(*sorted(columns)))), 1, 16)
+    touched = patches.select(key).distinct()
+    old, new = before.select(key, mark.alias("before")), after.select(key, mark.alias("after"))
+    return touched.join(old, key, "left").join(new, key, "left")
+
+
 def deferred(findings: DataFrame) -> DataFrame:
     """Open findings of weight go to a person."""
     heavy = (F.col("resolution") == "open") & F.col("severity").isin("major", "critical")
@@ -317,3 +395,96 @@ def triage(computed: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFram
     last = history.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("queue", "key", "status")
     current = computed.join(last, ["queue", "key"], "left").withColumn("known", F.col("status").isNotNull()).withColumn("status", F.coalesce("status", F.lit("open")))
     return current.drop("known"), current.where(~F.col("known")).drop("known")
+
+
+# ----------------------------------------------------- provenance and ledger rest
+
+#: Field paths whose values must be proved by a quote.
+CONCRETE = r"(?:^|\.)value$|(?:^|\.)value\.default$|^body$|^preferred_form$|^variants\[\d+\]\.value$"
+#: Kinds of conflict that keep a release closed while they are open.
+CLASS_A = ("hard_hard", "equal_specificity", "verbatim_clash", "global_unsat")
+
+
+def is_concrete(path: Column) -> Column:
+    return path.rlike(CONCRETE)
+
+
+def variant_paths(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """(key, path, value): ``variants[0].value`` and so on, one row for each element of ``values``."""
+    each = rows.select(key, F.posexplode(values).alias("at", "value"))
+    return each.select(key, F.concat(F.lit("variants["), F.col("at").cast("string"), F.lit("].value")).alias("path"), "value")
+
+
+def soft_mismatches(claimed: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(unit_id, entity_id, kind) of claims of a kind that the unit isn't expected to yield; units that expect nothing don't count."""
+    met = claimed.join(labelled.select("unit_id", "expected"), "unit_id")
+    return met.where((F.size("expected") > 0) & ~F.array_contains("expected", F.col("kind"))).select("unit_id", "entity_id", "kind")
+
+
+def orphans(entities: DataFrame, spans: DataFrame, key: str = "entity_id") -> DataFrame:
+    """Entities without a span that was verified and aligned."""
+    proved = spans.where("verification = 'value_verified' AND match <> 'failed'").select(key)
+    return entities.select(key).join(proved, key, "left_anti")
+
+
+def open_class_a(conflicts: DataFrame, triaged: DataFrame) -> DataFrame:
+    """(key, kind) of CLASS_A conflicts whose latest disposition is open, or that have none."""
+    last = triaged.groupBy("key").agg(F.max_by("status", "position").alias("_status"))
+    known = conflicts.where(F.col("kind").isin(*CLASS_A)).join(last, "key", "left")
+    return known.where(F.coalesce("_status", F.lit("open")) == "open").select("key", "kind").distinct()
+
+
+def unverified(provenance: DataFrame, key: str = "entity_id") -> DataFrame:
+    """Entities of which some concrete path isn't verified."""
+    good = F.bool_and(F.col("status") == "value_verified")
+    return provenance.where(is_concrete(F.col("path"))).groupBy(key).agg(good.alias("_good")).where("NOT _good").select(key)
+
+
+def group_refs(rows: DataFrame, group: str, ref: str) -> tuple[DataFrame, DataFrame]:
+    """(group, ref) of groups with just one ref, and (group, n) of the others, which have to be settled by hand."""
+    counted = rows.groupBy(group).agg(F.countDistinct(ref).alias("n"), F.min(ref).alias(ref))
+    return counted.where("n = 1").select(group, ref), counted.where("n <> 1").select(group, "n")
+
+
+def run_problems(runs: DataFrame, run: str, key: str) -> DataFrame:
+    """(run, problem): a run without an entity id, or with one twice."""
+    blank = runs.where(F.coalesce(F.trim(F.col(key)), F.lit("")) == "").select(run, F.lit("blank_id").alias("problem"))
+    twice = runs.groupBy(run, key).agg(F.count("*").alias("_n")).where(f"_n > 1 AND trim({key}) <> ''").select(run, F.lit("duplicate_id").alias("problem"))
+    return blank.unionByName(twice).distinct()
+
+
+def without_evidence(document: Column) -> Column:
+    """A map without the entries whose keys end in ``_evidence``."""
+    return F.map_filter(document, lambda k, v: ~k.endswith("_evidence"))
+
+
+def minted_ids(rows: DataFrame, brand: str, slug: Column, order: list[str]) -> DataFrame:
+    """``rows`` with ``minted``: rule_brand_slug, and _2, _3 and so on for later rows of one slug."""
+    base = F.concat_ws("_", F.lit("rule"), F.lit(brand), slug)
+    nth = F.row_number().over(Window.partitionBy("_base").orderBy(*order))
+    numbered = rows.withColumn("_base", base).withColumn("_nth", nth)
+    return numbered.withColumn("minted", F.when(F.col("_nth") == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", F.col("_nth").cast("string")))).drop("_base", "_nth")
+
+
+def mapped_relations(relations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relations between minted ids, those with an end that wasn't minted); ``ids``: old, minted."""
+    a, b = (ids.select(F.col("old").alias(e), F.col("minted").alias(f"_{e}")) for e in ("src", "dst"))
+    both = relations.join(a, "src", "left").join(b, "dst", "left")
+    known = F.col("_src").isNotNull() & F.col("_dst").isNotNull()
+    return both.where(known).select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "relation").distinct(), both.where(~known).select("src", "dst", "relation")
+
+
+def merged_variants(rows: DataFrame, token: str, guard: Column, run: str, value: str, champion: Column) -> DataFrame:
+    """(token, guard_hash, value, votes, agreement): the winning value of each guard of each token; the champion's run wins ties."""
+    from .aggregates import majority
+
+    hashed = rows.withColumn("guard_hash", F.substring(F.sha1(F.to_json(guard)), 1, 16))
+    return majority(hashed, [token, "guard_hash"], value, champion)
+
+
+def canon_conflicts(rows: DataFrame, path: str, run: str, canon: str, champion: Column) -> tuple[DataFrame, DataFrame]:
+    """(path, canon) that the champion's run gives, and all pairs (path, a, b) of different canons of a path."""
+    each = rows.select(path, F.col(canon).alias("canon")).distinct()
+    chosen = rows.where(champion).groupBy(path).agg(F.min(canon).alias("canon"))
+    a, b = each.withColumnRenamed("canon", "a"), each.withColumnRenamed("canon", "b")
+    return chosen, a.join(b, path).where("a < b")

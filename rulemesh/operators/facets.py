@@ -171,3 +171,8 @@ def discover(raw: Column, vocabulary: list[str]) -> tuple[Column, Column]:
 def prose(rows: DataFrame, *columns: str) -> Column:
     """The first of ``columns`` that isn't empty."""
     return F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns])
+
+
+def sections(blueprint: DataFrame, chosen: list[str] | None = None) -> DataFrame:
+    """Sections of a blueprint; with ``chosen`` only those."""
+    return blueprint if chosen is None else blueprint.where(F.col("section_id").isin(*chosen))

@@ -25,10 +25,15 @@ def missing(wanted: DataFrame, target: DataFrame, key: str) -> DataFrame:
 def siblings(rows: DataFrame, key: str, group: str, cap: int | None = None) -> DataFrame:
     """(key, sibling) of rows in one group, no row with itself; with ``cap`` the first that many of each row.
 
-    A group's pairs are what this asks for; ``cap`` is the listing's length.
+    Without ``cap`` a group's pairs are what this asks for. With it, the
+    listing's length, a row's first siblings are among the first ``cap + 1`` of
+    its group, so it meets only those.
     """
     left = rows.select(F.col(key), F.col(group).alias("_group")).where(F.col("_group").isNotNull())
     right = left.select(F.col(key).alias("sibling"), F.col("_group"))
+    if cap is not None:
+        first = Window.partitionBy("_group").orderBy("sibling")
+        right = right.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap + 1).drop("_n")
     out = left.join(right, "_group").where(F.col(key) != F.col("sibling")).drop("_group")
     if cap is not None:
         order = Window.partitionBy(key).orderBy("sibling")

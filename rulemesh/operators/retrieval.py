@@ -13,38 +13,46 @@ from ..functions import scalars as S
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def corpus_stats(docs: DataFrame, key: str, terms: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, term, tf, length), (term, df, idf) and the single row (n_docs, avgdl).
+def corpus_stats(docs: DataFrame, terms: Column) -> tuple[DataFrame, DataFrame]:
+    """(term, df, idf) and the single row (n_docs, avgdl).
 
-    A negative idf is replaced by EPSILON times the mean over all terms.
+    A negative idf is replaced by EPSILON times the mean over all terms. A
+    document's terms are made distinct in its row, so only counts of terms,
+    added up before they are moved, are shuffled.
     """
-    tokens = docs.select(key, terms.alias("_terms"))
+    tokens = docs.select(terms.alias("_terms"))
     sizes = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("_terms")).alias("avgdl"))
-    tf = tokens.select(key, F.size("_terms").alias("length"), F.explode("_terms").alias("term"))
-    tf = tf.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # the sizes are a single row
+    df = tokens.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # the sizes are a single row, the mean is another
     raw = df.join(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
-    return tf, idf, sizes
+    return idf, sizes
 
 
 def bm25(docs: DataFrame, key: str, text: Column, query: str, k: int = 10) -> DataFrame:
     """The ``k`` best documents for the query's words, ties by key; scores of 0 and less are dropped after the cut.
 
-    A word that the query repeats counts each time. Only the query's words are
-    joined; the mean idf takes all words into account.
+    A word that the query repeats counts each time. How often a document has
+    the query's words is counted in its row; the mean idf takes all words into
+    account.
     """
     words = re.findall("[a-z0-9#]+", query.lower())
-    tf, idf, sizes = corpus_stats(docs, key, S.words(text))
     times = {w: words.count(w) for w in words}
     if not times:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    weight = F.element_at(F.create_map(*[F.lit(x) for p in times.items() for x in p]), F.col("term"))
-    hits = tf.where(F.col("term").isin(*times)).join(F.broadcast(idf.where(F.col("term").isin(*times))), "term").join(F.broadcast(sizes))
+    idf, sizes = corpus_stats(docs, S.words(text))
+    own = docs.select(key, S.words(text).alias("_terms"))
+
+    def seen(word: str) -> Column:
+        return F.size(F.filter("_terms", lambda x: x == word))
+
+    counts = F.array(*[F.struct(F.lit(w).alias("term"), F.lit(n).alias("times"), seen(w).alias("tf")) for w, n in times.items()])
+    hits = own.select(key, F.size("_terms").alias("length"), F.explode(F.filter(counts, lambda c: c["tf"] > 0)).alias("c")).select(key, "length", "c.*")
+    # one row for each word of the query, and a single row
+    hits = hits.join(F.broadcast(idf.where(F.col("term").isin(*times))), "term").join(F.broadcast(sizes))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scores = hits.groupBy(key).agg(F.sum(part * weight).alias("score"))
+    scores = hits.groupBy(key).agg(F.sum(part * F.col("times")).alias("score"))
     return scores.orderBy(F.desc(F.round("score", 9)), key).limit(k).where("score > 0")
 
 

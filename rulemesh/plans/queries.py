@@ -298,7 +298,7 @@ LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 499000) o ON o.o_orderstatu
 def queue_counts(spark, sf):
     orders = t(spark, sf, "orders")
     rich = orders.where("o_totalprice > 499000")
-    grid = orders.select("o_orderstatus").distinct().crossJoin(F.broadcast(orders.select("o_orderpriority").distinct()))
+    grid = orders.select("o_orderstatus").distinct().crossJoin(orders.select("o_orderpriority").distinct())
     counted = A.counts_with_zeros(rich, "o_orderstatus", "o_orderpriority")
     return grid.join(counted, ["o_orderstatus", "o_orderpriority"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -983,27 +983,43 @@ def field_votes(spark, sf):
     return M.field_votes(rows, "g", "run", ["p", "y"], "F").withColumn("agreement", F.round("agreement", 9))
 
 
-_PATCH = """p AS (SELECT o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS k, o_totalprice AS v FROM orders),
-last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM p) WHERE r = 1)"""
+_PATCH = """p AS (SELECT o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS k,
+ CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders),
+told AS (SELECT p.*, c_custkey IS NOT NULL AS initial, last_value(CASE WHEN op IN ('add', 'delete') THEN op END IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM p LEFT JOIN customer ON c_custkey = k),
+judged AS (SELECT *, (op = 'add') <> (CASE WHEN last IS NULL THEN initial ELSE last = 'add' END) AS ok FROM told),
+turns AS (SELECT *, max(CASE WHEN op <> 'update' THEN seq END) OVER (PARTITION BY k) AS turn FROM judged WHERE ok),
+ends AS (SELECT k, arg_max(op, seq) FILTER (op <> 'update') AS last_op, arg_max(v, seq) FILTER ((turn IS NULL OR seq >= turn) AND v IS NOT NULL AND op <> 'delete') AS new_v FROM turns GROUP BY k),
+after AS (SELECT coalesce(c_custkey, k) AS k, CASE WHEN last_op = 'add' THEN new_v ELSE coalesce(new_v, c_acctbal) END AS v FROM customer FULL JOIN ends ON c_custkey = k
+ WHERE CASE WHEN last_op IS NULL THEN c_custkey IS NOT NULL ELSE last_op = 'add' END)"""
 
 
-def patch_rows(spark, sf):
+def patch_inputs(spark, sf):
     state = t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     kind = F.col("o_orderkey") % 3
     key = F.when((kind == 0) & (F.col("o_orderkey") % 2 == 0), F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey"))
-    patches = t(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.when(kind == 0, "add").when(kind == 1, "update").otherwise("delete").alias("op"), key.alias("k"), F.col("o_totalprice").alias("v"))
-    return M.apply_patches(state, patches, "k", ["v"])
+    op = F.when(kind == 0, "add").when(kind == 1, "update").otherwise("delete")
+    value = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
+    return state, t(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), op.alias("op"), key.alias("k"), value.alias("v"))
 
 
-@query(f"""WITH {_PATCH} SELECT coalesce(c_custkey, k) AS k, CASE WHEN op = 'update' THEN v WHEN c_custkey IS NULL THEN v ELSE c_acctbal END AS v FROM customer FULL JOIN last ON c_custkey = k
-WHERE (c_custkey IS NOT NULL AND coalesce(op, '') <> 'delete') OR (c_custkey IS NULL AND op = 'add')""")
+@query(f"WITH {_PATCH} SELECT k, v FROM after")
 def patch_apply(spark, sf):
-    return patch_rows(spark, sf)[0]
+    """Several patches a key, one after another."""
+    return M.apply_patches(*patch_inputs(spark, sf), "k", ["v"])[0]
 
 
-@query(f"""WITH {_PATCH} SELECT seq, k, op, CASE WHEN op = 'add' THEN 'exists' ELSE 'missing' END AS reason FROM last LEFT JOIN customer ON c_custkey = k WHERE (op = 'add') = (c_custkey IS NOT NULL)""")
+@query(f"WITH {_PATCH} SELECT seq, k, op, CASE WHEN op = 'add' THEN 'exists' ELSE 'missing' END AS reason FROM judged WHERE NOT ok")
 def patch_rejects(spark, sf):
-    return patch_rows(spark, sf)[1]
+    return M.apply_patches(*patch_inputs(spark, sf), "k", ["v"])[1]
+
+
+@query(f"""WITH {_PATCH}, t AS (SELECT DISTINCT k FROM p) SELECT t.k, c_custkey IS NOT NULL AS was, a.k IS NOT NULL AS is_now, coalesce(c_custkey IS NOT NULL AND a.k IS NOT NULL AND c_acctbal IS NOT DISTINCT FROM a.v, false) AS unchanged
+FROM t LEFT JOIN customer ON c_custkey = t.k LEFT JOIN after a ON a.k = t.k""")
+def patch_audit(spark, sf):
+    """Hashes of patched rows before and after tell what changed."""
+    state, patches = patch_inputs(spark, sf)
+    found = M.audit(state, M.apply_patches(state, patches, "k", ["v"])[0], patches, "k", ["v"])
+    return found.select("k", F.col("before").isNotNull().alias("was"), F.col("after").isNotNull().alias("is_now"), F.coalesce(F.col("before") == F.col("after"), F.lit(False)).alias("unchanged"))
 
 
 @query("""WITH w AS (SELECT DISTINCT o_custkey AS k FROM orders), a AS (SELECT c_custkey + 3 AS k FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
@@ -1246,3 +1262,200 @@ def mechanical_screen(spark, sf):
     kind = F.when(F.col("o_orderstatus") == "F", "fabrication").when(F.col("o_orderstatus") == "O", "distortion").otherwise("other")
     findings = t(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("target"), kind.alias("kind"), F.lit("open").alias("resolution"))
     return T.screened(findings, t(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("entity_id"))).select("o_orderkey", "resolution")
+
+
+# ------------------------------------------------- provenance and the ledger's rest
+
+
+def provenance_rows(spark, sf):
+    """A value, its quote and the span it was aligned with, for each line of an order."""
+    lines = t(spark, sf, "lineitem")
+    canon = F.concat((F.col("l_quantity").cast("int")).cast("string"), F.lit("px"))
+    said = F.when(F.col("l_linenumber") % 3 == 0, F.lit("none at all")).otherwise(F.concat(F.lit("set to "), F.col("l_quantity").cast("int").cast("string"), F.lit(" px here")))
+    return lines.select(
+        F.col("l_orderkey").alias("entity_id"), "l_linenumber", F.lit("spacing").alias("kind"), canon.alias("canon"), said.alias("span"),
+        F.when(F.col("l_returnflag") == "R", F.lit("other words")).otherwise(said).alias("quote"), (F.col("l_linestatus") == "O").alias("is_ref"),
+    )
+
+
+_STATUS = """s AS (SELECT l_orderkey AS entity_id, l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'n/a' WHEN l_linenumber % 3 <> 0 AND l_returnflag <> 'R' THEN 'value_verified' ELSE 'failed' END AS status FROM lineitem)"""
+
+
+@query(f"WITH {_STATUS} SELECT entity_id, l_linenumber, status FROM s")
+def value_verification(spark, sf):
+    rows = provenance_rows(spark, sf)
+    status = M.value_status(F.col("kind"), F.col("canon"), F.col("span"), F.col("quote"), F.col("is_ref"))
+    return rows.select("entity_id", "l_linenumber", status.alias("status"))
+
+
+@query(f"WITH {_STATUS} SELECT entity_id FROM s WHERE status <> 'n/a' GROUP BY 1 HAVING bool_and(status = 'failed')")
+def quarantine(spark, sf):
+    rows = value_verification(spark, sf).withColumn("is_concrete", F.lit(True))
+    return M.quarantined(rows)
+
+
+@query(f"WITH {_STATUS} SELECT entity_id FROM s WHERE l_linenumber % 2 = 1 GROUP BY 1 HAVING NOT bool_and(status = 'value_verified')")
+def unverified_tokens(spark, sf):
+    path = F.when(F.col("l_linenumber") % 4 == 1, "value.default").when(F.col("l_linenumber") % 2 == 1, "variants[0].value").otherwise("notes")
+    return M.unverified(value_verification(spark, sf).withColumn("path", path))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS quote_id, CASE l_returnflag WHEN 'R' THEN 'exact' WHEN 'A' THEN 'normalized' ELSE 'fuzzy' END AS match, CASE l_returnflag WHEN 'N' THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS ratio,
+ l_linestatus = 'F' AS cited, 'd' || (l_partkey % 7) AS doc_ref, l_suppkey AS start, l_linenumber FROM lineitem),
+k AS (SELECT *, CASE match WHEN 'exact' THEN 3 WHEN 'normalized' THEN 2 ELSE 1 END AS rank FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY quote_id ORDER BY rank DESC, ratio DESC, cited DESC, doc_ref, start, l_linenumber) AS n, rank(*) OVER (PARTITION BY quote_id ORDER BY rank DESC, ratio DESC, cited DESC) AS place FROM k)
+SELECT quote_id, match, ratio, cited, doc_ref, start, (SELECT count(*) FROM o x WHERE x.quote_id = o.quote_id AND x.place = 1)::BIGINT AS ambiguous FROM o WHERE n = 1""".replace("rank(*)", "rank()"))
+def best_alignments(spark, sf):
+    match = F.when(F.col("l_returnflag") == "R", "exact").when(F.col("l_returnflag") == "A", "normalized").otherwise("fuzzy")
+    rows = t(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("quote_id"), match.alias("match"), F.when(match == "fuzzy", 0.95).otherwise(1.0).alias("ratio"),
+        (F.col("l_linestatus") == "F").alias("cited"), F.concat(F.lit("d"), (F.col("l_partkey") % 7).cast("string")).alias("doc_ref"), F.col("l_suppkey").alias("start"),
+    )
+    return M.best_alignment(rows, "quote_id")
+
+
+@query("""WITH u AS (SELECT l_orderkey AS quote_id, 'd' || (l_partkey % 3) AS doc_ref, l_suppkey AS s, l_suppkey + l_quantity::BIGINT AS e FROM lineitem), f AS (SELECT quote_id, min(doc_ref) AS doc_ref FROM u GROUP BY 1)
+SELECT quote_id, doc_ref, min(s) AS start, max(e) AS "end" FROM u JOIN f USING (quote_id, doc_ref) GROUP BY ALL""")
+def cited_hull(spark, sf):
+    units = t(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("quote_id"), F.concat(F.lit("d"), (F.col("l_partkey") % 3).cast("string")).alias("doc_ref"), F.col("l_suppkey").alias("start"), (F.col("l_suppkey") + F.col("l_quantity").cast("long")).alias("end")
+    )
+    return M.hull(units, "quote_id")
+
+
+@query("""SELECT l_orderkey AS unit_id, l_partkey AS entity_id, l_returnflag AS kind FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 4 <> 0 AND NOT (l_returnflag = 'N' OR (o_orderkey % 2 = 0 AND l_returnflag = 'A'))""")
+def soft_mismatches(spark, sf):
+    claimed = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_partkey").alias("entity_id"), F.col("l_returnflag").alias("kind"))
+    key = F.col("o_orderkey")
+    expected = F.when(key % 4 == 0, F.array().cast("array<string>")).when(key % 2 == 0, F.array(F.lit("N"), F.lit("A"))).otherwise(F.array(F.lit("N")))
+    return M.soft_mismatches(claimed, t(spark, sf, "orders").select(key.alias("unit_id"), expected.alias("expected")))
+
+
+@query("""SELECT o_orderkey AS entity_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F')""")
+def orphan_entities(spark, sf):
+    spans = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("entity_id"), F.when(F.col("l_returnflag") == "R", "value_verified").otherwise("failed").alias("verification"), F.when(F.col("l_linestatus") == "F", "exact").otherwise("failed").alias("match"))
+    return M.orphans(t(spark, sf, "orders").select(F.col("o_orderkey").alias("entity_id")), spans)
+
+
+@query("""WITH k AS (SELECT DISTINCT o_custkey AS key, CASE o_orderstatus WHEN 'F' THEN 'hard_hard' WHEN 'O' THEN 'verbatim_clash' ELSE 'dead_entry' END AS kind FROM orders),
+l AS (SELECT user_id AS key, arg_max(CASE WHEN event_id % 3 = 0 THEN 'open' ELSE 'accepted' END, event_id) AS status FROM events GROUP BY 1)
+SELECT k.key, kind FROM k LEFT JOIN l ON k.key = l.key WHERE kind <> 'dead_entry' AND coalesce(status, 'open') = 'open'""")
+def open_class_a(spark, sf):
+    kind = F.when(F.col("o_orderstatus") == "F", "hard_hard").when(F.col("o_orderstatus") == "O", "verbatim_clash").otherwise("dead_entry")
+    triaged = t(spark, sf, "events").select(F.col("user_id").alias("key"), F.when(F.col("event_id") % 3 == 0, "open").otherwise("accepted").alias("status"), F.col("event_id").alias("position"))
+    return M.open_class_a(t(spark, sf, "orders").select(F.col("o_custkey").alias("key"), kind.alias("kind")), triaged)
+
+
+@query("""SELECT o_custkey AS grp, min(o_orderpriority) AS ref FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 1""")
+def group_refs(spark, sf):
+    return M.group_refs(t(spark, sf, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderpriority").alias("ref")), "grp", "ref")[0]
+
+
+@query("""SELECT run, 'duplicate_id' AS problem FROM (SELECT o_custkey AS run, CASE WHEN o_orderkey % 97 = 0 THEN ' ' ELSE o_orderpriority END AS id FROM orders) WHERE trim(id) <> '' GROUP BY run, id HAVING count(*) > 1
+UNION SELECT o_custkey, 'blank_id' FROM orders WHERE o_orderkey % 97 = 0""")
+def run_problems(spark, sf):
+    rows = t(spark, sf, "orders").select(F.col("o_custkey").alias("run"), F.when(F.col("o_orderkey") % 97 == 0, " ").otherwise(F.col("o_orderpriority")).alias("id"))
+    return M.run_problems(rows, "run", "id")
+
+
+@query("""WITH b AS (SELECT o_orderkey, 'rule_acme_' || lower(o_orderstatus) || '_' || (o_custkey % 50) AS base FROM orders)
+SELECT o_orderkey, base || CASE WHEN n = 1 THEN '' ELSE '_' || n END AS minted FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY o_orderkey) AS n FROM b)""")
+def minted_rule_ids(spark, sf):
+    slug = F.concat_ws("_", F.lower("o_orderstatus"), (F.col("o_custkey") % 50).cast("string"))
+    return M.minted_ids(t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), "acme", slug, ["o_orderkey"]).select("o_orderkey", "minted")
+
+
+@query("""WITH i AS (SELECT c_custkey AS old, 'r_' || c_custkey AS minted FROM customer WHERE c_custkey % 3 <> 0)
+SELECT DISTINCT a.minted AS src, b.minted AS dst, o_orderpriority AS relation FROM orders JOIN i a ON a.old = o_custkey JOIN i b ON b.old = o_orderkey % 1000""")
+def mapped_relations(spark, sf):
+    ids = t(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("old"), F.concat(F.lit("r_"), F.col("c_custkey").cast("string")).alias("minted"))
+    edges = t(spark, sf, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1000).alias("dst"), F.col("o_orderpriority").alias("relation"))
+    return M.mapped_relations(edges, ids)[0]
+
+
+@query("""WITH v AS (SELECT o_custkey AS token, o_orderpriority AS g, o_orderstatus AS run, (year(o_orderdate) % 4)::VARCHAR AS value FROM orders), c AS (SELECT token, g, value, count(*) AS n, max((run = 'O')::INT) AS ch FROM v GROUP BY ALL)
+SELECT token, g, value, n AS votes FROM (SELECT *, row_number() OVER (PARTITION BY token, g ORDER BY n DESC, ch DESC, value) AS r FROM c) WHERE r = 1""")
+def merged_variants(spark, sf):
+    rows = t(spark, sf, "orders").select(F.col("o_custkey").alias("token"), F.col("o_orderpriority").alias("g"), F.col("o_orderstatus").alias("run"), (F.year("o_orderdate") % 4).cast("string").alias("value"))
+    guard = F.create_map(F.lit("theme"), F.array("g"))
+    found = M.merged_variants(rows, "token", guard, "run", "value", F.col("run") == "O")
+    names = rows.select("g").distinct().select("g", F.substring(F.sha1(F.to_json(guard)), 1, 16).alias("guard_hash"))
+    return found.join(names, "guard_hash").select("token", "g", "value", "votes")
+
+
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS path, o_orderpriority AS canon FROM orders) SELECT x.path, x.canon AS a, y.canon AS b FROM e x JOIN e y ON x.path = y.path AND x.canon < y.canon""")
+def canon_conflicts(spark, sf):
+    rows = t(spark, sf, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderstatus").alias("run"), F.col("o_orderpriority").alias("canon"))
+    return M.canon_conflicts(rows, "path", "run", "canon", F.col("run") == "F")[1]
+
+
+@query("""SELECT p_partkey, 'variants[' || (i - 1) || '].value' AS path, w AS value FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part)""")
+def variant_paths(spark, sf):
+    return M.variant_paths(t(spark, sf, "part").withColumn("words", F.split("p_name", " ")), "p_partkey", "words")
+
+
+@query("""SELECT p_partkey, p_brand AS value, 1::BIGINT AS n FROM part""")
+def evidence_strip(spark, sf):
+    whole = F.create_map(F.lit("value"), F.col("p_brand"), F.lit("value_evidence"), F.col("p_name"), F.lit("_evidence"), F.col("p_type"))
+    left = M.without_evidence(whole)
+    return t(spark, sf, "part").select("p_partkey", F.element_at(left, "value").alias("value"), F.size(left).cast("long").alias("n"))
+
+
+@query("""SELECT 'd' || k AS context, 'hard_hard' AS kind, k AS id FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) UNION SELECT 'd' || c_custkey, 'dead', c_custkey FROM customer WHERE c_custkey % 5 = 0""")
+def merged_findings(spark, sf):
+    rows = t(spark, sf, "customer").select(F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("context"), F.col("c_custkey").alias("id"))
+    old = rows.where("id % 5 = 0").withColumn("kind", F.lit("dead")).unionByName(rows.where("id % 3 = 0").withColumn("kind", F.lit("hard_hard")))
+    return L.merge_findings(old, rows.where("id % 2 = 0").withColumn("kind", F.lit("hard_hard")), "hard_hard")
+
+
+@query("""SELECT o_orderpriority, round(avg((o_orderstatus = 'F')::INT), 9) AS agreement, CASE WHEN avg((o_orderstatus = 'F')::INT) >= 1 THEN 'high' WHEN avg((o_orderstatus = 'F')::INT) > 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM orders GROUP BY 1""")
+def confidence_bucket(spark, sf):
+    agreed = t(spark, sf, "orders").groupBy("o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("agreement"))
+    return agreed.select("o_orderpriority", F.round("agreement", 9).alias("agreement"), A.confidence(F.col("agreement")).alias("confidence"))
+
+
+@query("""SELECT o_orderstatus AS run_id FROM orders GROUP BY 1 ORDER BY avg((o_orderpriority = '1-URGENT')::INT) DESC, count(*) DESC, 1 LIMIT 1""")
+def champion_run(spark, sf):
+    rates = t(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("run_id")).agg(F.avg((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("rate"), F.count("*").alias("coverage"))
+    return M.champion(rates).select("run_id")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'deferred_human' WHEN o_orderstatus = 'O' THEN 'open' ELSE 'accepted' END AS resolution FROM orders""")
+def deferred_findings(spark, sf):
+    severity = F.when(F.col("o_orderpriority") == "1-URGENT", "critical").when(F.col("o_orderpriority") == "2-HIGH", "major").otherwise("minor")
+    rows = t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "open").otherwise("accepted").alias("resolution"), severity.alias("severity"))
+    return M.deferred(rows).select("o_orderkey", "resolution")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'campaign' WHEN s_suppkey % 2 = 0 THEN 'brand' ELSE 'org_baseline' END AS scope, CASE WHEN s_suppkey % 3 = 0 THEN 'c' || (s_suppkey % 5) END AS campaign FROM supplier""")
+def rule_scopes(spark, sf):
+    raw = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("campaign:c"), (F.col("s_suppkey") % 5).cast("string"))).otherwise("org")
+    scope, campaign = K.scope_of(raw, F.col("s_suppkey") % 2 == 0)
+    return t(spark, sf, "supplier").select("s_suppkey", scope.alias("scope"), campaign.alias("campaign"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS left_axes FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 3 = 1""")
+def section_projection(spark, sf):
+    """Bindings of one section: those for it lose the axis, those for any keep their other axes, those for another go."""
+    n = F.col("p_partkey") % 3
+    residual = F.when(n == 0, F.create_map(F.lit("section"), F.array(F.lit("hero"), F.lit("body")))).when(n == 1, F.create_map(F.lit("theme"), F.array(F.lit("dark")))).otherwise(F.create_map(F.lit("section"), F.array(F.lit("footer"))))
+    rows = K.for_section(t(spark, sf, "part").select("p_partkey", residual.alias("residual")), "hero")
+    return rows.select("p_partkey", F.size("residual").alias("left_axes"))
+
+
+@query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '"([^"]+)"', 1), lambda s: len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')) >= 8)) > 0 AS has_long_quote FROM documents""".replace("\\s", "\s"))
+def long_quotes(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", S.has_long_quote(F.col("text")).alias("has_long_quote"))
+
+
+@query("""SELECT section, name, regexp_extract(line, '^- ([a-z_]+): (.+)$', 2) AS description FROM (SELECT s_suppkey AS section, 'sec_' || chr((97 + s_suppkey % 26)::INT) AS name, '- sec_' || chr((97 + s_suppkey % 26)::INT) || ': ' || s_name AS line FROM supplier)""")
+def vocabulary_lines(spark, sf):
+    """Lines ``- name: description`` of a vocabulary."""
+    line = F.concat(F.lit("- sec_"), F.chr(97 + F.col("s_suppkey") % 26), F.lit(": "), F.col("s_name"))
+    name, description = S.vocabulary_line(line)
+    return t(spark, sf, "supplier").select(F.col("s_suppkey").alias("section"), name.alias("name"), description.alias("description"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')")
+def blueprint_sections(spark, sf):
+    return B.sections(t(spark, sf, "orders").withColumnRenamed("o_orderpriority", "section_id"), ["5-LOW", "1-URGENT"]).select("o_orderkey")

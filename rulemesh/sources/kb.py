@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +62,42 @@ def read_lines(spark: SparkSession, path: str, kind: T.StructType, strict: bool
 
 
 def write_lines(rows: DataFrame, path: str, append: bool = False) -> None:
-    """JSON lines with sorted keys; the old ones stay until the new ones are complete."""
-    rows.select(sorted(rows.columns)).write.mode("append" if append else "overwrite").json(path)
+    """JSON lines with sorted keys. What replaces older ones is written beside them first and then takes their place."""
+    ordered = rows.select(sorted(rows.columns))
+    if append:
+        ordered.write.mode("append").json(path)
+        return
+    beside = f"{path.rstrip('/')}.new"
+    ordered.write.mode("overwrite").json(beside)
+    _swap(rows.sparkSession, beside, path)
+
+
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Put the finished file or folder ``new`` in the place of ``path``."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    store = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(make(path), True)
+    if not store.rename(make(new), make(path)):
+        raise OSError(f"could not put {new} in the place of {path}")
+
+
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    """One JSON document with sorted keys and a line's end; it is written beside the old one first."""
+    text = json.dumps(document, sort_keys=True, ensure_ascii=False, indent=2) + "\n"
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    store = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = store.create(make(f"{path}.new"), True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    _swap(spark, f"{path}.new", path)
+
+
+def read_runs(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
+    """Results of runs, from a file or a folder of files, each with its file's name without ending as ``run``."""
+    rows = spark.read.schema(kind).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+    return rows.withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1))
 
 
 def append_open(items: DataFrame, path: str) -> None:

@@ -348,7 +348,49 @@ def test_patches_are_judged_by_what_is_there(spark):
     patches = [(1, "add", 1, "z", 0), (2, "update", 2, None, 9), (3, "add", 3, "c", 3), (4, "delete", 4, None, None), (5, "delete", 5, None, None), (6, "add", 5, "e", 5)]
     new, rejected = M.apply_patches(state, spark.createDataFrame(patches, "seq int, op string, k int, v string, w int"), "k", ["v", "w"])
     assert sorted(map(tuple, new.collect())) == [(1, "a", 1), (2, "b", 9), (3, "c", 3), (5, "e", 5)]
-    assert sorted((r.k, r.reason) for r in rejected.collect()) == [(1, "exists"), (4, "missing")]
+    assert sorted((r.k, r.reason) for r in rejected.collect()) == [(1, "exists"), (4, "missing"), (5, "missing")]
+
+
+def test_patches_of_a_key_are_applied_one_after_another(spark):
+    rng = random.Random(5)
+    state = {k: (f"s{k}", k) for k in range(12) if k % 2}
+    patches = [(n, rng.choice(["add", "update", "update", "delete"]), rng.randrange(12), rng.choice([None, f"v{n}"]), rng.choice([None, n])) for n in range(150)]
+    want, rejects, now = dict(state), [], set(state)
+    for n, op, k, v, w in patches:
+        if (op == "add") == (k in want):
+            rejects.append((n, k))
+        elif op == "add":
+            want[k] = (v, w)
+        elif op == "delete":
+            del want[k]
+        else:
+            old = want[k]
+            want[k] = (old[0] if v is None else v, old[1] if w is None else w)
+    rows = spark.createDataFrame([(k, *x) for k, x in state.items()], "k int, v string, w int")
+    frame = spark.createDataFrame(patches, "seq int, op string, k int, v string, w int").repartition(5)
+    new, rejected = M.apply_patches(rows, frame, "k", ["v", "w"])
+    assert {r.k: (r.v, r.w) for r in new.collect()} == want
+    assert sorted((r.seq, r.k) for r in rejected.collect()) == rejects
+    hashes = {r.k: (r.before, r.after) for r in M.audit(rows, new, frame, "k", ["v", "w"]).collect()}
+    assert set(hashes) == {p[2] for p in patches}
+    assert all((b is None) == (k not in state) and (a is None) == (k not in want) and (a == b) == (state.get(k) == want.get(k)) for k, (b, a) in hashes.items())
+
+
+@pytest.mark.parametrize("chars", [1_000_000, 12])
+def test_quotes_are_found_however_many_passes_it_takes(spark, chars):
+    texts = {1: "a b a b", 2: None, 3: "", 4: "naïve café, b a", 5: "aaa"}
+    wanted = [("p", "a b"), ("q", "b a"), ("r", ""), ("s", None), ("t", "aa"), ("u", "a b"), ("v", "café"), ("w", "zz")]
+    units = spark.createDataFrame(list(texts.items()), "unit int, body string").repartition(3)
+    quotes = spark.createDataFrame(wanted, "name string, quote string")
+    got = sorted((r.unit, r.name, r.start, r.end) for r in M.exact_quotes(quotes, units, "quote", "body", chars=chars).collect())
+    assert got == sorted((i, n, t.find(q), t.find(q) + len(q)) for i, t in texts.items() for n, q in wanted if t is not None and q is not None and q in t)
+
+
+def test_siblings_with_a_cap_are_the_first_ones(spark):
+    rows = spark.createDataFrame([(i, i % 3 if i % 7 else None) for i in range(60)], "id int, g int")
+    every, capped = C.siblings(rows, "id", "g").collect(), C.siblings(rows, "id", "g", 4).collect()
+    want = {i: sorted(r.sibling for r in every if r.id == i)[:4] for i in {r.id for r in every}}
+    assert {i: sorted(r.sibling for r in capped if r.id == i) for i in want} == want
 
 
 def test_greedy_clusters_follow_the_order_of_keys(spark):

@@ -118,3 +118,22 @@ def test_repeated_content_is_dropped_from_a_stream(spark, sf_dir, tmp_path):
     events.unionByName(events).write.parquet(path)
     fresh = logs.new_content(logs.read_log(spark, path, events), ["user_id", "event_type", "props", "value"], late="60 days")
     assert logs.run_to_memory(fresh, "new_content_test").count() == events.select("user_id", "event_type", "props", "value").distinct().count()
+
+
+def test_a_document_and_lines_replace_older_ones(spark, tmp_path):
+    path = f"{tmp_path}/one.json"
+    kb.write_document(spark, {"b": 1, "a": "é"}, path)
+    kb.write_document(spark, {"b": 2, "a": "é"}, path)
+    assert open(path, encoding="utf-8").read() == '{\n  "a": "é",\n  "b": 2\n}\n'
+    rows = spark.createDataFrame([(1, "x")], "b int, a string")
+    kb.write_lines(rows, f"{tmp_path}/lines")
+    kb.write_lines(spark.read.json(f"{tmp_path}/lines").withColumn("b", F.col("b") + 1), f"{tmp_path}/lines")  # reads what it replaces
+    assert [r.asDict() for r in spark.read.json(f"{tmp_path}/lines").collect()] == [{"a": "x", "b": 2}]
+
+
+def test_results_of_runs_from_a_folder_or_a_file(spark, tmp_path):
+    for name in ("r1", "r2"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"section": name, "rules": ["a"]}, indent=1))
+    kind = kb.T.StructType.fromDDL("section string, rules array<string>")
+    assert sorted((r.run, r.section) for r in kb.read_runs(spark, str(tmp_path), kind).collect()) == [("r1", "r1"), ("r2", "r2")]
+    assert [r.run for r in kb.read_runs(spark, f"{tmp_path}/r2.json", kind).collect()] == ["r2"]
