@@ -1303,8 +1303,8 @@ def unverified_tokens(spark, sf):
 @query("""WITH r AS (SELECT l_orderkey AS quote_id, CASE l_returnflag WHEN 'R' THEN 'exact' WHEN 'A' THEN 'normalized' ELSE 'fuzzy' END AS match, CASE l_returnflag WHEN 'N' THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS ratio,
  l_linestatus = 'F' AS cited, 'd' || (l_partkey % 7) AS doc_ref, l_suppkey AS start, l_linenumber FROM lineitem),
 k AS (SELECT *, CASE match WHEN 'exact' THEN 3 WHEN 'normalized' THEN 2 ELSE 1 END AS rank FROM r),
-o AS (SELECT *, row_number() OVER (PARTITION BY quote_id ORDER BY rank DESC, ratio DESC, cited DESC, doc_ref, start, l_linenumber) AS n, rank(*) OVER (PARTITION BY quote_id ORDER BY rank DESC, ratio DESC, cited DESC) AS place FROM k)
-SELECT quote_id, match, ratio, cited, doc_ref, start, (SELECT count(*) FROM o x WHERE x.quote_id = o.quote_id AND x.place = 1)::BIGINT AS ambiguous FROM o WHERE n = 1""".replace("rank(*)", "rank()"))
+o AS (SELECT *, row_number() OVER (PARTITION BY quote_id ORDER BY rank DESC, ratio DESC, cited DESC, doc_ref, start, l_linenumber) AS n, rank() OVER (PARTITION BY quote_id ORDER BY rank DESC, ratio DESC, cited DESC) AS place FROM k)
+SELECT quote_id, match, ratio, cited, doc_ref, start, (SELECT count(*) FROM o x WHERE x.quote_id = o.quote_id AND x.place = 1)::BIGINT AS ambiguous FROM o WHERE n = 1""")
 def best_alignments(spark, sf):
     match = F.when(F.col("l_returnflag") == "R", "exact").when(F.col("l_returnflag") == "A", "normalized").otherwise("fuzzy")
     rows = t(spark, sf, "lineitem").select(
@@ -1443,7 +1443,7 @@ def section_projection(spark, sf):
     return rows.select("p_partkey", F.size("residual").alias("left_axes"))
 
 
-@query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '"([^"]+)"', 1), lambda s: len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')) >= 8)) > 0 AS has_long_quote FROM documents""".replace("\\s", "\s"))
+@query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '"([^"]+)"', 1), lambda s: len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')) >= 8)) > 0 AS has_long_quote FROM documents""")
 def long_quotes(spark, sf):
     return t(spark, sf, "documents").select("doc_id", S.has_long_quote(F.col("text")).alias("has_long_quote"))
 
