@@ -18,6 +18,7 @@ similarity of the sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,30 +199,34 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hash), then comes, marked ``tail``, the next bucket's first document, after
     the last bucket the very first. Ranges are of ids and hashes, so rows of one
     much repeated id are dealt out too. Texts are moved once. The driver sees
-    the first id and hash of each range, a fixed number for each shuffle
-    partition.
+    the first id and hash of each range, one for each shuffle partition; a
+    document finds its range among every n-th of them and then among the n from
+    there on, n being about the root of their number.
     """
     spark = docs.sparkSession
     order = ["some", "id", "hash"]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     place = F.struct(*order)
-    ranges = rows.select(*order).repartitionByRange(4 * partitions(spark), *order).groupBy(F.spark_partition_id().alias("range"))
+    ranges = rows.select(*order).repartitionByRange(partitions(spark), *order).groupBy(F.spark_partition_id().alias("range"))
     firsts = sorted((r["range"], r["first"]) for r in ranges.agg(F.min(place).alias("first")).collect())
     firsts = [first for _, first in firsts]
     if not firsts:
         return rows.select(F.lit(0).alias("bucket"), F.lit(False).alias("tail"), "id", "text").limit(0)
     kind = docs.schema[id_col].dataType
     as_array = F.array(*[F.struct(F.lit(f["some"]).alias("some"), F.lit(f["id"]).cast(kind).alias("id"), F.lit(f["hash"]).alias("hash")) for f in firsts])
-    bucket = F.size(F.filter(as_array, lambda f: f <= place)) - 1
-    rows = rows.withColumn("bucket", bucket)
+    step = math.isqrt(len(firsts)) + 1
+    coarse = F.filter(F.transform(F.sequence(F.lit(1), F.lit(len(firsts)), F.lit(step)), lambda k: F.element_at(as_array, k)), lambda f: f <= place)
+    rows = rows.withColumn("coarse", (F.size(coarse) - 1) * step)
+    near = F.filter(F.slice(as_array, F.col("coarse") + 1, F.lit(step)), lambda f: f <= place)
+    rows = rows.withColumn("bucket", F.col("coarse") + F.size(near) - 1).drop("coarse")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail"))
     also = F.struct(F.pmod(F.col("bucket") - 1, F.lit(len(firsts))).alias("bucket"), F.lit(True).alias("tail"))
     first = F.get(as_array, "bucket")
     is_first = first["some"].eqNullSafe(F.col("some")) & first["id"].eqNullSafe(F.col("id")) & (first["hash"] == F.col("hash"))
     to = F.explode(F.when(is_first, F.array(own, also)).otherwise(F.array(own))).alias("to")
     sent = rows.select(to, *order, "text").select("to.bucket", "to.tail", *order, "text")
-    dealt = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "tail", *order)
+    dealt = sent.repartitionById(len(firsts), "bucket").sortWithinPartitions("bucket", "tail", *order)
     return dealt.select("bucket", "tail", "id", "text")
 
 
