@@ -109,10 +109,27 @@ def release() -> None:
         trim(0)
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` whose workers give their memory back at a task's end."""
+#: What a Python worker keeps from one task to the next, by what it is for.
+HELD: dict[str, object] = {}
+
+
+def drop_others(keeps: str | None) -> None:
+    """A function of the module, so that workers run it on their own HELD."""
+    for name in HELD.keys() - {keeps}:
+        del HELD[name]
+
+
+def map_arrow(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str | None = None
+) -> DataFrame:
+    """``mapInArrow`` whose workers give their memory back at a task's end.
+
+    Workers serve one operator after another; a task drops what others have
+    left in HELD, all but ``keeps``.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(keeps)
         try:
             yield from run(batches)
         finally:

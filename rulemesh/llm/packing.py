@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, map_arrow, read_table
+from ._spark import HELD, cut, map_arrow, read_table
 from ._text import slices, text_column
 from .stats import TextStats
 
@@ -111,13 +111,10 @@ class WordIds:
         return found
 
 
-_OPEN: dict[str, WordIds] = {}
-
-
 def opened(path: str) -> WordIds:
-    if path not in _OPEN:
-        _OPEN[path] = WordIds(path)
-    return _OPEN[path]
+    if path not in HELD:
+        HELD[path] = WordIds(path)
+    return HELD[path]
 
 
 def token_ids(texts: pa.Array, words: WordIds, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +271,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(chosen, run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return map_arrow(chosen, run, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long", path)
 
 
 def _occurrence(values: np.ndarray) -> np.ndarray:
