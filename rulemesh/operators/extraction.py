@@ -213,6 +213,98 @@ def aligned(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["start", "end", "match", "ratio"]).astype({"start": "Int32", "end": "Int32"})
 
 
+def placed(quote: str | None, units: list[dict], near: bool = False) -> dict | None:
+    """The best place of a quote in its ``units``: match and ratio first, then the earliest; null if there is none.
+
+    Units are tried one by one and, where none has the quote word for word, runs
+    of consecutive units joined: a quote over two of them is fuzzy at best. With
+    ``near`` all matches are, and units aren't joined. ``as_good`` counts the
+    units and runs whose best place is as good.
+    """
+    if not quote:
+        return None
+    found = []
+    for u in units:
+        if (hit := align(quote, u["text"] or "")) is not None:
+            start, end, match, ratio = hit
+            rank = MATCH_RANK["fuzzy" if near else match]
+            found.append((-rank, -ratio, u["start"] + start, u["start"] + end, [u["unit_id"]], u["doc_ref"]))
+    if not near and all(-f[0] < MATCH_RANK["normalized"] for f in found):
+        for run in _runs(units):
+            hit = align(quote, "".join(u["text"] or "" for u in run))
+            if hit is None:
+                continue
+            offsets = [u["start"] + k for u in run for k in range(len(u["text"] or ""))]
+            start, end = offsets[hit[0]], offsets[hit[1] - 1] + 1
+            over = [u["unit_id"] for u in run if u["start"] < end and u["end"] > start]
+            if len(over) > 1:
+                found.append((-MATCH_RANK["fuzzy"], -hit[3], start, end, over, run[0]["doc_ref"]))
+    if not found:
+        return None
+    best = min(found)
+    match = next(m for m, r in MATCH_RANK.items() if r == -best[0])
+    as_good = sum(f[:2] == best[:2] for f in found)
+    return {"doc_ref": best[5], "unit_ids": best[4], "start": best[2], "end": best[3], "match": match, "ratio": -best[1], "as_good": as_good}
+
+
+def _runs(units: list[dict]) -> list[list[dict]]:
+    """Two or more units of one document with consecutive ordinals."""
+    out: list[list[dict]] = []
+    for u in sorted(units, key=lambda u: (u["doc_ref"], u["ordinal"])):
+        if out and (out[-1][-1]["doc_ref"], out[-1][-1]["ordinal"] + 1) == (u["doc_ref"], u["ordinal"]):
+            out[-1].append(u)
+        else:
+            out.append([u])
+    return [run for run in out if len(run) > 1]
+
+
+PLACED = "doc_ref string, unit_ids array<string>, start int, end int, match string, ratio double, as_good int"
+
+
+def align_cited(quotes: DataFrame, units: DataFrame) -> DataFrame:
+    """Where each quote stands: in its cited units, over consecutive ones of them, or in a unit next to one.
+
+    ``quotes``: quote_id, quote, unit_ids; ``units``: unit_id, doc_ref, ordinal,
+    start, end, text. Returns quote_id and the fields of ``PLACED``; what stands
+    next to a cited unit is fuzzy at best. A quote that stands nowhere is failed
+    and spans the cited units of the first one's document; without any unit that
+    exists it has an empty doc_ref and the place 0.
+    """
+
+    @F.pandas_udf(PLACED)
+    def direct(quote: pd.Series, listed: pd.Series) -> pd.DataFrame:
+        rows = []
+        for q, us in zip(quote, listed):
+            us = list(us)
+            hit = placed(q, us)
+            if hit is None:
+                same = [u for u in us if u["doc_ref"] == us[0]["doc_ref"]]
+                ids = [u["unit_id"] for u in sorted(same, key=lambda u: u["ordinal"])]
+                span = {"start": min((u["start"] for u in same), default=0), "end": max((u["end"] for u in same), default=0)}
+                hit = {"doc_ref": us[0]["doc_ref"] if us else "", "unit_ids": ids, **span, "match": "failed", "ratio": 0.0, "as_good": 0}
+            rows.append(hit)
+        return pd.DataFrame(rows, columns=["doc_ref", "unit_ids", "start", "end", "match", "ratio", "as_good"])
+
+    @F.pandas_udf(PLACED)
+    def beside(quote: pd.Series, listed: pd.Series) -> pd.DataFrame:
+        none = dict.fromkeys(("doc_ref", "unit_ids", "start", "end", "match", "ratio", "as_good"))
+        rows = [placed(q, list(us), near=True) or none for q, us in zip(quote, listed)]
+        return pd.DataFrame(rows, columns=list(none)).astype({"start": "Int32", "end": "Int32", "as_good": "Int32"})
+
+    fields = ["unit_id", "doc_ref", "ordinal", "start", "end", "text"]
+    cited = quotes.select("quote_id", "quote", F.posexplode_outer(F.array_distinct("unit_ids")).alias("at", "unit_id"))
+    there = units.select("unit_id", F.struct(*fields).alias("unit"))
+    listed = cited.join(there, "unit_id", "left").groupBy("quote_id", "quote").agg(F.array_sort(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("at", "unit")))).alias("units"))
+    first = listed.withColumn("units", F.transform("units", lambda u: u["unit"])).withColumn("found", direct("quote", "units"))
+    beside_of = F.transform("units", lambda u: F.array(*[F.struct(u["doc_ref"].alias("doc_ref"), (u["ordinal"] + d).alias("ordinal")) for d in (-1, 1)]))
+    keys = F.when(F.col("found.match") == "failed", F.array_distinct(F.flatten(beside_of)))
+    wanted = first.select("quote_id", "quote", "found", F.explode_outer(keys).alias("key")).select("quote_id", "quote", "found", "key.*")
+    joined = wanted.join(units.select("doc_ref", "ordinal", F.struct(*fields).alias("unit")), ["doc_ref", "ordinal"], "left")
+    again = joined.groupBy("quote_id", "quote").agg(F.first("found").alias("found"), F.collect_list("unit").alias("near"))
+    near = again.withColumn("next", beside("quote", "near"))
+    return near.select("quote_id", F.when(F.col("next.match").isNotNull(), F.col("next")).otherwise(F.col("found")).alias("p")).select("quote_id", "p.*")
+
+
 MATCH_RANK = {"exact": 3, "normalized": 2, "fuzzy": 1, "failed": 0}
 
 

@@ -944,6 +944,21 @@ def fuzzy_align(spark, sf):
     return lines.withColumn("a", M.aligned(quote, F.col("text"))).select("doc_ref", "ordinal", "a.start", "a.match", F.round("a.ratio", 3).alias("ratio"))
 
 
+@query()
+def cited_alignment(spark, sf):
+    """A quote of each line's end and the next one's beginning; two of three cite both lines, the third only the line before."""
+    lines = U.paragraphs(t(spark, sf, "documents").withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", "text")
+    named = lambda n: F.concat("doc_ref", F.lit(":"), n.cast("string"))
+    units = lines.withColumn("unit_id", named(F.col("ordinal")))
+    after = lines.select("doc_ref", (F.col("ordinal") - 1).alias("ordinal"), F.substring("text", 1, 18).alias("head"))
+    both = F.concat(F.substring("text", -18, 18), F.lit("x"), F.coalesce("head", F.lit("")))
+    cites = F.when(F.col("ordinal") % 3 == 2, F.array(named(F.col("ordinal") - 1))).otherwise(F.array(named(F.col("ordinal")), named(F.col("ordinal") + 1)))
+    quote = F.when(F.col("ordinal") % 3 == 2, F.substring("text", 1, 30)).otherwise(both)
+    quotes = lines.join(after, ["doc_ref", "ordinal"], "left").select(named(F.col("ordinal")).alias("quote_id"), quote.alias("quote"), cites.alias("unit_ids"))
+    found = M.align_cited(quotes, units)
+    return found.select("quote_id", "doc_ref", F.array_join("unit_ids", ",").alias("unit_ids"), "start", "end", "match", F.round("ratio", 3).alias("ratio"))
+
+
 @query(r"""SELECT doc_id, regexp_matches(text, '(?i)#[0-9a-f]{6}\b|#[0-9a-f]{3}\b|\b\d+(?:\.\d+)?\s*(?:px|pt|em|rem|%)|\brgb\(|\b\d+:\d+\b') AS has_value,
  regexp_matches(text, '(?i)\b(?:must|shall|always|never|required|only|should|do not)\b') AS has_norm FROM documents""")
 def heuristic_labels(spark, sf):

@@ -238,6 +238,49 @@ def test_layouts_have_twelve_slots_and_equal_all_layouts(spark):
     assert {r.context: r.core for r in L.layout_cores(rules).collect()} == {"five": None, "twelve": None, "thirteen": "1,2", "shared": "1"}
 
 
+def test_first_last_and_once_equal_all_layouts(spark):
+    rng = random.Random(8)
+    names = ["a", "b", "c"]
+    keeps = {
+        "at_least": lambda p, a, b, n: p.count(a) >= n,
+        "at_most": lambda p, a, b, n: p.count(a) <= n,
+        "before": lambda p, a, b, n: a not in p or b not in p or p.index(a) < p.index(b),
+        "requires": lambda p, a, b, n: a not in p or b in p,
+        "forbids": lambda p, a, b, n: a not in p or b not in p,
+        "first": lambda p, a, b, n: p[0] in a.split("|"),
+        "last": lambda p, a, b, n: p[-1] in a.split("|"),
+        "once": lambda p, a, b, n: sum(x in a.split("|") for x in p) == 1,
+    }
+    several = ["a", "b", "c", "a|b", "b|c", "a|b|c"]
+    for slots in (1, 2, 4):
+        layouts = list(itertools.product([*names, ""], repeat=slots))
+        seen = set()
+        for _ in range(1500):
+            rules = []
+            for _ in range(rng.randint(1, 6)):
+                kind = rng.choice(list(keeps))
+                rules.append((kind, rng.choice(several if kind in ("first", "last", "once") else names), rng.choice(names), rng.randint(-1, 3)))
+            want = any(all(keeps[k](p, a, b, n) for k, a, b, n in rules) for p in layouts)
+            assert L.layout_fits(rules, slots) == want, (slots, rules)
+            seen.add(want)
+        assert seen == {True, False}
+
+
+def test_layout_axioms(spark):
+    sections = spark.createDataFrame([("x", "top_matter"), ("x", "end_matter"), ("x", "hero"), ("x", "body"), ("y", "hero")], "context string, section string")
+    kinds = "context string, id string, position string, locked boolean, fills array<string>"
+    subtypes = spark.createDataFrame([("x", "s1", "first", True, ["hero", "body", "gone"]), ("x", "s2", None, None, ["hero"]), ("x", "s3", "last", False, []), ("y", "s4", "last", False, ["hero"]), ("x", "s5", "first", True, None)], kinds)
+    rules = L.layout_axioms(sections, subtypes)
+    got = {(r.context, r.id, r.kind, r.a) for r in rules.collect()}
+    assert got == {
+        ("x", "struct:base:top_matter", "first", "top_matter"), ("x", "struct:base:top_matter", "once", "top_matter"),
+        ("x", "struct:base:end_matter", "last", "end_matter"), ("x", "struct:base:end_matter", "once", "end_matter"),
+        ("x", "struct:s1", "first", "body|hero"), ("x", "struct:s1", "once", "body|hero"), ("y", "struct:s4", "last", "hero"),
+    }
+    # two different sections can't both stand first
+    assert {r.context: r.core for r in L.layout_cores(rules).collect()} == {"x": "struct:base:top_matter,struct:s1", "y": None}
+
+
 TEXT = "# Colour\n\nUse e.g. #FFF. It must (see Fig. 2. Then) be so! \"One. Two\" J. R. Smith agreed.\n1. item\n   more\n\n\n| a | b |\n```\nx = 1\n\n```\n## Sub\nLast 1.5 line"
 
 
@@ -325,6 +368,63 @@ def test_fuzzy_windows_begin_and_end_anywhere():
     assert M.align("straßex hier entlang laufen", "Die Straße hier entlang laufen")[1] == 30
 
 
+def plain_cited(quote, ids, units):
+    """Every window of cited units, of joined consecutive ones, then of neighbours: (doc_ref, ids, start, end, match)."""
+    by_id = {u["unit_id"]: u for u in units}
+    cited = [by_id[i] for i in dict.fromkeys(ids) if i in by_id]
+    rank = {"exact": 3, "normalized": 2, "fuzzy": 1}
+    found = []
+    for u in cited:
+        if hit := M.align(quote, u["text"]):
+            found.append((-rank[hit[2]], -hit[3], u["start"] + hit[0], u["start"] + hit[1], [u["unit_id"]], u["doc_ref"]))
+    for a in cited:
+        for n in range(2, len(cited) + 1):
+            run = [u for k in range(n) for u in cited if u["doc_ref"] == a["doc_ref"] and u["ordinal"] == a["ordinal"] + k]
+            before = any(u["doc_ref"] == a["doc_ref"] and u["ordinal"] == a["ordinal"] - 1 for u in cited)
+            after = any(u["doc_ref"] == a["doc_ref"] and u["ordinal"] == a["ordinal"] + n for u in cited)
+            if len(run) < n or before or after:
+                continue
+            hit = M.align(quote, "".join(u["text"] for u in run))
+            if hit:
+                spots = [u["start"] + k for u in run for k in range(len(u["text"]))]
+                b, e = spots[hit[0]], spots[hit[1] - 1] + 1
+                over = [u["unit_id"] for u in run if u["start"] < e and u["end"] > b]
+                if len(over) > 1:
+                    found.append((-1, -hit[3], b, e, over, a["doc_ref"]))
+    if not found:
+        for u in units:
+            if any(u["doc_ref"] == c["doc_ref"] and abs(u["ordinal"] - c["ordinal"]) == 1 for c in cited) and (hit := M.align(quote, u["text"])):
+                found.append((-1, -hit[3], u["start"] + hit[0], u["start"] + hit[1], [u["unit_id"]], u["doc_ref"]))
+    if found:
+        best = min(found)
+        return best[5], best[4], best[2], best[3], {-3: "exact", -2: "normalized", -1: "fuzzy"}[best[0]]
+    same = sorted((u for u in cited if u["doc_ref"] == cited[0]["doc_ref"]), key=lambda u: u["ordinal"])
+    return cited[0]["doc_ref"] if cited else "", [u["unit_id"] for u in same], min((u["start"] for u in same), default=0), max((u["end"] for u in same), default=0), "failed"
+
+
+def test_quotes_over_units_and_beside_them(spark):
+    texts = {"d": ["Logos stay on white grounds", "and keep clear space around", "", "them at all times always"], "e": ["Buttons are never round here", "they use the brand colour"]}
+    units, at = [], 0
+    for doc, lines in texts.items():
+        at = 0
+        for n, line in enumerate(lines):
+            units.append({"unit_id": f"{doc}{n}", "doc_ref": doc, "ordinal": n, "start": at, "end": at + len(line), "text": line})
+            at += len(line) + 1
+    cases = [
+        ("on white grounds", ["d0"]), ("on white groundsand keep clear", ["d0", "d1"]), ("on white grounds and keep clear", ["d1", "d0", "d0"]),
+        ("on white grounds and keep clear", ["d0"]), ("keep clear space around", ["d0"]), ("they use the brand color", ["e0", "gone"]),
+        ("nothing like it stands anywhere", ["e1", "d0", "e0"]), ("anything", ["gone"]), ("anything", []), ("", ["d0"]), (None, ["d1", "d2"]),
+        ("space around them at all times", ["d1", "d2", "d3"]), ("anything", None), ("Never round here", ["d0", "e0"]),
+    ]
+    quotes = spark.createDataFrame([(n, q, ids) for n, (q, ids) in enumerate(cases)], "quote_id int, quote string, unit_ids array<string>")
+    rows = spark.createDataFrame([tuple(u.values()) for u in units], "unit_id string, doc_ref string, ordinal int, start int, end int, text string")
+    got = {r.quote_id: (r.doc_ref, r.unit_ids, r.start, r.end, r.match) for r in M.align_cited(quotes, rows).collect()}
+    want = {n: plain_cited(q or "", ids or [], units) for n, (q, ids) in enumerate(cases)}
+    assert got == want
+    assert [want[n][4] for n in range(8)] == ["exact", "fuzzy", "fuzzy", "failed", "fuzzy", "fuzzy", "failed", "failed"]
+    assert M.align_cited(quotes.limit(0), rows).count() == 0
+
+
 def test_fuzzy_align_takes_every_line(spark, tmp_path):
     rng = random.Random(6)
     texts = ["short", "", "\n".join(["".join(rng.choices("abcdefghijkl ", k=n)).strip() or "a" for n in (3, 25, 120, 700)])]
