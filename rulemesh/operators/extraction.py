@@ -294,13 +294,15 @@ def align_cited(quotes: DataFrame, units: DataFrame) -> DataFrame:
     fields = ["unit_id", "doc_ref", "ordinal", "start", "end", "text"]
     cited = quotes.select("quote_id", "quote", F.posexplode_outer(F.array_distinct("unit_ids")).alias("at", "unit_id"))
     there = units.select("unit_id", F.struct(*fields).alias("unit"))
-    listed = cited.join(there, "unit_id", "left").groupBy("quote_id", "quote").agg(F.array_sort(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("at", "unit")))).alias("units"))
+    # a row is much work and few bytes, so partitions aren't to be drawn together
+    spread = int(quotes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "quote_id", "quote"
+    listed = cited.join(there, "unit_id", "left").repartition(*spread).groupBy("quote_id", "quote").agg(F.array_sort(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("at", "unit")))).alias("units"))
     first = listed.withColumn("units", F.transform("units", lambda u: u["unit"])).withColumn("found", direct("quote", "units"))
     beside_of = F.transform("units", lambda u: F.array(*[F.struct(u["doc_ref"].alias("doc_ref"), (u["ordinal"] + d).alias("ordinal")) for d in (-1, 1)]))
     keys = F.when(F.col("found.match") == "failed", F.array_distinct(F.flatten(beside_of)))
     wanted = first.select("quote_id", "quote", "found", F.explode_outer(keys).alias("key")).select("quote_id", "quote", "found", "key.*")
     joined = wanted.join(units.select("doc_ref", "ordinal", F.struct(*fields).alias("unit")), ["doc_ref", "ordinal"], "left")
-    again = joined.groupBy("quote_id", "quote").agg(F.first("found").alias("found"), F.collect_list("unit").alias("near"))
+    again = joined.repartition(*spread).groupBy("quote_id", "quote").agg(F.first("found").alias("found"), F.collect_list("unit").alias("near"))
     near = again.withColumn("next", beside("quote", "near"))
     return near.select("quote_id", F.when(F.col("next.match").isNotNull(), F.col("next")).otherwise(F.col("found")).alias("p")).select("quote_id", "p.*")
 
