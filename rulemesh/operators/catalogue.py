@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,3 +175,60 @@ def screened(findings: DataFrame, verified: DataFrame) -> DataFrame:
     joined = findings.join(ok, findings.target == ok["_ok"], "left")
     bad = F.col("_ok").isNotNull() & F.col("kind").isin("fabrication", "distortion")
     return joined.withColumn("resolution", F.when(bad, "rejected").otherwise(F.col("resolution"))).drop("_ok")
+
+
+def determinism(runs: DataFrame, subject: str, order: str) -> DataFrame:
+    """``runs`` with ``status``: fail where the fingerprint differs from the one recorded for the same inputs.
+
+    ``runs``: ``subject``, ``order``, signature, fingerprint. The record is that
+    of the first run since the signature last changed.
+    """
+    turn = Window.partitionBy(subject).orderBy(order)
+    changed = runs.withColumn("_new", ~F.col("signature").eqNullSafe(F.lag("signature").over(turn)) | (F.row_number().over(turn) == 1))
+    since = changed.withColumn("_since", F.sum(F.col("_new").cast("int")).over(turn))
+    first = F.first("fingerprint").over(Window.partitionBy(subject, "_since").orderBy(order))
+    same = F.col("fingerprint").eqNullSafe(first)
+    return since.withColumn("status", F.when(same, "pass").otherwise("fail")).drop("_new", "_since")
+
+
+def from_cache(wanted: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that the cache has, with its columns; rows to be made)."""
+    once = cache.dropDuplicates([key])
+    return wanted.join(once, key), wanted.join(once, key, "left_anti")
+
+
+def settings(layers: list[DataFrame]) -> DataFrame:
+    """(name, value, layer): of each setting the value of the first layer that gives one; layers: name, value."""
+    rows = None
+    for n, layer in enumerate(layers):
+        one = layer.select("name", "value", F.lit(n).alias("layer")).where("value IS NOT NULL")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("name").agg(F.min_by("value", "layer").alias("value"), F.min("layer").alias("layer"))
+
+
+def summary_text(counts: DataFrame, group: str, kind: str, n: str) -> DataFrame:
+    """(group, text): ``3 rules, 1 asset`` and so on, in order of kinds; there are a few kinds."""
+    one = F.concat(F.col(n).cast("string"), F.lit(" "), F.col(kind), F.when(F.col(n) == 1, "").otherwise("s"))
+    return counts.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(kind).alias("k"), one.alias("t")))), lambda x: x["t"]), ", ").alias("text"))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.DoubleType())])))
+def flattened_numbers(document: pd.Series) -> pd.Series:
+    """Numbers of a JSON object by dotted path; truth values are 1 and 0, texts, lists and nulls are left out."""
+
+    def walk(value, above):
+        for name, v in value.items():
+            path = f"{above}.{name}" if above else name
+            if isinstance(v, dict):
+                yield from walk(v, path)
+            elif isinstance(v, (int, float)):
+                yield {"path": path, "value": float(v)}
+
+    def one(text):
+        try:
+            found = json.loads(text)
+        except (TypeError, ValueError):
+            return []
+        return list(walk(found, "")) if isinstance(found, dict) else []
+
+    return document.map(one)

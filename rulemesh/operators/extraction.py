@@ -582,3 +582,48 @@ def canon_conflicts(rows: DataFrame, path: str, run: str, canon: str, champion:
     chosen = rows.where(champion).groupBy(path).agg(F.min(canon).alias("canon"))
     a, b = each.withColumnRenamed("canon", "a"), each.withColumnRenamed("canon", "b")
     return chosen, a.join(b, path).where("a < b")
+
+
+def relation_handoff(relations: DataFrame, emitted: DataFrame, champion: str) -> DataFrame:
+    """(group, relation) once each: the champion's, and what a strict majority of the runs that emitted the group has.
+
+    ``relations``: run, group, relation; ``emitted``: run, group.
+    """
+    runs = emitted.groupBy("group").agg(F.countDistinct("run").alias("_runs"))
+    counted = relations.groupBy("group", "relation").agg(F.countDistinct("run").alias("_n"), F.bool_or(F.col("run") == champion).alias("_champion"))
+    return counted.join(runs, "group").where(F.col("_champion") | (2 * F.col("_n") > F.col("_runs"))).select("group", "relation")
+
+
+def merged_evidence(base: DataFrame, other: DataFrame) -> DataFrame:
+    """(entity, guard, path, items): ``base`` with the evidence of ``other``.
+
+    Both: entity, guard (hash of a variant's guard, empty outside of variants),
+    path, items. Items of paths that end in ``_evidence`` are united and sorted,
+    all else stays as ``base`` has it. Variants with guards that ``base`` lacks
+    come in whole; entities that it lacks don't.
+    """
+    key = ["entity", "guard", "path"]
+    a = base.select(*key, F.col("items").alias("_a"), F.lit(True).alias("_in_base"))
+    entities = base.select("entity").distinct()
+    guards = base.select("entity", "guard", F.lit(True).alias("_known")).distinct()
+    b = other.join(entities, "entity", "left_semi").join(guards, ["entity", "guard"], "left").select(*key, F.col("items").alias("_b"), "_known")
+    evidence = F.col("path").endswith("_evidence")
+    both = a.join(b, key, "full").where(F.col("_in_base") | evidence | F.col("_known").isNull())
+    united = F.array_sort(F.array_union(F.coalesce("_a", "_b"), F.coalesce("_b", "_a")))
+    return both.select(*key, F.when(evidence, united).otherwise(F.coalesce("_a", "_b")).alias("items"))
+
+
+def selected_units(units: DataFrame, excluded: DataFrame, key: str = "unit_id") -> DataFrame:
+    """All units but the excluded ones."""
+    return units.join(excluded.select(key), key, "left_anti")
+
+
+def section_names(rules: DataFrame, subtypes: DataFrame, core: DataFrame) -> DataFrame:
+    """(section): of selectors, of what subtypes fill or host, and of the vocabulary; once each.
+
+    ``rules``: section_types; ``subtypes``: fills, hosts; ``core``: section.
+    """
+    named = rules.select(F.explode("section_types").alias("section"))
+    for c in ("fills", "hosts"):
+        named = named.union(subtypes.select(F.explode(c)))
+    return named.union(core.select("section")).where("section IS NOT NULL").distinct()

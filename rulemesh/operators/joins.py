@@ -101,3 +101,10 @@ def product(*axes: DataFrame) -> DataFrame:
             raise ValueError("an axis of a context product is a short list")
         out = axis if out is None else out.crossJoin(F.broadcast(axis))
     return out
+
+
+def hydrate_resolved(rows: DataFrame, array: str, tokens: DataFrame) -> DataFrame:
+    """``hydrate`` of tokens with the value at the end of each one's references, and its status; null where it doesn't end."""
+    from .graph import resolve_refs
+
+    return hydrate(rows, array, resolve_refs(tokens).select("id", "value", "status"))

@@ -92,3 +92,61 @@ def imported(tree: DataFrame, canonical: DataFrame) -> DataFrame:
     joined = a.join(b, "path", "full")
     origin = F.when(F.col("_known").isNull(), "manual").when(F.col("_in_tree").isNull(), "lost").otherwise("canonical")
     return joined.select("path", F.coalesce("id", F.concat(F.lit("tok_"), S.slugify(F.col("path")))).alias("id"), F.coalesce("_kept", "_leaf").alias("value"), origin.alias("origin"))
+
+
+def propagated_types(tokens: DataFrame, kind: Column) -> DataFrame:
+    """(id, type, status): a reference has the type of the token at its end; see ``graph.resolve_refs`` for status.
+
+    ``tokens``: id, ref and what ``kind`` needs.
+    """
+    ends = graph.resolve_refs(tokens.select("id", "ref", kind.alias("_type")), value="_type")
+    return ends.select("id", F.col("value").alias("type"), "status")
+
+
+# Names of the exchange format for fields of composite values.
+TYPOGRAPHY = {"font_family": "fontFamily", "font_size": "fontSize", "font_weight": "fontWeight", "line_height": "lineHeight", "letter_spacing": "letterSpacing"}
+SHADOW = {"x": "offsetX", "y": "offsetY", "offset_x": "offsetX", "offset_y": "offsetY", "blur_radius": "blur", "spread_radius": "spread"}
+LENGTHS = ("offsetX", "offsetY", "blur", "spread", "width", "fontSize")
+
+
+def composite_fields(tokens: DataFrame, paths: DataFrame) -> DataFrame:
+    """(id, field, value) of shadows, borders and typographies: fields by their exchange names, values normalised, references as aliases.
+
+    ``tokens``: id, token_type, value (a JSON object of fields); ``paths``: id,
+    path. Of two spellings of a field the later counts. A typography has its
+    five fields only. A reference to no token has a null value. Objects that
+    aren't JSON have no fields.
+    """
+    fields = F.from_json("value", "map<string,string>")
+    each = tokens.select("id", F.lower("token_type").alias("kind"), F.posexplode(F.map_entries(fields)).alias("at", "e")).select("id", "kind", "at", F.col("e.key").alias("name"), F.col("e.value").alias("raw"))
+    named = {"type": TYPOGRAPHY, "shadow": SHADOW}
+    typed, shaded = (F.create_map(*[F.lit(x) for p in names.items() for x in p]) for names in named.values())
+    is_type = F.col("kind").isin("type_scale", "typography")
+    field = F.when(is_type, F.coalesce(F.try_element_at(typed, "name"), "name")).when(F.col("kind") == "shadow", F.coalesce(F.try_element_at(shaded, "name"), "name")).otherwise(F.col("name"))
+    known = each.withColumn("field", field).where(~is_type | F.col("field").isin(*TYPOGRAPHY.values()))
+    last = known.groupBy("id", "field").agg(F.max_by("raw", "at").alias("raw")).withColumn("_ref", F.get_json_object("raw", "$.$ref"))
+    targets = paths.select(F.col("id").alias("_target"), F.col("path").alias("_path"))
+    joined = last.join(targets, F.col("_ref") == F.col("_target"), "left")
+    return joined.select("id", "field", F.when(F.col("_ref").isNotNull(), alias(F.col("_path"))).otherwise(_field_value(F.col("field"), F.col("raw"))).alias("value"))
+
+
+def _field_value(field: Column, raw: Column) -> Column:
+    families = F.array_join(F.array_compact(F.transform(F.split(raw, ","), lambda x: F.nullif(F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", ""), F.lit("")))), ",")
+    sized = F.regexp_replace(raw, r"\s+", "").rlike(r"(?i)^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:px|rem|em|%|pt)$")
+    return (
+        F.when(field == "color", S.color(raw))
+        .when(field.isin(*LENGTHS), S.dimension(raw))
+        .when(field == "fontWeight", S.weight(raw))
+        .when(field == "fontFamily", families)
+        .when(field.isin("lineHeight", "letterSpacing"), F.when(sized, S.dimension(raw)).otherwise(S.number(raw)))
+        .when(field == "style", S.enum_text(raw))
+        .otherwise(raw)
+    )
+
+
+def composites(tokens: DataFrame, paths: DataFrame) -> DataFrame:
+    """(id, value, lacking): the fields of each composite as JSON, and the names that a typography lacks."""
+    fields = composite_fields(tokens, paths).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("_map"))
+    wanted = F.when(F.lower("token_type").isin("type_scale", "typography"), F.array(*[F.lit(x) for x in sorted(TYPOGRAPHY.values())])).otherwise(F.array().cast("array<string>"))
+    there = F.coalesce(F.map_keys("_map"), F.array().cast("array<string>"))
+    return tokens.join(fields, "id", "left").select("id", F.to_json("_map").alias("value"), F.array_except(wanted, there).alias("lacking"))

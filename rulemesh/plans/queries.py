@@ -23,7 +23,9 @@ from ..operators import retrieval as I
 from ..operators import segments as U
 from ..operators import tokens as N
 from ..operators import windows as E
+from ..sources import kb as W
 from ..streaming import logs as O
+from . import reports as R
 from .derived import cte, derive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1474,3 +1476,169 @@ def vocabulary_lines(spark, sf):
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')")
 def blueprint_sections(spark, sf):
     return B.sections(t(spark, sf, "orders").withColumnRenamed("o_orderpriority", "section_id"), ["5-LOW", "1-URGENT"]).select("o_orderkey")
+
+
+# ------------------------------------------- ensembles, settings and records, rest
+
+_WALK = """x AS (SELECT n, value, token_type, CASE WHEN n % 7 = 3 THEN -1 WHEN n % 2 = 1 THEN n // 2 END AS r FROM tokens),
+w AS (WITH RECURSIVE walk AS (SELECT n AS id, n AS cur, r, value, token_type, 0 AS steps FROM x UNION ALL SELECT walk.id, x.n, x.r, x.value, x.token_type, steps + 1 FROM walk JOIN x ON walk.r = x.n) SELECT * FROM walk),
+e AS (SELECT 'tok_' || id AS id, CASE WHEN r IS NULL THEN value END AS value, CASE WHEN r IS NULL THEN token_type END AS token_type, CASE WHEN r IS NULL THEN 'ok' ELSE 'missing' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY steps DESC) AS k FROM w) WHERE k = 1)
+"""
+
+
+@query(cte("tokens") + ", " + _WALK + """SELECT id, CASE token_type WHEN 'color' THEN 'color' WHEN 'spacing' THEN 'dimension' WHEN 'fontweight' THEN 'fontWeight' END AS type, status FROM e""")
+def propagated_types(spark, sf):
+    """The declared type of each token, through its references."""
+    return N.propagated_types(derive(spark, sf, "tokens"), N.declared_type(F.col("token_type")))
+
+
+@query(cte("rules", "tokens") + ", " + _WALK + """SELECT r.id, x.at - 1 AS at, e.id AS ref_id, e.value, e.status FROM rules r, LATERAL (SELECT unnest(r.token_ids) AS tid, generate_subscripts(r.token_ids, 1) AS at) x JOIN e ON e.id = x.tid""")
+def hydrate_resolved(spark, sf):
+    rules = derive(spark, sf, "rules").select("id", "token_ids")
+    return C.hydrate_resolved(rules, "token_ids", derive(spark, sf, "tokens")).select("id", "at", "ref_id", "value", "status")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey % 3 AS k, p_size FROM part)
+SELECT id, 'color' AS field, '#aabbcc' AS value FROM p WHERE k < 2
+UNION ALL SELECT id, unnest(['offsetX', 'offsetY']), p_size || 'px' FROM p WHERE k = 0
+UNION ALL SELECT id, 'blur', '{blur.p' || (p_size % 5) || '}' FROM p WHERE k = 0
+UNION ALL SELECT id, 'width', p_size || '.5px' FROM p WHERE k = 1
+UNION ALL SELECT id, 'style', 'dotted thin' FROM p WHERE k = 1
+UNION ALL SELECT id, unnest(['fontFamily', 'fontSize', 'fontWeight', 'lineHeight']), unnest(['Acme Sans,serif', p_size || 'pt', '600', CASE WHEN p_size % 2 = 0 THEN '1.5' ELSE '20px' END]) FROM p WHERE k = 2""")
+def composite_tokens(spark, sf):
+    """Shadows, borders and typographies of parts, field by field."""
+    k, size = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+    ref = F.concat(F.lit('{"$ref":"b'), (F.col("p_size") % 5).cast("string"), F.lit('"}'))
+    shadow = F.concat(F.lit('{"x":"9","offset_x":"'), size, F.lit('","y":"'), size, F.lit(' PX","blur_radius":'), ref, F.lit(',"color":"#ABC"}'))
+    border = F.concat(F.lit('{"color":"rgb(170, 187, 204)","width":"'), size, F.lit('.50 px","style":" Dotted  thin"}'))
+    height = F.when(F.col("p_size") % 2 == 0, "1.50").otherwise("20 PX")
+    type_ = F.concat(F.lit('{"font_family":"\'Acme Sans\', serif","fontSize":"'), size, F.lit('pt","font_weight":"Semi-Bold","line_height":"'), height, F.lit('","note":"x"}'))
+    value = F.when(k == 0, shadow).when(k == 1, border).otherwise(type_)
+    kind = F.when(k == 0, "shadow").when(k == 1, "border").otherwise("type_scale")
+    paths = t(spark, sf, "part").select(F.concat(F.lit("b"), (F.col("p_size") % 5).cast("string")).alias("id"), F.concat(F.lit("blur.p"), (F.col("p_size") % 5).cast("string")).alias("path")).distinct()
+    return N.composite_fields(t(spark, sf, "part").select(F.col("p_partkey").alias("id"), kind.alias("token_type"), value.alias("value")), paths)
+
+
+@query("""WITH r AS (SELECT DISTINCT o_orderstatus AS run, o_custkey AS g, o_orderpriority AS relation FROM orders), n AS (SELECT g, count(DISTINCT run) AS runs FROM r GROUP BY 1)
+SELECT r.g AS "group", relation FROM r JOIN n ON r.g = n.g GROUP BY r.g, relation, runs HAVING bool_or(run = 'O') OR 2 * count(*) > runs""")
+def relation_handoff(spark, sf):
+    rows = t(spark, sf, "orders").select(F.col("o_orderstatus").alias("run"), F.col("o_custkey").alias("group"), F.col("o_orderpriority").alias("relation"))
+    return M.relation_handoff(rows, rows.select("run", "group"), "O")
+
+
+_EVIDENCE = "SELECT l_orderkey AS entity, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS guard, l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN '_evidence' ELSE '' END AS path, list_sort(list(DISTINCT l_suppkey)) AS items FROM lineitem WHERE"
+
+
+@query(f"""WITH a AS ({_EVIDENCE} l_quantity <= 30 GROUP BY ALL), b AS ({_EVIDENCE} l_quantity > 20 GROUP BY ALL),
+m AS (SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.guard, b.guard) AS guard, coalesce(a.path, b.path) AS path, a.items AS x, b.items AS y FROM a FULL JOIN b ON a.entity = b.entity AND a.guard = b.guard AND a.path = b.path)
+SELECT entity, guard, path, CASE WHEN path LIKE '%\\_evidence' ESCAPE '\\' THEN list_sort(list_distinct(coalesce(x, []) || coalesce(y, []))) ELSE coalesce(x, y) END AS items FROM m
+WHERE x IS NOT NULL OR (entity IN (SELECT entity FROM a) AND (path LIKE '%\\_evidence' ESCAPE '\\' OR NOT EXISTS (SELECT 1 FROM a WHERE a.entity = m.entity AND a.guard = m.guard)))""")
+def evidence_trees(spark, sf):
+    """Evidence of small quantities with that of large ones."""
+    rows = t(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("entity"), F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("guard"),
+        F.concat(F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "_evidence").otherwise("")).alias("path"), "l_suppkey", "l_quantity",
+    )
+    listed = lambda part: part.groupBy("entity", "guard", "path").agg(F.array_sort(F.collect_set("l_suppkey")).alias("items"))
+    return M.merged_evidence(listed(rows.where("l_quantity <= 30")), listed(rows.where("l_quantity > 20")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10)""")
+def selected_units(spark, sf):
+    excluded = t(spark, sf, "part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
+    return M.selected_units(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), excluded, "l_partkey")
+
+
+@query(cte("rules") + """SELECT unnest(section_types) AS section FROM rules UNION SELECT 'sec_f' || (s_suppkey % 4) FROM supplier UNION SELECT 'sec_h' || (s_nationkey % 3) FROM supplier UNION SELECT lower(r_name) FROM region""")
+def section_names(spark, sf):
+    fills = F.array(F.concat(F.lit("sec_f"), (F.col("s_suppkey") % 4).cast("string")))
+    hosts = F.array(F.concat(F.lit("sec_h"), (F.col("s_nationkey") % 3).cast("string")))
+    subtypes = t(spark, sf, "supplier").select(fills.alias("fills"), hosts.alias("hosts"))
+    return M.section_names(derive(spark, sf, "rules"), subtypes, t(spark, sf, "region").select(F.lower("r_name").alias("section")))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_id % 4 // 2 AS signature, event_id % 5 AS fingerprint FROM events),
+n AS (SELECT *, CASE WHEN lag(signature) OVER w = signature THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS since FROM n)
+SELECT event_id, CASE WHEN fingerprint = first_value(fingerprint) OVER (PARTITION BY user_id, since ORDER BY event_id) THEN 'pass' ELSE 'fail' END AS status FROM s""")
+def determinism(spark, sf):
+    runs = t(spark, sf, "events").select("user_id", "event_id", F.floor(F.col("event_id") % 4 / 2).alias("signature"), (F.col("event_id") % 5).alias("fingerprint"))
+    return T.determinism(runs, "user_id", "event_id").select("event_id", "status")
+
+
+@query("""SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0""")
+def cache_hits(spark, sf):
+    cache = t(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return T.from_cache(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), cache, "o_custkey")[0].select("o_orderkey", "c_name")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def cache_misses(spark, sf):
+    cache = t(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return T.from_cache(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), cache, "o_custkey")[1].select("o_orderkey")
+
+
+@query("""SELECT p_name AS name, coalesce(min(p_brand) FILTER (p_size > 45), min(p_type)) AS value, CASE WHEN count(*) FILTER (p_size > 45) > 0 THEN 0 ELSE 1 END AS layer FROM part GROUP BY 1""")
+def settings_layers(spark, sf):
+    part = t(spark, sf, "part").groupBy(F.col("p_name").alias("name"))
+    own = part.agg(F.min(F.when(F.col("p_size") > 45, F.col("p_brand"))).alias("value"))
+    return T.settings([own, part.agg(F.min("p_type").alias("value"))])
+
+
+@query("""SELECT o_custkey, string_agg(n || ' ' || k || CASE WHEN n = 1 THEN '' ELSE 's' END, ', ' ORDER BY k) AS text FROM (SELECT o_custkey, o_orderstatus AS k, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1""")
+def summary_texts(spark, sf):
+    counts = t(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+    return T.summary_text(counts, "o_custkey", "o_orderstatus", "n")
+
+
+@query("""SELECT p_partkey, unnest(['size', 'price.retail', 'price.deep.flag']) AS path, unnest([p_size::DOUBLE, p_retailprice::DOUBLE, (p_size > 20)::INT::DOUBLE]) AS value FROM part""")
+def flattened_numbers(spark, sf):
+    """Numbers of nested documents by dotted path."""
+    deep = F.struct((F.col("p_size") > 20).alias("flag"), F.array("p_size").alias("list"))
+    price = F.struct(F.col("p_retailprice").cast("double").alias("retail"), F.col("p_name").alias("name"), deep.alias("deep"))
+    document = F.to_json(F.struct(F.col("p_size").alias("size"), price.alias("price")))
+    found = t(spark, sf, "part").select("p_partkey", F.explode(T.flattened_numbers(document)).alias("f"))
+    return found.select("p_partkey", "f.path", "f.value")
+
+
+@query("""SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY 1""")
+def first_seen(spark, sf):
+    """Each language once, with its first place."""
+    return D.first_seen(t(spark, sf, "documents"), "lang", "doc_id")
+
+
+@query(cte("rules") + """SELECT id, (6 + (tags IS NOT NULL)::INT + (summary IS NOT NULL)::INT)::BIGINT AS n FROM (SELECT *, 1 FROM rules)""")
+def full_rules(spark, sf):
+    """Rules as JSON without nulls, by their number of fields."""
+    rows = derive(spark, sf, "rules").select("id", "n", "rule_class", "hardness", "rule_text", "value", "tags", "summary")
+    return B.full_json(rows, "id").select("id", F.size(F.json_object_keys("json")).cast("long").alias("n"))
+
+
+@query("""SELECT n_name AS name, list_sort(list(DISTINCT s_nationkey % 4)) AS brands FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT n_name, [] FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
+def vocabulary_union(spark, sf):
+    """The core vocabulary with the brands that use its names."""
+    core = t(spark, sf, "nation").select(F.lit("section").alias("domain"), F.col("n_name").alias("name"), F.array().cast("array<bigint>").alias("brands"))
+    found = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    found = found.select(F.lit("section").alias("domain"), F.col("n_name").alias("name"), (F.col("s_nationkey") % 4).cast("bigint").alias("brand"))
+    return W.vocabulary(core, found).select("name", "brands")
+
+
+@query("""SELECT s_suppkey || '[' || (i - 1) || ']' AS doc_ref, w AS text FROM (SELECT s_suppkey, unnest(string_split(s_name, '#')) AS w, generate_subscripts(string_split(s_name, '#'), 1) AS i FROM supplier)""")
+def bible_blobs(spark, sf):
+    return W.blobs(t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("category"), F.split("s_name", "#").alias("blobs")))
+
+
+@query()
+def markdown_pages(spark, sf):
+    """Documents as HTML."""
+    return t(spark, sf, "documents").select("doc_id", R.markdown_html(F.col("text")).alias("html"))
+
+
+@query()
+def layout_axioms(spark, sf):
+    """Contradictions among the axioms of orders: their sections are suppliers, what lines fill is a supplier's."""
+    section = lambda c: F.when(F.col(c) % 7 == 0, "top_matter").when(F.col(c) % 11 == 0, "end_matter").otherwise(F.concat(F.lit("s"), (F.col(c) % 5).cast("string")))
+    lines = t(spark, sf, "lineitem").withColumn("context", F.col("l_orderkey").cast("string"))
+    position = F.when(F.col("l_returnflag") == "R", "first").when(F.col("l_returnflag") == "A", "last")
+    subtypes = lines.select("context", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), position.alias("position"), (F.col("l_linestatus") == "F").alias("locked"), F.array(section("l_suppkey"), section("l_partkey")).alias("fills"))
+    return L.layout_cores(L.layout_axioms(lines.select("context", section("l_suppkey").alias("section")), subtypes.distinct()))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import itertools
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a report; more are counted, not shown.
 ROWS = 1000
@@ -36,3 +42,48 @@ def conflicts(rows: DataFrame) -> str:
 def findings(rows: DataFrame) -> str:
     counted = rows.groupBy("resolution", "severity").agg(F.count("*").alias("n"))
     return "# Findings\n\n" + table(counted, ["resolution", "severity", "n"], ["resolution", "severity"])
+
+
+def _kind(line: str) -> str:
+    bare = line.strip()
+    if not bare:
+        return "blank"
+    for start, name in (("# ", "h2"), ("## ", "h3")):
+        if line.startswith(start):
+            return name
+    return {"|": "table", "-": "list"}.get(bare[0] if bare[0] == "|" or bare.startswith("- ") else "", "p")
+
+
+def _inline(text: str) -> str:
+    out = html.escape(text, quote=False)
+    for sign, tag in ((r"\*\*", "strong"), ("`", "code")):
+        out = re.sub(f"{sign}(.+?){sign}", rf"<{tag}>\1</{tag}>", out)
+    return out
+
+
+def _rows(lines: list[str]) -> list[str]:
+    head, *body = [[c.strip() for c in line.strip().strip("|").split("|")] for line in lines]
+    if body and re.fullmatch(":?-+:?", body[0][0]):
+        body = body[1:]
+    row = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{_inline(c)}</{tag}>" for c in cells) + "</tr>"
+    return ["<table>", f"<thead>{row('th', head)}</thead>", "<tbody>", *[row("td", cells) for cells in body], "</tbody></table>"]
+
+
+def html_of(text: str) -> str:
+    """Headings, lists, tables, bold, code and paragraphs of one line each; anything else is text."""
+    out: list[str] = []
+    for kind, group in itertools.groupby(text.splitlines(), _kind):
+        lines = [line.rstrip() for line in group]
+        if kind == "table":
+            out += _rows(lines)
+        elif kind == "list":
+            out += ["<ul>", *[f"<li>{_inline(line.strip()[2:])}</li>" for line in lines], "</ul>"]
+        elif kind != "blank":
+            marks = {"h2": 2, "h3": 3}.get(kind, 0)
+            out += [f"<{kind}>{_inline(line[marks:] if marks else line.strip())}</{kind}>" for line in lines]
+    return "\n".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def markdown_html(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else html_of(x))

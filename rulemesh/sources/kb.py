@@ -136,3 +136,14 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 def vectors(rows: DataFrame, path: str) -> None:
     """The vector table: collection, id, embedding, metadata (lists as comma lists, * for all)."""
     rows.write.mode("overwrite").partitionBy("collection").parquet(path)
+
+
+def schema_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, text) of the Markdown files of a folder, by name without ending; a folder that doesn't exist has none."""
+    try:
+        files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    except Exception as error:  # the path is looked up when the frame is made
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "name string, text string")
+    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("name"), F.col("value").alias("text"))

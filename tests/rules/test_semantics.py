@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from rulemesh.functions import scalars as S
 from rulemesh.operators import aggregates as A
 from rulemesh.operators import cascade as K
+from rulemesh.operators import catalogue as T
 from rulemesh.operators import consistency as L
 from rulemesh.operators import dedupe as D
 from rulemesh.operators import extraction as M
@@ -547,3 +548,55 @@ def test_unknown_references_leave_null_and_are_reported(spark):
     clean, dangling = T.known_refs(rows, "id", "refs", targets, "key")
     assert {r.id: r.refs for r in clean.collect()} == {"r1": ["a", "b", "a"], "r2": None, "r3": None, "r4": None}
     assert sorted(map(tuple, dangling.collect())) == [("r1", "x"), ("r2", "x")]
+
+
+def test_composite_values(spark):
+    rows = [
+        ("s", "shadow", '{"x": "1", "offset_x": "2", "color": {"$ref": "c"}, "inset": true, "blur": {"$ref": "gone"}}'),
+        ("t", "typography", '{"fontFamily": "\\"Acme Sans\\" , serif,", "fontSize": "9", "lineHeight": "1.50", "letterSpacing": "2 PX", "other": "x"}'),
+        ("b", "border", "no json"), ("n", "border", None), ("e", "type_scale", "{}"),
+    ]
+    tokens = spark.createDataFrame(rows, "id string, token_type string, value string")
+    paths = spark.createDataFrame([("c", "brand.ink")], "id string, path string")
+    got = {r.id: (json.loads(r.value) if r.value else None, r.lacking) for r in N.composites(tokens, paths).collect()}
+    assert got["s"] == ({"blur": None, "offsetX": "2px", "color": "{brand.ink}", "inset": "true"}, [])
+    assert got["t"] == ({"fontFamily": "Acme Sans,serif", "fontSize": "9px", "lineHeight": "1.5", "letterSpacing": "2px"}, ["fontWeight"])
+    assert got["b"] == got["n"] == (None, [])
+    assert got["e"][1] == ["fontFamily", "fontSize", "fontWeight", "letterSpacing", "lineHeight"]
+
+
+def test_evidence_of_known_entities_only(spark):
+    kind = "entity string, guard string, path string, items array<string>"
+    base = spark.createDataFrame([("e", "", "value", ["1"]), ("e", "", "value_evidence", ["q", "a"]), ("e", "g", "value", ["2"])], kind)
+    other = spark.createDataFrame(
+        [("e", "", "value", ["9"]), ("e", "", "value_evidence", ["b", "a"]), ("e", "", "notes", ["x"]), ("e", "", "notes_evidence", ["n"]), ("e", "h", "value", ["3"]), ("f", "", "value_evidence", ["z"])], kind
+    )
+    got = {(r.entity, r.guard, r.path): r["items"] for r in M.merged_evidence(base, other).collect()}
+    assert got == {("e", "", "value"): ["1"], ("e", "", "value_evidence"): ["a", "b", "q"], ("e", "", "notes_evidence"): ["n"], ("e", "g", "value"): ["2"], ("e", "h", "value"): ["3"]}
+    assert M.merged_evidence(base.limit(0), other).count() == 0 and M.merged_evidence(base, other.limit(0)).count() == 3
+
+
+def test_majority_of_the_runs_that_emitted_a_group(spark):
+    emitted = spark.createDataFrame([("r1", "g"), ("r2", "g"), ("r3", "g"), ("r4", "h"), ("r2", "h")], "run string, group string")
+    relations = spark.createDataFrame([("r1", "g", "a"), ("r2", "g", "b"), ("r3", "g", "b"), ("r3", "g", "c"), ("r3", "g", "c"), ("r2", "h", "d")], "run string, group string, relation string")
+    got = {(r["group"], r.relation) for r in M.relation_handoff(relations, emitted, "r1").collect()}
+    assert got == {("g", "a"), ("g", "b")}  # d has one of two runs, which is no majority
+
+
+def test_numbers_of_documents(spark):
+    texts = ['{"a": 1, "b": {"c": {"d": 2.5, "e": "x", "f": null}, "g": [1]}, "h": true}', "[1]", "no", None, "{}"]
+    rows = spark.createDataFrame([(n, x) for n, x in enumerate(texts)], "n int, x string").select("n", T.flattened_numbers("x").alias("f"))
+    got = {r.n: {x.path: x.value for x in r.f} for r in rows.collect()}
+    assert got == {0: {"a": 1.0, "b.c.d": 2.5, "h": 1.0}, 1: {}, 2: {}, 3: {}, 4: {}}
+
+
+def test_records_settings_and_caches(spark):
+    runs = spark.createDataFrame([("k", n, s, f) for n, (s, f) in enumerate([("a", "1"), ("a", "1"), ("a", "2"), ("b", "2"), ("a", "3"), (None, "3"), (None, None)])], "k string, n int, signature string, fingerprint string")
+    assert [r.status for r in T.determinism(runs, "k", "n").orderBy("n").collect()] == ["pass", "pass", "fail", "pass", "pass", "pass", "fail"]
+    layer = lambda rows: spark.createDataFrame(rows, "name string, value string")
+    got = {r.name: (r.value, r.layer) for r in T.settings([layer([("a", None), ("b", "1")]), layer([("a", "2"), ("b", "3")]), layer([])]).collect()}
+    assert got == {"a": ("2", 1), "b": ("1", 0)}
+    wanted = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    cache = spark.createDataFrame([(2, "x"), (2, "x")], "k int, v string")
+    hits, misses = T.from_cache(wanted, cache, "k")
+    assert [r.v for r in hits.collect()] == ["x", "x"] and sorted(r.k or 0 for r in misses.collect()) == [0, 1]

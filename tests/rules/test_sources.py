@@ -137,3 +137,20 @@ def test_results_of_runs_from_a_folder_or_a_file(spark, tmp_path):
     kind = kb.T.StructType.fromDDL("section string, rules array<string>")
     assert sorted((r.run, r.section) for r in kb.read_runs(spark, str(tmp_path), kind).collect()) == [("r1", "r1"), ("r2", "r2")]
     assert [r.run for r in kb.read_runs(spark, f"{tmp_path}/r2.json", kind).collect()] == ["r2"]
+
+
+def test_markdown_as_html():
+    text = "# A & b\n\n## Deep `x<y`\n- one **two**\n- three\n\n- four\n| h | i |\n| --- | :-: |\n| 1 | `2` |\nplain\nnext  \n"
+    assert reports.html_of(text).split("\n") == [
+        "<h2>A &amp; b</h2>", "<h3>Deep <code>x&lt;y</code></h3>", "<ul>", "<li>one <strong>two</strong></li>", "<li>three</li>", "</ul>", "<ul>", "<li>four</li>", "</ul>",
+        "<table>", "<thead><tr><th>h</th><th>i</th></tr></thead>", "<tbody>", "<tr><td>1</td><td><code>2</code></td></tr>", "</tbody></table>", "<p>plain</p>", "<p>next</p>",
+    ]
+    assert reports.html_of("") == "" and reports.html_of("| a |\n| b |") == "<table>\n<thead><tr><th>a</th></tr></thead>\n<tbody>\n<tr><td>b</td></tr>\n</tbody></table>"
+    assert reports.html_of("#no\n-no") == "<p>#no</p>\n<p>-no</p>"
+
+
+def test_schema_documents_by_name(spark, tmp_path):
+    (tmp_path / "rule.md").write_text("# Rule\n\ntext\n")
+    (tmp_path / "other.txt").write_text("x")
+    assert [(r.name, r.text) for r in kb.schema_docs(spark, str(tmp_path)).collect()] == [("rule", "# Rule\n\ntext\n")]
+    assert kb.schema_docs(spark, f"{tmp_path}/none").count() == 0
