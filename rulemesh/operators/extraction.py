@@ -1,6 +1,8 @@
 """Labels, quote alignment, provenance, votes over runs, patches and the coverage ledger."""
 
+import re
 import unicodedata
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -112,11 +114,24 @@ def _searched(units: DataFrame, text: str, wanted: list[str]) -> DataFrame:
 _SIGNS = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-", " ": " "})
 
 
-def folded(text: str) -> tuple[str, list[int]]:
+# blanks that folding changes
+_BLANKS = re.compile(r"\s\s|[^\S ]")
+# signs without blanks, and without a last one that others may combine with
+_PLAIN = re.compile(r"[!-~]+(?![^\x00-\x7f])")
+
+
+def folded(text: str) -> tuple[str, Sequence[int]]:
     """A text as it is compared (composed, plain quotes, single blanks, case folded), and where each of its characters comes from."""
+    if text.isascii() and not _BLANKS.search(text):
+        return text.lower(), range(len(text))
     out, source, gap = [], [], False
     at = 0
     while at < len(text):
+        if plain := _PLAIN.match(text, at):
+            out.append(plain[0].lower())
+            source.extend(range(at, plain.end()))
+            at, gap = plain.end(), False
+            continue
         end = at + 1
         while end < len(text) and unicodedata.combining(text[end]):
             end += 1
@@ -152,15 +167,14 @@ def align(quote: str, text: str, least: float = RATIO) -> tuple[int, int, str, f
     t, source = folded(text)
     if not q or not t:
         return None
-    # a sign that folds to several characters ends where the next sign begins
-    ends, after = [0] * len(t), len(text)
-    for k in range(len(t) - 1, -1, -1):
-        if k + 1 < len(t) and source[k + 1] > source[k]:
-            after = source[k + 1]
-        ends[k] = after
+
+    def end_of(k: int) -> int:
+        # a sign that folds to several characters ends where the next sign begins
+        return next((source[j] for j in range(k + 1, len(t)) if source[j] > source[k]), len(text))
+
     at = t.find(q)
     if at >= 0:
-        return source[at], ends[at + len(q) - 1], "normalized", 1.0
+        return source[at], end_of(at + len(q) - 1), "normalized", 1.0
     begin, stop, bound = _windows(q, t, least)
     best = None
     matcher = SequenceMatcher(autojunk=False)
@@ -178,7 +192,7 @@ def align(quote: str, text: str, least: float = RATIO) -> tuple[int, int, str, f
             k = 0
     if best is None:
         return None
-    return source[best[1]], ends[best[2] - 1], "fuzzy", -best[0]
+    return source[best[1]], end_of(best[2] - 1), "fuzzy", -best[0]
 
 
 def _windows(q: str, t: str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,8 +202,13 @@ def _windows(q: str, t: str, least: float) -> tuple[np.ndarray, np.ndarray, np.n
     seen = np.zeros((len(signs), len(t) + 1), np.int32)
     np.cumsum(there[None, :] == signs[:, None], axis=1, out=seen[:, 1:])
     low = max(1, int(0.8 * len(q)))
+    high = min(max(low, int(1.2 * len(q))), len(t))
     found = []
-    for width in range(low, min(max(low, int(1.2 * len(q))), len(t)) + 1):
+    # no window shares more than the best of the widest ones
+    most = np.minimum(seen[:, high:] - seen[:, :-high], wanted[:, None]).sum(0).max()
+    for width in range(low, high + 1):
+        if 2.0 * most / (len(q) + width) < least:
+            break
         shared = np.minimum(seen[:, width:] - seen[:, :-width], wanted[:, None]).sum(0)
         bound = 2.0 * shared / (len(q) + width)
         begin = np.flatnonzero(bound >= least)
