@@ -46,6 +46,16 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a file of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores before it as no column of ``docs`` needs to clash with it."""
     taken = {c.lower() for c in docs.columns}

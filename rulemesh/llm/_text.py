@@ -21,6 +21,9 @@ _BYTES = np.arange(256, dtype=np.uint8)
 SPACE = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 
+#: Bytes of words of letters and digits, once lower-cased: ASCII ones and all of characters beyond ASCII.
+ALNUM = (_BYTES >= 128) | np.isin(_BYTES, np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8))
+
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column as large strings, null as empty."""
@@ -90,6 +93,31 @@ def spaced(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return kept, at, at + lengths, first
 
 
+def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of letters and digits, A-Z lower-cased: bytes, word starts, word ends, first word of each text."""
+    raw, offs = utf8(texts)
+    data = LOWER[raw]
+    return data, *runs(ALNUM[data], offs)
+
+
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> np.uint32(1)) ^ np.uint32(0xEDB88320), _CRC >> np.uint32(1)).astype(np.uint32)
+
+
+def crc32(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """CRC-32 of many slices of ``data``, all a byte further together."""
+    order = np.argsort(starts - ends, kind="stable")  # the longest first, so those that go on are a prefix
+    at, length = starts[order], (ends - starts)[order]
+    out = np.full(len(starts), 0xFFFFFFFF, np.uint32)
+    left = len(starts) - np.searchsorted(length[::-1], np.arange(length.max(initial=0)), "right")
+    for p, n in enumerate(left.tolist()):
+        out[:n] = _CRC[(out[:n] ^ data[at[:n] + p]) & np.uint32(255)] ^ (out[:n] >> np.uint32(8))
+    done = np.empty_like(out)
+    done[order] = ~out
+    return done
+
+
 _P1, _P2, _P3, _P4, _P5 = (
     np.uint64(x)
     for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)

@@ -49,7 +49,8 @@ class WordIds:
     through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = CACHE_WORDS):
+        self.keep = keep
         # a task has one core; threads of its own would each keep their memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -106,8 +107,8 @@ class WordIds:
             self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
         self.uses[at] += 1
         found = self.flat, self.begin[at], self.begin[at + 1] - self.begin[at]
-        if len(self.words) > CACHE_WORDS:
-            self._forget(CACHE_WORDS // 2)
+        if len(self.words) > self.keep:
+            self._forget(self.keep // 2)
         return found
 
 
@@ -117,8 +118,8 @@ def opened(path: str) -> WordIds:
     return HELD[path]
 
 
-def token_ids(texts: pa.Array, words: WordIds, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, each with ``end`` last, and the n + 1 offsets."""
+def token_ids(texts: pa.Array, words, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, each with ``end`` last, and the n + 1 offsets; ``words`` is a WordIds or the like."""
     s = TextStats(texts)
     flat, begin, sizes = words.of(s.words.dictionary)
     lengths = sizes[s.ids]
