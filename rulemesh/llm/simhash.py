@@ -22,10 +22,12 @@ no task grows with the group.
 ``keep_one`` looks for texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more. Such fingerprints differ in about 15 % of their
 bits, so 64 bits can't tell them from others and no block of bits is surely
-equal. It therefore takes 512 bits, of which ``WIDE_BUDGET`` may differ, and
-deals them out by the lowest of several hashes of the shingles (bands), under
-one of which similar texts almost surely meet; the join under a key is the same
-walk over tries.
+equal. Its candidates therefore have 512 bits, of which ``WIDE_BUDGET`` may
+differ, and are dealt out by the lowest of several hashes of the shingles
+(bands), under one of which similar texts almost surely meet; the join under a
+key is the same walk over tries. What it draws together are groups of
+candidates only: the texts of a group are then walked once more, and a pair is
+linked where its whole sets are as similar as that.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut, fresh, map_arrow, partitions, read_table, row_marks
@@ -52,9 +54,11 @@ FRONTIER = 1 << 18
 #: Rows of complete keys that are joined in one go.
 CHUNK = 1 << 18
 
-#: Of ``keep_one``: words of a shingle, 64-bit words of a fingerprint, and bits that may differ. Jaccard 0.8
-#: makes 77.5 of 512 bits differ on average, 0.7 makes it 98.3, each give or take 8 or 9.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_BUDGET = 5, 8, 84
+#: Of ``keep_one``: least similarity, words of a shingle, 64-bit words of a fingerprint, and bits that candidates may
+#: differ in. Jaccard 0.8 makes 77.5 of 512 bits differ on average, give or take 8: four times that is allowed for.
+SIMILAR, WIDE_SHINGLE, WIDE_WORDS, WIDE_BUDGET = 0.8, 5, 8, 112
+#: Bytes of a candidate group's texts that a single task takes, and pairs compared before what they settle is let go.
+HOT_BYTES, PAIRS = 1 << 24, 4096
 #: Keys of a text, and lowest hashes in each: sets of similarity s share a key with the chance 1 - (1 - s^3)^8, 0.997 at 0.8.
 BANDS, BAND_ROWS = 8, 3
 
@@ -118,19 +122,50 @@ def _stream(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_hashes``, ascending in each text and each once."""
+    hashes, bound = shingle_hashes(texts, shingle)
+    owner = np.repeat(np.arange(len(texts)), np.diff(bound))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
+
+
+class ShingleSets:
+    """The whole shingle sets of some texts, for comparing pairs of them."""
+
+    def __init__(self, texts: pa.Array, shingle: int = WIDE_SHINGLE, similarity: float = SIMILAR):
+        hashes, self.bound = shingle_sets(texts, shingle)
+        self.similarity, self.size = similarity, np.diff(self.bound)
+        values, rank = np.unique(hashes, return_inverse=True)
+        self.rank, self.width = rank.astype(np.int64), max(1, len(values))
+        #: Text and rank of each member in one number, ascending.
+        self.member = np.repeat(np.arange(len(texts)), self.size) * self.width + self.rank
+
+    def similar(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs have a Jaccard similarity of ``similarity`` or more; two empty sets have."""
+        i, j = np.where(self.size[i] <= self.size[j], i, j), np.where(self.size[i] <= self.size[j], j, i)
+        small, big = self.size[i], self.size[j]
+        out = small >= self.similarity * big - 1e-9
+        at = np.flatnonzero(out & (small > 0))
+        if len(at):
+            ends = np.cumsum(small[at])
+            rank = self.rank[np.repeat(self.bound[i[at]] - (ends - small[at]), small[at]) + np.arange(ends[-1])]
+            wanted = np.repeat(j[at], small[at]) * self.width + rank
+            place = np.minimum(np.searchsorted(self.member, wanted), len(self.member) - 1)
+            common = np.add.reduceat((self.member[place] == wanted).astype(np.int64), ends - small[at])
+            out[at] = common >= self.similarity * (small[at] + big[at] - common) - 1e-9
+        return out
+
+
 def wide_simhash(
     texts: pa.Array, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, bands: int = BANDS, rows: int = BAND_ROWS
 ) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints (texts by 64-bit words) and keys (texts by bands) of the texts' sets of shingles."""
-    hashes, bound = shingle_hashes(texts, shingle)
     n = len(texts)
-    owner = np.repeat(np.arange(n), np.diff(bound))
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), bool)  # a repeated shingle counts once
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[new], owner[new]
-    bound = np.searchsorted(owner, np.arange(n + 1))
+    hashes, bound = shingle_sets(texts, shingle)
     prints = np.stack([majority(_stream(hashes, k), bound) for k in range(words)], 1)
     full = np.flatnonzero(np.diff(bound))
     keys = np.zeros((n, bands), np.uint64)
@@ -185,7 +220,9 @@ def components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
 class Trie:
     """Tries of several groups as one sorted array; ``group`` ascends, ``bits`` ascends in a group, pairs are distinct."""
 
-    def __init__(self, group: np.ndarray, bits: np.ndarray, budget: int):
+    def __init__(self, group: np.ndarray, bits: np.ndarray, budget: int, sets: ShingleSets | None = None):
+        #: Where given, what is near by its bits is only linked if its sets are similar.
+        self.sets = sets
         # texts by 64-bit words, the first word on top
         self.bits, self.budget = bits.reshape(len(bits), -1), budget
         self.n = len(bits)
@@ -197,12 +234,25 @@ class Trie:
     def _apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int32)
 
+    def _link(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Link pairs that are near; a pair that others have drawn together needs no comparison of sets."""
+        if self.sets is None:
+            self.label = components(self.n, i, j, self.label)
+            return
+        while len(i):
+            open_ = self.label[i] != self.label[j]
+            i, j = i[open_], j[open_]
+            a, b = i[:PAIRS], j[:PAIRS]
+            alike = self.sets.similar(a, b)
+            self.label = components(self.n, a[alike], b[alike], self.label)
+            i, j = i[PAIRS:], j[PAIRS:]
+
     def _near_first(self) -> None:
         """Links that cost one pass: sorted neighbours, and members within half the budget of a group's majority."""
         i = np.arange(self.n - 1)
         i = i[self._apart(i, i + 1) <= self.budget]
         i = i[~np.isin(i + 1, self.lo)]
-        self.label = components(self.n, i, i + 1, self.label)
+        self._link(i, i + 1)
         for g in np.flatnonzero(self.hi - self.lo >= 64):
             lo, hi = self.lo[g], self.hi[g]
             own = self.bits[lo:hi]
@@ -210,7 +260,8 @@ class Trie:
             apart = np.bitwise_count(own ^ np.array(centre, np.uint64)).sum(1, dtype=np.int32)
             close = lo + np.flatnonzero(apart <= self.budget // 2)
             if len(close) > 1:
-                self.label = components(self.n, close[1:], np.full(len(close) - 1, close[0]), self.label)
+                first = close[np.argmin(apart[close - lo])]
+                self._link(close, np.full(len(close), first))
 
     def join(self) -> np.ndarray:
         """The components' labels after all links within a group."""
@@ -236,7 +287,7 @@ class Trie:
             if leaf.any():
                 i, j = alo[leaf], blo[leaf]
                 near = self._apart(i, j) <= self.budget
-                self.label = components(self.n, i[near], j[near], self.label)
+                self._link(i[near], j[near])
                 f = tuple(x[~leaf] for x in f)
             if len(f[0]) > FRONTIER:
                 half = len(f[0]) // 2
@@ -322,6 +373,33 @@ def _linker(budget: int, binary: bool):
     return run
 
 
+def _exact_linker(budget: int, similarity: float, shingle: int):
+    """As ``_linker``, for (key, fingerprint, text) with wide fingerprints, linked where the texts' sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def joined() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            value = _decoded(rows.column(1))
+            label = Trie(rows.column(0).to_numpy(), value, budget, ShingleSets(text_column(rows), shingle, similarity)).join()
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([_encoded(value[linked], True), _encoded(value[label[linked]], True)], names=["a", "b"])
+
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
+                if held and len(part) and held[-1].column(0)[0].as_py() != key[part[0]] and sum(b.nbytes for b in held) >= HOT_BYTES:
+                    yield from joined()
+                    held = []
+                if len(part):
+                    held.append(batch.slice(part[0], len(part)))
+        if held:
+            yield from joined()
+
+    return run
+
+
 def _bits(place: tuple[int, int]):
     return F.shiftrightunsigned("fingerprint", place[0]).bitwiseAND(F.lit((1 << place[1]) - 1))
 
@@ -367,21 +445,23 @@ def _large(keyed: DataFrame, hot: int) -> tuple[DataFrame | None, int]:
     return F.broadcast(large) if n <= HOT_BROADCAST else large, n
 
 
+def _chunked(keyed: DataFrame, large: DataFrame) -> DataFrame:
+    """``keyed`` with the rows of ``large`` keys under a key for each pair of chunks that has the row's own."""
+    own = F.pmod(F.xxhash64("fingerprint"), F.col("chunks"))
+    pair = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1), lambda o: F.xxhash64(F.col("key"), F.least(o, own), F.greatest(o, own))
+    )
+    keys = F.when(F.col("chunks").isNull(), F.array("key")).otherwise(pair)
+    rest = [c for c in keyed.columns if c != "key"]
+    return keyed.join(large, "key", "left").select(F.explode(keys).alias("key"), *rest)
+
+
 def join_keys(keyed: DataFrame, budget: int, hot: int = HOT) -> DataFrame:
     """Rows (a, b) that join the fingerprints under each key of ``keyed`` (key, fingerprint) that are within ``budget``."""
     spark = keyed.sparkSession
     large, n_large = _large(keyed, hot)
     if n_large:
-        keyed = keyed.join(large, "key", "left")
-        # chunk pairs: a fingerprint of chunk c goes to every pair that has c
-        own = F.pmod(F.xxhash64("fingerprint"), F.col("chunks"))
-        pair = F.transform(
-            F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1),
-            lambda o: F.xxhash64(F.col("key"), F.least(o, own), F.greatest(o, own)),
-        )
-        keyed = keyed.select(
-            F.explode(F.when(F.col("chunks").isNull(), F.array("key")).otherwise(pair)).alias("key"), "fingerprint"
-        )
+        keyed = _chunked(keyed, large)
     dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key", "fingerprint")
     kind = keyed.schema["fingerprint"].dataType.simpleString()
     return map_arrow(dealt, _linker(budget, kind == "binary"), f"a {kind}, b {kind}")
@@ -489,28 +569,50 @@ def similar_components(own: DataFrame, budget: int = WIDE_BUDGET, hot: int = HOT
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = WIDE_BUDGET, hot: int = HOT) -> DataFrame:
+def exact_links(texts: DataFrame, budget: int = WIDE_BUDGET, similarity: float = SIMILAR, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """Rows (a, b) that join the fingerprints under each key of ``texts`` (key, fingerprint, text) whose texts are similar.
+
+    A pair is compared by its whole sets of shingles unless its fingerprints are
+    further than ``budget`` apart or other pairs have joined it. A key with more
+    than ``hot_bytes`` of text is dealt out by pairs of chunks.
+    """
+    size = texts.groupBy("key").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("bytes")).where(F.col("bytes") > hot_bytes)
+    large = cut(size.select("key", F.ceil(F.col("bytes") / (hot_bytes // 2)).cast("int").alias("chunks")))
+    if large.limit(1).count():
+        texts = _chunked(texts, large)
+    dealt = texts.repartition(partitions(texts.sparkSession), "key").sortWithinPartitions("key", "fingerprint")
+    return map_arrow(dealt.select("key", "fingerprint", "text"), _exact_linker(budget, similarity, WIDE_SHINGLE), "a binary, b binary")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = WIDE_BUDGET, hot: int = HOT, similarity: float = SIMILAR,
+    hot_bytes: int = HOT_BYTES,
+) -> DataFrame:
     """``docs`` with one row of each component of near-duplicates: that of the smallest id, null ids last.
 
-    Texts are near-duplicates if their five-word fingerprints of 512 bits differ
-    in at most ``budget`` bits, which stands for a Jaccard similarity of 0.8 or
-    more, and if they share a key (see the module). Rows that share an id are
-    told apart by their text and other columns; of rows that are equal in all
-    columns one stays. Null and empty texts are alike; a very long text is one
-    step of its worker. Columns stay as they are, whatever their names; an empty
-    table gives an empty one.
+    Texts are near-duplicates if their sets of five-word shingles have a Jaccard
+    similarity of ``similarity`` or more, which is compared exactly for all that
+    share a key and whose fingerprints differ in at most ``budget`` bits (see
+    the module). Rows that share an id are told apart by their text and other
+    columns; of rows that are equal in all columns one stays. Null and empty
+    texts are alike; a very long text is one step of its worker. Columns stay as
+    they are, whatever their names; an empty table gives an empty one.
     """
-    names = fresh(docs, "_text_hash", "_more_hash", "_rest_hash", "_place")
-    text, place = F.col(text_col).cast("string"), names[3]
-    marks = row_marks(docs, id_col, text_col)
-    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *[m.alias(n) for m, n in zip(marks, names)])
+    names = fresh(docs, "_text_hash", "_more_hash", "_rest_hash")
+    text = F.col(text_col).cast("string")
+    marks = [m.alias(n) for m, n in zip(row_marks(docs, id_col, text_col), names)]
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *marks)
     own = cut(wide_fingerprints(docs.select(row.alias("best"), text.alias("text")), "text"))
-    best = similar_components(own, budget, hot).groupBy("root").agg(F.min("best").alias("best"))
-    kept = best.select(*[F.col("best")[n].alias(n) for n in names[:3]])
-    marked = docs.select("*", *[m.alias(n) for m, n in zip(marks, names)]).join(kept, names[:3], "left_semi")
-    # rows that are equal in everything have been sorted together by the join
-    order = Window.partitionBy(*names[:3]).orderBy(*names[:3])
-    one = marked.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    coarse = cut(similar_components(own, budget, hot))
+    # the texts of groups of candidates, one for each fingerprint; equal rows fall together before they are moved
+    crowded = coarse.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    wanted = coarse.join(crowded, "root").select(F.xxhash64("root").alias("key"), "fingerprint", *[F.col("best")[n].alias(n) for n in names])
+    texts = docs.select(text.alias("text"), *marks).dropDuplicates(names).join(wanted, names).select("key", "fingerprint", "text")
+    exact = star_components(exact_links(cut(texts), budget, similarity, hot_bytes))
+    rooted = coarse.drop("root").join(exact, coarse.fingerprint == exact.node, "left")
+    best = rooted.groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("best").alias("best"))
+    kept = best.select(*[F.col("best")[n].alias(n) for n in names])
+    one = docs.select("*", *marks).dropDuplicates(names).join(kept, names, "left_semi")
     return one.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -6,6 +6,8 @@ from collections import Counter
 import pytest
 import regex
 
+from pyspark.sql import functions as F
+
 from rulemesh.llm import pii as P
 
 TEXTS = [
@@ -116,11 +118,13 @@ def test_surrogates_are_fixed_values(spark):
         return int(hashlib.sha256(f"k|{kind}|0|{n}|{x}".encode()).hexdigest()[:15], 16)
 
     left, right = 15255, 58590
-    for n in range(P.ROUNDS):
-        if n % 2:
-            right = (right + number("phone", n, left)) % 10**5
-        else:
-            left = (left + number("phone", n, right)) % 10**5
+    for step in (1, -1):
+        for n in range(P.ROUNDS)[::step]:
+            if n % 2:
+                right = (right + step * number("phone", n, left)) % 10**5
+            else:
+                left = (left + step * number("phone", n, right)) % 10**5
+        right = (right + 1) % 10**5 if step == 1 else right
     d = f"{left:05d}{right:05d}"
     assert want.startswith(f"+1 ({d[:3]}) {d[3:6]}-{d[6:]} ")
 
@@ -156,13 +160,36 @@ class Plain:
         return hashlib.sha256(f"{self.key}|{kind}|{self.variant[kind]}|{'|'.join(what)}".encode()).hexdigest()
 
     def feistel(self, kind, left, right, low, high):
-        for n in range(P.ROUNDS):
-            if n % 2:
-                right = (right + int(self.hex(kind, str(n), str(left))[:15], 16)) % high
-            else:
-                left = (left + int(self.hex(kind, str(n), str(right))[:15], 16)) % low
+        for step in (1, -1):
+            for n in range(P.ROUNDS)[::step]:
+                if n % 2:
+                    right = (right + step * int(self.hex(kind, str(n), str(left))[:15], 16)) % high
+                else:
+                    left = (left + step * int(self.hex(kind, str(n), str(right))[:15], 16)) % low
+            right = (right + (step == 1)) % high
         return left, right
 
+    @staticmethod
+    def moved(codes, by):
+        every, out = "".join(P.CLASSES), []
+        for k, code in enumerate(codes):
+            letters = next((x for x in P.CLASSES if code and every[code - 1] in x), "")
+            out.append(every.index(letters[(letters.index(every[code - 1]) + by(k)) % len(letters)]) + 1 if letters else 0)
+        return out
+
+    def classed(self, kind, value):
+        every = "".join(P.CLASSES)
+        codes = [every.find(c) + 1 for c in value]
+        a, b = codes[: len(value) // 2], codes[len(value) // 2 :]
+        for step in (1, -1):
+            for n in range(P.ROUNDS)[::step]:
+                stream = bytes.fromhex(self.hex(kind, str(n), ",".join(map(str, a if n % 2 else b))))
+                by = lambda k: step * stream[k % 32]  # noqa: B023, E731
+                a, b = (a, self.moved(b, by)) if n % 2 else (self.moved(a, by), b)
+            if step == 1:
+                a, b = (self.moved(x, lambda k: 1) for x in (a, b))
+        return "".join(every[code - 1] if code else c for code, c in zip(a + b, value))
+
     def digits(self, kind, text):
         half = len(text) // 2
         a, b = self.feistel(kind, int(text[:half] or 0), int(text[half:] or 0), 10**half, 10 ** (len(text) - half))
@@ -193,38 +220,27 @@ class Plain:
             x, y = self.feistel("address", *divmod(n - low, 1 << bits // 2), 1 << bits // 2, 1 << bits // 2)
             n = low + (x << bits // 2) + y
         else:
-            for _ in range(4):
-                x, y = self.feistel("address", n >> 16, n & 65535, 65536, 65536)
-                n = x << 16 | y
-                if not block(n):
-                    break
+            public = [x for x in range(65536) if not block(x << 16)]
+            x, y = self.feistel("address", public.index(n >> 16), n & 65535, len(public), 65536)
+            n = public[x] << 16 | y
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
 
     def iban(self, m):
         compact = m.replace(" ", "")
-        account = self.refilled(compact[4:], self.digits("iban", re.sub(r"\D", "", compact[4:])))
-        check = 98 - int("".join(str(int(c, 36)) for c in account + compact[:2] + "00")) % 97
-        return self.refilled(m, re.sub(r"\D", "", f"{check:02d}{account}"))
+        old = compact[4:]
+        digits = re.sub(r"\D", "", old)
+        account = self.refilled(old, self.digits("iban", digits)) if digits else self.classed("iban", old)
+        right = lambda x: 98 - int("".join(str(int(c, 36)) for c in x + compact[:2] + "00")) % 97
+        new = list(f"{compact[:2]}{(right(account) + int(compact[2:4]) - right(old)) % 100:02d}{account}")
+        return "".join(c if c == " " else new.pop(0) for c in m)
 
     def secret(self, m):
         head = regex.match(P.SECRET_HEAD, m)
         head = head[0] if head else ""
         value = m[len(head) :]
         upper = bool(re.fullmatch("[0-9]*[A-F][0-9A-F]*", value))
-        value = value.lower() if re.fullmatch("[0-9a-fA-F]+", value) else value
-        stream = "".join(self.hex("secret", str(n), value) for n in range(4))
-        if re.fullmatch("[0-9a-f]+", value):
-            new = (stream * (len(value) // 256 + 1))[: len(value)]
-            return head + (new.upper() if upper else new)
-        out = []
-        for k, c in enumerate(value):
-            drawn = int(stream[k % 128 * 2 : k % 128 * 2 + 2], 16)
-            for letters in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
-                if c in letters:
-                    c = letters[drawn % len(letters)]
-                    break
-            out.append(c)
-        return head + "".join(out)
+        new = self.classed("secret", value.lower() if re.fullmatch("[0-9A-F]+", value) else value)
+        return head + (new.upper() if upper else new)
 
     def date(self, m):
         head = regex.match(P.BORN, m)[0]
@@ -277,7 +293,7 @@ class Plain:
         if "@" in m:
             local, domain = m.lower(), m.lower().rsplit("@", 1)[1]
             top = re.search(r"\.(com|net|org|edu|info)$", domain)
-            return f"u{self.hex('mail', local)[:16]}@d{self.hex('domain', domain)[:14]}.example{top[0] if top else '.org'}"
+            return f"u{self.hex('mail', local)[:16 + 2 * self.variant['mail']]}@d{self.hex('domain', domain)[:14 + 2 * self.variant['domain']]}.example{top[0] if top else '.org'}"
         if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m):
             return self.address(m)
         if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m):
@@ -321,6 +337,8 @@ MORE = [
     "a@b" + ".b" * 5000 + " x",
     "Mr Smith " + "word " * 20000 + "Smith",
     "Dr Alex Poe met Mrs Alex Poe",
+    "password=12345678 pwd=abc1 Token: aB1 secret=AB12cd34 api_key=ABCDEF0123 passwd=g1hij",
+    "GB29ABCDEFGHIJKLMNOPQRST GB30NWBK60161331926819 203.0.113.9 9.255.255.255 11.0.0.0 172.32.0.1 128.0.0.0 223.255.255.255",
 ]
 
 
@@ -401,3 +419,37 @@ def test_recall_and_precision_by_kind(spark):
         core = re.sub(r"^\S+ = |^\w+=|^born on |^DOB: |^\S+\s(?=\S+ )", "", plant)
         caught[kind] += kind != "none" and core not in r.text
     assert caught == Counter({kind: len(xs) for kind, xs in plants.items()} | {"none": 0})
+
+
+def test_permutations_have_no_fixed_value_and_no_collision(spark):
+    """All values of small kinds: each has a surrogate of its own that isn't itself."""
+    made = P.Surrogates("k", dict.fromkeys(P.KINDS, 0))
+    small = spark.range(5200).select(
+        F.lpad(F.col("id") % 1000, 3, "0").alias("digits"), F.concat(F.chr(F.col("id") % 20 + 103), F.lit("-"), F.chr(F.col("id") % 6 + 65), (F.col("id") % 10)).alias("mixed"),
+        (F.col("id") % (17 * 4297)).alias("day"),
+    )
+    day = made._within("date", F.col("day"), *P.DAYS)
+    rows = small.select("digits", made._digits("number", F.col("digits")), "mixed", made.secret(F.col("mixed")), "day", day).collect()
+    for at, count in ((0, 1000), (2, 60), (4, 5200)):
+        pairs = {(r[at], r[at + 1]) for r in rows}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) == count
+        assert all(a != b for a, b in pairs)
+    assert all(re.fullmatch("[g-z]-[A-F][0-9]", r[3]) for r in rows)
+
+
+def test_many_secrets_get_as_many_surrogates(spark):
+    """Eight digits each, where hashes would collide, and four signs: no retry, no collision, digits stay digits."""
+    docs = spark.range(0, 200_000, 1, 8).select(F.concat(F.lit("password="), F.lpad(F.col("id") * 97 + 11, 8, "0")).alias("text"))
+    got = P.pseudonymise(docs, "k", count_col="n")
+    row = got.select(F.countDistinct("text"), F.count("*"), F.sum("n"), F.sum(F.col("text").rlike("^password=[0-9]{8}$").cast("int"))).first()
+    assert tuple(row) == (200_000,) * 4
+    short = spark.createDataFrame([(f"pwd={a}{b}1{c}",) for a in "abxy" for b in "AZ" for c in range(10)], "text string")
+    new = [r.text for r in P.pseudonymise(short, "k").collect()]
+    assert len(set(new)) == 80 and not set(new) & {r.text for r in short.collect()} and all(re.fullmatch(r"pwd=[a-z][A-Z]\d\d", x) for x in new)
+
+
+def test_wrong_check_digits_stay_wrong_and_apart(spark):
+    docs = spark.createDataFrame([(f"GB{n:02d}NWBK60161331926819",) for n in range(100)], "text string")
+    got = {r.text for r in P.pseudonymise(docs, "k").collect()}
+    right = [x for x in got if int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1]
+    assert len(got) == 100 and len({x[4:] for x in got}) == 1 and right

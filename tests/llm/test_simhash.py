@@ -180,8 +180,8 @@ def plain_wide(text):
 
 
 def plain_kept(texts):
-    """texts: id to text; the smallest id of each component, linked where a key is shared and few bits differ."""
-    prints = {i: plain_wide(t) for i, t in texts.items()}
+    """texts: id to text; the smallest id of each component, linked where the Jaccard similarity of shingles is 0.8 or more."""
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
     root = {i: i for i in texts}
 
     def find(x):
@@ -192,8 +192,7 @@ def plain_kept(texts):
     ids = sorted(texts)
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
-            (a, k), (b, m) = prints[i], prints[j]
-            if (a ^ b).bit_count() <= S.WIDE_BUDGET and (a == b or any(x == y for x, y in zip(k, m))):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return {find(i) for i in ids}
@@ -215,12 +214,44 @@ def test_keep_one_equals_brute_force_and_similar_texts_meet(spark, sf_dir):
         texts[10**6 + n] = " ".join("changed" if rng.random() < 0.02 else w for w in words)
     more = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = plain_kept(texts)
-    for hot in (S.HOT, 4):
-        assert {r.doc_id for r in S.keep_one(more, hot=hot).collect()} == want
+    for settings in ({}, {"hot": 4}, {"hot_bytes": 2000}):
+        assert {r.doc_id for r in S.keep_one(more, **settings).collect()} == want
+
+
+def edited(words, share, rng):
+    """``words`` with so many of them changed, in places, that the sets of shingles have about this similarity."""
+    words, left = list(words), round((1 - share) / (1 + share) * (len(words) - 4))
+    at = rng.integers(0, len(words) - 5)
+    while left > 0:  # a change spoils the five shingles over it
+        words[at] = "changed" + str(rng.integers(10**9))
+        at, left = (at + 5 + int(rng.integers(0, 3))) % len(words), left - 5
+    return words
+
+
+def test_links_from_a_similarity_of_four_fifths_on_and_none_below(spark):
+    """Pairs planted on both sides of 0.8, between 0.70 and 0.90: recall of at least 0.99 (by keys) and no false link."""
+    rng = np.random.default_rng(21)
+    texts, pairs = {}, []
+    for n in range(600):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 200))]
+        texts[n], texts[1000 + n] = " ".join(words), " ".join(edited(words, rng.uniform(0.72, 0.9), rng))
+        pairs.append((n, 1000 + n))
     sets = {i: plain_shingles(t) for i, t in texts.items()}
-    alike = [(i, 10**6 + n) for n, i in enumerate(sorted(texts)[:60])]
-    alike = [(i, j) for i, j in alike if len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])]
-    assert sum(j in want for _, j in alike) <= 0.1 * len(alike)
+    alike = {j for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    near = {j for i, j in pairs if j not in alike and 0.7 <= len(sets[i] & sets[j]) / len(sets[i] | sets[j])}
+    assert len(alike) > 150 and len(near) > 150
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in S.keep_one(docs).collect()}
+    assert len(alike - kept) >= 0.99 * len(alike) and set(texts) - kept <= alike
+
+
+def test_sets_are_compared_whole():
+    texts = ["a b c d e f g h i j k l m n", "a b c d e f g h i j k l m x", "", "a b", "a b", "a b c d e f g h i j k l m n o", "x " * 9]
+    sets = S.ShingleSets(pa.array(texts, pa.large_string()))
+    i, j = (np.array(x) for x in zip(*[(i, j) for i in range(7) for j in range(7)]))
+    own = [plain_shingles(t) for t in texts]
+    want = [not (own[a] | own[b]) or 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b]) for a, b in zip(i, j)]
+    assert sets.similar(i, j).tolist() == want
 
 
 def test_rekeyed_fingerprints_meet_again(spark):
