@@ -226,10 +226,14 @@ def hash_time(hash_: Column, start: int = 946684800, span: int = 20 * 365 * 8640
     return F.conv(F.substring(hash_, 1, 8), 16, 10).cast("long") % span + start
 
 
+# Fixed value: a quoted stretch, in plain or curly quotes.
+QUOTED = "\"([^\"]+)\"|'([^']+)'|“([^”]+)”|‘([^’]+)’"
+
+
 def has_long_quote(text: Column, least: int = 8) -> Column:
-    """Whether a quoted stretch has ``least`` words."""
-    spans = F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))
-    return F.exists(spans, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= least)
+    """Whether a quoted stretch, in any kind of quotes, has ``least`` words."""
+    spans = F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0))
+    return F.exists(spans, lambda s: F.regexp_count(F.substr(s, F.lit(2), F.length(s) - 2), F.lit(r"(?U)\S+")) >= least)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -13,19 +13,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from .quotes import containing
+from .steps import some
 
 # What makes a unit normative, conditional or verbatim, and what counts as a value.
-NORMATIVE = r"(?i)\b(?:must|shall|always|never|required|only|should|do not)\b"
-CONDITIONAL = r"(?i)\b(?:if|when|unless|except|where)\b"
-VERBATIM = r"(?i)\b(?:verbatim|exactly|word for word)\b"
-VALUE = r"(?i)#[0-9a-f]{6}\b|#[0-9a-f]{3}\b|\b\d+(?:\.\d+)?\s*(?:px|pt|em|rem|%)|\brgb\(|\b\d+:\d+\b"
+NORMATIVE = r"(?iU)\b(must|never|always|only|do not|don't|required|reserved|max(?:imum)?|min(?:imum)?|at least|at most|exactly|prohibited|avoid)\b"
+CONDITIONAL = r"(?iU)\b(if|when|on (?:light|dark)|desktop|mobile|print|unless|except)\b"
+VERBATIM = r"(?iU)\b(verbatim|exact(?:ly as shown)?|word[- ]for[- ]word|as written)\b"
+COLOUR = r"(?U)#[0-9a-fA-F]{3,8}\b"
+SIZE = r"(?iU)\b\d+(?:\.\d+)?\s*(?:px|pt|em|rem|%)(?!\w)"
+PROPORTION = r"(?U)\b\d+\s*:\s*\d+\b"
+RGB = r"(?iU)\brgb\s*\(\s*\d{1,3}\s*,\s*\d{1,3}\s*,\s*\d{1,3}\s*\)"
+WEIGHT = r"(?iU)\b(?:font-weight|weight)\s*:?\s*\d{1,4}\b"
+RADII = r"(?iU)\b\d+(?:\.\d+)?\s*(?:px|pt|em|rem|%)(?:\s+\d+(?:\.\d+)?\s*(?:px|pt|em|rem|%))+(?!\w)"
+VALUES = (COLOUR, SIZE, PROPORTION, RGB, WEIGHT, RADII)
 RATIO = 0.92
 
 
 def labels(kind: Column, text: Column) -> Column:
     """Sorted labels that patterns alone give a unit."""
     body = ~kind.isin("blank", "heading")
-    value, normative = text.rlike(VALUE), body & text.rlike(NORMATIVE)
+    value = F.lit(False)
+    for pattern in VALUES:
+        value = value | text.rlike(pattern)
+    normative = body & text.rlike(NORMATIVE)
     conditional = body & text.rlike(CONDITIONAL) & (value | normative)
     word_for_word = body & (text.rlike(VERBATIM) | S.has_long_quote(text))
     plain = ~(value | normative | conditional | word_for_word)
@@ -49,7 +60,7 @@ def merged_labels(kind: Column, locked: Column, proposed: Column, required: Colu
 # ------------------------------------------------------------------- alignment
 
 
-#: Characters of quotes that one pass over the units looks for.
+#: Characters of text that the index of quotes takes at once.
 QUOTE_CHARS = 1_000_000
 
 
@@ -57,59 +68,26 @@ def exact_quotes(quotes: DataFrame, units: DataFrame, quote: str, text: str, on:
     """Quotes in the units that have them: first place (from 0) and end.
 
     With ``on`` only units of the same value are searched (cited ones). Without,
-    every unit is read once for each ``chars`` characters of distinct quotes,
-    all of which an Aho-Corasick automaton finds in one pass; the driver holds
-    so many at once. Null quotes and texts have no places, an empty quote stands
-    at the beginning of each text.
+    an index of sampled q-grams (see ``quotes``) leads to the units, and
+    ``chars`` is how many characters of text it takes at once. Null quotes and
+    texts have no places, an empty quote stands at the beginning of each text.
     """
+    first = F.expr(f"locate(`{quote}`, `{text}`)") - 1
     if on is not None:
-        both = quotes.join(units, on)
-        found = both.withColumn("start", F.expr(f"locate({quote}, {text})") - 1).where("start >= 0")
+        found = quotes.join(units, on).withColumn("start", first).where("start >= 0")
         return found.withColumn("end", F.col("start") + F.length(quote))
-    distinct = quotes.select(F.col(quote).alias("q")).where("q IS NOT NULL").distinct()
-    size = distinct.agg(F.sum(F.length("q"))).first()[0] or 0
-    passes = -(-size // chars) or 1
-    out = None
-    for n in range(passes):
-        part = distinct if passes == 1 else distinct.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == n)
-        found = _searched(units, text, sorted(r["q"] for r in part.collect()))
-        out = found if out is None else out.unionByName(found)
-    joined = out.join(quotes, out["_quote"] == quotes[quote]).drop("_quote")
+    distinct = quotes.select(F.col(quote).alias("quote")).where("quote IS NOT NULL").distinct()
+    marks = [F.xxhash64(F.lit(n), F.col(text)).alias(f"_d{n}") for n in (1, 2)]
+    marked = units.select("*", *marks).where(F.col(text).isNotNull())
+    texts = marked.select(F.col(text).alias("text"), F.col("_d1").alias("d1"), F.col("_d2").alias("d2")).dropDuplicates(["d1", "d2"])
+    met = containing(distinct.where("quote <> ''"), texts, chars).withColumnsRenamed({"quote": "_quote", "d1": "_d1", "d2": "_d2"})
+    found = marked.join(met, ["_d1", "_d2"]).drop("_d1", "_d2")
+    if some(distinct.where("quote = ''")):
+        found = found.unionByName(marked.drop("_d1", "_d2").withColumn("_quote", F.lit("")))
+    joined = found.join(quotes, found["_quote"] == quotes[quote]).drop("_quote").withColumn("start", first.cast("int")).where("start >= 0")
     return joined.withColumn("end", F.col("start") + F.length(quote))
 
 
-def _searched(units: DataFrame, text: str, wanted: list[str]) -> DataFrame:
-    """``units`` with ``_quote`` and ``start`` for each of the ``wanted`` texts that a unit has."""
-
-    def run(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for q in wanted:
-            if q:
-                automaton.add_word(q, q)
-        automaton.make_automaton()
-        for batch in batches:
-            rows, names, starts = [], [], []
-            for k, whole in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
-                if whole is None:
-                    continue
-                first = {"": 0} if "" in wanted else {}
-                if len(automaton):
-                    for end, q in automaton.iter(whole):
-                        first.setdefault(q, end - len(q) + 1)
-                rows += [k] * len(first)
-                names += first
-                starts += first.values()
-            if rows:
-                kept = batch.take(pa.array(rows))
-                columns = [*kept.columns, pa.array(names, pa.string()), pa.array(starts, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_quote", "start"])
-
-    kind = T.StructType([*units.schema.fields, T.StructField("_quote", T.StringType()), T.StructField("start", T.IntegerType())])
-    return units.mapInArrow(run, kind)
-
-
 # Typographic signs and what they are compared as.
 _SIGNS = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-", " ": " "})
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import cut, some
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge from either end: (node, other, type, direction)."""
@@ -80,16 +82,38 @@ def resolve_refs(tokens: DataFrame, key: str = "id", ref: str = "ref", value: st
     return joined.select("id", F.when(status == "ok", F.col("_own")).alias("value"), F.when(status != "cycle", F.col("chain")).alias("chain"), status.alias("status"))
 
 
-def resolve_refs_recursive(spark, view: str, depth: int = 32) -> DataFrame:
-    """The same by a recursive query over a view (id, ref, value), for chains of unknown length: (id, end, value, steps)."""
-    return spark.sql(f"""
-        WITH RECURSIVE walk(id, at, value, path) AS (
-          SELECT id, ref, value, array(id) FROM {view}
-          UNION ALL
-          SELECT w.id, t.ref, t.value, concat(w.path, array(t.id))
-          FROM walk w JOIN {view} t ON w.at = t.id
-          WHERE NOT array_contains(w.path, t.id) AND size(w.path) < {depth})
-        SELECT id, element_at(path, -1) AS end, value, size(path) - 1 AS steps FROM walk WHERE at IS NULL""")
+def resolve_chains(tokens: DataFrame, key: str = "id", ref: str = "ref", value: str = "value") -> DataFrame:
+    """Each token with the end of its reference chain, of any length: (id, end, value, steps, status).
+
+    status: ok, missing (``end`` is what isn't there) or cycle (no end). A chain
+    of n takes log n joins, each of what hasn't ended yet; what hasn't after as
+    many as the number of tokens allows for goes round.
+    """
+    base = tokens.select(F.col(key).alias("id"), F.col(ref).alias("at"), F.col(value).alias("own"))
+    known = cut(base.select(F.col("id").alias("end"), "own", F.lit(True).alias("known")))
+    ended = base.where("at IS NULL").select("id", F.col("id").alias("end"), F.lit(0).cast("long").alias("steps"))
+    going = cut(base.where("at IS NOT NULL").select("id", F.col("at").alias("end"), F.lit(1).cast("long").alias("steps")))
+    ended = cut(ended)
+    rounds = max(1, known.count()).bit_length() + 1
+    while rounds and some(going):
+        # where the ends of those that still go lead to, in as many steps as these have taken or to their ends
+        hop = going.unionByName(ended.where("steps > 0")).select(F.col("id").alias("end"), F.col("end").alias("next"), F.col("steps").alias("more"))
+        moved = going.join(hop, "end", "left")
+        stopped = moved.where("next IS NULL").select("id", "end", "steps")
+        ended = cut(ended.unionByName(stopped))
+        going = cut(moved.where("next IS NOT NULL").select("id", F.col("next").alias("end"), (F.col("steps") + F.col("more")).alias("steps")))
+        rounds -= 1
+    found = ended.join(known, "end", "left")
+    status = F.when(F.col("known"), "ok").otherwise("missing")
+    done = found.select("id", "end", F.when(F.col("known"), F.col("own")).alias("value"), "steps", status.alias("status"))
+    kinds = dict(done.dtypes)
+    round_ = going.select("id", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("end", "value", "steps")], F.lit("cycle").alias("status"))
+    return done.unionByName(round_)
+
+
+def resolve_refs_recursive(spark, view: str) -> DataFrame:
+    """Tokens of a view (id, ref, value) whose chain ends at a token: (id, end, value, steps); ``resolve_chains`` has all of them."""
+    return resolve_chains(spark.table(view)).where("status = 'ok'").select("id", "end", "value", "steps")
 
 
 def path_collisions(paths: DataFrame, path: str) -> DataFrame:

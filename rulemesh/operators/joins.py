@@ -94,12 +94,11 @@ def by_signature(rows: DataFrame, key: str, array: str, classes: DataFrame, clas
 
 
 def product(*axes: DataFrame) -> DataFrame:
-    """All combinations of small axis tables (at most 10,000 rows each)."""
+    """All combinations of axis tables, of which those of at most 10,000 rows are broadcast."""
     out = None
     for axis in axes:
-        if axis.limit(10_001).count() > 10_000:
-            raise ValueError("an axis of a context product is a short list")
-        out = axis if out is None else out.crossJoin(F.broadcast(axis))
+        small = axis.limit(10_001).count() <= 10_000
+        out = axis if out is None else out.crossJoin(F.broadcast(axis) if small else axis)
     return out
 
 

@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import cascade as K
 from ..operators import catalogue as T
+from ..operators import cells as X
 from ..operators import consistency as L
 from ..operators import dedupe as D
 from ..operators import evaluation as V
@@ -19,6 +20,7 @@ from ..operators import facets as B
 from ..operators import graph as J
 from ..operators import guards as G
 from ..operators import joins as C
+from ..operators import patches as P
 from ..operators import retrieval as I
 from ..operators import segments as U
 from ..operators import tokens as N
@@ -826,6 +828,59 @@ def shadowed_bindings(spark, sf):
     return K.shadowed(K.winners(rows), rows).select("source_id", F.array_join("blockers", ",").alias("blockers"))
 
 
+# Bindings on few paths with guards on two axes of contexts, two others and tags.
+_CELL = {
+    "element_path": "'path_' || (p_partkey % 61)",
+    "source_id": "'rule_' || p_partkey",
+    "value": "p_brand",
+    "hardness": "CASE WHEN p_size % 5 = 0 THEN 'hard_constraint' WHEN p_size % 5 < 3 THEN 'strong_default' ELSE 'soft_guidance' END",
+    "precedence": "p_size % 3",
+    "audience": "CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'hcp' WHEN p_partkey % 4 = 2 THEN 'patient,hcp' ELSE 'nobody' END",
+    "theme": "CASE WHEN p_partkey % 7 = 0 THEN 'dark' END",
+    "section": "CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN 'hero,footer' ELSE 'body' END",
+    "breakpoint": "CASE WHEN p_partkey % 5 = 0 THEN 'mobile' WHEN p_partkey % 5 = 1 THEN 'desktop,tablet' END",
+    "sale": "CASE WHEN p_partkey % 11 = 0 THEN 'present' WHEN p_partkey % 11 = 1 THEN 'absent' END",
+    "new": "CASE WHEN p_size % 13 = 0 THEN 'present' END",
+}
+_CELL_SQL = f"""WITH b AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _CELL.items())} FROM part),
+s AS (SELECT *, CASE hardness WHEN 'hard_constraint' THEN 3 WHEN 'strong_default' THEN 2 ELSE 1 END AS h, (audience IS NOT NULL)::INT + (theme IS NOT NULL)::INT + (section IS NOT NULL)::INT + (breakpoint IS NOT NULL)::INT + (sale IS NOT NULL)::INT + (new IS NOT NULL)::INT AS axes FROM b),
+places AS (SELECT * FROM (VALUES ('patient'), ('hcp')) a(au), (VALUES ('dark'), ('none')) t(th), (VALUES ('hero'), ('body'), ('footer'), ('banner')) x(se), (VALUES ('mobile'), ('desktop'), ('tablet')) y(br), (VALUES ('absent', 'absent'), ('present', 'absent'), ('present', 'present')) z(sa, ne)),
+held AS (SELECT s.*, dense_rank() OVER (ORDER BY element_path, au, th, se, br, sa, ne) AS place FROM s, places WHERE coalesce(list_contains(split(audience, ','), au), true) AND coalesce(theme = th, true)
+ AND coalesce(list_contains(split(section, ','), se), true) AND coalesce(list_contains(split(breakpoint, ','), br), true) AND coalesce(sale = sa, true) AND coalesce(new = ne, true)),
+ranked AS (SELECT *, rank() OVER (PARTITION BY place ORDER BY h DESC, axes DESC, precedence DESC) AS top, row_number() OVER (PARTITION BY place ORDER BY h DESC, axes DESC, precedence DESC, source_id DESC) AS nth FROM held),
+clash AS (SELECT place, count(DISTINCT value) > 1 AS conflict FROM ranked WHERE top = 1 GROUP BY place),
+judged AS (SELECT r.*, conflict, CASE WHEN conflict THEN top = 1 ELSE nth = 1 END AS wins FROM ranked r JOIN clash USING (place))"""
+
+
+def cell_inputs(spark, sf):
+    rows = t(spark, sf, "part").selectExpr(*[f"{e} AS {c}" for c, e in _CELL.items()])
+    axes = {"audience": "audience", "theme": "theme", "section": "section", "breakpoint": "breakpoint", "sale": "tag:sale", "new": "tag:new"}
+    pairs = F.filter(F.array(*[F.struct(F.lit(a).alias("k"), F.split(c, ",").alias("v")) for c, a in axes.items()]), lambda p: p["v"].isNotNull())
+    bindings = rows.select(
+        "element_path", "source_id", F.lit("rule_binding").alias("source_kind"), "value", F.map_from_entries(pairs).alias("guard"), "hardness",
+        F.lit(0).alias("selector_rank"), "precedence", F.lit("brand").alias("scope"),
+    )
+    known = {"audience": ("patient", "hcp"), "theme": ("dark", "none"), "section": ("hero", "banner"), "breakpoint": ("tablet",)}
+    domains = spark.createDataFrame([(a, v) for a, vs in known.items() for v in vs], "axis string, value string")
+    combinations = spark.createDataFrame([([],), (["sale"],), (["sale", "new"],)], "tags array<string>")
+    bindings = X.numbered(bindings)
+    return bindings, X.cells(bindings, domains, combinations)
+
+
+@query(_CELL_SQL + """, per AS (SELECT element_path, place, list_sort(list(source_id)) AS active, list_sort(list(source_id) FILTER (wins)) AS winners, bool_or(conflict) AS conflict FROM judged GROUP BY ALL)
+SELECT element_path, len(active) AS candidates, conflict, array_to_string(winners, ',') AS winners FROM (SELECT DISTINCT element_path, active, winners, conflict FROM per)""")
+def residual_cells(spark, sf):
+    """The sets of bindings that hold together somewhere on a path, and who wins in each."""
+    return X.cell_winners(*cell_inputs(spark, sf)).select("element_path", "candidates", "conflict", F.array_join("winners", ",").alias("winners"))
+
+
+@query(_CELL_SQL + """, live AS (SELECT DISTINCT source_id FROM judged WHERE wins)
+SELECT l.element_path, l.source_id, array_to_string(list_sort(list(DISTINCT w.source_id)), ',') AS shadowed_by FROM judged l JOIN judged w ON l.place = w.place AND w.wins WHERE l.source_id NOT IN (SELECT source_id FROM live) GROUP BY ALL""")
+def shadowed_cells(spark, sf):
+    """Bindings that hold somewhere and win nowhere, over contexts and all that they leave open."""
+    return X.never_winning(*cell_inputs(spark, sf)).select("element_path", "source_id", F.array_join("shadowed_by", ",").alias("shadowed_by"))
+
+
 @query(_BIND + """SELECT x.element_path, x.source_id AS a_id, y.source_id AS b_id, CASE WHEN x.h = 3 AND y.h = 3 THEN 'hard_hard' ELSE 'equal_specificity' END AS kind FROM b x JOIN b y ON x.element_path = y.element_path
  AND x.source_id < y.source_id AND x.value <> y.value AND ((x.h = 3 AND y.h = 3) OR (x.h = y.h AND x.axes = y.axes AND x.precedence = y.precedence))
  AND (x.audience IS NULL OR y.audience IS NULL OR x.audience = y.audience) AND (x.section IS NULL OR y.section IS NULL OR x.section = y.section)""")
@@ -961,8 +1016,8 @@ def cited_alignment(spark, sf):
     return found.select("quote_id", "doc_ref", F.array_join("unit_ids", ",").alias("unit_ids"), "start", "end", "match", F.round("ratio", 3).alias("ratio"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?i)#[0-9a-f]{6}\b|#[0-9a-f]{3}\b|\b\d+(?:\.\d+)?\s*(?:px|pt|em|rem|%)|\brgb\(|\b\d+:\d+\b') AS has_value,
- regexp_matches(text, '(?i)\b(?:must|shall|always|never|required|only|should|do not)\b') AS has_norm FROM documents""")
+@query(r"""SELECT doc_id, regexp_matches(text, '#[0-9a-fA-F]{3,8}(?:$|[^\pL\pN_])|(?i)(?:^|[^\pL\pN_])(?:[0-9]+(?:\.[0-9]+)?\s*(?:px|pt|em|rem|%)(?:$|[^\pL\pN_])|[0-9]+\s*:\s*[0-9]+(?:$|[^\pL\pN_])|rgb\s*\(\s*[0-9]{1,3}\s*,\s*[0-9]{1,3}\s*,\s*[0-9]{1,3}\s*\)|(?:font-weight|weight)\s*:?\s*[0-9]{1,4}(?:$|[^\pL\pN_]))') AS has_value,
+ regexp_matches(text, '(?i)(?:^|[^\pL\pN_])(?:must|never|always|only|do not|don''t|required|reserved|max(?:imum)?|min(?:imum)?|at least|at most|exactly|prohibited|avoid)(?:$|[^\pL\pN_])') AS has_norm FROM documents""")
 def heuristic_labels(spark, sf):
     found = t(spark, sf, "documents").select("doc_id", M.labels(F.lit("sentence"), F.col("text")).alias("l"))
     return found.select("doc_id", F.array_contains("l", "value").alias("has_value"), F.array_contains("l", "normative").alias("has_norm"))
@@ -1039,6 +1094,66 @@ def patch_audit(spark, sf):
     return found.select("k", F.col("before").isNotNull().alias("was"), F.col("after").isNotNull().alias("is_now"), F.coalesce(F.col("before") == F.col("after"), F.lit(False)).alias("unchanged"))
 
 
+# Orders as a log over the customers and what splits make of them: a customer c, its parts ca and cb, and its neighbour.
+_LOG = {
+    "seq": "o_orderkey",
+    "g": "CAST(floor(o_custkey / 3) AS BIGINT)",
+    "op": "CASE WHEN o_orderkey % 40 < 3 THEN 'add' WHEN o_orderkey % 40 BETWEEN 16 AND 20 THEN 'delete' WHEN o_orderkey % 40 BETWEEN 21 AND 23 THEN 'split' "
+    "WHEN o_orderkey % 40 BETWEEN 24 AND 27 OR o_orderkey % 40 = 38 THEN 'merge' ELSE 'update' END",
+    "kind": "CASE WHEN o_orderkey % 40 = 39 THEN 'x' ELSE 'e' END",
+    "tg": "CASE WHEN o_orderkey % 40 < 3 THEN NULL WHEN o_orderkey % 40 IN (11, 12, 13, 18, 23, 29, 31, 33, 35, 37) THEN 'c' || o_custkey || 'a' "
+    "WHEN o_orderkey % 40 IN (14, 15, 19) THEN 'c' || o_custkey || 'b' WHEN o_orderkey % 40 = 20 THEN 'c' || o_custkey || 'a,c' || o_custkey || 'b' "
+    "WHEN o_orderkey % 40 IN (24, 38) THEN 'c' || o_custkey || ',c' || o_custkey || 'a' WHEN o_orderkey % 40 = 25 THEN 'c' || o_custkey || 'a,c' || o_custkey || 'b,c' || o_custkey "
+    "WHEN o_orderkey % 40 = 26 AND o_custkey % 3 <> 2 THEN 'c' || o_custkey || ',c' || (o_custkey + 1) WHEN o_orderkey % 40 = 27 THEN 'c' || o_custkey || 'b,c' || o_custkey || 'a' "
+    "ELSE 'c' || o_custkey END",
+    "made": "CASE WHEN o_orderkey % 40 = 0 THEN 'c' || o_custkey WHEN o_orderkey % 40 = 1 THEN 'c' || o_custkey || 'a' WHEN o_orderkey % 40 = 2 THEN 'c' || o_custkey || 'b' "
+    "WHEN o_orderkey % 40 = 21 THEN 'c' || o_custkey || 'a,c' || o_custkey || 'b' WHEN o_orderkey % 40 = 22 THEN 'c' || o_custkey || ',c' || o_custkey || 'b' "
+    "WHEN o_orderkey % 40 = 23 THEN 'c' || o_custkey || ',c' || o_custkey || 'a' WHEN o_orderkey % 40 BETWEEN 3 AND 15 OR o_orderkey % 40 BETWEEN 28 AND 37 OR o_orderkey % 40 = 39 THEN 'x' END",
+    "keep": "CASE o_orderkey % 40 WHEN 24 THEN 'c' || o_custkey WHEN 25 THEN 'c' || o_custkey || 'b' WHEN 26 THEN 'c' || (o_custkey + 1) WHEN 27 THEN 'c' || o_custkey || 'a' WHEN 38 THEN 'c' || o_custkey || 'b' END",
+    "v": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END",
+}
+_LOG_SQL = f"""WITH RECURSIVE log AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _LOG.items())} FROM orders),
+p AS (SELECT seq, g, op, keep, v, coalesce(split(tg, ','), []) AS tg, list_transform(coalesce(split(made, ','), []), lambda x, i: {{'id': x, 'v': v + i - 1}}) AS made,
+ CASE WHEN op = 'merge' AND NOT contains(tg, ',') THEN 'two_targets' WHEN op = 'merge' AND NOT list_contains(split(tg, ','), keep) THEN 'keep' WHEN kind = 'x' THEN 'kind' END AS wrong,
+ row_number() OVER (PARTITION BY g ORDER BY seq) AS n FROM log),
+run AS (
+ SELECT CAST(floor(c_custkey / 3) AS BIGINT) AS g, 0::BIGINT AS n, list({{'id': 'c' || c_custkey, 'v': c_acctbal, 'o': ['c' || c_custkey]}}) AS st, NULL::BIGINT AS seq, NULL::VARCHAR AS op, NULL::VARCHAR AS reason FROM customer GROUP BY 1
+ UNION ALL
+ SELECT g, n, CASE WHEN reason IS NOT NULL THEN st
+  WHEN op = 'add' THEN list_concat(st, [{{'id': made[1].id, 'v': made[1].v, 'o': []::VARCHAR[]}}])
+  WHEN op = 'update' THEN list_transform(st, lambda x: CASE WHEN x.id = tg[1] THEN {{'id': x.id, 'v': coalesce(v, x.v), 'o': x.o}} ELSE x END)
+  WHEN op = 'delete' THEN list_filter(st, lambda x: NOT list_contains(tg, x.id))
+  WHEN op = 'split' THEN list_concat(list_filter(st, lambda x: x.id <> tg[1]), list_transform(made, lambda m: {{'id': m.id, 'v': m.v, 'o': list_filter(st, lambda x: x.id = tg[1])[1].o}}))
+  ELSE list_concat(list_filter(st, lambda x: NOT list_contains(tg, x.id)), [{{'id': keep, 'v': list_filter(list_transform(list_concat([keep], list_filter(tg, lambda z: z <> keep)), lambda y: list_filter(st, lambda x: x.id = y)[1].v), lambda w: w IS NOT NULL)[1],
+   'o': list_distinct(flatten(list_transform(list_filter(st, lambda x: list_contains(tg, x.id)), lambda x: x.o)))}}]) END, seq, op, reason
+ FROM (SELECT p.g, p.n, st, p.seq, p.op, tg, made, keep, v, CASE WHEN wrong IS NOT NULL THEN wrong WHEN p.op = 'add' THEN CASE WHEN list_contains(list_transform(st, lambda x: x.id), made[1].id) THEN 'exists' END
+   WHEN NOT list_has_all(list_transform(st, lambda x: x.id), tg) THEN 'missing'
+   WHEN p.op = 'split' AND list_has_any(list_transform(st, lambda x: x.id), list_filter(list_transform(made, lambda m: m.id), lambda x: x <> tg[1])) THEN 'exists' END AS reason
+  FROM run JOIN p ON p.g = run.g AND p.n = run.n + 1))"""
+
+
+def applied_log(spark, sf):
+    state = t(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.lit("e").alias("kind"), F.col("c_acctbal").alias("v"))
+    log = t(spark, sf, "orders").selectExpr(*[f"{e} AS {c}" for c, e in _LOG.items()])
+    log = log.selectExpr("seq", "op", "kind", "split(tg, ',') AS targets", "keep", "transform(split(made, ','), (x, i) -> struct(x AS id, v + i AS v)) AS products")
+    return state, P.apply_log(state, log)
+
+
+@query(_LOG_SQL + " SELECT seq, op, CASE WHEN reason IS NULL THEN 'applied' ELSE 'rejected' END AS status, reason FROM run WHERE n > 0")
+def patch_log(spark, sf):
+    """What became of each patch of a log with splits and merges."""
+    return applied_log(spark, sf)[1].audit.select("seq", "op", "status", "reason")
+
+
+@query(_LOG_SQL + """, last AS (SELECT unnest(st) AS e FROM (SELECT arg_max(st, n) AS st FROM run GROUP BY g)), ways AS (SELECT unnest(e.o) AS id, e.id AS final_id, e.v AS v FROM last)
+SELECT 'c' || c_custkey AS id, final_id, round(v, 6) AS v FROM customer LEFT JOIN ways ON id = 'c' || c_custkey""")
+def patch_lineage(spark, sf):
+    """Which entities each customer has become in the end, with their values; null where nothing of it is left."""
+    state, done = applied_log(spark, sf)
+    ways = P.lineage(state, done.moves).where("final_id IS NOT NULL").join(done.entities.select(F.col("id").alias("final_id"), F.round("v", 6).alias("v")), "final_id")
+    return state.select("id").join(ways, "id", "left").select("id", "final_id", "v")
+
+
 @query("""WITH w AS (SELECT DISTINCT o_custkey AS k FROM orders), a AS (SELECT c_custkey + 3 AS k FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
 SELECT k, 'missing' AS problem FROM w WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT DISTINCT k, 'extra' FROM a WHERE k NOT IN (SELECT k FROM w) UNION ALL SELECT k, 'duplicate' FROM a GROUP BY k HAVING count(*) > 1""")
 def contract_breaches(spark, sf):
@@ -1460,7 +1575,7 @@ def section_projection(spark, sf):
     return rows.select("p_partkey", F.size("residual").alias("left_axes"))
 
 
-@query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '"([^"]+)"', 1), lambda s: len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')) >= 8)) > 0 AS has_long_quote FROM documents""")
+@query(r"""SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '"[^"]+"|''[^'']+''|“[^”]+”|‘[^’]+’'), lambda x: substr(x, 2, length(x) - 2)), lambda s: len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')) >= 8)) > 0 AS has_long_quote FROM documents""")
 def long_quotes(spark, sf):
     return t(spark, sf, "documents").select("doc_id", S.has_long_quote(F.col("text")).alias("has_long_quote"))
 

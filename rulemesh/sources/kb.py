@@ -58,12 +58,14 @@ def read_entities(spark: SparkSession, folder: str, entity: str, strict: bool =
 
 def read_lines(spark: SparkSession, path: str, kind: T.StructType, strict: bool = True) -> DataFrame:
     """JSON lines; blank lines are skipped, bad ones raise if ``strict``."""
+    _restored(spark, path)
     return spark.read.schema(kind).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
 def write_lines(rows: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines with sorted keys. What replaces older ones is written beside them first and then takes their place."""
     ordered = rows.select(sorted(rows.columns))
+    _restored(rows.sparkSession, path)
     if append:
         ordered.write.mode("append").json(path)
         return
@@ -73,12 +75,35 @@ def write_lines(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def _swap(spark: SparkSession, new: str, path: str) -> None:
-    """Put the finished file or folder ``new`` in the place of ``path``."""
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    store = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    store.delete(make(path), True)
-    if not store.rename(make(new), make(path)):
+    """Put the finished file or folder ``new`` in the place of ``path``.
+
+    A file takes the place at once. A folder can't, so the old one is first put
+    beside it as ``.old``, from where ``_restored`` brings it back if the swap
+    was stopped between.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs
+    store = fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getFileStatus(fs.Path(new)).isFile():
+        options = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        options[0] = fs.Options.Rename.OVERWRITE
+        fs.FileContext.getFileContext(fs.Path(path).toUri(), spark._jsc.hadoopConfiguration()).rename(fs.Path(new), fs.Path(path), options)
+        return
+    old = fs.Path(f"{path.rstrip('/')}.old")
+    if store.exists(fs.Path(path)):
+        store.delete(old, True)
+        if not store.rename(fs.Path(path), old):
+            raise OSError(f"could not put {path} aside")
+    if not store.rename(fs.Path(new), fs.Path(path)):
         raise OSError(f"could not put {new} in the place of {path}")
+    store.delete(old, True)
+
+
+def _restored(spark: SparkSession, path: str) -> None:
+    """Bring back what a stopped ``_swap`` has put aside."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    store, old = fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), fs.Path(f"{path.rstrip('/')}.old")
+    if store.exists(old) and not store.exists(fs.Path(path)):
+        store.rename(old, fs.Path(path))
 
 
 def write_document(spark: SparkSession, document: dict, path: str) -> None:
