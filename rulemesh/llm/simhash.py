@@ -604,8 +604,9 @@ def keep_one(
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *marks)
     own = cut(wide_fingerprints(docs.select(row.alias("best"), text.alias("text")), "text"))
     coarse = cut(similar_components(own, budget, hot))
-    # the texts of groups of candidates, one for each fingerprint; equal rows fall together before they are moved
-    crowded = coarse.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    # the texts of groups of candidates, one for each fingerprint; equal rows fall together before they are moved, and
+    # the groups are written out, so that the join can split a large one
+    crowded = cut(coarse.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"))
     wanted = coarse.join(crowded, "root").select(F.xxhash64("root").alias("key"), "fingerprint", *[F.col("best")[n].alias(n) for n in names])
     texts = docs.select(text.alias("text"), *marks).dropDuplicates(names).join(wanted, names).select("key", "fingerprint", "text")
     exact = star_components(exact_links(cut(texts), budget, similarity, hot_bytes))
