@@ -16,6 +16,7 @@ from ..operators import consistency as L
 from ..operators import dedupe as D
 from ..operators import evaluation as V
 from ..operators import extraction as M
+from ..operators import gaps as Y
 from ..operators import facets as B
 from ..operators import graph as J
 from ..operators import guards as G
@@ -1154,6 +1155,72 @@ def patch_lineage(spark, sf):
     return state.select("id").join(ways, "id", "left").select("id", "final_id", "v")
 
 
+# Parts as units of 40 blobs, every fifth claimed at first, and replies of three rounds; a quarter of the blobs answers only when escalated.
+_GAP = {
+    "k": "p_partkey",
+    "doc_ref": "'d' || (p_partkey % 40)",
+    "unit_id": "'u' || p_partkey",
+    "unit_ids": "split('u' || p_partkey || ',u' || (p_partkey + 40), ',')",
+    "own": "split('u' || p_partkey, ',')",
+    "id": "'e' || p_partkey",
+    "old_kind": "CASE WHEN p_partkey % 2 = 0 THEN 'rule' ELSE 'token_primitive' END",
+    "round": "CAST(1 + floor(p_partkey / 40) % 3 AS INT)",
+    "mode": "CASE WHEN p_partkey % 4 = 0 THEN 'escalate' ELSE 'gap_patch' END",
+    "kind": "CASE WHEN p_partkey % 200 = 55 THEN 'asset' WHEN p_partkey % 5 = 0 AND p_partkey % 2 = 0 THEN 'rule' WHEN p_partkey % 5 = 0 OR p_partkey % 4 IN (1, 2) THEN 'token' WHEN p_partkey % 4 = 3 THEN 'asset' ELSE 'rule' END",
+    "marker": "CASE WHEN p_partkey % 200 = 17 THEN 'bogus' WHEN p_partkey % 5 = 0 OR p_partkey % 200 = 34 OR (p_partkey % 40) % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN 'token_primitive' ELSE 'token_semantic' END",
+    "value": "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_name END",
+    "yields": "split(CASE (p_partkey % 40) % 3 WHEN 0 THEN 'token_primitive' WHEN 1 THEN 'token_primitive,token_semantic' ELSE 'rule' END, ',')",
+    "verified": "p_partkey % 11 <> 0",
+}
+
+
+def _gap_round(n: int) -> str:
+    """The tables of one round: asked, payload, judged, bad blobs, whole answers, entities, open units, counts, to escalate, go on."""
+    b = n - 1
+    return f"""a{n} AS (SELECT o.doc_ref, count(*) AS before, CASE WHEN o.doc_ref IN (SELECT doc_ref FROM x{b}) THEN 'escalate' ELSE 'gap_patch' END AS mode FROM o{b} o WHERE (SELECT go FROM g{b}) GROUP BY o.doc_ref),
+p{n} AS (SELECT r.*, e.kind AS old FROM r JOIN a{n} a ON r.doc_ref = a.doc_ref AND r.mode = a.mode LEFT JOIN e{b} e ON e.id = r.id WHERE r.round = {n}),
+j{n} AS (SELECT *, CASE WHEN kind <> 'token' THEN kind WHEN old IN ('token_primitive', 'token_semantic') THEN old ELSE coalesce(marker, CASE WHEN list_contains(yields, 'token_primitive') AND NOT list_contains(yields, 'token_semantic') THEN 'token_primitive' END) END AS made FROM p{n}),
+w{n} AS (SELECT *, CASE WHEN kind = 'token' AND marker NOT IN ('token_primitive', 'token_semantic') THEN 'invalid_kind' WHEN made IS NULL THEN 'kind_missing' WHEN old <> made OR (kind = 'token' AND old <> marker) THEN 'kind_conflict' END AS wrong FROM j{n}),
+k{n} AS (SELECT * FROM w{n} WHERE doc_ref NOT IN (SELECT doc_ref FROM w{n} WHERE wrong IS NOT NULL)),
+h{n} AS (SELECT DISTINCT doc_ref FROM k{n} WHERE mode = 'escalate' AND doc_ref NOT IN (SELECT doc_ref FROM k{n} WHERE NOT verified)),
+e{n} AS (SELECT coalesce(e.id, k.id) AS id, coalesce(e.kind, made) AS kind, coalesce(e.doc_ref, k.doc_ref) AS doc_ref, coalesce(k.value, e.value) AS value, coalesce(k.unit_ids, e.unit_ids) AS unit_ids
+ FROM e{b} e FULL JOIN (SELECT * FROM k{n} WHERE verified) k ON e.id = k.id WHERE NOT coalesce(e.kind = 'rule' AND e.doc_ref IN (SELECT doc_ref FROM h{n}) AND e.id NOT IN (SELECT id FROM w{n} WHERE made = 'rule'), false)),
+o{n} AS (SELECT unit_id, doc_ref FROM r WHERE required AND unit_id NOT IN (SELECT unnest(unit_ids) FROM e{n})),
+c{n} AS (SELECT a.doc_ref, a.mode, a.before, count(o.unit_id) AS after FROM a{n} a LEFT JOIN o{n} o ON o.doc_ref = a.doc_ref GROUP BY ALL),
+x{n} AS (SELECT doc_ref FROM c{n} WHERE after >= before AND doc_ref NOT IN ({" UNION ALL ".join(f"SELECT doc_ref FROM a{m} WHERE mode = 'escalate'" for m in range(1, n + 1))})),
+g{n} AS (SELECT (SELECT go FROM g{b}) AND EXISTS (FROM o{n}) AND (EXISTS (FROM x{n}) OR EXISTS (SELECT unit_id FROM o{n} EXCEPT SELECT unit_id FROM o{b}) OR EXISTS (SELECT unit_id FROM o{b} EXCEPT SELECT unit_id FROM o{n})) AS go)"""
+
+
+_GAP_SQL = f"""WITH r AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _GAP.items())}, p_partkey % 3 <> 0 AS required FROM part),
+e0 AS (SELECT id, old_kind AS kind, doc_ref, 'old' AS value, own AS unit_ids FROM r WHERE k % 5 = 0), o0 AS (SELECT unit_id, doc_ref FROM r WHERE required AND unit_id NOT IN (SELECT unnest(unit_ids) FROM e0)),
+x0 AS (SELECT doc_ref FROM r WHERE false), g0 AS (SELECT true AS go),
+{", ".join(_gap_round(n) for n in (1, 2, 3))}"""
+
+
+def closed_gaps(spark, sf):
+    r = t(spark, sf, "part").selectExpr(*[f"{e} AS {c}" for c, e in _GAP.items()], "p_partkey % 3 <> 0 AS required")
+    old = r.where("k % 5 = 0").select("id", F.col("old_kind").alias("kind"), "doc_ref", F.lit("old").alias("value"), F.col("own").alias("unit_ids"))
+    relations = r.where("k % 10 = 0").select("doc_ref", F.concat(F.lit("r"), F.col("k") % 5).alias("relation"))
+    links = r.where("k % 8 = 1").select("round", "doc_ref", "mode", F.concat(F.lit("r"), F.col("k") % 7).alias("relation"))
+    return Y.close_gaps(r.select("unit_id", "doc_ref", "required", "yields"), old, relations, r.select("round", "doc_ref", "mode", "id", "kind", "marker", "value", "unit_ids", "verified"), links)
+
+
+@query(_GAP_SQL + " " + " UNION ALL ".join(f"SELECT {n}::INTEGER AS round, doc_ref, mode, before, after FROM c{n}" for n in (1, 2, 3)))
+def gap_rounds(spark, sf):
+    """Three rounds over stored replies: what each blob was asked and how many of its units it left open."""
+    return closed_gaps(spark, sf).rounds
+
+
+@query(_GAP_SQL + " " + " UNION ALL ".join(f"SELECT {n}::INTEGER AS round, doc_ref, id, coalesce(wrong, 'unverified') AS reason FROM w{n} WHERE wrong IS NOT NULL OR (NOT verified AND doc_ref IN (SELECT doc_ref FROM k{n}))" for n in (1, 2, 3)))
+def gap_rejects(spark, sf):
+    return closed_gaps(spark, sf).rejects
+
+
+@query(_GAP_SQL + " SELECT id, kind, doc_ref, value, array_to_string(unit_ids, ',') AS units FROM e3")
+def gap_entities(spark, sf):
+    return closed_gaps(spark, sf).entities.select("id", "kind", "doc_ref", "value", F.array_join("unit_ids", ",").alias("units"))
+
+
 @query("""WITH w AS (SELECT DISTINCT o_custkey AS k FROM orders), a AS (SELECT c_custkey + 3 AS k FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
 SELECT k, 'missing' AS problem FROM w WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT DISTINCT k, 'extra' FROM a WHERE k NOT IN (SELECT k FROM w) UNION ALL SELECT k, 'duplicate' FROM a GROUP BY k HAVING count(*) > 1""")
 def contract_breaches(spark, sf):
