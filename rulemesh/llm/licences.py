@@ -19,6 +19,7 @@ every word had been streamed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -62,7 +63,15 @@ _GNU = (
     "of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
     "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {1} for more details."
 )
+_GNU_FIRST = _GNU.split(" of the License")[0] + " of the License"
 _PUBLIC, _LESSER, _AFFERO = "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License"
+# Labels of identifiers in tags.
+SPDX = (
+    ("mit", "MIT"), ("apache-2", "Apache-2.0"), ("gpl-2", "GPL-2.0"), ("gpl-3", "GPL-3.0"), ("lgpl-2.1", "LGPL-2.1"), ("lgpl-3", "LGPL-3.0"),
+    ("agpl-3", "AGPL-3.0"), ("bsd-2", "BSD-2-Clause"), ("bsd-3", "BSD-3-Clause"), ("isc", "ISC"), ("mpl-2", "MPL-2.0"), ("epl-2", "EPL-2.0"),
+    ("zlib", "Zlib"), ("bsl-1", "BSL-1.0"), ("unlicense", "Unlicense"), ("artistic-2", "Artistic-2.0"), ("cc0", "CC0-1.0"), ("cc-by", "CC-BY-4.0"),
+    ("cc-by-sa", "CC-BY-SA-4.0"), ("cc-by-nd", "CC-BY-ND-4.0"), ("cc-by-nc", "CC-BY-NC-4.0"), ("cc-by-nc-sa", "CC-BY-NC-SA-4.0"), ("cc-by-nc-nd", "CC-BY-NC-ND-4.0"),
+)
 # Labels, deciding words, and licence notices and texts.
 TEMPLATES = (
     ("mit", "mit license", "Released under the MIT License."),
@@ -158,6 +167,26 @@ TEMPLATES = (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
         "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
+    ("cc-by-nc-sa", "cc by nc sa 4", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "cc by nc nd 4", "Licensed under CC BY-NC-ND 4.0"),
+    ("cc-by-nd", "cc by nd 4", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4", "This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4", "This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("gpl-3", "gnu general public license version 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("gpl-2", "gnu general public license version 2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("lgpl-3", "gnu lesser general public license version 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("agpl-3", "gnu affero general public license version 3", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("gpl-3", "either version 3 of the license", _GNU_FIRST.format("program", _PUBLIC, "3")),
+    ("gpl-2", "either version 2 of the license", _GNU_FIRST.format("program", _PUBLIC, "2")),
+    ("lgpl-3", "either version 3 of the license", _GNU_FIRST.format("library", _LESSER, "3")),
+    ("lgpl-2.1", "either version 2 1 of the license", _GNU_FIRST.format("library", _LESSER, "2.1")),
+    ("agpl-3", "either version 3 of the license", _GNU_FIRST.format("program", _AFFERO, "3")),
+    ("epl-2", "eclipse public license 2 0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("epl-2", "eclipse public license v 2 0", "Eclipse Public License - v 2.0"),
+    ("mpl-2", "mozilla public license version 2 0", "Mozilla Public License Version 2.0"),
+    ("artistic-2", "artistic license 2 0", "Licensed under the Artistic License 2.0"),
+    *((label, f"spdx license identifier {' '.join(re.split('[-.]', name.lower()))}", f"SPDX-License-Identifier: {name}") for label, name in SPDX),
 )
 #: Words of the shortest match, words between two matches of a chain, and the share of a template that a chain covers.
 SHORTEST, GAP, COVER = 3, 20, 0.75

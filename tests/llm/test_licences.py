@@ -128,3 +128,35 @@ def test_chain_covers_no_more_than_the_template():
         symbols = np.array([number.get(c, -1) for c in text])
         assert scanner.spans(symbols)[0].covered == covered, text
     assert scanner.spans(np.array([number[c] for c in "cdefgh"])) == []
+
+
+NEW = [
+    ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa"), ("licensed under CC BY-NC-ND 4.0.", "cc-by-nc-nd"),
+    ("This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+    ("This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd"),
+    ("// SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: Apache-2.0", "apache-2"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"),
+    ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "cc-by-nc-sa"), ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl-2.1"),
+    ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "gpl-3"), ("GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991", "gpl-2"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "lgpl-2.1"), ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "agpl-3"),
+    (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License.", "gpl-2",
+    ),
+    ("the Mozilla Public License Version 2.0 applies", "mpl-2"), ("Licensed under the Artistic License 2.0", "artistic-2"),
+    ("SPDX-License-Identifier: Something-1.0", None), ("the general public has a licence, version 3, of June", None), ("cc by the way 4 of them", None),
+]
+
+
+def test_restricted_creative_commons_tags_and_titles(spark):
+    docs = spark.createDataFrame([(n, f"Some words before. {t} And some after it.") for n, (t, _) in enumerate(NEW)], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) - {""} if r.labels else set() for r in L.scan(docs).collect()}
+    for n, (text, label) in enumerate(NEW):
+        base = {x for phrase, x in L.PHRASES if f" {phrase} " in f" {' '.join(w.decode() for w in L.words_of(text))} "}
+        assert got[n] - base == ({label} - base if label else set()), text
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    rows = [(None, NEW[4][0], "x", 1), (1, NEW[4][0], "y", 2), (1, NEW[4][0], "y", 2), (2, None, None, None), (3, "", "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, labels string, n_words int")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.labels) for r in L.scan(docs).collect())
+    assert got == [(False, 1, "mit"), (False, 1, "mit"), (False, 2, ""), (False, 3, ""), (True, 0, "mit")]
