@@ -22,6 +22,10 @@ DIGITS = 12
 _MARK = "_part"
 
 
+def _schema(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
 class Conflict(RuntimeError):
     """Another commit has published the version first."""
 
@@ -67,27 +71,33 @@ class Snapshots:
         lines = self.spark.read.text(f"{self.root}/manifests/{version:0{DIGITS}d}.json", wholetext=True).first()
         return json.loads(lines[0])
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        """A table as of a version. One without rows has no files, only its columns."""
+    def read(self, name: str, version: int | None = None, only: set[str] | None = None) -> DataFrame:
+        """A table as of a version, or the parts of it named in ``only``. One without rows has no files, only its columns."""
         table = self.manifest(version)["tables"][name]
-        paths = [f"{self.root}/{p['path']}" for p in table["parts"].values()]
+        paths = [f"{self.root}/{p['path']}" for n, p in table["parts"].items() if only is None or n in only]
         return self.spark.read.schema(table["schema"]).parquet(*paths) if paths else self.spark.createDataFrame([], table["schema"])
 
     # ---------------------------------------------------------------- commits
 
-    def _prints(self, rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-        """``rows`` with the name of their part, and a hash of each part's rows whatever their order: one row a part is collected."""
-        key = F.col(self.partition).cast("string") if self.partition in rows.columns else F.lit("")
-        marked = rows.withColumn(_MARK, F.when(key.isNull(), "null").otherwise(F.md5(key)))
-        whole = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    def _prints(self, rows: DataFrame, volatile: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+        """``rows`` with the name of their part, and a hash of each part's rows, ``volatile`` columns aside, whatever
+        their order: one row a part is collected."""
+        marked = self._mark(rows)
+        whole = F.to_json(F.struct(*sorted(set(rows.columns) - set(volatile))), {"ignoreNullFields": "false"})
         sums = [F.sum(F.xxhash64(F.lit(n), whole).cast("decimal(20,0)")) for n in (1, 2)]
         found = marked.groupBy(_MARK).agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *[s.cast("string") for s in sums]), 256).alias("print"))
         return marked, {r[_MARK]: r["print"] for r in found.collect()}
 
-    def _write(self, name: str, marked: DataFrame, changed: list[str]) -> str:
-        """Write some parts of a table; their folder."""
+    def _mark(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the name of their part."""
+        key = F.col(self.partition).cast("string") if self.partition in rows.columns else F.lit("")
+        return rows.withColumn(_MARK, F.when(key.isNull(), "null").otherwise(F.md5(key)))
+
+    def _write(self, name: str, marked: DataFrame, changed: list[str] | None = None) -> str:
+        """Write a table, or some parts of it; their folder."""
         folder = f"data/{name}/{uuid.uuid4().hex}"
-        marked.where(F.col(_MARK).isin(changed)).write.partitionBy(_MARK).parquet(f"{self.root}/{folder}")
+        kept = marked if changed is None else marked.where(F.col(_MARK).isin(changed))
+        kept.write.partitionBy(_MARK).parquet(f"{self.root}/{folder}")
         return folder
 
     def _publish(self, manifest: dict) -> None:
@@ -121,7 +131,7 @@ class Snapshots:
             if _MARK in rows.columns:
                 raise ValueError(f"{name} has a column {_MARK}")
             old = new.get(name, {"parts": {}, "schema": None})
-            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+            schema = _schema(rows)
             known = old["parts"] if old["schema"] == schema else {}
             marked, prints = self._prints(rows)
             changed = sorted(p for p, x in prints.items() if known.get(p, {}).get("print") != x)
@@ -131,9 +141,51 @@ class Snapshots:
                 parts |= {p: {"path": f"{folder}/{_MARK}={p}", "print": prints[p]} for p in changed}
             new[name], written[name] = {"schema": schema, "parts": parts}, changed
         if new != before["tables"]:
-            self._publish({"version": before["version"] + 1, "tables": new})
+            self._publish(before | {"version": before["version"] + 1, "tables": new})
         return written
 
+    def replace(self, name: str, rows: DataFrame, parts: set[str] | None, gone: set[str], receipt: dict, volatile: tuple[str, ...] = ()) -> dict[str, str]:
+        """Publish a version in which ``rows`` are the whole of ``parts`` of a table (None: of all parts), those in ``gone``
+        have left it and ``receipt`` says what made it; the hashes of its parts.
+
+        ``rows`` are computed once: they are written, and hashed as they were
+        written. Rows of other parts, or other columns while parts stay, raise
+        ValueError and nothing is published.
+        """
+        before = self.manifest()
+        old = before["tables"].get(name, {"parts": {}, "schema": None})
+        schema = _schema(rows)
+        kept = {} if parts is None else {n: p for n, p in old["parts"].items() if n not in parts | gone}
+        if kept and old["schema"] != schema:
+            raise ValueError(f"{name} has other columns than the parts that stay")
+        folder = self._write(name, self._mark(rows))
+        found = self._parts(folder)
+        if parts is not None and found - parts:
+            raise ValueError(f"{name} has rows outside the {len(parts)} parts that were asked for")
+        made = self._hashes(folder, found, schema, volatile)
+        now = {n: {"path": f"{folder}/{_MARK}={n}", "print": made[n]} for n in found}
+        tables = before["tables"] | {name: {"schema": schema, "parts": kept | now}}
+        receipts = before.get("receipts", {}) | {name: receipt}
+        self._publish(before | {"version": before["version"] + 1, "tables": tables, "receipts": receipts})
+        return {n: p["print"] for n, p in tables[name]["parts"].items()}
+
+    def _parts(self, folder: str) -> set[str]:
+        return {n[len(_MARK) + 1 :] for n in self._names(folder) if n.startswith(f"{_MARK}=")}
+
+    def _hashes(self, folder: str, parts: set[str], schema: str, volatile: tuple[str, ...]) -> dict[str, str]:
+        if not parts:
+            return {}
+        paths = [f"{self.root}/{folder}/{_MARK}={n}" for n in sorted(parts)]
+        return self._prints(self.spark.read.schema(schema).parquet(*paths), volatile)[1]
+
+    def damaged(self, name: str, volatile: tuple[str, ...] = ()) -> set[str]:
+        """Parts of a table whose files are gone or hold other rows than were published."""
+        table = self.manifest()["tables"][name]
+        there = {n: p for n, p in table["parts"].items() if self._names(*p["path"].split("/"))}
+        paths = [f"{self.root}/{p['path']}" for p in there.values()]
+        now = self._prints(self.spark.read.schema(table["schema"]).parquet(*paths), volatile)[1] if paths else {}
+        return {n for n, p in table["parts"].items() if now.get(n) != p["print"]}
+
     def sweep(self, keep: int = 2) -> list[str]:
         """Delete manifests but the last ``keep`` and all that no kept one names; what was deleted. Not while commits run."""
         versions = sorted(self.versions())
