@@ -22,8 +22,10 @@ from ..operators import graph as J
 from ..operators import guards as G
 from ..operators import joins as C
 from ..operators import patches as P
+from ..operators import postings as Q
 from ..operators import retrieval as I
 from ..operators import segments as U
+from ..operators.steps import cut
 from ..operators import tokens as N
 from ..operators import windows as E
 from ..sources import kb as W
@@ -634,6 +636,22 @@ def bm25_tokens(spark, sf):
     return I.bm25(derive(spark, sf, "tokens"), "id", F.concat_ws(" ", "key", "token_type", "value"), "Color 7").withColumn("score", F.round("score", 6))
 
 
+@query(cte("rules") + """, d AS (SELECT id AS k, regexp_extract_all(lower(rule_text || ' ' || coalesce(summary, '')), '[a-z0-9#]+') AS w FROM rules),
+v AS (SELECT query, term, count(*) AS q FROM (SELECT query, unnest(regexp_extract_all(lower(query), '[a-z0-9#]+')) AS term FROM (SELECT DISTINCT rule_class || ' ' || value AS query FROM rules)) GROUP BY query, term),
+n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d), tf AS (SELECT k, len(w) AS l, term, count(*) AS tf FROM (SELECT k, w, unnest(w) AS term FROM d) GROUP BY k, w, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), raw AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS i FROM df, n),
+idf AS (SELECT term, CASE WHEN i < 0 THEN 0.25::DOUBLE * (SELECT avg(i) FROM raw) ELSE i END AS i FROM raw),
+s AS (SELECT query, k, sum(i * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) * q) AS score FROM tf JOIN idf USING (term) JOIN v USING (term), n GROUP BY query, k)
+SELECT query, k AS id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, k) AS r FROM s) WHERE r <= 10 AND score > 0""")
+def bm25_batch(spark, sf):
+    rules = derive(spark, sf, "rules")
+    index = Q.build(rules, "id", F.concat_ws(" ", "rule_text", "summary"))
+    index = Q.over(cut(index.lists), index.sizes)
+    asked = rules.select(F.concat("rule_class", F.lit(" "), "value").alias("query")).distinct()
+    found = Q.search(index, asked, "query", F.col("query"))
+    return found.select("query", F.col("key").alias("id"), F.round("score", 6).alias("score"))
+
+
 @query("""WITH s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 3) AS similarity FROM embeddings),
 c AS (SELECT * FROM s ORDER BY similarity DESC, vec_id LIMIT 60) SELECT vec_id, similarity FROM c WHERE label IN (1, 2, 3) ORDER BY similarity DESC, vec_id LIMIT 20""")
 def vector_topk(spark, sf):
