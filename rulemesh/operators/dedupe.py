@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import pairs_within, spread
+from .steps import cut
+
 
 def first_seen(rows: DataFrame, key: str, position: str) -> DataFrame:
     """Each key once with its first position."""
@@ -34,17 +37,25 @@ def remap(rows: DataFrame, column: str, merged: DataFrame, key: str) -> DataFram
 def similar_pairs(rows: DataFrame, block: str, key: str, items: str, least: float) -> DataFrame:
     """Pairs of one block with a Jaccard similarity of their arrays of at least ``least``.
 
-    Pairs come from shared items, never from all of a block.
+    Rows of a block with the same set are one class. Classes meet by chunks of
+    their block and are compared whole, so no pair is moved for each item that it
+    shares; what is found is then spread over the rows of both classes.
     """
-    # sizes are taken before the explosion, else once for every item
-    sets = rows.select(block, key, F.array_distinct(items).alias("_d"))
-    sized = sets.select(block, key, F.size("_d").alias("_n"), "_d")
-    items_ = sized.select(block, key, "_n", F.explode("_d").alias("_item"))
-    other = items_.select(block, F.col(key).alias("other"), "_item", F.col("_n").alias("_m"))
-    shared = items_.join(other, [block, "_item"]).where(F.col(key) < F.col("other"))
-    counted = shared.groupBy(block, key, "other").agg(F.count("*").alias("_s"), F.first("_n").alias("_n"), F.first("_m").alias("_m"))
-    scored = counted.withColumn("jaccard", F.col("_s").cast("double") / (F.col("_n") + F.col("_m") - F.col("_s")))
-    return scored.where(F.col("jaccard") >= least).select(key, "other", "jaccard")
+    # written out, as the steps below would find the items anew
+    sets = cut(rows.select(block, F.col(key).alias("key"), F.sort_array(F.array_distinct(items)).alias("_d")))
+    # a null is no shared item but counts in the size
+    known = F.array_compact("_d")
+    sets = sets.where(F.size(known) > 0).withColumn("kind", F.sha2(F.to_json("_d"), 256))
+    whole = sets.groupBy(block, "kind").agg(F.first("_d").alias("d")).select(block, "kind", F.size("d").alias("n"), F.array_compact("d").alias("d"))
+    near = (F.col("a_kind") <= F.col("b_kind")) & (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n"))
+    shared = F.size(F.array_intersect("a_d", "b_d"))
+    met = pairs_within(whole, [block], "kind", near).withColumn("_s", shared)
+    scored = met.withColumn("jaccard", F.col("_s").cast("double") / (F.col("a_n") + F.col("b_n") - F.col("_s")))
+    found = cut(scored.where(F.col("jaccard") >= least).select(block, "a_kind", "b_kind", "jaccard"))
+    # a class and itself once, two classes once: in either order of their rows' keys
+    twice = (F.col("a_kind") != F.col("b_kind")) | (F.col("a_key") < F.col("b_key"))
+    pairs = spread(found, sets.select(block, "kind", "key"), [block], ["key"], twice & (F.col("a_key") != F.col("b_key")))
+    return pairs.select(F.least("a_key", "b_key").alias(key), F.greatest("a_key", "b_key").alias("other"), "jaccard")
 
 
 def unordered_pairs(rows: DataFrame, a: str, b: str, order: list[str]) -> DataFrame:

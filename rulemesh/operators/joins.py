@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a group that meet as one, about.
+CHUNK = 1024
+
 
 def hydrate(rows: DataFrame, array: str, target: DataFrame, key: str = "id", name: str = "ref_id") -> DataFrame:
     """A row for each id in ``array`` that ``target`` has, with the target's columns; its place in the array as ``at``."""
@@ -41,6 +46,56 @@ def siblings(rows: DataFrame, key: str, group: str, cap: int | None = None) -> D
     return out
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Tasks of a join whose output is far larger than its input, which adaptive execution would put into too few."""
+    spark = rows.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def _parts(on: list[str], size: int) -> Column:
+    """How many chunks of about ``size`` rows a row's group has."""
+    return F.ceil(F.count("*").over(Window.partitionBy(*on)) / size)
+
+
+def _each(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def pairs_within(rows: DataFrame, on: list[str], key: str, condition: Column, chunk: int = CHUNK) -> DataFrame:
+    """Ordered pairs of rows of one group for which ``condition`` holds, as columns ``on``, ``a_...`` and ``b_...``.
+
+    A group's rows are dealt to chunks by their ``key``, and each two of its chunks
+    meet in one place, so a large group is the work of many tasks and a task
+    holds two chunks. Null groups have no pairs.
+    """
+    others = [c for c in rows.columns if c not in on]
+    dealt = rows.dropna(subset=on).withColumn("_parts", _parts(on, chunk))
+    dealt = dealt.withColumn("_deal", F.pmod(F.xxhash64(key), F.col("_parts")))
+    place, n = [*on, "_i", "_j"], _tasks(rows)
+    a = dealt.select(*on, F.col("_deal").alias("_i"), _each(F.col("_parts")).alias("_j"), *[F.col(c).alias(f"a_{c}") for c in others])
+    b = dealt.select(*on, _each(F.col("_parts")).alias("_i"), F.col("_deal").alias("_j"), *[F.col(c).alias(f"b_{c}") for c in others])
+    # merged, as a broadcast would pass one side through the driver
+    return a.repartition(n, *place).join(b.repartition(n, *place).hint("merge"), place).where(condition).drop("_i", "_j")
+
+
+def spread(kinds: DataFrame, members: DataFrame, on: list[str], own: list[str], condition: Column) -> DataFrame:
+    """Pairs of kinds of a group (``on``, ``a_kind``, ``b_kind`` and what else they have) as pairs of the rows of these kinds.
+
+    ``members``: ``on``, kind, ``own``. ``condition`` is on columns ``a_...`` and ``b_...`` of ``own``.
+    A pair of kinds meets the first's rows by itself, then the second's in as
+    many places as its group has chunks.
+    """
+    sized = members.dropna(subset=on).withColumn("_parts", _parts(on, CHUNK)).withColumn("_shares", _parts([*on, "kind"], 16 * CHUNK))
+    shares = sized.groupBy(*on, F.col("kind").alias("b_kind")).agg(F.first("_shares").alias("_shares"))
+    deal = F.xxhash64(*own)
+    a = sized.select(*on, F.col("kind").alias("a_kind"), F.pmod(deal, F.col("_parts")).alias("_i"), *[F.col(c).alias(f"a_{c}") for c in own])
+    met = kinds.join(shares.hint("merge"), [*on, "b_kind"]).join(a.hint("merge"), [*on, "a_kind"])
+    left = met.withColumn("_j", _each(F.col("_shares"))).drop("_shares")
+    right = sized.select(*on, F.col("kind").alias("b_kind"), _each(F.col("_parts")).alias("_i"), F.pmod(deal, F.col("_shares")).alias("_j"), *[F.col(c).alias(f"b_{c}") for c in own])
+    place, n = [*on, "b_kind", "_i", "_j"], _tasks(members)
+    return left.repartition(n, *place).join(right.repartition(n, *place).hint("merge"), place).where(condition).drop("_i", "_j")
+
+
 def overlapping(spans: DataFrame, units: DataFrame, on: str, width: int) -> DataFrame:
     """Spans with the units of the same document that they overlap; half-open [start, end) in both.
 
