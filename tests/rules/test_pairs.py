@@ -40,3 +40,7 @@ def test_pairs_within_small_chunks_are_all_pairs(spark):
     rows = spark.createDataFrame([(g, i) for g in ("a", "b", None) for i in range(23)], "g string, id int")
     found = sorted((r.g, r.a_id, r.b_id) for r in C.pairs_within(rows, ["g"], "id", F.col("a_id") < F.col("b_id"), 4).collect())
     assert found == [(g, a, b) for g in ("a", "b") for a in range(23) for b in range(a + 1, 23)]
+def test_verbatim_clashes_of_a_hot_trigger_are_many_tasks(spark):
+    rows = spark.range(0, 2100, 1, 1).selectExpr("id", "CAST(nullif(id, id) AS INT) AS p", "id DIV 10000 AS tr", "CAST(id % 3 AS STRING) AS f")
+    found = shares(L.verbatim_clashes(rows, "id", "p", "tr", "f"))
+    assert sum(found) == 3 * 700 * 700 and found[-1] < 0.8 * sum(found)
