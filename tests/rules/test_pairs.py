@@ -44,3 +44,15 @@ def test_verbatim_clashes_of_a_hot_trigger_are_many_tasks(spark):
     rows = spark.range(0, 2100, 1, 1).selectExpr("id", "CAST(nullif(id, id) AS INT) AS p", "id DIV 10000 AS tr", "CAST(id % 3 AS STRING) AS f")
     found = shares(L.verbatim_clashes(rows, "id", "p", "tr", "f"))
     assert sum(found) == 3 * 700 * 700 and found[-1] < 0.8 * sum(found)
+
+
+def guarded(spark, n):
+    guard = F.create_map(F.lit("theme"), F.array(F.concat(F.lit("t"), (F.col("id") % 2).cast("string"))))
+    return spark.range(0, n, 1, 1).select("id", F.expr("id DIV 10000").alias("g"), guard.alias("guard"), F.col("id").cast("string").alias("value"))
+
+
+def test_guards_of_a_hot_group_are_many_tasks(spark):
+    found = G.joint(guarded(spark, 2100), "g", "id", "guard", G.satisfiable, "ok")
+    split = shares(found)
+    assert sum(split) == 2100 * 2099 // 2 and split[-1] < 0.8 * sum(split)
+    assert found.where("ok <> (a % 2 = b % 2) OR a >= b").count() == 0
