@@ -776,10 +776,11 @@ def guard_overlap(spark, sf):
  CASE WHEN a.section IS NULL THEN b.section WHEN b.section IS NULL THEN a.section ELSE list_intersect(a.section, b.section) END AS section FROM g a JOIN g b ON a.g = b.g AND a.id < b.id)
 SELECT id, other, array_to_string(list_sort(theme), ',') AS theme, array_to_string(section, ',') AS section FROM j WHERE NOT dead AND coalesce(len(theme) > 0, true) AND coalesce(len(section) > 0, true)""")
 def guard_conjunction(spark, sf):
-    a = guard_rows(spark, sf)
-    b = a.select(F.col("id").alias("other"), "g", F.col("guard").alias("guard_b"))
-    both = a.join(b, "g").where("id < other").withColumn("c", G.conjunction(F.col("guard"), F.col("guard_b"))).where("c IS NOT NULL")
-    return both.select("id", "other", *[F.array_join(F.try_element_at("c", F.lit(x)), ",").alias(x) for x in ("theme", "section")])
+    def named(a, b):
+        both = G.conjunction(a, b)
+        return F.when(both.isNotNull(), F.struct(*[F.array_join(F.try_element_at(both, F.lit(x)), ",").alias(x) for x in ("theme", "section")]))
+
+    return G.joint(guard_rows(spark, sf), "g", "id", "guard", named, "c").select(F.col("a").alias("id"), F.col("b").alias("other"), "c.theme", "c.section")
 
 
 @query(f"""WITH {_GUARDS} SELECT id, (list_sort(list_filter(theme, lambda v: v <> 't0')))[1] AS theme, CASE WHEN list_contains(section, 'x1') THEN 'x1' END AS section FROM g

@@ -56,3 +56,15 @@ def test_guards_of_a_hot_group_are_many_tasks(spark):
     split = shares(found)
     assert sum(split) == 2100 * 2099 // 2 and split[-1] < 0.8 * sum(split)
     assert found.where("ok <> (a % 2 = b % 2) OR a >= b").count() == 0
+
+
+def test_conjunctions_are_made_once_for_two_guards(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def both(a, b):
+        asked.add(1)
+        return a["theme"][0] if a == b else None
+
+    found = G.joint(guarded(spark, 400), "g", "id", "guard", lambda a, b: both(a, b), "c")
+    assert found.count() == 2 * 200 * 199 // 2 and asked.value <= 8
