@@ -68,3 +68,13 @@ def test_conjunctions_are_made_once_for_two_guards(spark):
 
     found = G.joint(guarded(spark, 400), "g", "id", "guard", lambda a, b: both(a, b), "c")
     assert found.count() == 2 * 200 * 199 // 2 and asked.value <= 8
+
+
+def test_conflicts_of_a_hot_path_are_many_tasks(spark):
+    rows = guarded(spark, 2100).selectExpr("concat('p', id DIV 10000) AS element_path", "id AS source_id", "value", "guard", "IF(id < 1050, 'hard_constraint', 'soft') AS hardness", "struct(id % 5 AS r) AS spec")
+    found = L.pair_conflicts(rows)
+    split = shares(found)
+    kinds = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    ids = range(2100)
+    alike = sum(1 for a in ids for b in range(a + 2, 2100, 2) if not (a < 1050 and b < 1050) and (a - b) % 5 == 0)
+    assert kinds == {"hard_hard": 2 * 525 * 524 // 2, "equal_specificity": alike} and split[-1] < 0.8 * sum(split)
