@@ -78,3 +78,9 @@ def test_conflicts_of_a_hot_path_are_many_tasks(spark):
     ids = range(2100)
     alike = sum(1 for a in ids for b in range(a + 2, 2100, 2) if not (a < 1050 and b < 1050) and (a - b) % 5 == 0)
     assert kinds == {"hard_hard": 2 * 525 * 524 // 2, "equal_specificity": alike} and split[-1] < 0.8 * sum(split)
+
+
+def test_variants_of_a_hot_token_are_many_tasks(spark):
+    rows = guarded(spark, 2100).select(F.col("g").alias("token_id"), F.col("id").alias("at"), F.col("guard").alias("when"), "value")
+    found = shares(L.variant_conflicts(rows))
+    assert sum(found) == 2 * 1050 * 1049 // 2 and found[-1] < 0.8 * sum(found)
