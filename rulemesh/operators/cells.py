@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import guards as G
 from .cascade import specificity
+from .joins import tasks
 from .steps import cut
 
 #: The axis that stands for all of a context's tags together.
@@ -31,6 +32,17 @@ def numbered(bindings: DataFrame) -> DataFrame:
     return cut(canonical.where(~G.contradictory(F.col("guard"))).withColumn("bid", F.monotonically_increasing_id()))
 
 
+def of_kinds(bindings: DataFrame) -> DataFrame:
+    """Like ``numbered``, but bindings of a path with the same guard share their ``bid``: they hold in the same places.
+
+    So there are as many to lay out as a path has guards, however many bindings it has.
+    """
+    canonical = bindings.withColumn("guard", G.canonical(F.col("guard")))
+    rows = cut(canonical.where(~G.contradictory(F.col("guard"))).withColumn("_mark", F.to_json(F.struct("guard"))))
+    kinds = cut(rows.select("element_path", "_mark").distinct().withColumn("bid", F.monotonically_increasing_id()))
+    return cut(rows.join(kinds.hint("merge"), ["element_path", "_mark"]).drop("_mark"))
+
+
 def _marks(terms: DataFrame, axis: str, domains: DataFrame, combinations: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(needs, marks, values) of an axis.
 
@@ -68,7 +80,7 @@ def _classes(needs: DataFrame, marks: DataFrame, values: DataFrame) -> DataFrame
 
 
 def cells(bindings: DataFrame, domains: DataFrame, combinations: DataFrame) -> DataFrame:
-    """(path, cell, bid): the sets of ``numbered`` bindings that hold together somewhere, each once.
+    """(path, cell, bid): the sets of ``numbered`` bindings, or ``of_kinds``, that hold together somewhere, each once.
 
     ``domains``: (axis, value). Audience, surface, campaign and theme have no
     other values than these, all other axes also those that guards name.
@@ -76,10 +88,11 @@ def cells(bindings: DataFrame, domains: DataFrame, combinations: DataFrame) -> D
     axis; axes are predicates of a vocabulary, hence few, and their names are
     what the driver sees.
     """
-    terms = cut(bindings.select(F.col("element_path").alias("path"), "bid", F.explode("guard").alias("axis", "allowed")))
+    kinds = cut(bindings.groupBy(F.col("element_path").alias("path"), "bid").agg(F.first("guard").alias("guard")))
+    terms = cut(kinds.select("path", "bid", F.explode("guard").alias("axis", "allowed")))
     plain = terms.where(~F.col("axis").startswith("tag:")).select("axis").distinct()
     axes = [TAGS, *sorted(r["axis"] for r in plain.collect())]
-    members = bindings.select(F.col("element_path").alias("path"), F.lit(0).cast("long").alias("cell"), "bid")
+    members = kinds.select("path", F.lit(0).cast("long").alias("cell"), "bid")
     for axis in axes:
         needs, marks, values = _marks(terms, axis, domains, combinations)
         marks = cut(marks)
@@ -97,29 +110,59 @@ def cells(bindings: DataFrame, domains: DataFrame, combinations: DataFrame) -> D
     return members
 
 
-def _ranked(bindings: DataFrame, members: DataFrame) -> DataFrame:
-    """``members`` with ``wins``: first of their cell, or among first ones of different values that only their ids tell apart."""
-    spec = bindings.select("bid", "source_id", F.to_json(F.struct("value")).alias("value"), specificity().alias("spec"))
-    rows = members.join(spec, "bid")
-    top = rows.groupBy("path", "cell").agg(F.max("spec").alias("top"), F.count("*").alias("candidates"))
-    tied = rows.join(top, ["path", "cell"]).where(F.col("spec") == F.col("top"))
-    best = tied.groupBy("path", "cell").agg((F.min("value") != F.max("value")).alias("conflict"), F.max("source_id").alias("first"), F.first("top").alias("top"), F.first("candidates").alias("candidates"))
-    wins = (F.col("spec") == F.col("top")) & (F.col("conflict") | (F.col("source_id") == F.col("first")))
-    return rows.join(best, ["path", "cell"]).withColumn("wins", wins)
+def _specs(bindings: DataFrame) -> DataFrame:
+    """Rows of bindings with their rank among those of their ``bid``: ``leads`` are first, maybe with others."""
+    rows = bindings.select(F.col("element_path").alias("path"), "bid", "source_kind", "source_id", F.to_json(F.struct("value")).alias("value"), specificity().alias("spec"))
+    best = rows.groupBy("path", "bid").agg(F.max("spec").alias("best"), F.count("*").alias("n"))
+    # merged here and below: kinds can be as many as bindings, and a broadcast would pass them through the driver
+    return cut(rows.join(best.hint("merge"), ["path", "bid"]).withColumn("leads", F.col("spec") == F.col("best")).drop("spec"))
+
+
+def _winning(specs: DataFrame, members: DataFrame) -> DataFrame:
+    """(path, cell, bid, candidates, conflict, first) of the kinds whose leading bindings rank first in their cell.
+
+    In a conflict, leading ones of different values that only their ids tell apart, all of these win, else only ``first``.
+    """
+    leads = F.col("leads")
+    told = specs.groupBy("path", "bid").agg(
+        F.first("best").alias("best"), F.first("n").alias("n"), F.min(F.when(leads, F.col("value"))).alias("low"), F.max(F.when(leads, F.col("value"))).alias("high"), F.max(F.when(leads, F.col("source_id"))).alias("last")
+    )
+    held = members.join(told.hint("merge"), ["path", "bid"])
+    top = held.groupBy("path", "cell").agg(F.max("best").alias("top"), F.sum("n").alias("candidates"))
+    tied = held.join(top.hint("merge"), ["path", "cell"]).where(F.col("best") == F.col("top"))
+    verdict = tied.groupBy("path", "cell").agg((F.min("low") != F.max("high")).alias("conflict"), F.max("last").alias("first"))
+    return cut(tied.select("path", "cell", "bid", "candidates").join(verdict.hint("merge"), ["path", "cell"]))
 
 
 def cell_winners(bindings: DataFrame, members: DataFrame) -> DataFrame:
     """(element_path, cell, candidates, conflict, winners) of each cell."""
-    ranked = _ranked(bindings, members).where("wins").groupBy("path", "cell")
-    found = ranked.agg(F.first("candidates").alias("candidates"), F.first("conflict").alias("conflict"), F.array_sort(F.collect_set("source_id")).alias("winners"))
+    specs = _specs(bindings)
+    leading = specs.where("leads").select("path", "bid", "source_id")
+    rows = _winning(specs, members).join(leading.hint("merge"), ["path", "bid"]).where(F.col("conflict") | (F.col("source_id") == F.col("first")))
+    found = rows.groupBy("path", "cell").agg(F.first("candidates").alias("candidates"), F.first("conflict").alias("conflict"), F.array_sort(F.collect_set("source_id")).alias("winners"))
     return found.withColumnRenamed("path", "element_path")
 
 
 def never_winning(bindings: DataFrame, members: DataFrame) -> DataFrame:
-    """(element_path, source_kind, source_id, shadowed_by) of bindings that hold somewhere and win nowhere."""
-    ranked = cut(_ranked(bindings, members).select("path", "cell", "bid", "source_id", "wins"))
-    beaten = ranked.groupBy("path", "bid").agg(F.max("wins").alias("live")).where("NOT live").select("path", "bid")
-    by = ranked.where("wins").select("path", "cell", F.col("source_id").alias("winner"))
-    pairs = ranked.join(beaten, ["path", "bid"], "left_semi").join(by, ["path", "cell"]).select("bid", "winner").distinct()
-    found = pairs.groupBy("bid").agg(F.array_sort(F.collect_list("winner")).alias("shadowed_by"))
-    return bindings.join(found, "bid").select("element_path", "source_kind", "source_id", "shadowed_by")
+    """(element_path, source_kind, source_id, shadowed_by) of bindings that hold somewhere and win nowhere.
+
+    Who shadows them is the same for all bindings of a kind, so it is listed once for each kind.
+    """
+    specs = _specs(bindings)
+    winning = _winning(specs, members)
+    held = members.select("path", "bid").distinct()
+    clashing = winning.where("conflict").select("path", "bid", F.lit(True).alias("all")).distinct()
+    firsts = winning.where("NOT conflict").select("path", "bid", F.col("first").alias("source_id"), F.lit(True).alias("one")).distinct()
+    marked = specs.join(held.hint("merge"), ["path", "bid"]).join(clashing.hint("merge"), ["path", "bid"], "left").join(firsts.hint("merge"), ["path", "bid", "source_id"], "left")
+    live = F.col("leads") & (F.col("all").isNotNull() | F.col("one").isNotNull())
+    beaten = cut(marked.where(~live).select("path", "bid", "source_kind", "source_id"))
+    losing = members.join(beaten.select("path", "bid").distinct().hint("merge"), ["path", "bid"], "left_semi")
+    over = winning.select("path", "cell", F.col("bid").alias("by"), F.when(~F.col("conflict"), F.col("first")).alias("one"))
+    pairs = cut(losing.join(over.hint("merge"), ["path", "cell"]).select("path", "bid", "by", "one").distinct())
+    leading = specs.where("leads").select("path", F.col("bid").alias("by"), F.col("source_id").alias("winner"))
+    several = pairs.where("one IS NULL").join(leading.hint("merge"), ["path", "by"]).select("path", "bid", "winner")
+    winners = several.unionByName(pairs.where("one IS NOT NULL").select("path", "bid", F.col("one").alias("winner")))
+    lists = winners.groupBy("path", "bid").agg(F.array_sort(F.collect_set("winner")).alias("shadowed_by"))
+    n = tasks(bindings)
+    found = beaten.repartition(n, "path", "bid").join(lists.repartition(n, "path", "bid").hint("merge"), ["path", "bid"])
+    return found.select(F.col("path").alias("element_path"), "source_kind", "source_id", "shadowed_by")

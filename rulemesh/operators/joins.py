@@ -46,7 +46,7 @@ def siblings(rows: DataFrame, key: str, group: str, cap: int | None = None) -> D
     return out
 
 
-def _tasks(rows: DataFrame) -> int:
+def tasks(rows: DataFrame) -> int:
     """Tasks of a join whose output is far larger than its input, which adaptive execution would put into too few."""
     spark = rows.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
@@ -71,7 +71,7 @@ def pairs_within(rows: DataFrame, on: list[str], key: str, condition: Column, ch
     others = [c for c in rows.columns if c not in on]
     dealt = rows.dropna(subset=on).withColumn("_parts", _parts(on, chunk))
     dealt = dealt.withColumn("_deal", F.pmod(F.xxhash64(key), F.col("_parts")))
-    place, n = [*on, "_i", "_j"], _tasks(rows)
+    place, n = [*on, "_i", "_j"], tasks(rows)
     a = dealt.select(*on, F.col("_deal").alias("_i"), _each(F.col("_parts")).alias("_j"), *[F.col(c).alias(f"a_{c}") for c in others])
     b = dealt.select(*on, _each(F.col("_parts")).alias("_i"), F.col("_deal").alias("_j"), *[F.col(c).alias(f"b_{c}") for c in others])
     # merged, as a broadcast would pass one side through the driver
@@ -92,7 +92,7 @@ def spread(kinds: DataFrame, members: DataFrame, on: list[str], own: list[str],
     met = kinds.join(shares.hint("merge"), [*on, "b_kind"]).join(a.hint("merge"), [*on, "a_kind"])
     left = met.withColumn("_j", _each(F.col("_shares"))).drop("_shares")
     right = sized.select(*on, F.col("kind").alias("b_kind"), _each(F.col("_parts")).alias("_i"), F.pmod(deal, F.col("_shares")).alias("_j"), *[F.col(c).alias(f"b_{c}") for c in own])
-    place, n = [*on, "b_kind", "_i", "_j"], _tasks(members)
+    place, n = [*on, "b_kind", "_i", "_j"], tasks(members)
     return left.repartition(n, *place).join(right.repartition(n, *place).hint("merge"), place).where(condition).drop("_i", "_j")
 
 

@@ -881,7 +881,7 @@ def cell_inputs(spark, sf):
     known = {"audience": ("patient", "hcp"), "theme": ("dark", "none"), "section": ("hero", "banner"), "breakpoint": ("tablet",)}
     domains = spark.createDataFrame([(a, v) for a, vs in known.items() for v in vs], "axis string, value string")
     combinations = spark.createDataFrame([([],), (["sale"],), (["sale", "new"],)], "tags array<string>")
-    bindings = X.numbered(bindings)
+    bindings = X.of_kinds(bindings)
     return bindings, X.cells(bindings, domains, combinations)
 
 

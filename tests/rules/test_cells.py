@@ -122,3 +122,18 @@ def test_empty_tables(spark):
     assert run(spark, [], FEW, [[]]) == (set(), {}, {})
     with_none = run(spark, [binding("a", {"audience": ["hcp"]}), binding("b", None)], [], [[]])
     assert {a for _, a, _ in with_none[0]} == {frozenset("b")} or with_none[0] == set()
+
+
+def test_kinds_stand_for_all_their_bindings(spark):
+    """200 bindings of two guards are laid out as two; results are those of the bindings one by one."""
+    rows = [binding(f"a{i:03}", {"audience": ["hcp"]} if i % 2 else None, "x" if i < 190 else "y") for i in range(200)]
+    made = spark.createDataFrame(rows, SCHEMA)
+    domains, none = spark.createDataFrame([("audience", "hcp"), ("audience", "patient")], "axis string, value string"), spark.createDataFrame([([],)], "tags array<string>")
+    kinds = X.of_kinds(made)
+    members = X.cells(kinds, domains, none)
+    assert members.count() == 3 and kinds.count() == 200
+    each = X.numbered(made)
+    alone = X.cells(each, domains, none)
+    won = [sorted((r.candidates, r.conflict, tuple(r.winners)) for r in X.cell_winners(b, m).collect()) for b, m in ((kinds, members), (each, alone))]
+    lost = [{r.source_id: tuple(r.shadowed_by) for r in X.never_winning(b, m).collect()} for b, m in ((kinds, members), (each, alone))]
+    assert won[0] == won[1] and lost[0] == lost[1]
