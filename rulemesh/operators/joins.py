@@ -38,12 +38,12 @@ def siblings(rows: DataFrame, key: str, group: str, cap: int | None = None) -> D
     right = left.select(F.col(key).alias("sibling"), F.col("_group"))
     if cap is not None:
         first = Window.partitionBy("_group").orderBy("sibling")
-        right = right.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap + 1).drop("_n")
-    out = left.join(right, "_group").where(F.col(key) != F.col("sibling")).drop("_group")
+        right = right.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cap + 1)
+    own = F.col(key) != F.col("sibling")
     if cap is not None:
-        order = Window.partitionBy(key).orderBy("sibling")
-        out = out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
-    return out
+        # the last one takes a row's own place, where the row stands before it; so nothing is sorted by row
+        own = own & ((F.col("_n") <= cap) | (F.col(key) < F.col("sibling")))
+    return left.join(right, "_group").where(own).select(key, "sibling")
 
 
 def tasks(rows: DataFrame) -> int:

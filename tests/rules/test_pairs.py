@@ -84,3 +84,11 @@ def test_variants_of_a_hot_token_are_many_tasks(spark):
     rows = guarded(spark, 2100).select(F.col("g").alias("token_id"), F.col("id").alias("at"), F.col("guard").alias("when"), "value")
     found = shares(L.variant_conflicts(rows))
     assert sum(found) == 2 * 1050 * 1049 // 2 and found[-1] < 0.8 * sum(found)
+
+
+def test_first_siblings_are_found_without_a_sort_by_row(spark):
+    rows = spark.createDataFrame([(g, i) for g, n in (("a", 3), ("b", 4), ("c", 5), ("d", 9), (None, 4)) for i in range(n * 10, n * 11)], "g string, id int")
+    found = C.siblings(rows, "id", "g", 3)
+    groups = [range(n * 10, n * 11) for n in (3, 4, 5, 9)]
+    assert sorted(map(tuple, found.collect())) == sorted((a, b) for ids in groups for a in ids for b in [x for x in ids if x != a][:3])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number") == 1
