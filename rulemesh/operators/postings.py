@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .joins import tasks
 from .retrieval import EPSILON, K1, B
 
 #: Documents of a block, about: bounds the entries of one row of ``lists``.
@@ -34,18 +35,26 @@ class Index:
 def build(docs: DataFrame, key: str, text: Column, block: int = BLOCK) -> Index:
     """An index of all documents; ``key`` is unique, a null text has no words but counts as a document.
 
-    Words are counted before they are moved, as a document's are all in one
-    task; what is shuffled is a row for each document and distinct word, then
-    a block's entries.
+    Texts are dealt over many tasks and a document's words counted within its
+    row, so no task holds more than its share of documents; what is shuffled are
+    the texts, then a block's entries.
     """
-    own = docs.select(F.col(key).alias("key"), F.coalesce(S.words(text), F.array().cast("array<string>")).alias("_terms"))
+    # a few files can hold many documents, so these are dealt out before they become rows of words
+    dealt = docs.select(F.col(key).alias("key"), text.alias("_text")).repartition(tasks(docs), "key")
+    own = dealt.select("key", F.coalesce(S.words(F.col("_text")), F.array().cast("array<string>")).alias("_terms"))
     own = own.withColumn("length", F.size("_terms"))
-    sizes = own.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avgdl"))
+    sizes = docs.select(F.size(F.coalesce(S.words(text), F.array().cast("array<string>"))).alias("length")).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avgdl"))
     split = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block))
     place = F.struct(F.floor(F.log2(F.col("length")) * BANDS).alias("band"), F.pmod(F.xxhash64("key"), split).alias("deal"))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
+    # a document's words in order: where each begins, and up to where the next one does
+    ordered = own.where("length > 0").select("key", "length", F.sort_array("_terms").alias("_sorted"))
+    begins = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)))
+    begun = ordered.withColumn("_begins", begins)
+    until = lambda i: F.coalesce(F.get("_begins", i + 1), F.col("length"))
+    counted = F.transform("_begins", lambda at, i: F.struct(F.get("_sorted", at).alias("term"), (until(i) - at).alias("tf")))
+    seen = begun.select("key", "length", F.inline(counted))
     # the sizes are a single row
-    seen = own.select("key", "length", F.explode("_terms").alias("term")).groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
     entries = seen.join(F.broadcast(sizes)).select("term", place.alias("block"), "key", part.alias("part"))
     lists = entries.groupBy("term", "block").agg(F.max("part").alias("hi"), F.count("*").alias("n"), F.collect_list(F.struct("key", "part")).alias("entries"))
     return over(lists, sizes)
@@ -87,8 +96,12 @@ def search(index: Index, queries: DataFrame, query: str, text: Column, k: int =
 def _scores(index: Index, weighted: DataFrame, pairs: DataFrame) -> DataFrame:
     """(query, key, score) of the documents with one of the query's words in the given blocks."""
     lists = index.lists.select("term", "block", "entries")
-    hits = pairs.join(weighted, "query").join(lists, ["term", "block"]).select("query", "weight", F.explode("entries").alias("e"))
-    return hits.groupBy("query", F.col("e.key").alias("key")).agg(F.sum(F.col("weight") * F.col("e.part")).alias("score"))
+    # a pair of a query and a list is few bytes and many rows, so tasks aren't to be drawn together by their bytes
+    n = tasks(pairs)
+    asked = pairs.join(weighted, "query").repartition(n, "term", "block")
+    hits = asked.join(lists, ["term", "block"]).select("query", "weight", F.explode("entries").alias("e"))
+    shares = hits.select("query", F.col("e.key").alias("key"), (F.col("weight") * F.col("e.part")).alias("share"))
+    return shares.repartition(n, "query", "key").groupBy("query", "key").agg(F.sum("share").alias("score"))
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:

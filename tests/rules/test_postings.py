@@ -87,3 +87,11 @@ def test_an_index_read_again_and_blocks_left_closed(spark, tmp_path):
     blocks = again.lists.where("term IN ('w0', 'w59')").select("block").distinct().count()
     assert opened[1] < 0.7 * blocks, (opened, blocks)
     assert again.lists.agg(F.max(F.size("entries"))).first()[0] < 2 * 64
+
+
+def test_documents_of_one_file_are_dealt_out_before_their_words(spark):
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id", "concat_ws(' ', 'b', 'a', id, 'b') AS text")
+    index = Q.build(docs, "id", F.col("text"))
+    plan = index.lists._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("RepartitionByExpression") and "Aggregate [key" not in plan
+    assert {r["term"]: r["n"] for r in index.lists.where("term IN ('a', 'b')").groupBy("term").agg(F.sum("n").alias("n")).collect()} == {"a": 3000, "b": 3000}
