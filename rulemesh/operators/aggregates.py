@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import CHUNK, tasks
+
 
 def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
     """part / whole as a double, ``empty`` where there is no whole."""
@@ -24,14 +26,33 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(whole == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / whole)
 
 
-def jaccard_pairs(sets: DataFrame, owner: str, item: str) -> DataFrame:
-    """Jaccard similarity of the sets of every pair of owners that share an item: (a, b, shared, jaccard)."""
+def jaccard_pairs(sets: DataFrame, owner: str, item: str, chunk: int = CHUNK, most: int = 64 * CHUNK) -> DataFrame:
+    """Jaccard similarity of the sets of every pair of owners that share an item: (a, b, shared, jaccard).
+
+    An item's owners are cut into chunks in their order, each two of which meet
+    in one place. What moves on is not pairs but each owner with the list of
+    those behind it, and pairs are made where they are counted. Pairs of an
+    owner of more than ``most`` items are counted before they are moved, as all
+    its lists would be one task's.
+    """
     rows = sets.select(F.col(owner).alias("a"), F.col(item).alias("_item")).distinct()
     sizes = rows.groupBy("a").agg(F.count("*").alias("n"))
-    other = rows.select(F.col("a").alias("b"), "_item")
-    shared = rows.join(other, "_item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sized = shared.join(sizes.withColumnRenamed("n", "n_a"), "a").join(sizes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
-    return sized.select("a", "b", "shared", ratio(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared"), 1.0).alias("jaccard"))
+    order = Window.partitionBy("_item").orderBy("a")
+    ranked = rows.dropna().withColumn("_chunk", F.floor((F.row_number().over(order) - 1) / chunk))
+    chunks = F.max("_chunk").over(Window.partitionBy("_item"))
+    sized = ranked.withColumn("_last", chunks).join(sizes, "a")
+    lists = sized.groupBy("_item", "_last", "_chunk").agg(F.array_sort(F.collect_list(F.struct("a", "n"))).alias("owners"))
+    place, n = ["_item", "_i", "_j"], tasks(rows)
+    left = lists.select("_item", F.col("_chunk").alias("_i"), F.explode(F.sequence("_chunk", "_last")).alias("_j"), "owners")
+    right = lists.select("_item", F.explode(F.sequence(F.lit(0).cast("long"), "_chunk")).alias("_i"), F.col("_chunk").alias("_j"), F.col("owners.a").alias("others"))
+    met = left.repartition(n, *place).join(right.repartition(n, *place).hint("merge"), place)
+    each = met.select("_i", "_j", "others", F.posexplode("owners").alias("at", "o"))
+    behind = F.when(F.col("_i") == F.col("_j"), F.slice("others", F.col("at") + 2, F.size("others"))).otherwise(F.col("others"))
+    tails = each.select(F.col("o.a").alias("a"), F.col("o.n").alias("n_a"), behind.alias("others")).where(F.size("others") > 0)
+    count = lambda d: d.select("a", "n_a", F.explode("others").alias("b")).groupBy("a", "n_a", "b").agg(F.count("*").alias("shared"))
+    shared = count(tails.where(F.col("n_a") <= most).repartition(n, "a", "n_a")).unionByName(count(tails.where(F.col("n_a") > most)))
+    both = shared.join(sizes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
+    return both.select("a", "b", "shared", ratio(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared"), 1.0).alias("jaccard"))
 
 
 def coverage(units: DataFrame, group: str, required: Column, covered: Column) -> DataFrame:

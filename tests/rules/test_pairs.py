@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rulemesh.operators import aggregates as A
 from rulemesh.operators import consistency as L
 from rulemesh.operators import dedupe as D
 from rulemesh.operators import guards as G
@@ -92,3 +93,48 @@ def test_first_siblings_are_found_without_a_sort_by_row(spark):
     groups = [range(n * 10, n * 11) for n in (3, 4, 5, 9)]
     assert sorted(map(tuple, found.collect())) == sorted((a, b) for ids in groups for a in ids for b in [x for x in ids if x != a][:3])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number") == 1
+
+
+def moved(spark, found):
+    """Rows that ``found``'s tasks write for others."""
+    jobs, group = spark.sparkContext, f"moved-{id(found)}"
+    jobs.setJobGroup(group, "")
+    found.write.format("noop").mode("overwrite").save()
+    jobs.setLocalProperty("spark.jobGroup.id", None)
+    status = jobs.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+    store = jobs._jsc.sc().statusStore()
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if status.getStageInfo(s) is not None and status.getStageInfo(s).numCompletedTasks)
+
+
+def shared_items(sets):
+    return {(a, b): (len(x & y), round(len(x & y) / len(x | y), 9)) for a, x in sets.items() for b, y in sets.items() if a < b and (x & y) - {None}}
+
+
+def test_jaccard_pairs_by_chunks_and_of_owners_of_many_items(spark):
+    sets = {a: {i for i in range(30) if (i * a) % 7 < 3} | {100 + a // 9} for a in range(40)} | {40: {None, 3}, 41: {5}}
+    rows = [(a, i) for a, items in sets.items() for i in items] * 2 + [(None, 3), (None, None)]
+    table = spark.createDataFrame(rows, "o long, i long")
+    want = {(a, b): (n - (None in sets[a] & sets[b]), j) for (a, b), (n, j) in shared_items(sets).items()}
+    for chunk, most in ((1024, 1 << 16), (4, 1 << 16), (4, 12), (1, 0)):
+        found = A.jaccard_pairs(table, "o", "i", chunk, most).collect()
+        assert {(r["a"], r["b"]): (r["shared"], round(r["jaccard"], 9)) for r in found} == want and len(found) == len(want)
+
+
+def test_jaccard_pairs_are_counted_where_they_are_made(spark):
+    table = spark.range(0, 4500, 1, 3).selectExpr("id AS o", "id DIV 45 AS i")
+    found = A.jaccard_pairs(table, "o", "i")
+    assert found.count() == 100 * 45 * 44 // 2
+    assert moved(spark, found) < 100 * 45 * 44 // 2 // 2
+
+
+def test_longest_prefix_of_copies_is_looked_up_once(spark):
+    rows = [(n, text) for n, text in enumerate(["abcdef", "abcxyz", "ab", "a", "", None, "zz", "ABC"] * 500)]
+    rows = spark.createDataFrame([*rows, (None, "abcdef"), (None, "abcdef")], "n int, t string").coalesce(1)
+    owners = lambda *names: spark.createDataFrame([(x,) for x in names], "o string")
+    want = {"abcdef": "abcde", "abcxyz": "abc", "ab": "ab", "a": None, "": None, None: None, "zz": None, "ABC": None}
+    found = C.longest_prefix(rows, F.col("t"), owners("abcde", "abc", "ab", "b", "abcdef", None, "ab"), "o", 5)
+    assert found.count() == 4002 and {(r.t, r.owner) for r in found.collect()} == set(want.items())
+    assert moved(spark, found) < 1.5 * 4002
+    every = C.longest_prefix(rows, F.col("t"), owners("", "ab"), "o", 5)
+    assert {(r.t, r.owner) for r in every.collect()} == {(t, None if t is None else "ab" if t.startswith("ab") else "") for t in want}
