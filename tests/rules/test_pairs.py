@@ -97,14 +97,15 @@ def test_first_siblings_are_found_without_a_sort_by_row(spark):
 
 def moved(spark, found):
     """Rows that ``found``'s tasks write for others."""
-    jobs, group = spark.sparkContext, f"moved-{id(found)}"
-    jobs.setJobGroup(group, "")
+    jobs = spark.sparkContext
+    bus, store = jobs._jsc.sc().listenerBus(), jobs._jsc.sc().statusStore()
+    jobs.setJobGroup(group := f"moved-{id(found)}", "")
     found.write.format("noop").mode("overwrite").save()
     jobs.setLocalProperty("spark.jobGroup.id", None)
+    bus.waitUntilEmpty()
     status = jobs.statusTracker()
-    stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
-    store = jobs._jsc.sc().statusStore()
-    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if status.getStageInfo(s) is not None and status.getStageInfo(s).numCompletedTasks)
+    stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)}
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
 
 
 def shared_items(sets):

@@ -600,3 +600,20 @@ def test_records_settings_and_caches(spark):
     cache = spark.createDataFrame([(2, "x"), (2, "x")], "k int, v string")
     hits, misses = T.from_cache(wanted, cache, "k")
     assert [r.v for r in hits.collect()] == ["x", "x"] and sorted(r.k or 0 for r in misses.collect()) == [0, 1]
+
+
+def test_alignment_tries_no_window_twice(monkeypatch):
+    tried = []
+
+    class Counting(M.SequenceMatcher):
+        def ratio(self):
+            tried.append(self.a)
+            return super().ratio()
+
+    monkeypatch.setattr(M, "SequenceMatcher", Counting)
+    assert M.align("Shti Shtix Shti xShti Shti Sh", "Shti " * 400) is None
+    assert M.align("r, atanor,x atanor, atanor, a", "atanor, " * 90) == (0, 25, "fuzzy", 50 / 54)
+    assert len(tried) == len(set(tried)) <= 60
+    # repeated blanks and composed signs change places, others don't
+    assert M.folded("Größe – „ja“") == ("grösse - „ja\"", [0, 1, 2, 3, 3, 4, 5, 6, 7, 8, 9, 10, 11])
+    assert M.folded("a  éb") == ("a éb", [0, 1, 3, 5])
