@@ -282,6 +282,15 @@ def test_layout_axioms(spark):
     assert {r.context: r.core for r in L.layout_cores(rules).collect()} == {"x": "struct:base:top_matter,struct:s1", "y": None}
 
 
+def test_sets_of_layout_rules_are_decided_once(monkeypatch):
+    asked = []
+    fits = L._least_fits
+    monkeypatch.setattr(L, "_least_fits", lambda rules, slots: asked.append(rules) or fits(rules, slots))
+    rules = [("first", "once-only", None, None), ("last", "x|once-only", None, None), ("at_most", "x", None, 0)]
+    assert {L.layout_fits(rules[k:] + rules[:k] * 2, 9) for k in (0, 1, 2) for _ in range(50)} == {True}
+    assert 0 < len(asked) <= 4
+
+
 TEXT = "# Colour\n\nUse e.g. #FFF. It must (see Fig. 2. Then) be so! \"One. Two\" J. R. Smith agreed.\n1. item\n   more\n\n\n| a | b |\n```\nx = 1\n\n```\n## Sub\nLast 1.5 line"
 
 
