@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +118,34 @@ def resolve_refs_recursive(spark, view: str) -> DataFrame:
     return resolve_chains(spark.table(view)).where("status = 'ok'").select("id", "end", "value", "steps")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of each node with an edge to a smaller one or through others: the smallest node that it is tied to; roots aren't listed.
+
+    Each round ties a node's larger neighbours to its smallest one and then the
+    smaller ones to the least of them, until only stars are left; a chain of n
+    takes some log n rounds. Stars are set aside, so rounds get smaller. A round
+    groups and joins by node, so no node's neighbours are held together.
+    """
+    pairs = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("node"), F.least("src", "dst").alias("root")).distinct())
+    stars = []
+    while True:
+        sides = pairs.select("node", "root", F.lit(1).alias("up")).unionByName(pairs.select(F.col("root").alias("node"), F.col("node").alias("root"), F.lit(0).alias("up")))
+        ups = F.sum("up")
+        # a node of no star yet has two smaller neighbours, or one and larger ones too
+        nodes = cut(sides.groupBy("node").agg(F.least("node", F.min("root")).alias("least"), ((ups > 1) | ((ups == 1) & (F.count("*") > 1))).alias("amid")))
+        if not some(nodes.where("amid")):
+            return reduce(DataFrame.unionByName, [*stars, pairs])
+        amid = nodes.where("amid").select("node")
+        unsettled = pairs.join(amid, "node", "left_semi").select("root").unionByName(amid.select(F.col("node").alias("root"))).distinct()
+        stars.append(pairs.join(unsettled, "root", "left_anti").select("node", "root"))
+        small = nodes.select(F.col("node").alias("root"), F.col("least"))
+        large = pairs.join(unsettled, "root", "left_semi").join(small, "root").select("node", F.col("least").alias("root"))
+        # a node's larger neighbours now have its least one, itself for a root
+        least = large.groupBy("node").agg(F.min("root").alias("least"))
+        tied = large.join(least, "node").where("root > least").select(F.col("root").alias("node"), F.col("least").alias("root"))
+        pairs = cut(tied.unionByName(least.withColumnRenamed("least", "root")).distinct())
+
+
 def path_collisions(paths: DataFrame, path: str) -> DataFrame:
     """Paths that are also groups, that is the beginning of another path before a dot."""
     parts = F.split(F.col(path), r"\.")

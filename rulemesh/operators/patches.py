@@ -4,24 +4,31 @@ Whether a patch holds depends on what earlier ones did to the entities it
 names. Adds, updates and deletes of one entity are settled by windows, however
 many there are: after an add an entity is there and after a delete it isn't,
 whether or not that patch held. Only patches of several entities (splits,
-merges, deletes of more than one) make others wait. They are taken in rounds,
-each of all patches that no earlier such patch can touch any more, so rounds
-are as many as the longest chain of them, and what a round reads are the
-entities of such patches, which get fewer from round to round. Every other entity is
-done in one pass.
+merges, deletes of more than one) make others wait. Entities that such patches
+tie together, directly or through others, make a group, and nothing outside
+touches it. A group of at most ``WALKED`` patches is a row, in which they are
+taken one after another: all such groups are done in one pass. Those of larger
+groups are taken in rounds, each of all patches that no earlier such patch can
+touch any more, so rounds are as many as the longest chain of them. Every other
+entity is done in one pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
+from .graph import components
 from .steps import cut, some
 
 OPS = ("add", "update", "delete", "split", "merge")
+#: Patches of the largest group that is held in one row.
+WALKED = 500
 
 
 @dataclass(frozen=True)
@@ -142,14 +149,83 @@ def _round(now: DataFrame, ready: DataFrame, kinds: dict[str, str]) -> tuple[Dat
     good = rows.where("reason IS NULL")
     gone = good.select(F.explode("targets").alias("id"))
     after = now.join(gone, "id", "left_anti").select("id", *columns).unionByName(good.select(F.inline("puts")))
+    return after, _audited_many(rows), _moved(rows)
+
+
+def _audited_many(rows: DataFrame) -> DataFrame:
     attempt = mark(F.col("seq"), F.col("op"), F.col("olds"), F.col("keep"), F.col("products"), F.col("reason"))
     done = F.when(F.size("puts") > 0, mark(F.array_sort("puts"))).otherwise(mark(F.array_sort("targets"), F.lit("deleted")))
-    audit = rows.select(
+    return rows.select(
         "seq", "op", F.when(F.col("reason").isNull(), "applied").otherwise("rejected").alias("status"), "reason",
         mark(F.array_sort("olds")).alias("before"), F.when(F.col("reason").isNull(), done).otherwise(attempt).alias("after"),
     )
+
+
+def _moved(rows: DataFrame) -> DataFrame:
+    good = rows.where("reason IS NULL")
     moves = good.select("seq", F.explode("targets").alias("src"), F.transform("puts", lambda p: p["id"]).alias("to"))
-    return after, audit, moves.select("seq", "src", F.explode_outer("to").alias("dst"))
+    return moves.select("seq", "src", F.explode_outer("to").alias("dst"))
+
+
+def _tied(waiting: DataFrame) -> DataFrame:
+    """(id, root): the ids of patches of several entities; ids that such patches tie together have one root.
+
+    Ids are known by a hash here. Two that share one would only make one group of two.
+    """
+    keys = F.transform(F.array_union("targets", "products.id"), lambda i: F.xxhash64(i))
+    ties = waiting.select(F.explode(keys).alias("src"), F.array_min(keys).alias("dst"))
+    ids = waiting.select(F.explode(F.array_union("targets", "products.id")).alias("id")).distinct().withColumn("node", F.xxhash64("id"))
+    return ids.join(components(ties), "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _walked(now: DataFrame, events: DataFrame, kinds: dict[str, DataType], names: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(state after, the patches of ``events`` with reason, olds and puts): each root's, one after another.
+
+    ``now``: root, id and columns; ``events``: root and a log's columns.
+    """
+    columns, given = list(kinds), ["seq", "op", "targets", "keep", "products"]
+    entity = StructType().add("id", "string")
+    for c, kind in kinds.items():
+        entity = entity.add(c, kind)
+    entities, told = ArrayType(entity), StructType()
+    for c in given:
+        told = told.add(c, events.schema[c].dataType)
+    told = told.add("reason", "string").add("olds", entities).add("puts", entities)
+    rows = events.select("root", F.struct(*given).alias("event")).unionByName(now.select("root", F.struct("id", *columns).alias("entity")), allowMissingColumns=True)
+    groups = rows.groupBy("root").agg(F.array_sort(F.collect_list("event")).alias("events"), F.collect_list("entity").cast(entities).alias("now"))
+
+    def reason(now: Column, e: Column, olds: Column) -> Column:
+        taken = F.exists(e["products"], lambda p: ~F.array_contains(e["targets"], p["id"]) & F.exists(now, lambda x: x["id"] == p["id"]))
+        return F.when((e["op"] != "add") & F.exists(olds, lambda o: o.isNull()), "missing").when(e["op"].isin("add", "split") & taken, "exists")
+
+    def puts(e: Column, olds: Column) -> Column:
+        old, new = F.get(olds, F.lit(0)), F.get(e["products"], F.lit(0))
+        keep = F.get(F.filter(olds, lambda o: o["id"] == e["keep"]), F.lit(0))
+        updated = F.struct(old["id"].alias("id"), *[F.coalesce(new[c], old[c]).alias(c) for c in columns])
+        return (
+            F.when(e["op"].isin("add", "split"), F.transform(e["products"], lambda p: _put(p, columns)))
+            .when(e["op"] == "update", F.array(updated))
+            .when(e["op"] == "merge", F.array(_merged(keep, F.filter(olds, lambda o: o["id"] != e["keep"]), names)))
+            .otherwise(F.array().cast(entities))
+        )
+
+    def step(done: Column, e: Column) -> Column:
+        def told_of(olds: Column, why: Column, made: Column) -> Column:
+            kept = F.filter(done["now"], lambda x: ~F.array_contains(e["targets"], x["id"]))
+            row = F.struct(*[e[c].alias(c) for c in given], why.alias("reason"), olds.alias("olds"), made.alias("puts"))
+            return F.struct(F.when(why.isNull(), F.concat(kept, made)).otherwise(done["now"]).alias("now"), F.concat(done["out"], F.array(row)).alias("out"))
+
+        olds = F.transform(e["targets"], lambda t: F.get(F.filter(done["now"], lambda x: x["id"] == t), F.lit(0)))
+        return _let(olds, lambda o: _let(reason(done["now"], e, o), lambda w: _let(F.when(w.isNull(), puts(e, o)), lambda m: told_of(o, w, m))))
+
+    start = F.struct(F.col("now").alias("now"), F.array().cast(ArrayType(told)).alias("out"))
+    done = cut(groups.select(F.aggregate("events", start, step).alias("done")).select("done.now", "done.out"))
+    return done.select(F.inline("now")), done.select(F.inline("out"))
 
 
 def apply_log(state: DataFrame, patches: DataFrame) -> Applied:
@@ -189,7 +265,7 @@ def apply_log(state: DataFrame, patches: DataFrame) -> Applied:
     singles = log.where(single).select("seq", "op", target.alias("id"), *[one[c].alias(c) for c in columns])
     waiting = log.where(~single).drop("reason")
     ids = F.explode(F.array_union("targets", "products.id")).alias("id")
-    shared = cut(waiting.select(ids).distinct())
+    shared = cut(_tied(waiting))
     moves = []
 
     def deleted(judged: DataFrame) -> DataFrame:
@@ -203,9 +279,21 @@ def apply_log(state: DataFrame, patches: DataFrame) -> Applied:
     audits.append(_audited(judged, columns))
     moves.append(deleted(judged))
     alone = bare.join(rest.select("id").distinct(), "id", "left_anti").join(shared, "id", "left_anti").unionByName(after)
-    # the others, round by round
+    # groups of few patches, each in a row
+    placed = log.withColumn("id", target)
+    large = placed.groupBy("id").count().join(shared, "id").groupBy("root").agg(F.sum("count").alias("n")).where(F.col("n") > WALKED)
+    large = cut(large.select("root"))
+    events = placed.join(shared, "id").join(large, "root", "left_anti")
+    after, told = _walked(bare.join(shared, "id").join(large, "root", "left_anti"), events, {c: state.schema[c].dataType for c in columns}, kinds)
+    alone = alone.unionByName(after)
+    row = F.get("olds", F.lit(0)).alias("old"), F.get("puts", F.lit(0)).alias("new")
+    audits.append(_audited(told.where(single).select("seq", "op", target.alias("id"), F.col("reason").isNull().alias("ok"), *row, *[one[c].alias(c) for c in columns]), columns))
+    audits.append(_audited_many(told.where(~single)))
+    moves.append(_moved(told.where(~F.col("op").isin("add", "update"))))
+    # those of many, round by round
+    shared = shared.join(large, "root", "left_semi").select("id")
     now, left = cut(bare.join(shared, "id", "left_semi")), cut(singles.join(shared, "id", "left_semi"))
-    waiting = cut(waiting)
+    waiting = cut(waiting.withColumn("id", F.get("targets", F.lit(0))).join(shared, "id", "left_semi").drop("id"))
     while some(waiting):
         events = waiting.select("seq", ids)
         first = events.groupBy("id").agg(F.min("seq").alias("first"))
@@ -224,13 +312,14 @@ def apply_log(state: DataFrame, patches: DataFrame) -> Applied:
         moves.append(moved)
         left = cut(left.join(judged.select("seq"), "seq", "left_anti"))
         now, waiting = cut(now), cut(waiting.join(turn, "seq", "left_anti"))
-    judged, after = fold(now, left, columns)
-    judged = cut(judged)
-    audits.append(_audited(judged, columns))
-    moves.append(deleted(judged))
-    now = now.join(judged.select("id").distinct(), "id", "left_anti").unionByName(after)
+    if some(large):
+        judged, after = fold(now, left, columns)
+        judged = cut(judged)
+        audits.append(_audited(judged, columns))
+        moves.append(deleted(judged))
+        alone = alone.unionByName(now.join(judged.select("id").distinct(), "id", "left_anti").unionByName(after))
     union = lambda frames: reduce(DataFrame.unionByName, frames)
-    found = alone.unionByName(now).join(known, "id").select("id", F.col("known_kind").alias("kind"), *columns)
+    found = alone.join(known, "id").select("id", F.col("known_kind").alias("kind"), *columns)
     return Applied(found, union(audits), union(moves))
 
 
