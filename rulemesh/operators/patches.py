@@ -330,7 +330,8 @@ def lineage(state: DataFrame, moves: DataFrame) -> DataFrame:
     the one before has come to. Chains are followed by doubling, so a chain of n
     takes log n joins.
     """
-    places = cut(moves.select(F.col("src").alias("id"), "seq").distinct())
+    moves = cut(moves)
+    places = moves.select(F.col("src").alias("id"), "seq").distinct()
     arrivals = moves.select(F.col("dst").alias("id"), "seq").where("id IS NOT NULL").distinct()
     later = Window.partitionBy("id").orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
     both = arrivals.withColumn("leaves", F.lit(None).cast("long")).unionByName(places.withColumn("leaves", F.col("seq")))
@@ -339,11 +340,13 @@ def lineage(state: DataFrame, moves: DataFrame) -> DataFrame:
     hops = moves.join(ahead.select(F.col("id").alias("dst"), "seq", "next"), ["dst", "seq"], "left")
     hops = hops.select("src", "seq", "dst", "next").distinct()
     hops = cut(hops)
-    while some(hops.where("next IS NOT NULL")):
-        onward = hops.select(F.col("src").alias("dst"), F.col("seq").alias("next"), F.col("dst").alias("_dst"), F.col("next").alias("_next"))
-        moving = hops.where("next IS NOT NULL").join(onward, ["dst", "next"]).select("src", "seq", F.col("_dst").alias("dst"), F.col("_next").alias("next"))
-        hops = cut(hops.where("next IS NULL").unionByName(moving).distinct())
+    ended, going = hops.where("next IS NULL"), hops.where("next IS NOT NULL")
+    while some(going):
+        onward = ended.unionByName(going).select(F.col("src").alias("dst"), F.col("seq").alias("next"), F.col("dst").alias("_dst"), F.col("next").alias("_next"))
+        moved = going.join(onward, ["dst", "next"]).select("src", "seq", F.col("_dst").alias("dst"), F.col("_next").alias("next"))
+        moved = cut(moved.distinct())
+        ended, going = ended.unionByName(moved.where("next IS NULL")), moved.where("next IS NOT NULL")
     first = places.groupBy("id").agg(F.min("seq").alias("seq"))
-    ended = first.join(hops.select(F.col("src").alias("id"), "seq", F.col("dst").alias("final_id")), ["id", "seq"]).drop("seq")
-    started = state.select("id").join(ended.withColumn("_moved", F.lit(True)), "id", "left")
+    found = first.join(ended.select(F.col("src").alias("id"), "seq", F.col("dst").alias("final_id")), ["id", "seq"]).drop("seq").distinct()
+    started = state.select("id").join(found.withColumn("_moved", F.lit(True)), "id", "left")
     return started.select("id", F.when(F.col("_moved"), F.col("final_id")).otherwise(F.col("id")).alias("final_id"))
