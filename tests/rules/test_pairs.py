@@ -81,6 +81,15 @@ def test_conflicts_of_a_hot_path_are_many_tasks(spark):
     assert kinds == {"hard_hard": 2 * 525 * 524 // 2, "equal_specificity": alike} and split[-1] < 0.8 * sum(split)
 
 
+def test_proposals_of_a_hot_group_are_many_tasks(spark):
+    rows = spark.range(0, 2100, 1, 1).selectExpr("id", "IF(id < 2090, 1, NULL) AS g", "concat('p', id % 10) AS place", "id % 3 AS precedence")
+    found = L.precedence_proposals(rows, "g")
+    split = shares(found)
+    assert sum(split) == 2090 * 2089 // 2 and split[-1] < 0.8 * sum(split)
+    wrong = "a_id >= b_id OR winner <> IF(b_id % 10 > a_id % 10, b_id, a_id) OR precedence <> greatest(a_id % 3, b_id % 3) + 1"
+    assert found.where(wrong).count() == 0
+
+
 def test_variants_of_a_hot_token_are_many_tasks(spark):
     rows = guarded(spark, 2100).select(F.col("g").alias("token_id"), F.col("id").alias("at"), F.col("guard").alias("when"), "value")
     found = shares(L.variant_conflicts(rows))
