@@ -138,6 +138,13 @@ def test_jaccard_pairs_are_counted_where_they_are_made(spark):
     assert moved(spark, found) < 100 * 45 * 44 // 2 // 2
 
 
+def test_rows_of_kinds_are_moved_as_lists(spark):
+    rows = guarded(spark, 6000).selectExpr("concat('p', id DIV 10000) AS element_path", "id AS source_id", "CAST(id DIV 3000 AS STRING) AS value", "guard", "'soft' AS hardness", "struct(id % 20 AS r) AS spec")
+    found = L.pair_conflicts(rows)
+    assert found.count() == found.distinct().count() == 20 * 150 * 150
+    assert moved(spark, found) < 4 * 6000
+
+
 def test_longest_prefix_of_copies_is_looked_up_once(spark):
     rows = [(n, text) for n, text in enumerate(["abcdef", "abcxyz", "ab", "a", "", None, "zz", "ABC"] * 500)]
     rows = spark.createDataFrame([*rows, (None, "abcdef"), (None, "abcdef")], "n int, t string").coalesce(1)
