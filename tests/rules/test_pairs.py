@@ -1,5 +1,6 @@
 """Pairs of rows of one group: all of them, once, and as the work of many tasks."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rulemesh.operators import aggregates as A
@@ -31,6 +32,24 @@ def test_similar_pairs_of_copies_and_near_sets(spark):
     assert {(r[0], r[1]): round(r[2], 9) for r in found.collect()} == want and found.count() == len(want)
 
 
+def test_similar_pairs_of_many_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(D, "MET_ITEMS", 40)
+    monkeypatch.setattr(D, "MET_ROWS", 8)
+    sets = {i: [f"w{(i * k) % 23}" for k in range(1 + i % 17)] for i in range(120)}
+    found = D.similar_pairs(spark.createDataFrame([("b", i, w) for i, w in sets.items()], "blk string, id int, w array<string>"), "blk", "id", "w", 0.4)
+    want = {(a, b): len(x & y) / len(x | y) for a, x in ((i, set(w)) for i, w in sets.items()) for b, y in ((i, set(w)) for i, w in sets.items()) if a < b}
+    got = found.collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {k: v for k, v in want.items() if v >= 0.4} and len({(r[0], r[1]) for r in got}) == len(got)
+
+
+def test_shared_words_of_common_and_rare_ones():
+    words = [sorted({f"w{(i * k) % 97}" for k in range(i % 60)} | {f"own{i // 3}", "all"}) for i in range(1500)]
+    left, right = np.arange(0, 1500, 1), np.arange(200, 1400, 7)
+    for k, shared in D._shared(words, left, right):
+        for at in range(0, len(shared), 37):
+            assert shared[at].tolist() == [len(set(words[left[k + at]]) & set(words[r])) for r in right]
+
+
 def test_similar_pairs_of_many_copies_are_many_tasks(spark):
     rows = spark.range(2100).select(F.lit("b").alias("blk"), "id", F.split(F.lit("one two three"), " ").alias("w"))
     found = shares(D.similar_pairs(rows, "blk", "id", "w", 0.4))
