@@ -29,30 +29,47 @@ def jaccard(a: Column, b: Column) -> Column:
 def jaccard_pairs(sets: DataFrame, owner: str, item: str, chunk: int = CHUNK, most: int = 64 * CHUNK) -> DataFrame:
     """Jaccard similarity of the sets of every pair of owners that share an item: (a, b, shared, jaccard).
 
-    An item's owners are cut into chunks in their order, each two of which meet
-    in one place. What moves on is not pairs but each owner with the list of
-    those behind it, and pairs are made where they are counted. Pairs of an
-    owner of more than ``most`` items are counted before they are moved, as all
-    its lists would be one task's.
+    Owners are cut into blocks by their order, and an item's owners into chunks,
+    each two of which meet in one place. What moves on is not pairs but, for each
+    block that has some of an item's owners, one list of these and of those behind
+    them; pairs are made and counted where the block is. So an item costs as
+    many lists as there are blocks among its owners, however many these are. Pairs
+    of an owner of more than ``most`` items are counted before they are moved, as
+    all of them would be one task's.
     """
-    rows = sets.select(F.col(owner).alias("a"), F.col(item).alias("_item")).distinct()
-    sizes = rows.groupBy("a").agg(F.count("*").alias("n"))
+    n = tasks(sets)
+    rows = sets.select(F.col(owner).alias("a"), F.col(item).alias("_item")).where(F.col(owner).isNotNull())
+    # by owner once: distinct rows, sizes and blocks need no other move
+    rows = rows.repartitionByRange(n, "a").distinct().withColumn("n", F.count("*").over(Window.partitionBy("a"))).withColumn("k", F.spark_partition_id())
+    rows = rows.where(F.col("_item").isNotNull()).repartition(n, "_item")
     order = Window.partitionBy("_item").orderBy("a")
-    ranked = rows.dropna().withColumn("_chunk", F.floor((F.row_number().over(order) - 1) / chunk))
-    chunks = F.max("_chunk").over(Window.partitionBy("_item"))
-    sized = ranked.withColumn("_last", chunks).join(sizes, "a")
-    lists = sized.groupBy("_item", "_last", "_chunk").agg(F.array_sort(F.collect_list(F.struct("a", "n"))).alias("owners"))
-    place, n = ["_item", "_i", "_j"], tasks(rows)
-    left = lists.select("_item", F.col("_chunk").alias("_i"), F.explode(F.sequence("_chunk", "_last")).alias("_j"), "owners")
-    right = lists.select("_item", F.explode(F.sequence(F.lit(0).cast("long"), "_chunk")).alias("_i"), F.col("_chunk").alias("_j"), F.col("owners.a").alias("others"))
+    ranked = rows.withColumn("_chunk", F.floor((F.row_number().over(order) - 1) / chunk))
+    ranked = ranked.withColumn("_last", F.max("_chunk").over(Window.partitionBy("_item")))
+    lists = ranked.groupBy("_item", "_last", "_chunk").agg(F.array_sort(F.collect_list(F.struct("a", "n", "k"))).alias("owners"))
+    # of one chunk only: nothing to meet
+    few = lists.where("_last = 0").select("owners", F.slice("owners", 1, 0).alias("others"))
+    many, place = lists.where("_last > 0"), ["_item", "_i", "_j"]
+    left = many.select("_item", F.col("_chunk").alias("_i"), F.explode(F.sequence("_chunk", "_last")).alias("_j"), "owners")
+    right = many.select("_item", F.explode(F.sequence(F.lit(0).cast("long"), "_chunk")).alias("_i"), F.col("_chunk").alias("_j"), F.col("owners").alias("others"))
     met = left.repartition(n, *place).join(right.repartition(n, *place).hint("merge"), place)
-    each = met.select("_i", "_j", "others", F.posexplode("owners").alias("at", "o"))
-    behind = F.when(F.col("_i") == F.col("_j"), F.slice("others", F.col("at") + 2, F.size("others"))).otherwise(F.col("others"))
-    tails = each.select(F.col("o.a").alias("a"), F.col("o.n").alias("n_a"), behind.alias("others")).where(F.size("others") > 0)
-    count = lambda d: d.select("a", "n_a", F.explode("others").alias("b")).groupBy("a", "n_a", "b").agg(F.count("*").alias("shared"))
-    shared = count(tails.where(F.col("n_a") <= most).repartition(n, "a", "n_a")).unionByName(count(tails.where(F.col("n_a") > most)))
-    both = shared.join(sizes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
-    return both.select("a", "b", "shared", ratio(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared"), 1.0).alias("jaccard"))
+    met = few.unionByName(met.select("owners", F.when(F.col("_i") != F.col("_j"), F.col("others")).otherwise(F.slice("others", 1, 0)).alias("others")))
+    each = met.where(F.size("owners") + F.size("others") > 1).withColumn("k", F.explode(F.array_distinct("owners.k")))
+    of_block = each.withColumn("_at", F.array_position("owners.k", F.col("k")).cast("int")).withColumn("_m", F.size(F.filter("owners", lambda o: o["k"] == F.col("k"))))
+    alone = F.size("others") == 0
+    whole = F.when(alone, F.slice("owners", F.col("_at"), F.size("owners"))).otherwise(F.concat(F.slice("owners", F.col("_at"), F.col("_m")), "others"))
+    # the first _m are the block's, and meet those behind them from _from on
+    tails = of_block.select("k", "_m", F.when(alone, 0).otherwise(F.col("_m")).alias("_from"), whole.alias("_w"))
+    tails = tails.select("k", "_m", "_from", F.col("_w.a").alias("_a"), F.col("_w.n").cast("array<int>").alias("_n"))
+
+    def count(rows: DataFrame, kept: Column, *by: str) -> DataFrame:
+        first = rows.select("*", F.posexplode(F.slice("_a", F.lit(1), F.col("_m"))).alias("_p", "a")).withColumn("n_a", F.get("_n", F.col("_p"))).where(kept)
+        begin = F.greatest(F.col("_p") + 1, F.col("_from"))
+        behind = first.where(begin < F.size("_a")).select(*by, "a", "n_a", "_a", "_n", F.explode(F.sequence(begin, F.size("_a") - 1)).alias("_q"))
+        pairs = behind.select(*by, "a", "n_a", F.get("_a", F.col("_q")).alias("b"), F.get("_n", F.col("_q")).alias("n_b"))
+        return pairs.groupBy(*by, "a", "n_a", "b", "n_b").agg(F.count("*").alias("shared")).select("a", "n_a", "b", "n_b", "shared")
+
+    shared = count(tails.repartition(n, "k"), F.col("n_a") <= most, "k").unionByName(count(tails.where(F.exists("_n", lambda x: x > most)), F.col("n_a") > most))
+    return shared.select("a", "b", "shared", ratio(F.col("shared"), F.col("n_a") + F.col("n_b") - F.col("shared"), 1.0).alias("jaccard"))
 
 
 def coverage(units: DataFrame, group: str, required: Column, covered: Column) -> DataFrame:

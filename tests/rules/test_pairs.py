@@ -164,6 +164,13 @@ def test_rows_of_kinds_are_moved_as_lists(spark):
     assert moved(spark, found) < 4 * 6000
 
 
+def test_jaccard_pairs_move_an_item_once_for_a_block_of_owners(spark):
+    table = spark.range(0, 40000, 1, 3).selectExpr("id DIV 1000 * 1000 + id % 100 AS o", "id DIV 1000 * 1000 + id DIV 100 % 10 + id % 2 * 10 AS i")
+    found = A.jaccard_pairs(table, "o", "i")
+    assert found.count() == 40 * 2 * 50 * 49 // 2 and found.where("shared <> 10 OR jaccard <> 1").count() == 0
+    assert moved(spark, found) < 2.2 * 40000
+
+
 def test_longest_prefix_of_copies_is_looked_up_once(spark):
     rows = [(n, text) for n, text in enumerate(["abcdef", "abcxyz", "ab", "a", "", None, "zz", "ABC"] * 500)]
     rows = spark.createDataFrame([*rows, (None, "abcdef"), (None, "abcdef")], "n int, t string").coalesce(1)
